@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,45 +100,12 @@ def recurring_labels(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     )
 
 
-def silhouette(vectors: DataFrame, dimensions: int) -> DataFrame:
-    """Mean cosine silhouette of ``vectors(item, cluster, vector)``.
+def silhouette(vectors: DataFrame) -> float:
+    """Mean cosine silhouette of ``vectors(cluster INT, vector ARRAY)``.
 
-    Cosine distance of unit vectors is linear in the other vector, so the mean
-    distance of an item to a cluster needs only the cluster's vector sum: no
-    pair of items is formed. An item alone in its cluster counts 0.
+    The evaluator keeps one vector sum per cluster and never forms pairs.
     """
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-    unit = vectors.withColumn("norm", norm).select(
-        "item", "cluster",
-        F.transform("vector", lambda v: F.coalesce(F.try_divide(v.cast("double"), F.col("norm")), F.lit(0.0))).alias("u"),
+    prepared = vectors.select(
+        F.col("cluster").cast("int").alias("prediction"), array_to_vector("vector").alias("features")
     )
-    sums = unit.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(F.get("u", F.lit(i))) for i in range(dimensions)]).alias("s"),
-    )
-    # One row per cluster and item is what the measure is defined on; clusters are the k of a clustering.
-    dot = F.aggregate(F.zip_with("u", "s", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    self_dot = F.aggregate("u", F.lit(0.0), lambda acc, v: acc + v * v)
-    table = sums.agg(F.collect_list(F.struct("cluster", "n", "s"))).scalar()
-    own = F.lit(None)
-    measured = unit.withColumn("clusters", table).select(
-        "item", "cluster",
-        F.transform(
-            "clusters",
-            lambda c: F.struct(
-                (c["cluster"] == F.col("cluster")).alias("own"),
-                c["n"].alias("n"),
-                F.aggregate(F.zip_with("u", c["s"], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v).alias("dot"),
-            ),
-        ).alias("d"),
-        self_dot.alias("self"),
-    )
-    del own, dot
-    own_entry = F.get(F.filter("d", lambda x: x["own"]), F.lit(0))
-    others = F.transform(F.filter("d", lambda x: ~x["own"]), lambda x: F.lit(1.0) - x["dot"] / x["n"])
-    a = F.try_divide(own_entry["n"] - 1 - (own_entry["dot"] - F.col("self")), own_entry["n"] - 1)
-    b = F.array_min(others)
-    score = F.when(own_entry["n"] <= 1, F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
-    )
-    return measured.agg(F.round(F.avg(score), 4).alias("silhouette"), F.count(F.lit(1)).alias("items"))
+    return ClusteringEvaluator(distanceMeasure="cosine").evaluate(prepared)

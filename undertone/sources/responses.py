@@ -82,8 +82,9 @@ def raw_responses(responses: DataFrame) -> DataFrame:
 
 
 # Page text: fixed element patterns, applied in order.
-_DROPPED_BLOCKS = "(?is)<(script|style|noscript|template)\\b.*?</\\1\\s*>"
-_DROPPED_HEAD = "(?is)<head\\b.*?</head\\s*>"
+_DROPPED_BLOCKS = [
+    f"(?is)<{name}\\b.*?</{name}\\s*>" for name in ("head", "script", "style", "noscript", "template")
+]
 _COMMENTS = "(?s)<!--.*?-->"
 _BLOCK_BREAKS = "(?i)</?(p|div|h[1-6]|li|ul|ol|br|tr|table|section|article|nav|header|footer|blockquote|pre)\\b[^>]*>"
 _TAGS = "<[^>]+>"
@@ -93,8 +94,8 @@ _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 def page_text(html: Column) -> Column:
     """Visible text of a page, one block per line."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), _COMMENTS, "")
-    text = F.regexp_replace(text, _DROPPED_HEAD, "")
-    text = F.regexp_replace(text, _DROPPED_BLOCKS, "")
+    for block in _DROPPED_BLOCKS:
+        text = F.regexp_replace(text, block, "")
     text = F.regexp_replace(text, _BLOCK_BREAKS, "\n")
     text = F.regexp_replace(text, _TAGS, "")
     for entity, plain in _ENTITIES:
