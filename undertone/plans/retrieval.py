@@ -270,8 +270,8 @@ def _(spark, sf):
 
 @query(
     "mixed_timestamps",
-    f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(epoch_ms(ts) // 1000 AS BIGINT) * 1000
-      WHEN 1 THEN epoch_ms(ts) WHEN 2 THEN CAST(epoch_ms(ts) // 1000 AS BIGINT) * 1000 ELSE {EPOCH}::BIGINT * 1000 END AS at_ms
+    f"""SELECT event_id, CASE event_id % 4 WHEN 1 THEN epoch_us(ts) // 1000 WHEN 3 THEN {EPOCH}::BIGINT * 1000
+      ELSE epoch_us(ts) // 1000000 * 1000 END AS at_ms
     FROM events""",
 )
 def _(spark, sf):

@@ -59,7 +59,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 def quarantined(captures: DataFrame) -> DataFrame:
     """Captures whose body is not a JSON object or array."""
-    return captures.filter(F.try_parse_json("body").isNull())
+    whole = F.rlike(F.col("body"), F.lit("^\\s*[\\[{]")) & F.try_parse_json("body").isNotNull()
+    return captures.filter(~F.coalesce(whole, F.lit(False)))
 
 
 def pattern_dimension(spark: SparkSession) -> DataFrame:
