@@ -17,12 +17,40 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: F.length(w) > 0)
 
 
+def spaced(text: Column) -> Column:
+    """The words of a text between single blanks, for whole-word containment."""
+    return F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
+
+
+def _listed(names: list[str]) -> str:
+    return ", ".join('"' + name + '"' for name in names)
+
+
+def topic_words(said: str) -> Column:
+    """Distinct words of two letters or more that carry a topic, from a column of words.
+
+    Written as SQL text: the word lists stay one literal set, tested by hash.
+    """
+    return F.expr(
+        f"array_distinct(filter({said}, w -> length(w) > 1 AND w NOT IN ({_listed(L.STOPWORDS)})))"
+    )
+
+
 def content_tokens(text: Column) -> Column:
-    """Distinct words of two letters or more that carry a topic."""
+    """The topic words of a text."""
     kept = F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(L.STOPWORDS))
     return F.array_distinct(kept)
 
 
+def count_listed(said: str, names: list[str]) -> Column:
+    """How many words of a column of words are in a list."""
+    return F.expr(f"size(filter({said}, w -> w IN ({_listed(names)})))")
+
+
+def all_listed(said: str, names: list[str]) -> Column:
+    return F.expr(f"size({said}) > 0 AND forall({said}, w -> w IN ({_listed(names)}))")
+
+
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
@@ -73,7 +101,3 @@ def prefix_tokens(tokens: Column, threshold: float) -> Column:
     size = F.size(tokens)
     keep = size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)).cast("int") + 1
     return F.slice(ordered, F.lit(1), F.greatest(keep, F.lit(0)))
-
-
-def count_words(text: Column, listed: list[str]) -> Column:
-    return F.size(F.filter(words(text), lambda w: w.isin(listed)))

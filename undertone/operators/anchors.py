@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from undertone.functions import lexicon as L
 from undertone.functions.expressions import slug
-from undertone.functions.tokens import content_tokens
+from undertone.functions.tokens import content_tokens, spaced
 
 CONTEXT_SCHEMA = (
     "video_id STRING, main_topic STRING, summary STRING, "
@@ -23,8 +23,9 @@ CONTEXT_SCHEMA = (
 )
 ANCHOR_TYPE = (
     "ARRAY<STRUCT<anchor_id: STRING, anchor_type: STRING, source_field: STRING, label: STRING, "
-    "starts_at: STRING, ends_at: STRING, tokens: ARRAY<STRING>>>"
+    "starts_at: STRING, ends_at: STRING>>"
 )
+ANCHOR_FIELDS = ["anchor_id", "anchor_type", "source_field", "label", "starts_at", "ends_at"]
 
 # How many anchors of a kind are kept, and the default label.
 TRANSCRIPT_LINES = 12
@@ -43,7 +44,6 @@ def _anchor(anchor_id: Column, kind: str, source: str, label: Column,
         label.alias("label"),
         (missing if starts is None else starts).alias("starts_at"),
         (missing if ends is None else ends).alias("ends_at"),
-        content_tokens(label).alias("tokens"),
     )
 
 
@@ -116,8 +116,19 @@ def anchor_array() -> Column:
 
 
 def with_anchors(contexts: DataFrame) -> DataFrame:
-    """(video_id, anchors): one row per content."""
-    return contexts.select("video_id", anchor_array().alias("anchors"))
+    """(video_id, anchors): one row per content, each anchor with its words."""
+    bare = contexts.select("video_id", anchor_array().alias("bare"))
+    return bare.select(
+        "video_id",
+        F.transform(
+            "bare",
+            lambda a: F.struct(
+                *[a[name].alias(name) for name in ANCHOR_FIELDS],
+                content_tokens(a["label"]).alias("tokens"),
+                spaced(a["label"]).alias("plain"),
+            ),
+        ).alias("anchors"),
+    )
 
 
 def anchors_table(contexts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from undertone.functions.expressions import slug
 from undertone.operators.ranking import weighted_importance
 from undertone.operators.similarity import components, hub_links
 from undertone.operators.units import WIDE_ASPECT
+from undertone.session import settle
 
 # Thresholds of this project.
 LINK_FROM = 0.45
@@ -77,14 +78,14 @@ def assign_clusters(units: DataFrame, link_from: float = LINK_FROM, prefix_at: f
     said = F.when(whole, F.lit("*")).when(
         F.size("tokens") > 0, F.concat_ws(" ", F.array_sort("tokens"))
     ).otherwise(F.col("normalized_text"))
-    keyed = units.withColumn("node", F.md5(F.concat_ws("\u0001", *BUCKET, said)))
+    keyed = settle(units.withColumn("node", F.md5(F.concat_ws("\u0001", *BUCKET, said))))
     nodes = (
         keyed.filter(~whole & (F.size("tokens") > 0))
         .groupBy(*BUCKET, "node")
         .agg(F.max("engagement_score").alias("weight"), F.any_value("tokens").alias("tokens"))
     )
     linked = components(hub_links(nodes, BUCKET, link_from, prefix_at))
-    return (
+    return settle(
         keyed.join(linked, "node", "left")
         .withColumn("cluster_key", F.coalesce("component", "node"))
         .drop("node", "component")
@@ -126,14 +127,14 @@ def build_clusters(members: DataFrame) -> DataFrame:
     Members stay in their own table (``cluster_key``): a cluster may hold a
     third of all units, so it carries measures and never a list of members.
     """
-    df = weighted_importance(cluster_measures(members), ["video_id"], IMPORTANCE_WEIGHTS)
+    df = weighted_importance(settle(cluster_measures(members)), ["video_id"], IMPORTANCE_WEIGHTS)
     plain = local_cluster_id(
         F.col("video_id"), F.col("aspect_key"), F.col("cluster_type"), F.col("stance"), F.col("size")
     )
     df = df.withColumn("plain_id", plain)
     # The readable id is not unique when a bucket has two clusters of one size.
     shared = df.groupBy("plain_id").agg(F.count(F.lit(1)).alias("same_id"))
-    return (
+    return settle(
         df.join(shared, "plain_id")
         .withColumn(
             "local_cluster_id",

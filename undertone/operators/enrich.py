@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from undertone.functions import lexicon as L
 from undertone.functions import tokens as TK
 from undertone.functions.expressions import comment_engagement
-from undertone.operators.anchors import ANCHOR_TYPE, WIDE_LABEL
+from undertone.operators.anchors import WIDE_LABEL
 from undertone.operators.threads import follow
+from undertone.session import settle
 
 # Score rules of this project (see lexicon.RULES_VERSION): weight of the shared
 # tokens in the anchor and in the comment, and the thresholds built on them.
@@ -51,17 +52,14 @@ def _by_type(kind: Column, index: int) -> Column:
     return value
 
 
-def _plain(text: Column) -> Column:
-    return F.concat(F.lit(" "), F.array_join(TK.words(text), " "), F.lit(" "))
-
-
-def comment_intent(text: Column) -> Column:
-    """One of twelve intents; the order of the tests decides."""
+def comment_intent(said: str = "said") -> Column:
+    """One of twelve intents of ``text`` and its words; the order of the tests decides."""
+    text = F.col("text")
     has = lambda pattern: F.rlike(text, F.lit(pattern))
     return (
         F.when(has(L.SPAM_CUES), "spam")
         .when(has(L.LAUGHTER), "joke")
-        .when(is_reaction(text), F.when(has(L.AGREEMENT), "agreement").otherwise("reaction"))
+        .when(TK.all_listed(said, L.REACTION_WORDS), F.when(has(L.AGREEMENT), "agreement").otherwise("reaction"))
         .when(F.endswith(F.rtrim(text), F.lit("?")) | has(L.QUESTION_START), "question")
         .when(has(L.DISAGREEMENT), "disagreement")
         .when(has(L.AGREEMENT), "agreement")
@@ -74,47 +72,32 @@ def comment_intent(text: Column) -> Column:
     )
 
 
-def is_reaction(text: Column) -> Column:
-    said = TK.words(text)
-    return (F.size(said) > 0) & F.forall(said, lambda w: w.isin(L.REACTION_WORDS))
-
-
-def noise_flags(text: Column) -> Column:
-    said = TK.words(text)
-    symbols = (F.length(F.trim(text)) > 0) & (F.size(said) == 0)
+def noise_flags(text: str, said: str) -> Column:
+    """Low-signal marks of a text column and its column of words."""
+    count = F.size(said)
+    symbols = (F.length(F.trim(F.col(text))) > 0) & (count == 0)
     return F.array_compact(
         F.array(
             F.when(symbols, "emoji_only"),
-            F.when((F.size(said) <= 2) & ~symbols, "ultra_short"),
-            F.when(is_reaction(text), "reaction_only"),
-            F.when(F.rlike(text, F.lit(L.SPAM_CUES)), "spam"),
+            F.when((count <= 2) & ~symbols, "ultra_short"),
+            F.when(TK.all_listed(said, L.REACTION_WORDS), "reaction_only"),
+            F.when(F.rlike(F.col(text), F.lit(L.SPAM_CUES)), "spam"),
         )
     )
 
 
-def _scored(anchors: Column, tokens: Column, plain: Column, vague: Column) -> Column:
-    def score(a: Column) -> Column:
-        shared = TK.overlap(a["tokens"], tokens)
-        base = F.coalesce(F.try_divide(F.lit(ANCHOR_SHARE) * shared, F.size(a["tokens"])), F.lit(0.0))
-        base = base + F.coalesce(F.try_divide(F.lit(COMMENT_SHARE) * shared, F.size(tokens)), F.lit(0.0))
-        long_label = F.size(a["tokens"]) >= 2
-        base = base + F.when(long_label & F.contains(plain, _plain(a["label"])), CONTAINED_BONUS).otherwise(0.0)
-        base = F.least(F.lit(0.98), base * _by_type(a["anchor_type"], 0))
-        pointed = vague & a["anchor_type"].isin("controversy", "moment")
-        return F.round(F.when(pointed, F.greatest(base, F.lit(VAGUE_SCORE))).otherwise(base), 3)
-
-    scored = F.transform(
-        anchors,
-        lambda a, i: F.struct(
-            (-(score(a) + _by_type(a["anchor_type"], 1))).alias("order"),
-            i.alias("ordinal"),
-            score(a).alias("confidence"),
-            a["anchor_id"].alias("anchor_id"),
-            a["anchor_type"].alias("anchor_type"),
-            a["label"].alias("label"),
-        ),
+def _confidence(a: Column) -> Column:
+    """Score of one anchor against the columns tokens, plain and vague."""
+    shared = TK.overlap(a["tokens"], F.col("tokens"))
+    parts = [(ANCHOR_SHARE, F.size(a["tokens"])), (COMMENT_SHARE, F.size("tokens"))]
+    base = sum(
+        (F.coalesce(F.try_divide(F.lit(share) * shared, size), F.lit(0.0)) for share, size in parts), F.lit(0.0)
     )
-    return F.sort_array(F.filter(scored, lambda s: s["confidence"] >= MIN_SCORE))
+    quoted = (F.size(a["tokens"]) >= 2) & F.contains(F.col("plain"), a["plain"])
+    base = base + F.when(quoted, CONTAINED_BONUS).otherwise(0.0)
+    base = F.least(F.lit(0.98), base * _by_type(a["anchor_type"], 0))
+    pointed = F.col("vague") & a["anchor_type"].isin("controversy", "moment")
+    return F.round(F.greatest(base, F.when(pointed, VAGUE_SCORE).otherwise(0.0)), 3)
 
 
 def ground(comments: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -124,37 +107,60 @@ def ground(comments: DataFrame, contexts: DataFrame) -> DataFrame:
     skewed as it likes: the context side has one row per content, so AQE can
     split a hot content.
     """
-    joined = comments.join(contexts, "video_id", "left").withColumns(
+    missing = F.array(
+        F.struct(
+            F.concat(F.col("video_id"), F.lit("_global_video")).alias("anchor_id"),
+            F.lit("global_video").alias("anchor_type"),
+            F.lit(WIDE_LABEL).alias("label"),
+        )
+    )
+    words_known = comments.withColumns(
+        {"said": TK.words(F.col("text")), "vague": F.rlike("text", F.lit(L.VAGUE_REFERENCE))}
+    ).withColumns(
         {
-            "anchors": F.coalesce(
-                "anchors",
-                F.array(
-                    F.struct(
-                        F.concat(F.col("video_id"), F.lit("_global_video")).alias("anchor_id"),
-                        F.lit("global_video").alias("anchor_type"),
-                        F.lit("summary").alias("source_field"),
-                        F.lit(WIDE_LABEL).alias("label"),
-                        F.lit(None).cast("string").alias("starts_at"),
-                        F.lit(None).cast("string").alias("ends_at"),
-                        F.array().cast("array<string>").alias("tokens"),
-                    )
-                ).cast(ANCHOR_TYPE),
-            ),
-            "tokens": TK.content_tokens(F.col("text")),
-            "plain": _plain(F.col("text")),
-            "vague": F.rlike("text", F.lit(L.VAGUE_REFERENCE)),
-            "intent": comment_intent(F.col("text")),
+            "tokens": TK.topic_words("said"),
+            "plain": F.concat(F.lit(" "), F.array_join("said", " "), F.lit(" ")),
+            "intent": comment_intent("said"),
         }
     )
+    joined = words_known.join(contexts, "video_id", "left").withColumn(
+        "measured",
+        F.transform(
+            F.coalesce("anchors", F.array().cast(contexts.schema["anchors"].dataType)),
+            lambda a, i: F.struct(
+                _confidence(a).alias("confidence"), i.alias("ordinal"), a["anchor_id"].alias("anchor_id"),
+                a["anchor_type"].alias("anchor_type"), a["label"].alias("label"),
+            ),
+        ),
+    )
     joined = joined.withColumn(
-        "scored", _scored(F.col("anchors"), F.col("tokens"), F.col("plain"), F.col("vague"))
+        "scored",
+        F.sort_array(
+            F.transform(
+                F.filter("measured", lambda m: m["confidence"] >= MIN_SCORE),
+                lambda m: F.struct(
+                    (-(m["confidence"] + _by_type(m["anchor_type"], 1))).alias("order"), m["ordinal"].alias("ordinal"),
+                    m["confidence"].alias("confidence"), m["anchor_id"].alias("anchor_id"),
+                    m["anchor_type"].alias("anchor_type"), m["label"].alias("label"),
+                ),
+            )
+        ),
+    ).withColumn(
+        "overall",
+        F.coalesce(
+            F.transform(
+                F.slice("anchors", 1, 1),
+                lambda a: F.struct(a["anchor_id"].alias("anchor_id"), a["anchor_type"].alias("anchor_type"), a["label"].alias("label")),
+            ),
+            missing,
+        ),
     )
     generic = (
         (F.size("scored") == 0)
         & F.rlike("text", F.lit(L.CONTENT_NOUNS))
         & F.col("intent").isin("praise", "criticism")
     )
-    overall = F.get("anchors", F.lit(0))
+    overall = F.get("overall", F.lit(0))
     fallback = F.array(
         F.struct(
             overall["anchor_id"].alias("anchor_id"),
@@ -175,7 +181,7 @@ def ground(comments: DataFrame, contexts: DataFrame) -> DataFrame:
         ),
     ).cast(REF_TYPE)
     return joined.withColumn("anchor_refs", F.when(generic, fallback).otherwise(own)).drop(
-        "anchors", "plain", "scored"
+        "anchors", "plain", "said", "measured", "scored", "overall"
     )
 
 
@@ -229,8 +235,8 @@ def enrich(comments: DataFrame, contexts: DataFrame) -> DataFrame:
     ``comments`` holds video_id, comment_id, parent_comment_id, depth,
     author_id, text, likes, reply_count, shares, views.
     """
-    df = inherit(ground(comments, contexts))
-    primary = F.get("anchor_refs", F.lit(0))
+    df = inherit(settle(ground(comments, contexts))).withColumn("primary", F.get("anchor_refs", F.lit(0)))
+    primary = F.col("primary")
     confidence = F.coalesce(primary["confidence"], F.lit(UNGROUNDED))
     agrees = F.col("inherits") & (F.col("intent") == "agreement")
     sure = (confidence >= REWRITE_FROM) & primary["label"].isNotNull()

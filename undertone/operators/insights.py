@@ -12,6 +12,7 @@ from undertone.functions import tokens as TK
 from undertone.operators import clusters as C
 from undertone.operators.ranking import weighted_importance
 from undertone.operators.similarity import components, hub_links
+from undertone.session import settle
 
 # Importance weights and texts of themes across contents.
 META_WEIGHTS = {
@@ -137,7 +138,7 @@ def meta_members(clusters: DataFrame, link_from: float = META_LINK_FROM,
     window = W.partitionBy("meta_key", "video_id").orderBy(F.desc("importance"), "local_cluster_id")
     single = grouped.withColumn("seen", F.row_number().over(window)).filter("seen = 1").drop("seen")
     recurring = single.groupBy("meta_key").agg(F.count(F.lit(1)).alias("videos")).filter("videos > 1")
-    return single.join(recurring.select("meta_key"), "meta_key", "left_semi")
+    return settle(single.join(recurring.select("meta_key"), "meta_key", "left_semi"))
 
 
 def controversy(depth, share_negative):

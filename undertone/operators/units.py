@@ -20,12 +20,14 @@ DENSITY_BASE, DENSITY_STEP, DENSITY_CAP = 0.15, 0.1, 0.95
 COURTESY_WORDS = 3
 
 
-def stance(text: Column) -> Column:
-    """One of eight stances; the order of the tests decides."""
+def stance() -> Column:
+    """One of eight stances from the columns span, tokens, good and bad.
+
+    The order of the tests decides.
+    """
+    text = F.col("span")
     has = lambda pattern: F.rlike(text, F.lit(pattern))
-    phrase = has(L.NEGATIVE_PHRASES)
-    good = (TK.count_words(text, L.POSITIVE_WORDS) > 0) & ~phrase
-    bad = (TK.count_words(text, L.NEGATIVE_WORDS) > 0) | phrase
+    good, bad = F.col("good"), F.col("bad")
     return (
         F.when(has(L.LAUGHTER) | (has(L.LAUGHTER_INSIDE) & ~good & ~bad), "humor")
         .when(F.endswith(F.rtrim(text), F.lit("?")), "question")
@@ -33,7 +35,7 @@ def stance(text: Column) -> Column:
         .when(good, "positive")
         .when(bad, "negative")
         .when(has(L.REQUEST), "request")
-        .when(F.size(TK.content_tokens(text)) >= 3, "observation")
+        .when(F.size("tokens") >= 3, "observation")
         .otherwise("other")
     )
 
@@ -51,9 +53,9 @@ def unit_intent(intent: Column, stance_of: Column, text: Column) -> Column:
     )
 
 
-def semantic_density(text: Column, flags: Column) -> Column:
+def semantic_density(tokens: Column, flags: Column) -> Column:
     """Grows with the content words; noise halves it."""
-    full = F.least(F.lit(DENSITY_CAP), F.lit(DENSITY_BASE) + F.lit(DENSITY_STEP) * F.size(TK.content_tokens(text)))
+    full = F.least(F.lit(DENSITY_CAP), F.lit(DENSITY_BASE) + F.lit(DENSITY_STEP) * F.size(tokens))
     return F.round(F.when(F.size(flags) > 0, full / 2).otherwise(full), 3)
 
 
@@ -69,39 +71,60 @@ def cluster_type(stance_of: Column, flags: Column) -> Column:
     )
 
 
-def segments(text: Column) -> Column:
-    """One to three spans of a text.
+def split_spans(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``spans``: one to three pieces of a text column.
 
     A short word of courtesy ahead of a real statement is dropped. Whatever
-    follows the second span stays together as the third, so no text is lost.
+    follows the second piece stays together as the third, so no text is lost.
     """
-    pieces = F.filter(F.transform(F.split(text, BOUNDARY), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
-    courtesy = lambda s: (
-        (F.size(TK.words(s)) <= COURTESY_WORDS)
-        & (TK.count_words(s, L.POSITIVE_WORDS) > 0)
-        & ~F.endswith(s, F.lit("?"))
+    cut = F.filter(F.transform(F.split(F.col(text), BOUNDARY), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
+    df = df.withColumn("pieces", cut).withColumn("opening", TK.words(F.get("pieces", F.lit(0))))
+    courtesy = (
+        (F.size("pieces") > 1)
+        & (F.size("opening") <= COURTESY_WORDS)
+        & (TK.count_listed("opening", L.POSITIVE_WORDS) > 0)
+        & ~F.endswith(F.get("pieces", F.lit(0)), F.lit("?"))
+    )
+    rest = F.slice("pieces", F.lit(2), F.greatest(F.size("pieces") - 1, F.lit(1)))
+    df = df.withColumn("pieces", F.when(courtesy, rest).otherwise(F.col("pieces")))
+    tail = F.array_join(
+        F.slice("pieces", F.lit(MAX_UNITS), F.greatest(F.size("pieces") - MAX_UNITS + 1, F.lit(1))), " "
     )
-    drop_first = (F.size(pieces) > 1) & courtesy(F.get(pieces, F.lit(0)))
-    kept = F.when(drop_first, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(1)))).otherwise(pieces)
-    tail = F.array_join(F.slice(kept, F.lit(MAX_UNITS), F.greatest(F.size(kept) - MAX_UNITS + 1, F.lit(1))), " ")
-    return F.when(F.size(kept) > MAX_UNITS, F.concat(F.slice(kept, 1, MAX_UNITS - 1), F.array(tail))).otherwise(kept)
+    joined = F.concat(F.slice("pieces", 1, MAX_UNITS - 1), F.array(tail))
+    spans = F.when(F.size("pieces") > MAX_UNITS, joined).otherwise(F.col("pieces"))
+    return df.withColumn("spans", spans).drop("pieces", "opening")
 
 
 def extract_units(enriched: DataFrame) -> DataFrame:
     """Opinion units of the enriched comments; a lone short reaction gives none."""
     agreed = F.col("rewrite_applied") & F.col("inherits")
-    spoken = F.when(agreed, F.col("resolved_text")).otherwise(F.col("raw_text"))
-    flags = noise_flags(spoken)
-    silent = F.array_contains(flags, "reaction_only") & F.array_contains(flags, "ultra_short")
+    spoken = (
+        enriched.withColumn("spoken", F.when(agreed, F.col("resolved_text")).otherwise(F.col("raw_text")))
+        .filter(F.length(F.trim("spoken")) > 0)
+        .withColumn("said", TK.words(F.col("spoken")))
+        .withColumn("flags", noise_flags("spoken", "said"))
+        .filter(~(F.array_contains("flags", "reaction_only") & F.array_contains("flags", "ultra_short")))
+        .drop("said", "flags")
+    )
+    cut = split_spans(spoken, "spoken").withColumn("spans", F.when(agreed, F.array("spoken")).otherwise(F.col("spans")))
     primary = F.get("anchor_refs", F.lit(0))
-    cut = (
-        enriched.withColumn("spoken", spoken)
-        .filter((F.length(F.trim("spoken")) > 0) & ~silent)
-        .withColumn("pieces", F.when(agreed, F.array("spoken")).otherwise(segments(F.col("spoken"))))
-        .select("*", F.posexplode("pieces").alias("piece", "span"))
-        .withColumns({"stance": stance(F.col("span")), "noise_flags": noise_flags(F.col("span"))})
+    phrase = F.rlike("span", F.lit(L.NEGATIVE_PHRASES))
+    read = (
+        cut.select("*", F.posexplode("spans").alias("piece", "span"))
+        .withColumn("said", TK.words(F.col("span")))
+        .withColumns(
+            {
+                "tokens": TK.topic_words("said"),
+                "noise_flags": noise_flags("span", "said"),
+                "good": (TK.count_listed("said", L.POSITIVE_WORDS) > 0) & ~phrase,
+                "bad": (TK.count_listed("said", L.NEGATIVE_WORDS) > 0) | phrase,
+                "primary": primary,
+            }
+        )
+        .withColumn("stance", stance())
     )
-    return cut.select(
+    named = F.concat_ws(".", F.col("primary.anchor_type"), F.nullif(slug(F.col("primary.label")), F.lit("")))
+    return read.select(
         "video_id",
         "comment_id",
         F.concat_ws("_", "comment_id", F.lit("unit"), (F.col("piece") + 1).cast("string")).alias("unit_id"),
@@ -109,23 +132,20 @@ def extract_units(enriched: DataFrame) -> DataFrame:
         "depth",
         "span",
         F.regexp_replace(F.lower("span"), "\\s+", " ").alias("normalized_text"),
-        TK.content_tokens(F.col("span")).alias("tokens"),
+        "tokens",
         F.transform("anchor_refs", lambda r: r["anchor_id"]).alias("anchor_ids"),
-        F.coalesce(
-            F.concat_ws(".", primary["anchor_type"], F.nullif(slug(primary["label"]), F.lit(""))), F.lit("")
-        ).alias("own_aspect"),
-        F.coalesce(primary["label"], F.lit(WIDE_LABEL)).alias("aspect_label"),
+        F.when(F.col("primary").isNull(), WIDE_ASPECT).otherwise(named).alias("aspect_key"),
+        F.coalesce("primary.label", F.lit(WIDE_LABEL)).alias("aspect_label"),
         "stance",
         unit_intent(F.col("comment_intent"), F.col("stance"), F.col("span")).alias("intent"),
-        F.when(F.col("inherits"), "parent_comment").when(F.col("depth") > 0, "thread_context").otherwise("video").alias("evidence_source"),
+        F.when(F.col("inherits"), "parent_comment").when(F.col("depth") > 0, "thread_context").otherwise("video")
+        .alias("evidence_source"),
         "grounding_confidence",
-        semantic_density(F.col("span"), F.col("noise_flags")).alias("semantic_density"),
+        semantic_density(F.col("tokens"), F.col("noise_flags")).alias("semantic_density"),
         "noise_flags",
         cluster_type(F.col("stance"), F.col("noise_flags")).alias("cluster_type"),
         "engagement_score",
-    ).withColumn(
-        "aspect_key", F.when(F.col("own_aspect") == "", WIDE_ASPECT).otherwise(F.col("own_aspect"))
-    ).drop("own_aspect")
+    )
 
 
 def aspect_buckets(units: DataFrame) -> DataFrame:
