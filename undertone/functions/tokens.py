@@ -55,20 +55,12 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared tokens over all tokens; 0 for two empty sets."""
-    common = overlap(a, b)
-    return F.coalesce(F.try_divide(common, F.size(a) + F.size(b) - common), F.lit(0.0))
-
-
-def set_cosine(a: Column, b: Column) -> Column:
-    root = F.sqrt((F.size(a) * F.size(b)).cast("double"))
-    return F.coalesce(F.try_divide(overlap(a, b).cast("double"), root), F.lit(0.0))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """Mean of the vector and the lexical similarity of two token sets."""
-    return (set_cosine(a, b) + jaccard(a, b)) / 2
+def similarity(shared: Column, a: Column, b: Column) -> Column:
+    """Mean of vector and lexical similarity of two sets, from their overlap and sizes."""
+    root = F.sqrt((a * b).cast("double"))
+    cosine = F.coalesce(F.try_divide(shared.cast("double"), root), F.lit(0.0))
+    lexical = F.coalesce(F.try_divide(shared.cast("double"), a + b - shared), F.lit(0.0))
+    return (cosine + lexical) / 2
 
 
 def hash_bucket(token: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
@@ -77,14 +69,23 @@ def hash_bucket(token: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
 
 
 def hash_vector(tokens: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
-    """Unit-length term-count vector of hashed tokens; zero without tokens."""
-    buckets = F.transform(tokens, lambda t: hash_bucket(t, dimensions))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"),
-    )
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.transform(counts, lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0)).cast("float"))
+    """Unit-length term-count vector of hashed tokens; zero without tokens.
+
+    One-element arrays name intermediate values: what is given to a higher-order
+    function is evaluated once, what stands in its lambda once per element.
+    """
+    zero = F.array_repeat(F.lit(0.0), dimensions)
+
+    def add(counts: Column, token: Column) -> Column:
+        hit = lambda b: F.transform(counts, lambda v, i: v + F.when(i == b, 1.0).otherwise(0.0))
+        return F.get(F.transform(F.array(hash_bucket(token, dimensions)), hit), F.lit(0))
+
+    def scaled(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, v: acc + v * v))
+        divide = lambda n: F.transform(counts, lambda v: F.coalesce(F.try_divide(v, n), F.lit(0.0)).cast("float"))
+        return F.get(F.transform(F.array(norm), divide), F.lit(0))
+
+    return F.get(F.transform(F.array(F.aggregate(tokens, zero, add)), scaled), F.lit(0))
 
 
 def prefix_tokens(tokens: Column, threshold: float) -> Column:

@@ -33,10 +33,12 @@ def hub_links(nodes: DataFrame, scope: list[str], threshold: float, prefix_at: f
             F.struct("weight", F.xxhash64("node"), "node"),
         ).alias("top")
     ).select(*scope, "token", "top.hub", "top.hub_tokens")
-    near = TK.similarity(F.col("tokens"), F.col("hub_tokens")) >= threshold
+    near = TK.similarity(F.col("shared"), F.size("tokens"), F.size("hub_tokens")) >= threshold
     return (
         keyed.join(hubs, [*scope, "token"])
-        .filter((F.col("node") != F.col("hub")) & near)
+        .filter(F.col("node") != F.col("hub"))
+        .withColumn("shared", TK.overlap(F.col("tokens"), F.col("hub_tokens")))
+        .filter(near)
         .select(*scope, F.col("node").alias("left"), F.col("hub").alias("right"))
         .distinct()
     )

@@ -18,18 +18,41 @@ from undertone.operators import units as U
 from undertone.operators.ranking import min_max
 from undertone.plans.registry import query
 from undertone.plans.views import contexts, feedback, table
+from undertone.session import settle
+
+
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(name: str, spark, sf: str, build) -> DataFrame:
+    """A gold table, written on first use and read by the later queries of the session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
 
 
 def enriched(spark, sf) -> DataFrame:
-    return N.enrich(feedback(spark, sf), A.with_anchors(contexts(spark, sf)))
+    def build():
+        return settle(N.enrich(feedback(spark, sf), A.with_anchors(contexts(spark, sf))))
+
+    return _once("enriched", spark, sf, build)
 
 
 def units(spark, sf) -> DataFrame:
-    return U.extract_units(enriched(spark, sf))
+    return _once("units", spark, sf, lambda: settle(U.extract_units(enriched(spark, sf))))
 
 
 def members(spark, sf) -> DataFrame:
-    return C.assign_clusters(units(spark, sf))
+    return _once("members", spark, sf, lambda: C.assign_clusters(units(spark, sf)))
+
+
+def clusters_of(spark, sf) -> DataFrame:
+    return _once("clusters", spark, sf, lambda: C.build_clusters(members(spark, sf)))
+
+
+def themes_of(spark, sf) -> DataFrame:
+    return _once("themes", spark, sf, lambda: I.meta_members(clusters_of(spark, sf)))
 
 
 def joined_array(column: str):
@@ -70,7 +93,7 @@ def _(spark, sf):
 
 @query("local_clusters")
 def _(spark, sf):
-    return C.build_clusters(members(spark, sf)).drop("cluster_key")
+    return clusters_of(spark, sf).drop("cluster_key")
 
 
 @query("local_clusters_merged")
@@ -80,7 +103,7 @@ def _(spark, sf):
 
 @query("local_insights")
 def _(spark, sf):
-    return I.local_insights(C.build_clusters(members(spark, sf))).drop("cluster_key")
+    return I.local_insights(clusters_of(spark, sf)).drop("cluster_key")
 
 
 @query("cluster_representatives")
@@ -96,14 +119,12 @@ def _(spark, sf):
 @query("content_reports")
 def _(spark, sf):
     u = members(spark, sf)
-    df = I.content_reports(feedback(spark, sf), u, C.build_clusters(u))
+    df = I.content_reports(feedback(spark, sf), u, clusters_of(spark, sf))
     return df.withColumn("themes", F.array_join("themes", " | "))
 
 
 def _themes(spark, sf):
-    u = members(spark, sf)
-    clusters = C.build_clusters(u)
-    return u, clusters, I.meta_members(clusters)
+    return members(spark, sf), clusters_of(spark, sf), themes_of(spark, sf)
 
 
 @query("meta_clusters")
@@ -126,28 +147,28 @@ def _(spark, sf):
 
 @query("ask_index")
 def _(spark, sf):
-    return I.ask_index(C.build_clusters(members(spark, sf)))
+    return I.ask_index(clusters_of(spark, sf))
 
 
 @query("ask_negative_opinions")
 def _(spark, sf):
-    df = I.ask(C.build_clusters(members(spark, sf)), stance=["negative"], cluster_type=["opinion"])
+    df = I.ask(clusters_of(spark, sf), stance=["negative"], cluster_type=["opinion"])
     return df.select("local_cluster_id", "video_id", "intent", "size", "importance")
 
 
 @query("ask_auto")
 def _(spark, sf):
-    return I.ask_auto(C.build_clusters(members(spark, sf)))
+    return I.ask_auto(clusters_of(spark, sf))
 
 
 @query("tension_map")
 def _(spark, sf):
-    return R.tension_map(C.build_clusters(members(spark, sf))).drop("positive_cluster", "negative_cluster")
+    return R.tension_map(clusters_of(spark, sf)).drop("positive_cluster", "negative_cluster")
 
 
 @query("consensus_by_aspect")
 def _(spark, sf):
-    return R.consensus(C.build_clusters(members(spark, sf)))
+    return R.consensus(clusters_of(spark, sf))
 
 
 @query("category_insights")
