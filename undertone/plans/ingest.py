@@ -222,20 +222,19 @@ def flat_comments(df: DataFrame) -> DataFrame:
     )
 
 
-def _threads(shape: str):
+def _threads(platform: str):
     def run(spark, sf):
-        return flat_comments(M.normalize_threads(K.filter_captures(comment_captures(spark, sf)), shape))
+        return flat_comments(M.normalize_threads(K.filter_captures(comment_captures(spark, sf)), platform))
 
     return run
 
 
-_THREAD_LEVELS = {"tiktok": 3, "instagram_node": 3, "xiaohongshu": 3, "reddit": 3, "youtube": 2, "moltbook": 3, "twitter": 1}
-for _shape, _levels in _THREAD_LEVELS.items():
-    _name = _shape.split("_")[0]
+_THREAD_LEVELS = {"tiktok": 3, "instagram": 3, "xiaohongshu": 3, "reddit": 3, "youtube": 2, "moltbook": 3, "twitter": 1}
+for _platform, _levels in _THREAD_LEVELS.items():
     query(
-        f"comments_normalized_{_name}",
-        comments_sql(_name, _levels, "" if _shape == "reddit" else "u_"),
-    )(_threads(_shape))
+        f"comments_normalized_{_platform}",
+        comments_sql(_platform, _levels, "" if _platform == "reddit" else "u_"),
+    )(_threads(_platform))
 
 
 @query(

@@ -12,14 +12,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from undertone.functions import expressions as E
 from undertone.schemas import USER_TYPE
-from undertone.sources.json_fields import JsonFields, array_at, first_array, unwrap
-from undertone.sources.posts import Reader, Rules
+from undertone.sources.json_fields import first_array, member, text_or, unwrap
+from undertone.sources.posts import Reader, Rules, _struct
 
 # The contract allows ten levels of replies.
 MAX_DEPTH = 10
@@ -123,42 +122,47 @@ COMMENT_PATHS: dict[str, Rules] = {
 }
 
 
-def _no_replies(_: Column) -> Column:
-    return F.array().cast("array<string>")
+NO_REPLIES = "CAST(array() AS ARRAY<STRING>)"
 
 
-def _reddit_children(listing: Column, path: str) -> Column:
+def _no_replies(_: str) -> str:
+    return NO_REPLIES
+
+
+def _reddit_children(listing: str, path: str) -> str:
     """Comment children only; load-more stubs carry another kind."""
-    children = F.coalesce(array_at(listing, path), _no_replies(listing))
-    kept = F.filter(
-        children,
-        lambda c: (F.get_json_object(c, "$.kind") == "t1") & F.get_json_object(c, "$.data").isNotNull(),
-    )
-    return F.transform(kept, lambda c: F.get_json_object(c, "$.data"))
+    kept = f"filter({first_array(listing, path)}, c -> {member('c', 'kind')} = 't1')"
+    return f"filter(transform({kept}, c -> {member('c', 'data')}), c -> c IS NOT NULL)"
 
 
-def _edges(text: Column, *paths: str) -> Column:
-    return F.transform(first_array(text, *paths), lambda edge: unwrap(edge, "node"))
+def _edges(text: str, *paths: str) -> str:
+    return f"transform({first_array(text, *paths)}, e -> {unwrap('e', 'node')})"
 
 
 @dataclass(frozen=True)
 class ThreadShape:
     platform: str
-    top: Callable[[Column], Column]
-    replies: Callable[[Column], Column] = _no_replies
+    top: Callable[[str], str]
+    replies: Callable[[str], str] = _no_replies
     username_default: str = ""
     votes: bool = False
     reach: bool = False
     drop_without_id: bool = True
 
 
+# Where each shape keeps its comments and replies.
+PARENT_COMMENTS = [
+    "$.data.shortcode_media.edge_media_to_parent_comment.edges",
+    "$.data.shortcode_media.edge_media_to_comment.edges",
+]
+
 THREADS: dict[str, ThreadShape] = {
     "tiktok": ThreadShape(
         "tiktok",
         top=lambda b: first_array(b, "$.comments", "$.data.comments"),
         replies=lambda raw: first_array(raw, "$.reply_comment"),
     ),
-    "twitter": ThreadShape("twitter", top=lambda b: F.array(b), reach=True),
+    "twitter": ThreadShape("twitter", top=lambda b: f"array({b})", reach=True),
     "reddit": ThreadShape(
         "reddit",
         top=lambda b: _reddit_children(b, "$[1].data.children"),
@@ -167,11 +171,7 @@ THREADS: dict[str, ThreadShape] = {
     ),
     "instagram_node": ThreadShape(
         "instagram",
-        top=lambda b: _edges(
-            b,
-            "$.data.shortcode_media.edge_media_to_parent_comment.edges",
-            "$.data.shortcode_media.edge_media_to_comment.edges",
-        ),
+        top=lambda b: _edges(b, *PARENT_COMMENTS),
         replies=lambda raw: _edges(raw, "$.edge_threaded_comments.edges"),
     ),
     "instagram_v1": ThreadShape("instagram", top=lambda b: first_array(b, "$.comments")),
@@ -197,129 +197,122 @@ THREADS: dict[str, ThreadShape] = {
 }
 
 
-def _raw_id(raw: Column, shape_name: str) -> Column:
-    paths = COMMENT_PATHS[shape_name]["id"]
-    return E.text_or(*[F.get_json_object(raw, f"$.{p}") for p in paths])
+def _raw_id(raw: str, shape_name: str) -> str:
+    return text_or([member(raw, p) for p in COMMENT_PATHS[shape_name]["id"]])
 
 
 def top_level(captures: DataFrame, shape_name: str) -> DataFrame:
-    """Top-level comments as raw JSON, first occurrence per id."""
+    """Top-level comments as raw JSON."""
     shape = THREADS[shape_name]
-    listed = captures.filter((F.col("platform") == shape.platform) & (F.col("kind") == "comments"))
-    rows = listed.select(
-        "capture_id",
-        "captured_at",
-        "content_id",
-        F.posexplode(shape.top(F.col("body"))).alias("position", "raw"),
-    ).withColumn("root_id", _raw_id(F.col("raw"), shape_name))
-    if not shape.drop_without_id:
-        return rows
-    window = W.partitionBy("content_id", "root_id").orderBy("captured_at", "capture_id", "position")
-    return (
-        rows.filter(F.col("root_id") != "")
-        .withColumn("seen", F.row_number().over(window))
-        .filter("seen = 1")
-        .drop("seen")
+    rows = (
+        captures.filter((F.col("platform") == shape.platform) & (F.col("kind") == "comments"))
+        .selectExpr("capture_id", "captured_at", "content_id", f"posexplode({shape.top('body')}) AS (position, raw)")
+        .withColumn("root_id", F.expr(_raw_id("raw", shape_name)))
+        .withColumn("shape", F.lit(shape_name))
     )
+    return rows.filter("root_id <> ''") if shape.drop_without_id else rows
+
+
+def first_tops(tops: DataFrame) -> DataFrame:
+    """First occurrence per content and comment id, in capture and payload order.
+
+    The tree-shaped payloads of a capture come before its flat ones.
+    """
+    window = W.partitionBy("content_id", "root_id").orderBy("captured_at", "capture_id", "shape", "position")
+    return tops.withColumn("seen", F.row_number().over(window)).filter("seen = 1").drop("seen")
 
 
 def unroll(tops: DataFrame, shape_name: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Comments of all levels, one row each.
 
+    Every level is an array of nodes built from the array of the level above;
+    a node holds the JSON of its replies, so each document is opened once.
     ``has_deeper`` marks comments of the last level that still hold replies, so
     that nothing is lost silently.
     """
     shape = THREADS[shape_name]
-    node = lambda raw, path, parent, count: F.struct(
-        raw.alias("raw"), path.alias("path"), parent.alias("parent_id"), count.alias("reply_count")
-    )
 
-    def kept(replies: Column) -> Column:
-        if not shape.drop_without_id:
-            return replies
-        return F.filter(replies, lambda raw: _raw_id(raw, shape_name) != "")
-
-    first = F.array(
-        node(
-            F.col("raw"),
-            F.array(F.col("position")),
-            F.lit(None).cast("string"),
-            F.size(kept(shape.replies(F.col("raw")))),
+    def kids(raw: str) -> str:
+        replies = shape.replies(raw)
+        return f"filter({replies}, k -> {_raw_id('k', shape_name)} <> '')" if shape.drop_without_id else replies
+
+    def node(raw: str, path: str, parent: str) -> str:
+        return (
+            f"named_struct('raw', {raw}, 'id', {_raw_id(raw, shape_name)}, 'path', {path}, "
+            f"'parent_id', {parent}, 'kids', {kids(raw)})"
         )
-    )
-    df = tops.withColumn("level_0", first)
-    flat = shape.replies is _no_replies
-    levels = 0 if flat else max_depth
+
+    levels = 0 if shape.replies is _no_replies else max_depth
+    top = f"array({node('raw', 'array(position)', 'CAST(NULL AS STRING)')})"
+    df = tops.withColumn("level_0", F.expr(top))
+    child = node("r", "concat(p.path, array(i))", "p.id")
     for level in range(1, levels + 1):
-        def children(parent: Column) -> Column:
-            return F.transform(
-                kept(shape.replies(parent["raw"])),
-                lambda raw, i: node(
-                    raw,
-                    F.concat(parent["path"], F.array(i)),
-                    _raw_id(parent["raw"], shape_name),
-                    F.size(kept(shape.replies(raw))),
-                ),
-            )
-
-        df = df.withColumn(f"level_{level}", F.flatten(F.transform(F.col(f"level_{level - 1}"), children)))
-    everything = F.concat(*[F.col(f"level_{n}") for n in range(levels + 1)])
-    return df.select(
-        "capture_id", "captured_at", "content_id", "root_id", F.explode(everything).alias("node")
-    ).select(
-        "capture_id",
-        "captured_at",
-        "content_id",
-        "root_id",
-        "node.raw",
-        "node.path",
-        "node.parent_id",
-        "node.reply_count",
-        (F.size("node.path") - 1).alias("depth"),
-        ((F.size("node.path") - 1 == levels) & (F.col("node.reply_count") > 0)).alias("has_deeper"),
+        below = f"flatten(transform(level_{level - 1}, p -> transform(p.kids, (r, i) -> {child})))"
+        df = df.withColumn(f"level_{level}", F.expr(below))
+    everything = "concat(" + ", ".join(f"level_{n}" for n in range(levels + 1)) + ")"
+    return df.selectExpr(
+        "capture_id", "captured_at", "content_id", "root_id", f"explode({everything}) AS node"
+    ).selectExpr(
+        "capture_id", "captured_at", "content_id", "root_id", "node.raw", "node.path", "node.parent_id",
+        "size(node.kids) AS reply_count", "size(node.path) - 1 AS depth",
+        f"size(node.path) - 1 = {levels} AND size(node.kids) > 0 AS has_deeper",
     )
 
 
-def normalize_threads(captures: DataFrame, shape_name: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Captures of one comment shape as the adjacency table."""
-    shape, rules = THREADS[shape_name], COMMENT_PATHS[shape_name]
-    rows = unroll(top_level(captures, shape_name), shape_name, max_depth)
-    schema = JsonFields(sorted({p for paths in rules.values() for p in paths})).schema()
-    r = Reader(rules, "doc", F.col("doc"), None)
-    author = F.struct(
-        r.text("author_id").alias("id"),
-        r.text("username", shape.username_default).alias("username"),
-        r.text("display_name").alias("display_name"),
-        F.lit(None).cast("bigint").alias("follower_count"),
-        r.flag("verified").alias("verified"),
-        r.text("profile_image_url", None).alias("profile_image_url"),
-        F.lit(None).cast("string").alias("bio"),
-    ).cast(USER_TYPE)
-    vote_default = 0 if shape.votes else None
-    reach_default = 0 if shape.reach else None
-    parsed = rows.withColumn("doc", F.from_json("raw", schema)).filter(F.col("doc").isNotNull())
-    return parsed.select(
-        F.lit(shape.platform).alias("platform"),
-        "content_id",
-        r.text("id").alias("comment_id"),
-        F.col("parent_id").alias("parent_comment_id"),
-        F.col("root_id").alias("thread_root_id"),
-        "depth",
-        "path",
-        author.alias("author"),
-        r.text("text").alias("text"),
-        r.timestamp(F.col("captured_at")).alias("timestamp"),
-        r.count("likes").alias("likes"),
-        r.count("upvotes", vote_default).alias("upvotes"),
-        r.count("downvotes", vote_default).alias("downvotes"),
-        r.count("shares", reach_default).alias("shares"),
-        r.count("views", reach_default).alias("views"),
-        r.count("score", vote_default).alias("score"),
-        F.col("reply_count").cast("bigint").alias("reply_count"),
-        "has_deeper",
+def _normalized(tops: DataFrame, shape_name: str, max_depth: int) -> DataFrame:
+    shape = THREADS[shape_name]
+    r = Reader(COMMENT_PATHS[shape_name])
+    author = _struct(
+        USER_TYPE,
+        id=r.text("author_id"),
+        username=r.text("username", shape.username_default),
+        display_name=r.text("display_name"),
+        follower_count="CAST(NULL AS BIGINT)",
+        verified=r.flag("verified"),
+        profile_image_url=r.text("profile_image_url", None),
+        bio="CAST(NULL AS STRING)",
     )
+    votes = 0 if shape.votes else None
+    reach = 0 if shape.reach else None
+    columns = {
+        "platform": f"'{shape.platform}'",
+        "content_id": "content_id",
+        "comment_id": r.text("id"),
+        "parent_comment_id": "parent_id",
+        "thread_root_id": "root_id",
+        "depth": "depth",
+        "path": "path",
+        "author": author,
+        "text": r.text("text"),
+        "timestamp": r.timestamp(),
+        "likes": r.count("likes"),
+        "upvotes": r.count("upvotes", votes),
+        "downvotes": r.count("downvotes", votes),
+        "shares": r.count("shares", reach),
+        "views": r.count("views", reach),
+        "score": r.count("score", votes),
+        "reply_count": "CAST(reply_count AS BIGINT)",
+        "has_deeper": "has_deeper",
+    }
+    rows = unroll(tops, shape_name, max_depth)
+    parsed = rows.withColumn("doc", F.from_json("raw", r.fields.schema())).filter("doc IS NOT NULL")
+    return parsed.selectExpr(*[f"{value} AS `{name}`" for name, value in columns.items()])
+
+
+def normalize_threads(captures: DataFrame, platform: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Comment captures of one platform as the adjacency table.
+
+    A platform with two payload shapes drops repeats over both.
+    """
+    names = [name for name, shape in THREADS.items() if shape.platform == platform]
+    tops = reduce(lambda a, b: a.unionByName(b), [top_level(captures, n) for n in names])
+    if THREADS[names[0]].drop_without_id and platform != "twitter":
+        tops = first_tops(tops)
+    parts = [_normalized(tops.filter(F.col("shape") == n) if len(names) > 1 else tops, n, max_depth) for n in names]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def normalize_all_comments(captures: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    parts = [normalize_threads(captures, name, max_depth) for name in THREADS]
+    platforms = dict.fromkeys(shape.platform for shape in THREADS.values())
+    parts = [normalize_threads(captures, platform, max_depth) for platform in platforms]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -7,12 +7,14 @@ Path syntax: ``a.b`` nested field, ``a[0].b`` first array element, ``a[]`` the
 whole array with each element as JSON text, ``a|b.c`` field ``c`` of whichever
 of the objects ``a`` and ``b`` is there first. A path that is also the parent
 of another path is kept as JSON text.
+
+Expressions are SQL text: one parser call per column instead of one gateway
+call per function. In higher-order functions the array is evaluated once and
+the lambda once per element, so JSON is never parsed twice for one value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -55,40 +57,55 @@ class JsonFields:
             return segment[: segment.index("[")], True
         return segment, False
 
-    def get(self, document: Column, path: str) -> Column:
+    def get(self, document: str, path: str) -> str:
         """The value at ``path`` of a parsed document."""
-        column, walked = document, ""
+        value, walked = document, ""
         segments = _segments(path)
         for position, segment in enumerate(segments):
             walked = f"{walked}.{segment}" if walked else segment
             name, is_array = self._name(segment)
-            choices = [column.getField(n) for n in name.split("|")]
-            column = choices[0] if len(choices) == 1 else F.coalesce(*choices)
+            choices = [f"{value}.`{n}`" for n in name.split("|")]
+            value = choices[0] if len(choices) == 1 else f"coalesce({', '.join(choices)})"
             if is_array and segment.endswith("[0]"):
-                column = F.get(column, F.lit(0))
+                value = f"get({value}, 0)"
             rest = segments[position + 1:]
             if rest and walked in self._leaves:
-                return F.get_json_object(column, "$." + ".".join(rest))
-        return column
+                return f"get_json_object({value}, '$.{'.'.join(rest)}')"
+        return value
+
+
+def text_or(values: list[str], default: str | None = "") -> str:
+    """First value that is neither null nor empty."""
+    picked = [f"nullif({v}, '')" for v in values]
+    if default is not None:
+        picked.append("'" + default + "'")
+    if not picked:
+        return "CAST(NULL AS STRING)"
+    return picked[0] if len(picked) == 1 else f"coalesce({', '.join(picked)})"
+
 
+def count_or(values: list[str], default: int | None = 0) -> str:
+    """First value that parses to a non-zero count."""
+    picked = [f"nullif(try_cast({v} AS BIGINT), 0L)" for v in values]
+    picked.append("CAST(NULL AS BIGINT)" if default is None else f"{default}L")
+    return f"coalesce({', '.join(picked)})"
 
-def json_array(text: Column) -> Column:
-    """Elements of a JSON array as JSON text; anything else gives null."""
-    trimmed = F.trim(text)
-    return F.when(F.startswith(trimmed, F.lit("[")), F.from_json(trimmed, "ARRAY<STRING>"))
 
+def member(text: str, path: str) -> str:
+    return f"get_json_object({text}, '$.{path}')"
 
-def array_at(text: Column, path: str) -> Column:
-    return json_array(F.get_json_object(text, path))
 
+def first_array(text: str, *paths: str) -> str:
+    """Elements, as JSON text, of the array at the first path that holds anything.
 
-def first_array(text: Column, *paths: str) -> Column:
-    """The array at the first path that holds anything; empty if it is no array."""
-    values = [F.get_json_object(text, p) for p in paths]
-    present = F.coalesce(*[F.when(~v.isin("", "0", "false", "null"), v) for v in values])
-    return F.coalesce(json_array(present), F.array().cast("array<string>"))
+    Something else than an array at that path gives no elements.
+    """
+    values = ", ".join(f"get_json_object({text}, '{p}')" for p in paths)
+    present = f"slice(filter(array({values}), v -> v NOT IN ('', '0', 'false', 'null')), 1, 1)"
+    arrays = f"filter({present}, v -> startswith(ltrim(v), '['))"
+    return f"flatten(transform({arrays}, v -> from_json(v, 'ARRAY<STRING>')))"
 
 
-def unwrap(element: Column, field: str) -> Column:
+def unwrap(element: str, field: str) -> str:
     """``element.field`` when it is there, else the element itself."""
-    return F.coalesce(F.get_json_object(element, f"$.{field}"), element)
+    return f"coalesce({member(element, field)}, {element})"

@@ -10,13 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from undertone.functions import expressions as E
+from undertone.functions.expressions import HASHTAG_PATTERN, PLAIN_HASHTAG_PATTERN
 from undertone.schemas import ENGAGEMENT_TYPE, USER_TYPE
-from undertone.sources.json_fields import JsonFields, array_at, first_array, unwrap
+from undertone.sources.json_fields import JsonFields, count_or, first_array, member, text_or, unwrap
 
 Rules = dict[str, list[str]]
 
@@ -207,74 +207,82 @@ class Shape:
     """How one document shape fills the columns that need more than a path."""
 
     platform: str
-    url: Callable[["Reader"], Column]
-    tags: Callable[["Reader"], Column]
+    url: Callable[["Reader"], str]
+    tags: Callable[["Reader"], str]
     absent: tuple[str, ...] = ()
     zero: tuple[str, ...] = ()
     keep_without_id: bool = False
-    media: Callable[["Reader"], Column] | None = field(default=None)
+    media: Callable[["Reader"], str] | None = field(default=None)
 
 
 class Reader:
-    """Column access by target name for one parsed document."""
+    """SQL text per target column for one parsed document in the column ``doc``."""
 
-    def __init__(self, rules: Rules, document: str, parsed: Column, fallback_id: Column | None):
+    def __init__(self, rules: Rules, fallback_id: str | None = None):
         self.rules = rules
         self.fields = JsonFields(sorted({p for paths in rules.values() for p in paths}))
-        self.parsed = parsed
         self.fallback_id = fallback_id
 
-    def values(self, target: str) -> list[Column]:
-        return [self.fields.get(self.parsed, p) for p in self.rules.get(target, [])]
+    def values(self, target: str) -> list[str]:
+        found = [self.fields.get("doc", p) for p in self.rules.get(target, [])]
+        return [self.fallback_id, *found] if target == "id" and self.fallback_id else found
 
-    def text(self, target: str, default: str | None = "") -> Column:
-        values = self.values(target)
-        if target == "id" and self.fallback_id is not None:
-            values = [self.fallback_id, *values]
-        if not values:
-            return F.lit(default).cast("string")
-        return E.text_or(*values, default=default)
+    def text(self, target: str, default: str | None = "") -> str:
+        return text_or(self.values(target), default)
 
-    def count(self, target: str, default: int | None = 0) -> Column:
-        values = self.values(target)
-        return E.count_or(*values, default=default) if values else F.lit(default).cast("bigint")
+    def count(self, target: str, default: int | None = 0) -> str:
+        return count_or(self.values(target), default)
 
-    def flag(self, target: str, default: bool | None = None) -> Column:
+    def flag(self, target: str, default: bool | None = None) -> str:
         values = self.values(target)
+        otherwise = "CAST(NULL AS BOOLEAN)" if default is None else str(default).upper()
         if not values:
-            return F.lit(default).cast("boolean")
-        known = reduce(lambda a, b: a | b, [F.coalesce(v == "true", F.lit(False)) for v in values])
-        present = reduce(lambda a, b: a | b, [v.isNotNull() for v in values])
-        return F.when(present, known).otherwise(F.lit(default).cast("boolean"))
-
-    def timestamp(self, retrieved_at: Column) -> Column:
-        known = (
-            [E.from_epoch_millis(v) for v in self.values("millis")]
-            + [E.from_iso(v) for v in self.values("iso")]
-            + [E.from_epoch_seconds(v) for v in self.values("seconds")]
-        )
-        return F.coalesce(*known, retrieved_at)
+            return otherwise
+        listed = ", ".join(values)
+        return f"CASE WHEN coalesce({listed}) IS NULL THEN {otherwise} ELSE array_contains(array({listed}), 'true') END"
 
-    def array(self, target: str) -> Column:
-        return F.coalesce(*self.values(target), F.array().cast("array<string>"))
+    def timestamp(self, retrieved_at: str = "captured_at") -> str:
+        def epoch(value: str, factor: str) -> str:
+            return f"timestamp_millis(CAST(nullif(try_cast({value} AS DOUBLE), 0D) {factor} AS BIGINT))"
 
+        known = [epoch(v, "") for v in self.values("millis")]
+        known += [f"try_to_timestamp(nullif({v}, ''))" for v in self.values("iso")]
+        known += [epoch(v, "* 1000") for v in self.values("seconds")]
+        return f"coalesce({', '.join([*known, retrieved_at])})"
 
-def _named_elements(reader: Reader, *names: str, keep_plain: bool) -> Column:
-    """The named field of each JSON element, optionally the element itself."""
-    def pick(element: Column) -> Column:
-        found = E.text_or(*[F.get_json_object(element, f"$.{n}") for n in names], default=None)
-        return F.coalesce(found, element) if keep_plain else found
+    def array(self, target: str) -> str:
+        return f"coalesce({', '.join([*self.values(target), NO_TAGS])})"
+
+
+NO_TAGS = "CAST(array() AS ARRAY<STRING>)"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\") + "'"
 
-    return F.array_compact(F.transform(reader.array("tags"), pick))
 
+def _tags_lower(text: str) -> str:
+    return f"transform(regexp_extract_all({text}, {_quoted(HASHTAG_PATTERN)}, 1), t -> lower(t))"
 
-def _no_tags(_: Reader) -> Column:
-    return F.array().cast("array<string>")
 
+def _tags_plain(text: str) -> str:
+    return f"transform(regexp_extract_all({text}, {_quoted(PLAIN_HASHTAG_PATTERN)}, 1), t -> substr(t, 2))"
 
-def _link(*parts: Column | str) -> Column:
+
+def _named_elements(reader: Reader, *names: str, keep_plain: bool) -> str:
+    """The named field of each JSON element, optionally the element itself."""
+    picked = text_or([member("t", n) for n in names], None)
+    picked = f"coalesce({picked}, t)" if keep_plain else picked
+    return f"array_compact(transform({reader.array('tags')}, t -> {picked}))"
+
+
+def _link(*parts: str) -> str:
     """Concatenation that is null as soon as one part is missing."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return f"concat({', '.join(parts)})"
+
+
+def _text(value: str) -> str:
+    return f"'{value}'"
 
 
 # URL formats.
@@ -288,83 +296,86 @@ TWEET_URL = ("https://x.com/", "/status/")
 TWEET_URL_SHARED = ("https://twitter.com/", "/status/")
 
 
-def _tweet_url(base: tuple[str, str]) -> Callable[[Reader], Column]:
-    return lambda r: F.coalesce(
-        r.text("url", None), _link(base[0], r.text("username", "user"), base[1], r.text("id"))
-    )
+def _first(*values: str) -> str:
+    return f"coalesce({', '.join(values)})"
+
+
+def _between(base: tuple[str, str], left: str, right: str) -> str:
+    return _link(_text(base[0]), left, _text(base[1]), right)
 
 
-def _instagram_url(r: Reader) -> Column:
-    return _link(INSTAGRAM_URL[0], F.coalesce(r.text("code", None), r.text("id")), INSTAGRAM_URL[1])
+def _tweet_url(base: tuple[str, str]) -> Callable[[Reader], str]:
+    return lambda r: _first(r.text("url", None), _between(base, r.text("username", "user"), r.text("id")))
 
 
-def _moltbook_url(r: Reader) -> Column:
-    built = _link(MOLTBOOK_URL[0], r.text("community", None), MOLTBOOK_URL[1], r.text("id"))
-    return F.coalesce(r.text("url", None), built, F.lit(""))
+def _instagram_url(r: Reader) -> str:
+    return _link(_text(INSTAGRAM_URL[0]), _first(r.text("code", None), r.text("id")), _text(INSTAGRAM_URL[1]))
 
 
+def _reddit_url(r: Reader) -> str:
+    return _link(_text(REDDIT_URL), r.text("permalink", None))
+
+
+PERSON_ZERO = ("follower_count", "verified", "bio", "profile_image_url")
+
 SHAPES: dict[str, Shape] = {
     "tiktok": Shape(
         "tiktok",
-        url=lambda r: _link(TIKTOK_URL[0], r.text("handle", "user"), TIKTOK_URL[1], r.text("id")),
+        url=lambda r: _between(TIKTOK_URL, r.text("handle", "user"), r.text("id")),
         tags=lambda r: _named_elements(r, "hashtagName", "hashtag_name", keep_plain=False),
     ),
     "tiktok_shared": Shape(
         "tiktok",
-        url=lambda r: F.coalesce(
-            r.text("url", None),
-            _link(TIKTOK_URL[0], r.text("handle", None), TIKTOK_URL[1], r.text("id", None)),
-        ),
-        tags=lambda r: E.hashtags_lower(r.text("content")),
-        zero=("follower_count", "verified", "bio", "profile_image_url"),
+        url=lambda r: _first(r.text("url", None), _between(TIKTOK_URL, r.text("handle", None), r.text("id", None))),
+        tags=lambda r: _tags_lower(r.text("content")),
+        zero=PERSON_ZERO,
         keep_without_id=True,
     ),
     "twitter": Shape("twitter", url=_tweet_url(TWEET_URL), tags=lambda r: r.array("tags")),
     "twitter_shared": Shape(
         "twitter",
         url=_tweet_url(TWEET_URL_SHARED),
-        tags=lambda r: F.coalesce(*r.values("tags"), E.hashtags_lower(r.text("content"))),
-        zero=("follower_count", "verified", "bio", "profile_image_url"),
+        tags=lambda r: _first(*r.values("tags"), _tags_lower(r.text("content"))),
+        zero=PERSON_ZERO,
         keep_without_id=True,
     ),
     "reddit": Shape(
         "reddit",
-        url=lambda r: _link(REDDIT_URL, r.text("permalink", None)),
-        tags=_no_tags,
-        media=lambda r: F.coalesce(
-            r.text("media_url", None), _link(REDDIT_URL, r.text("permalink", None)), F.lit("")
-        ),
+        url=_reddit_url,
+        tags=lambda r: NO_TAGS,
+        media=lambda r: _first(r.text("media_url", None), _reddit_url(r), "''"),
         keep_without_id=True,
     ),
     "instagram_node": Shape(
-        "instagram", url=_instagram_url, tags=lambda r: E.hashtags_plain(r.text("content")),
-        absent=("shares",),
+        "instagram", url=_instagram_url, tags=lambda r: _tags_plain(r.text("content")), absent=("shares",)
     ),
     "instagram_v1": Shape(
-        "instagram", url=_instagram_url, tags=lambda r: E.hashtags_plain(r.text("content")),
-        absent=("shares",),
+        "instagram", url=_instagram_url, tags=lambda r: _tags_plain(r.text("content")), absent=("shares",)
     ),
     "instagram_shared": Shape(
         "instagram",
-        url=lambda r: _link(INSTAGRAM_URL[0], r.text("code", None), INSTAGRAM_URL[1]),
-        tags=lambda r: E.hashtags_lower(r.text("tag_text")),
-        zero=("follower_count", "verified", "bio", "profile_image_url"),
+        url=lambda r: _link(_text(INSTAGRAM_URL[0]), r.text("code", None), _text(INSTAGRAM_URL[1])),
+        tags=lambda r: _tags_lower(r.text("tag_text")),
+        zero=PERSON_ZERO,
         keep_without_id=True,
     ),
     "youtube": Shape(
         "youtube",
-        url=lambda r: _link(YOUTUBE_URL, r.text("id")),
-        tags=lambda r: E.hashtags_lower(r.text("content")),
-        zero=("follower_count", "verified", "bio", "profile_image_url"),
+        url=lambda r: _link(_text(YOUTUBE_URL), r.text("id")),
+        tags=lambda r: _tags_lower(r.text("content")),
+        zero=PERSON_ZERO,
         keep_without_id=True,
     ),
     "moltbook": Shape(
-        "moltbook", url=_moltbook_url, tags=lambda r: r.array("tags"), zero=("verified",),
+        "moltbook",
+        url=lambda r: _first(r.text("url", None), _between(MOLTBOOK_URL, r.text("community", None), r.text("id")), "''"),
+        tags=lambda r: r.array("tags"),
+        zero=("verified",),
         keep_without_id=True,
     ),
     "xiaohongshu": Shape(
         "xiaohongshu",
-        url=lambda r: _link(XIAOHONGSHU_URL, r.text("id")),
+        url=lambda r: _link(_text(XIAOHONGSHU_URL), r.text("id")),
         tags=lambda r: _named_elements(r, "name", keep_plain=True),
     ),
 }
@@ -372,56 +383,45 @@ SHAPES: dict[str, Shape] = {
 
 # -- unnesting ----------------------------------------------------------------
 
-def _tagged(items: Column, shape: str) -> Column:
+def _item(shape: str, raw: str, fallback_id: str = "CAST(NULL AS STRING)") -> str:
+    return f"named_struct('shape', '{shape}', 'raw', {raw}, 'fallback_id', {fallback_id})"
+
+
+def _tagged(items: str, shape: str, raw: str = "x") -> str:
     """Items as (shape, raw, fallback_id) structs."""
-    return F.transform(
-        items,
-        lambda raw: F.struct(
-            F.lit(shape).alias("shape"), raw.alias("raw"), F.lit(None).cast("string").alias("fallback_id")
-        ),
-    )
+    return f"transform({items}, x -> {_item(shape, raw)})"
 
 
-def _tiktok_items(body: Column) -> Column:
+def _tiktok_items(body: str) -> str:
     listed = first_array(body, "$.data", "$.item_list", "$.itemList")
     nested = first_array(body, "$.data.item_list", "$.data.items")
-    return _tagged(F.concat(listed, nested), "tiktok")
-
-
-def _instagram_items(body: Column) -> Column:
-    media = "edge_owner_to_timeline_media edge_web_feed_timeline".split()
-    paths = [f"$.data.user.{m}.edges" for m in media] + ["$.data.web_discover_media.edges"]
-    timeline = first_array(body, *paths)
-    tag_paths = "edge_hashtag_to_media edge_hashtag_to_top_posts".split()
-    tagged = first_array(body, *[f"$.data.hashtag.{p}.edges" for p in tag_paths])
-    nodes = F.transform(F.concat(timeline, tagged), lambda edge: unwrap(edge, "node"))
-    listed = first_array(body, "$.items", "$.ranked_items", "$.media")
-    return F.concat(_tagged(nodes, "instagram_node"), _tagged(listed, "instagram_v1"))
-
-
-def _xiaohongshu_items(body: Column) -> Column:
-    def note(item: Column) -> Column:
-        card = unwrap(item, "note_card")
-        return F.struct(
-            F.lit("xiaohongshu").alias("shape"),
-            card.alias("raw"),
-            E.text_or(
-                F.get_json_object(item, "$.id"), F.get_json_object(card, "$.note_id"), default=None
-            ).alias("fallback_id"),
-        )
+    return _tagged(f"concat({listed}, {nested})", "tiktok")
 
-    listed = F.transform(first_array(body, "$.data.items", "$.data.notes"), note)
-    data = F.get_json_object(body, "$.data")
-    single_id = E.text_or(
-        F.get_json_object(body, "$.data.note_id"), F.get_json_object(body, "$.data.id"), default=None
-    )
-    single = F.when(single_id.isNotNull(), F.array(data)).otherwise(F.array().cast("array<string>"))
-    return F.concat(listed, _tagged(single, "xiaohongshu"))
+
+# Where Instagram keeps its lists.
+TIMELINES = [
+    "$.data.user.edge_owner_to_timeline_media.edges",
+    "$.data.user.edge_web_feed_timeline.edges",
+    "$.data.web_discover_media.edges",
+]
+TAG_MEDIA = ["$.data.hashtag.edge_hashtag_to_media.edges", "$.data.hashtag.edge_hashtag_to_top_posts.edges"]
+ITEM_LISTS = ["$.items", "$.ranked_items", "$.media"]
 
 
-def _reddit_items(body: Column) -> Column:
-    children = first_array(body, "$.data.children")
-    return _tagged(F.transform(children, lambda c: F.get_json_object(c, "$.data")), "reddit")
+def _instagram_items(body: str) -> str:
+    edges = f"concat({first_array(body, *TIMELINES)}, {first_array(body, *TAG_MEDIA)})"
+    nodes = _tagged(edges, "instagram_node", unwrap("x", "node"))
+    return f"concat({nodes}, {_tagged(first_array(body, *ITEM_LISTS), 'instagram_v1')})"
+
+
+def _xiaohongshu_items(body: str) -> str:
+    card = unwrap("x", "note_card")
+    note = _item("xiaohongshu", card, text_or([member("x", "id"), member(card, "note_id")], None))
+    listed = f"transform({first_array(body, '$.data.items', '$.data.notes')}, x -> {note})"
+    data = member(body, "data")
+    single_id = text_or([member("d", "note_id"), member("d", "id")], None)
+    single = f"transform(filter(array({data}), d -> {single_id} IS NOT NULL), x -> {_item('xiaohongshu', 'x')})"
+    return f"concat({listed}, {single})"
 
 
 # Where each Moltbook endpoint keeps its list.
@@ -432,78 +432,79 @@ MOLTBOOK_LISTS = {
 }
 
 
-def _moltbook_items(endpoint: str) -> Callable[[Column], Column]:
-    return lambda body: _tagged(first_array(body, *MOLTBOOK_LISTS[endpoint]), "moltbook")
-
-
-def post_items(platform: str, body: Column, endpoint: str = "trending") -> Column:
+def post_items(platform: str, body: str, endpoint: str = "trending") -> str:
     """Array of (shape, raw item, fallback id) in payload order."""
-    readers: dict[str, Callable[[Column], Column]] = {
+    readers: dict[str, Callable[[str], str]] = {
         "tiktok": _tiktok_items,
         "instagram": _instagram_items,
         "xiaohongshu": _xiaohongshu_items,
-        "reddit": _reddit_items,
+        "reddit": lambda b: _tagged(first_array(b, "$.data.children"), "reddit", member("x", "data")),
         "youtube": lambda b: _tagged(first_array(b, "$.items"), "youtube"),
-        "moltbook": _moltbook_items(endpoint),
-        "twitter": lambda b: _tagged(F.array(b), "twitter"),
+        "moltbook": lambda b: _tagged(first_array(b, *MOLTBOOK_LISTS[endpoint]), "moltbook"),
+        "twitter": lambda b: _tagged(f"array({b})", "twitter"),
     }
     return readers[platform](body)
 
 
 def explode_posts(captures: DataFrame, platform: str, endpoint: str = "trending") -> DataFrame:
     """One row per item of the captures of one platform."""
-    items = post_items(platform, F.col("body"), endpoint)
     return (
         captures.filter((F.col("platform") == platform) & (F.col("kind") == "posts"))
-        .select("capture_id", "captured_at", F.posexplode(items).alias("position", "item"))
+        .selectExpr(
+            "capture_id", "captured_at", f"posexplode({post_items(platform, 'body', endpoint)}) AS (position, item)"
+        )
         .select("capture_id", "captured_at", "position", "item.shape", "item.raw", "item.fallback_id")
     )
 
 
 # -- normalizing --------------------------------------------------------------
 
-def _user(r: Reader, shape: Shape) -> Column:
-    zero = shape.zero
-    return F.struct(
-        r.text("author_id").alias("id"),
-        r.text("username").alias("username"),
-        r.text("display_name").alias("display_name"),
-        r.count("follower_count", 0 if "follower_count" in zero else None).alias("follower_count"),
-        r.flag("verified", False if "verified" in zero else None).alias("verified"),
-        r.text("profile_image_url", "" if "profile_image_url" in zero else None).alias("profile_image_url"),
-        r.text("bio", "" if "bio" in zero else None).alias("bio"),
-    ).cast(USER_TYPE)
+def _struct(kind: str, **fields: str) -> str:
+    listed = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return f"CAST(named_struct({listed}) AS {kind})"
+
+
+def _user(r: Reader, zero: tuple[str, ...]) -> str:
+    return _struct(
+        USER_TYPE,
+        id=r.text("author_id"),
+        username=r.text("username"),
+        display_name=r.text("display_name"),
+        follower_count=r.count("follower_count", 0 if "follower_count" in zero else None),
+        verified=r.flag("verified", False if "verified" in zero else None),
+        profile_image_url=r.text("profile_image_url", "" if "profile_image_url" in zero else None),
+        bio=r.text("bio", "" if "bio" in zero else None),
+    )
 
 
 def normalize_shape(items: DataFrame, shape_name: str) -> DataFrame:
     """Exploded items of one document shape as normalized posts."""
-    shape, rules = SHAPES[shape_name], POST_PATHS[shape_name]
-    schema = JsonFields(sorted({p for paths in rules.values() for p in paths})).schema()
-    r = Reader(rules, "doc", F.col("doc"), F.col("fallback_id"))
-    engagement = F.struct(
-        r.count("likes").alias("likes"),
-        r.count("comments").alias("comments"),
-        r.count("shares", None if "shares" in shape.absent else 0).alias("shares"),
-        r.count("views").alias("views"),
-        F.lit(None).cast("double").alias("engagement_rate"),
-    ).cast(ENGAGEMENT_TYPE)
-    media = shape.media(r) if shape.media else r.text("media_url")
-    parsed = items.withColumn("doc", F.from_json("raw", schema)).filter(F.col("doc").isNotNull())
-    posts = parsed.select(
-        r.text("id").alias("id"),
-        F.lit(shape.platform).alias("platform"),
-        _user(r, shape).alias("author"),
-        r.text("content").alias("content"),
-        media.alias("media_url"),
-        engagement.alias("engagement"),
-        r.timestamp(F.col("captured_at")).alias("timestamp"),
-        shape.url(r).alias("url"),
-        shape.tags(r).alias("hashtags"),
-        "capture_id",
-        "captured_at",
-        "position",
+    shape = SHAPES[shape_name]
+    r = Reader(POST_PATHS[shape_name], "fallback_id")
+    engagement = _struct(
+        ENGAGEMENT_TYPE,
+        likes=r.count("likes"),
+        comments=r.count("comments"),
+        shares=r.count("shares", None if "shares" in shape.absent else 0),
+        views=r.count("views"),
+        engagement_rate="CAST(NULL AS DOUBLE)",
+    )
+    columns = {
+        "id": r.text("id"),
+        "platform": _text(shape.platform),
+        "author": _user(r, shape.zero),
+        "content": r.text("content"),
+        "media_url": shape.media(r) if shape.media else r.text("media_url"),
+        "engagement": engagement,
+        "timestamp": r.timestamp(),
+        "url": shape.url(r),
+        "hashtags": shape.tags(r),
+    }
+    parsed = items.withColumn("doc", F.from_json("raw", r.fields.schema())).filter("doc IS NOT NULL")
+    posts = parsed.selectExpr(
+        *[f"{value} AS `{name}`" for name, value in columns.items()], "capture_id", "captured_at", "position"
     )
-    return posts if shape.keep_without_id else posts.filter(F.col("id") != "")
+    return posts if shape.keep_without_id else posts.filter("id <> ''")
 
 
 def first_seen(posts: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undertone.functions import expressions as E
-from undertone.sources.json_fields import json_array
 
 # The widest brace-to-brace span, and ids for rows without one.
 JSON_SPAN = "(?s)\\{.*\\}"
@@ -24,12 +23,17 @@ def _payload(text: Column) -> Column:
     return F.when(F.try_parse_json(span).isNotNull(), span)
 
 
+def _listed(field: str) -> Column:
+    """The asked-for array of the payload, or null when there is none."""
+    value = F.get_json_object(F.col("payload"), f"$.{field}")
+    return F.when(F.startswith(value, F.lit("[")), F.from_json(value, "ARRAY<STRING>"))
+
+
 def _items(df: DataFrame, mode: str, field: str) -> DataFrame:
-    listed = json_array(F.get_json_object(F.col("payload"), f"$.{field}"))
     return (
         df.filter(F.col("mode") == mode)
         .withColumn("payload", _payload(F.col("text")))
-        .select("response_id", "provider", "url", "answered_at", F.posexplode(listed).alias("position", "raw"))
+        .select("response_id", "provider", "url", "answered_at", F.posexplode(_listed(field)).alias("position", "raw"))
         .withColumn("item", F.from_json("raw", _ITEM))
     )
 
@@ -72,13 +76,12 @@ def comments_from_responses(responses: DataFrame) -> DataFrame:
 
 def raw_responses(responses: DataFrame) -> DataFrame:
     """Answers without the asked-for list, passed on as they are."""
-    payload = _payload(F.col("text"))
-    listed = json_array(
-        F.when(F.col("mode") == "posts", F.get_json_object(payload, "$.posts")).when(
-            F.col("mode") == "comments", F.get_json_object(payload, "$.comments")
-        )
+    listed = F.when(F.col("mode") == "posts", _listed("posts")).when(F.col("mode") == "comments", _listed("comments"))
+    return (
+        responses.withColumn("payload", _payload(F.col("text")))
+        .filter(listed.isNull())
+        .select("response_id", "provider", "url", F.col("text").alias("raw"))
     )
-    return responses.filter(listed.isNull()).select("response_id", "provider", "url", F.col("text").alias("raw"))
 
 
 # Page text: fixed element patterns, applied in order.
