@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from undertone.operators import health as H
-from undertone.operators.timeline import run_since
+from undertone.operators.timeline import run_since, sessions
 from undertone.plans.payloads import post_captures
 from undertone.plans.views import probes, requests
 from undertone.sources import captures as K
@@ -62,12 +62,22 @@ def test_late_probes_change_nothing(spark):
 
 def test_run_since_equals_one_window(spark, sf):
     df = H.judged(probes(spark, sf))
-    got = {r.probe_id: r.n for r in run_since(df, ["platform"], "ts", "probe_id", F.col("ok"), "n", 7200).collect()}
-    want, run = {}, {}
+    run = lambda **how: {
+        r.probe_id: r.n for r in run_since(df, ["platform"], "ts", "probe_id", F.col("ok"), "n", **how).collect()
+    }
+    got, balanced = run(seconds=7200), run(full=20)
+    want, count = {}, {}
     for r in sorted(df.collect(), key=lambda r: (r.ts, r.probe_id)):
-        run[r.platform] = 0 if r.ok else run.get(r.platform, 0) + 1
-        want[r.probe_id] = run[r.platform]
-    assert got == want
+        count[r.platform] = 0 if r.ok else count.get(r.platform, 0) + 1
+        want[r.probe_id] = count[r.platform]
+    assert got == want and balanced == want
+
+
+def test_sessions_do_not_depend_on_the_slices(spark, sf):
+    df = requests(spark, sf)
+    one = {tuple(r) for r in sessions(df, ["platform"], "ts", "request_id", 1800).collect()}
+    two = {tuple(r) for r in sessions(df, ["platform"], "ts", "request_id", 1800, full=10).collect()}
+    assert one == two
 
 
 def test_capture_stream_drops_repeats_and_appends_once(spark, sf):
@@ -93,8 +103,8 @@ def test_request_sessions_on_a_stream(spark, sf):
     df = requests(spark, sf)
     _in_files(df, f"{base}/in", "ts", 2)
     stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
-    sessions = SC.request_sessions(stream, "30 minutes", "1 minute")
-    query = sessions.writeStream.format("memory").queryName("bursts").outputMode("complete").trigger(availableNow=True).start()
+    bursts = SC.request_sessions(stream, "30 minutes", "1 minute")
+    query = bursts.writeStream.format("memory").queryName("bursts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(300)
     got = sorted((r.platform, r.requests) for r in spark.table("bursts").collect())
     # The session window closes at the gap itself; the audit keeps a gap of exactly that length open.

@@ -162,7 +162,8 @@ def visible(clusters: DataFrame, include_low_signal: bool = False) -> DataFrame:
 def merge_clusters(members: DataFrame, link_from: float = LINK_FROM, prefix_at: float = PREFIX_AT) -> DataFrame:
     """Second pass: join clusters of one bucket whose common vocabulary is similar.
 
-    The vocabulary of a cluster is what at least half of its units say.
+    The vocabulary of a cluster is what at least half of its units say, hence
+    never more words than twice the mean number of words of its units.
     """
     sizes = members.groupBy("cluster_key", *BUCKET).agg(
         F.count(F.lit(1)).alias("size"), F.sum("engagement_score").alias("weight")

@@ -208,8 +208,12 @@ def inherit(grounded: DataFrame) -> DataFrame:
         F.col("anchor_refs").alias("source_refs"),
         F.col("text").alias("source_text"),
     )
-    joined = grounded.join(reached, ["video_id", "comment_id"], "left").join(
-        source, ["video_id", "source_id"], "left"
+    # Comments that stand by themselves look themselves up, so that no join key
+    # is null and the null rows of a busy content do not meet in one task.
+    joined = (
+        grounded.join(reached, ["video_id", "comment_id"], "left")
+        .withColumn("source_id", F.coalesce("source_id", "comment_id"))
+        .join(source, ["video_id", "source_id"], "left")
     )
     damp = F.pow(F.lit(INHERITED_SHARE), F.col("hops"))
     taken = F.transform(
@@ -220,7 +224,7 @@ def inherit(grounded: DataFrame) -> DataFrame:
             F.round(r["confidence"] * damp, 3).alias("confidence"),
         ),
     ).cast(REF_TYPE)
-    inherits = F.col("source_text").isNotNull()
+    inherits = F.col("hops").isNotNull() & F.col("source_text").isNotNull()
     return joined.withColumns(
         {
             "inherits": inherits,

@@ -28,47 +28,64 @@ def judged(probes: DataFrame) -> DataFrame:
     )
 
 
+def moment(ts: str = "ts", tie: str = "probe_id") -> Column:
+    """Time and tie-breaking id in one number (ids are not negative).
+
+    A fixed-width number keeps the aggregates on it in hash tables; a struct
+    would make them sort their input first.
+    """
+    return F.unix_micros(ts).cast("decimal(38,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")
+
+
 def status_of(failures: Column) -> Column:
     return (
         F.when(failures == 0, "healthy").when(failures < FAILURES_UNTIL_DOWN, "degraded").otherwise("down")
     )
 
 
-def current_health(probes: DataFrame) -> DataFrame:
-    """State per platform after all probes.
+def reduced(probes: DataFrame) -> DataFrame:
+    """Per platform: last success, failures after it, last check.
 
     Two aggregates instead of an ordered scan: the last success per platform,
     then the failures after it. Both combine before the shuffle.
     """
-    df = judged(probes)
-    at = F.struct("ts", "probe_id")
+    df = judged(probes).withColumn("at", moment())
     last = df.groupBy("platform").agg(
-        F.max(F.when(F.col("ok"), at)).alias("last_ok"),
+        F.max(F.when(F.col("ok"), F.col("at"))).alias("ok_at"),
+        F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_healthy"),
         F.max("ts").alias("last_checked"),
-        F.max_by("response_ms", at).alias("response_ms"),
+        F.max_by("response_ms", "at").alias("response_ms"),
     )
-    later = F.col("last_ok").isNull() | (at > F.col("last_ok"))
     failed = (
-        df.join(last.select("platform", "last_ok"), "platform")
-        .filter(later)
+        df.join(last.select("platform", "ok_at"), "platform")
+        .filter(F.col("ok_at").isNull() | (F.col("at") > F.col("ok_at")))
         .groupBy("platform")
-        .agg(
-            F.count(F.lit(1)).alias("failures"),
-            F.max(F.when(F.col("timed_out"), at)).isNotNull().alias("timeout_seen"),
-        )
+        .agg(F.count(F.lit(1)).alias("failures"), F.max(F.col("timed_out").cast("int")).alias("timeouts"))
     )
-    failures = F.coalesce("failures", F.lit(0))
     return last.join(failed, "platform", "left").select(
+        "platform", "last_healthy", "last_checked", "response_ms",
+        F.coalesce("failures", F.lit(0).cast("bigint")).alias("failures"),
+        (F.coalesce("timeouts", F.lit(0)) > 0).alias("timeout_seen"),
+    )
+
+
+def states(summary: DataFrame) -> DataFrame:
+    return summary.select(
         "platform",
-        status_of(failures).alias("status"),
+        status_of(F.col("failures")).alias("status"),
         "last_checked",
-        F.col("last_ok.ts").alias("last_healthy"),
-        failures.alias("consecutive_failures"),
+        "last_healthy",
+        F.col("failures").alias("consecutive_failures"),
         F.col("response_ms").alias("response_time_ms"),
         F.when(F.col("timeout_seen"), F.lit(TIMEOUT_ERROR)).alias("error"),
     )
 
 
+def current_health(probes: DataFrame) -> DataFrame:
+    """State per platform after all probes."""
+    return states(reduced(probes))
+
+
 def health_history(probes: DataFrame) -> DataFrame:
     """State of the platform after every single probe."""
     df = run_since(judged(probes), ["platform"], "ts", "probe_id", F.col("ok"), "consecutive_failures")
@@ -96,7 +113,7 @@ def overall(states: DataFrame) -> DataFrame:
 def two_state_health(probes: DataFrame) -> DataFrame:
     """Healthy or down from the latest probe alone."""
     latest = probes.groupBy("platform").agg(
-        F.max_by("success", F.struct("ts", "probe_id")).alias("ok"), F.max("ts").alias("checked_at")
+        F.max_by("success", moment()).alias("ok"), F.max("ts").alias("checked_at")
     )
     return latest.select("platform", F.when(F.col("ok"), "healthy").otherwise("down").alias("status"), "checked_at")
 

@@ -20,7 +20,8 @@ def with_video_stats(items: DataFrame, stats: DataFrame) -> DataFrame:
 def resolve_channels(wanted: DataFrame, channels: DataFrame) -> DataFrame:
     """Channel ids for handles; an id (it starts with ``UC``) needs no lookup."""
     is_id = F.startswith(F.col("channel"), F.lit("UC"))
-    keyed = wanted.withColumn("handle", F.when(~is_id, E.as_handle(F.col("channel"))))
+    # Ids keep their own text as key: it matches no handle and spreads over the tasks.
+    keyed = wanted.withColumn("handle", F.when(is_id, F.col("channel")).otherwise(E.as_handle(F.col("channel"))))
     found = keyed.join(channels.select("handle", "channel_id"), "handle", "left")
     channel_id = F.when(is_id, F.col("channel")).otherwise(F.col("channel_id"))
     return found.select(
@@ -46,13 +47,22 @@ def posts_with_comment_counts(posts: DataFrame, comments: DataFrame) -> DataFram
 
 
 def with_parent(comments: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Left self join: ``columns`` maps a parent column to its new name."""
+    """Left self join: ``columns`` maps a parent column to its new name.
+
+    Roots look themselves up and drop the result: with null keys all roots of
+    a content would meet in one task.
+    """
     parent = comments.select(
-        F.col("content_id"),
-        F.col("comment_id").alias("parent_comment_id"),
-        *[F.col(name).alias(alias) for name, alias in columns.items()],
+        "content_id",
+        F.col("comment_id").alias("lookup_id"),
+        *[F.col(name).alias(f"parent__{alias}") for name, alias in columns.items()],
+    )
+    keyed = comments.withColumn("lookup_id", F.coalesce("parent_comment_id", "comment_id"))
+    has_parent = F.col("parent_comment_id").isNotNull()
+    return keyed.join(parent, ["content_id", "lookup_id"], "left").select(
+        *comments.columns,
+        *[F.when(has_parent, F.col(f"parent__{alias}")).alias(alias) for alias in columns.values()],
     )
-    return comments.join(parent, ["content_id", "parent_comment_id"], "left")
 
 
 def with_capabilities(df: DataFrame, platforms: DataFrame) -> DataFrame:

@@ -24,23 +24,24 @@ def hub_links(nodes: DataFrame, scope: list[str], threshold: float, prefix_at: f
     Jaccard similarity the blocking keeps whole.
     """
     keyed = nodes.select(
-        *scope, "node", "tokens", "weight",
-        F.explode(TK.prefix_tokens(F.col("tokens"), prefix_at)).alias("token"),
+        *scope, "node", "weight", F.explode(TK.prefix_tokens(F.col("tokens"), prefix_at)).alias("token")
     )
     hubs = keyed.groupBy(*scope, "token").agg(
-        F.max_by(
-            F.struct(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens")),
-            F.struct("weight", F.xxhash64("node"), "node"),
-        ).alias("top")
-    ).select(*scope, "token", "top.hub", "top.hub_tokens")
+        F.max_by("node", F.struct("weight", F.xxhash64("node"), "node")).alias("hub")
+    )
+    # Only ids travel until a candidate is certain; a long text is then read twice, not once per token.
+    candidates = (
+        keyed.join(hubs, [*scope, "token"]).filter("node != hub").select(*scope, "node", "hub").distinct()
+    )
+    said = nodes.select("node", "tokens")
+    hub_said = nodes.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
     near = TK.similarity(F.col("shared"), F.size("tokens"), F.size("hub_tokens")) >= threshold
     return (
-        keyed.join(hubs, [*scope, "token"])
-        .filter(F.col("node") != F.col("hub"))
+        candidates.join(said, "node")
+        .join(hub_said, "hub")
         .withColumn("shared", TK.overlap(F.col("tokens"), F.col("hub_tokens")))
         .filter(near)
         .select(*scope, F.col("node").alias("left"), F.col("hub").alias("right"))
-        .distinct()
     )
 
 

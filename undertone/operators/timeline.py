@@ -8,21 +8,40 @@ the carry is joined back. Only the summaries pass a window per key.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from undertone.session import settle
+
 SLICE_SECONDS = 3600
+# More rows than this in one slice and the slices are cut by rank instead of by time.
+FULL_SLICE = 2_000_000
+
 
+def with_slice(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: int = SLICE_SECONDS,
+               full: int = FULL_SLICE) -> DataFrame:
+    """Adds ``slice``, ascending in time for each key.
 
-def with_slice(df: DataFrame, ts: str, seconds: int = SLICE_SECONDS) -> DataFrame:
-    return df.withColumn("slice", F.floor(F.unix_timestamp(ts) / seconds))
+    Slices of equal time need no sampling. If one of them holds too many rows
+    (a burst of one platform), the rows are range-partitioned by key, time and
+    tie instead, which balances the slices whatever the burst; that table is
+    written once, because a slice number must not change between its readers.
+    """
+    timed = df.withColumn("slice", F.floor(F.unix_timestamp(ts) / seconds))
+    fullest = timed.groupBy(*keys, "slice").count().agg(F.max("count")).first()[0] or 0
+    if fullest <= full:
+        return timed
+    parts = max(2, math.ceil(df.count() / full) * 2)
+    return settle(df.repartitionByRange(parts, *keys, ts, tie).withColumn("slice", F.spark_partition_id().cast("bigint")))
 
 
 def run_since(df: DataFrame, keys: list[str], ts: str, tie: str, marker: Column,
-              name: str, seconds: int = SLICE_SECONDS) -> DataFrame:
+              name: str, seconds: int = SLICE_SECONDS, full: int = FULL_SLICE) -> DataFrame:
     """Adds ``name``: rows since the last row where ``marker`` holds (that row: 0)."""
-    sliced = with_slice(df, ts, seconds).withColumn("mark", marker.cast("int"))
+    sliced = with_slice(df, keys, ts, tie, seconds, full).withColumn("mark", marker.cast("int"))
     inside = W.partitionBy(*keys, "slice").orderBy(ts, tie)
     marked = sliced.withColumn("segment", F.sum("mark").over(inside))
     segment = W.partitionBy(*keys, "slice", "segment").orderBy(ts, tie)
@@ -49,9 +68,9 @@ def run_since(df: DataFrame, keys: list[str], ts: str, tie: str, marker: Column,
 
 
 def sessions(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: float,
-             seconds: int = SLICE_SECONDS) -> DataFrame:
+             seconds: int = SLICE_SECONDS, full: int = FULL_SLICE) -> DataFrame:
     """(keys, session_start, session_end, requests): a gap longer than the limit splits."""
-    sliced = with_slice(df, ts, seconds).withColumn("at", F.unix_micros(ts))
+    sliced = with_slice(df, keys, ts, tie, seconds, full).withColumn("at", F.unix_micros(ts))
     ends = sliced.groupBy(*keys, "slice").agg(F.max("at").alias("slice_end"))
     by_slice = W.partitionBy(*keys).orderBy("slice")
     before = ends.select(*keys, "slice", F.lag("slice_end").over(by_slice).alias("earlier"))

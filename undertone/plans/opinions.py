@@ -9,6 +9,7 @@ from undertone.functions import lexicon as L
 from undertone.functions import tokens as TK
 from undertone.functions.expressions import cosine, slug
 from undertone.operators import anchors as A
+from undertone.operators import answers as Q
 from undertone.operators import clusters as C
 from undertone.operators import enrich as N
 from undertone.operators import evaluate as V
@@ -207,10 +208,9 @@ def _tokens_sql(text: str) -> str:
       md5(array_to_string(list_sort({_tokens_sql('text')}), ' ')) AS tokens_md5 FROM documents""",
 )
 def _(spark, sf):
-    tokens = TK.content_tokens(F.col("text"))
-    return table(spark, sf, "documents").select(
-        "doc_id", F.size(TK.words(F.col("text"))).alias("words"), F.size(tokens).alias("tokens"),
-        F.md5(F.array_join(F.array_sort(tokens), " ")).alias("tokens_md5"),
+    said = table(spark, sf, "documents").select("doc_id", TK.words(F.col("text")).alias("said"))
+    return said.select("doc_id", F.size("said").alias("words"), TK.topic_words("said").alias("t")).select(
+        "doc_id", "words", F.size("t").alias("tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("tokens_md5")
     )
 
 
@@ -514,3 +514,35 @@ def _(spark, sf):
 def _(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
     return spark.createDataFrame([(round(V.silhouette(e), 3),)], "silhouette DOUBLE")
+
+
+# -- answers ------------------------------------------------------------------
+
+@query("cluster_opinions_of_contents")
+def _(spark, sf):
+    asked = contexts(spark, sf).select("video_id")
+    df = Q.cluster_opinions(asked, members(spark, sf), clusters_of(spark, sf), 5)
+    return df.withColumn("examples", F.array_join("examples", " | "))
+
+
+@query("comments_enriched_on_request")
+def _(spark, sf):
+    df = Q.enrich_contents(feedback(spark, sf), A.with_anchors(contexts(spark, sf)))
+    return df.select("video_id", "comment_id", "comment_intent", "grounding_confidence")
+
+
+@query("content_analyses_deep")
+def _(spark, sf):
+    df = Q.analyze_contents(feedback(spark, sf), members(spark, sf), clusters_of(spark, sf), "deep")
+    return df.withColumn("themes", F.array_join("themes", " | "))
+
+
+@query("tension_evidence")
+def _(spark, sf):
+    return Q.tension_evidence(R.tension_map(clusters_of(spark, sf)), members(spark, sf))
+
+
+@query("fixed_count_clusters")
+def _(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+    return Q.fixed_count_clusters(vectors, 10)

@@ -50,8 +50,10 @@ class SilverWriter:
         self.platforms, self.trace_id = platforms, trace_id
 
     def _known(self, batch_id: int) -> DataFrame | None:
-        done = [f"{self.folder}/bronze/batch={n}" for n in range(batch_id)]
-        return self.spark.read.parquet(*done) if done else None
+        """Keys of the earlier batches; the batch folder is a partition, so later ones are pruned."""
+        if batch_id == 0:
+            return None
+        return self.spark.read.parquet(f"{self.folder}/bronze").filter(F.col("batch") < batch_id).select("idempotency_key")
 
     def __call__(self, captures: DataFrame, batch_id: int) -> None:
         enveloped = with_envelope(captures, self.trace_id, "capture_stream")

@@ -13,60 +13,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertone.operators.health import TIMEOUT_ERROR, judged, status_of
+from undertone.operators.health import reduced, states
 
 STATE_SCHEMA = (
-    "platform STRING, last_ok STRUCT<ts: TIMESTAMP, probe_id: BIGINT>, failures BIGINT, "
-    "last_checked TIMESTAMP, response_ms DOUBLE, timeout_seen BOOLEAN"
+    "platform STRING, last_healthy TIMESTAMP, last_checked TIMESTAMP, response_ms DOUBLE, "
+    "failures BIGINT, timeout_seen BOOLEAN"
 )
 
 
-def summarize(probes: DataFrame) -> DataFrame:
-    """One row per platform for a set of probes."""
-    df = judged(probes)
-    at = F.struct("ts", "probe_id")
-    last = df.groupBy("platform").agg(
-        F.max(F.when(F.col("ok"), at)).alias("last_ok"),
-        F.max("ts").alias("last_checked"),
-        F.max_by("response_ms", at).alias("response_ms"),
-    )
-    later = F.col("last_ok").isNull() | (at > F.col("last_ok"))
-    failed = df.join(last.select("platform", "last_ok"), "platform").filter(later).groupBy("platform").agg(
-        F.count(F.lit(1)).alias("failures"), F.max("timed_out").alias("timeout_seen")
-    )
-    return last.join(failed, "platform", "left").select(
-        "platform", "last_ok", F.coalesce("failures", F.lit(0)).alias("failures"), "last_checked",
-        "response_ms", F.coalesce("timeout_seen", F.lit(False)).alias("timeout_seen"),
-    )
-
-
 def merge(state: DataFrame, batch: DataFrame) -> DataFrame:
     """A success in the batch resets the run; otherwise its failures are added."""
     old = state.select("platform", *[F.col(c).alias(f"old_{c}") for c in state.columns if c != "platform"])
     df = old.join(batch, "platform", "full")
-    reset = F.col("last_ok").isNotNull()
+    reset = F.col("last_healthy").isNotNull()
+    none = F.lit(0).cast("bigint")
     return df.select(
         "platform",
-        F.coalesce("last_ok", "old_last_ok").alias("last_ok"),
-        (F.coalesce("failures", F.lit(0)) + F.when(reset, 0).otherwise(F.coalesce("old_failures", F.lit(0)))).alias("failures"),
+        F.coalesce("last_healthy", "old_last_healthy").alias("last_healthy"),
         F.coalesce("last_checked", "old_last_checked").alias("last_checked"),
         F.coalesce("response_ms", "old_response_ms").alias("response_ms"),
+        (F.coalesce("failures", none) + F.when(reset, none).otherwise(F.coalesce("old_failures", none))).alias("failures"),
         (F.coalesce("timeout_seen", F.lit(False)) | (~reset & F.coalesce("old_timeout_seen", F.lit(False)))).alias("timeout_seen"),
     )
 
 
-def states(state: DataFrame) -> DataFrame:
-    return state.select(
-        "platform",
-        status_of(F.col("failures")).alias("status"),
-        "last_checked",
-        F.col("last_ok.ts").alias("last_healthy"),
-        F.col("failures").alias("consecutive_failures"),
-        F.col("response_ms").alias("response_time_ms"),
-        F.when(F.col("timeout_seen"), F.lit(TIMEOUT_ERROR)).alias("error"),
-    )
-
-
 class HealthStream:
     """``foreachBatch`` target; keeps its state under ``folder`` (shared storage)."""
 
@@ -85,7 +55,7 @@ class HealthStream:
         fresh = probes.join(seen, "platform", "left").filter(
             F.col("seen_until").isNull() | (F.col("ts") >= F.col("seen_until"))
         ).drop("seen_until")
-        merged = merge(before, summarize(fresh)).coalesce(1)
+        merged = merge(before, reduced(fresh)).coalesce(1)
         merged.write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch_id}")
 
     def current(self, batch_id: int) -> DataFrame:
