@@ -19,6 +19,8 @@ from undertone.session import settle
 SLICE_SECONDS = 3600
 # More rows than this in one slice and the slices are cut by rank instead of by time.
 FULL_SLICE = 2_000_000
+# Two counts below this bound travel in one number.
+PACK = 1 << 32
 
 
 def with_slice(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: int = SLICE_SECONDS,
@@ -47,17 +49,13 @@ def run_since(df: DataFrame, keys: list[str], ts: str, tie: str, marker: Column,
     segment = W.partitionBy(*keys, "slice", "segment").orderBy(ts, tie)
     local = marked.withColumn("local", F.row_number().over(segment) - F.when(F.col("segment") > 0, 1).otherwise(0))
 
-    last = F.max(F.when(F.col("mark") == 1, F.struct(ts, tie)))
-    marks = sliced.groupBy(*keys, "slice").agg(last.alias("last_mark"), F.count(F.lit(1)).alias("n"))
-    # Rows after the last mark of their slice, counted without ordering the slice.
-    after = (
-        sliced.join(marks.select(*keys, "slice", "last_mark"), [*keys, "slice"])
-        .filter(F.col("last_mark").isNull() | (F.struct(ts, tie) > F.col("last_mark")))
-        .groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("tail"))
+    # The last row of a slice has its highest segment and, in it, its highest count.
+    packed = F.max(F.col("segment") * F.lit(PACK) + F.col("local"))
+    per_slice = local.groupBy(*keys, "slice").agg(packed.alias("packed")).select(
+        *keys, "slice", (F.col("packed") >= PACK).alias("marked"), (F.col("packed") % PACK).alias("tail")
     )
-    per_slice = marks.join(after, [*keys, "slice"], "left").na.fill(0, ["tail"])
     by_slice = W.partitionBy(*keys).orderBy("slice")
-    runs = per_slice.withColumn("era", F.sum(F.col("last_mark").isNotNull().cast("int")).over(by_slice))
+    runs = per_slice.withColumn("era", F.sum(F.col("marked").cast("int")).over(by_slice))
     total = F.sum("tail").over(W.partitionBy(*keys, "era").orderBy("slice"))
     carried = runs.withColumn("so_far", total).select(
         *keys, "slice", F.coalesce(F.lag("so_far").over(by_slice), F.lit(0)).alias("carry")
