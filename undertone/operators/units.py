@@ -95,22 +95,11 @@ def split_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("spans", spans).drop("pieces", "opening")
 
 
-def extract_units(enriched: DataFrame) -> DataFrame:
-    """Opinion units of the enriched comments; a lone short reaction gives none."""
-    agreed = F.col("rewrite_applied") & F.col("inherits")
-    spoken = (
-        enriched.withColumn("spoken", F.when(agreed, F.col("resolved_text")).otherwise(F.col("raw_text")))
-        .filter(F.length(F.trim("spoken")) > 0)
-        .withColumn("said", TK.words(F.col("spoken")))
-        .withColumn("flags", noise_flags("spoken", "said"))
-        .filter(~(F.array_contains("flags", "reaction_only") & F.array_contains("flags", "ultra_short")))
-        .drop("said", "flags")
-    )
-    cut = split_spans(spoken, "spoken").withColumn("spans", F.when(agreed, F.array("spoken")).otherwise(F.col("spans")))
-    primary = F.get("anchor_refs", F.lit(0))
+def read_spans(df: DataFrame) -> DataFrame:
+    """One row per span with its words, topic words, noise marks and stance."""
     phrase = F.rlike("span", F.lit(L.NEGATIVE_PHRASES))
-    read = (
-        cut.select("*", F.posexplode("spans").alias("piece", "span"))
+    return (
+        df.select("*", F.posexplode("spans").alias("piece", "span"))
         .withColumn("said", TK.words(F.col("span")))
         .withColumns(
             {
@@ -118,11 +107,25 @@ def extract_units(enriched: DataFrame) -> DataFrame:
                 "noise_flags": noise_flags("span", "said"),
                 "good": (TK.count_listed("said", L.POSITIVE_WORDS) > 0) & ~phrase,
                 "bad": (TK.count_listed("said", L.NEGATIVE_WORDS) > 0) | phrase,
-                "primary": primary,
             }
         )
         .withColumn("stance", stance())
     )
+
+
+def extract_units(enriched: DataFrame) -> DataFrame:
+    """Opinion units of the enriched comments; a lone short reaction gives none."""
+    agreed = F.col("rewrite_applied") & F.col("inherits")
+    spoken = (
+        enriched.withColumn("spoken", F.when(agreed, F.col("resolved_text")).otherwise(F.col("raw_text")))
+        .filter(F.length(F.trim("spoken")) > 0)
+        .withColumn("said", TK.words(F.col("spoken")))
+        .withColumn("flags", noise_flags("spoken", "said"))
+        .filter(~(F.array_contains("flags", "reaction_only") & F.array_contains("flags", "ultra_short")))
+        .drop("said", "flags")
+    )
+    cut = split_spans(spoken, "spoken").withColumn("spans", F.when(agreed, F.array("spoken")).otherwise(F.col("spans")))
+    read = read_spans(cut).withColumn("primary", F.get("anchor_refs", F.lit(0)))
     named = F.concat_ws(".", F.col("primary.anchor_type"), F.nullif(slug(F.col("primary.label")), F.lit("")))
     return read.select(
         "video_id",

@@ -18,7 +18,7 @@ from undertone.operators import research as R
 from undertone.operators import units as U
 from undertone.operators.ranking import min_max
 from undertone.plans.registry import query
-from undertone.plans.views import contexts, feedback, table
+from undertone.plans.views import CUES, contexts, feedback, table
 from undertone.session import settle
 
 
@@ -60,11 +60,6 @@ def joined_array(column: str):
     return F.array_join(F.col(column), ",").alias(column)
 
 
-@query("anchors_built")
-def _(spark, sf):
-    return A.anchors_table(contexts(spark, sf)).drop("tokens")
-
-
 @query("comments_enriched")
 def _(spark, sf):
     df = enriched(spark, sf)
@@ -546,3 +541,139 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
     return Q.fixed_count_clusters(vectors, 10)
+
+
+# -- text rules with an exact SQL twin ----------------------------------------
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _list_sql(names: list[str]) -> str:
+    return "[" + ", ".join(_quote(n) for n in names) + "]"
+
+
+_CUE_SQL = _list_sql(CUES)
+FEEDBACK_SQL = f"""feedback AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, conv_id || '-' || turn AS comment_id,
+  CASE WHEN length(text) % 11 = 0 THEN 'same' ELSE text || ({_CUE_SQL})[length(text) % {len(CUES)} + 1] END AS text
+  FROM conversations WHERE turn > 0)"""
+
+
+def _has(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {_quote(pattern)})"
+
+
+def _noise_sql(text: str, said: str) -> dict[str, str]:
+    count = f"len({said})"
+    return {
+        "emoji_only": f"(length(trim({text})) > 0 AND {count} = 0)",
+        "ultra_short": f"({count} <= 2 AND NOT (length(trim({text})) > 0 AND {count} = 0))",
+        "reaction_only": f"({count} > 0 AND len(list_filter({said}, lambda w: NOT list_contains({_list_sql(L.REACTION_WORDS)}, w))) = 0)",
+        "spam": _has(text, L.SPAM_CUES),
+    }
+
+
+_INTENT_SQL = f"""CASE WHEN {_has('text', L.SPAM_CUES)} THEN 'spam' WHEN {_has('text', L.LAUGHTER)} THEN 'joke'
+  WHEN {_noise_sql('text', 'said')['reaction_only']} THEN CASE WHEN {_has('text', L.AGREEMENT)} THEN 'agreement' ELSE 'reaction' END
+  WHEN ends_with(rtrim(text), '?') OR {_has('text', L.QUESTION_START)} THEN 'question'
+  WHEN {_has('text', L.DISAGREEMENT)} THEN 'disagreement' WHEN {_has('text', L.AGREEMENT)} THEN 'agreement'
+  WHEN {_has('text', L.CORRECTION)} THEN 'correction' WHEN {_has('text', L.ADVICE)} THEN 'advice'
+  WHEN {_has('text', L.CRITICISM_CUES)} THEN 'criticism' WHEN {_has('text', L.PRAISE_CUES)} THEN 'praise'
+  WHEN {_has('text', L.META)} THEN 'meta' ELSE 'other' END"""
+
+
+@query(
+    "comment_intents",
+    f"""WITH {FEEDBACK_SQL}, w AS (SELECT *, {_words_sql('text')} AS said FROM feedback)
+    SELECT comment_id, {_INTENT_SQL} AS intent FROM w""",
+)
+def _(spark, sf):
+    said = feedback(spark, sf).withColumn("said", TK.words(F.col("text")))
+    return said.select("comment_id", N.comment_intent("said").alias("intent"))
+
+
+# DuckDB has no look-around, so cuts are marked first and split after.
+_PIECES_SQL = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text,
+  '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), '\s+((?i:but|however|although|though)\b)', chr(1) || '\1', 'g'), chr(1)),
+  lambda x: trim(x)), lambda x: length(x) > 0)"""
+
+
+def _count_sql(said: str, names: list[str]) -> str:
+    return f"len(list_filter({said}, lambda w: list_contains({_list_sql(names)}, w)))"
+
+
+_SPAN_SQL = f"""{FEEDBACK_SQL}, cut AS (SELECT comment_id, {_PIECES_SQL} AS p FROM feedback),
+  opened AS (SELECT *, {_words_sql('p[1]')} AS opening FROM cut),
+  kept AS (SELECT comment_id, CASE WHEN len(p) > 1 AND len(opening) <= 3 AND {_count_sql('opening', L.POSITIVE_WORDS)} > 0
+      AND NOT ends_with(p[1], '?') THEN p[2:] ELSE p END AS p FROM opened),
+  spans AS (SELECT comment_id, CASE WHEN len(p) > 3 THEN list_concat(p[1:2], [array_to_string(p[3:], ' ')]) ELSE p END AS s FROM kept),
+  each AS (SELECT comment_id, unnest(s) AS span, generate_subscripts(s, 1) - 1 AS piece FROM spans),
+  worded AS (SELECT *, {_words_sql('span')} AS said, {_tokens_sql('span')} AS tokens FROM each),
+  felt AS (SELECT *, {_count_sql('said', L.POSITIVE_WORDS)} > 0 AND NOT {_has('span', L.NEGATIVE_PHRASES)} AS good,
+      {_count_sql('said', L.NEGATIVE_WORDS)} > 0 OR {_has('span', L.NEGATIVE_PHRASES)} AS bad FROM worded)"""
+_STANCE_SQL = f"""CASE WHEN {_has('span', L.LAUGHTER)} OR ({_has('span', L.LAUGHTER_INSIDE)} AND NOT good AND NOT bad) THEN 'humor'
+  WHEN ends_with(rtrim(span), '?') THEN 'question' WHEN good AND bad THEN 'mixed' WHEN good THEN 'positive' WHEN bad THEN 'negative'
+  WHEN {_has('span', L.REQUEST)} THEN 'request' WHEN len(tokens) >= 3 THEN 'observation' ELSE 'other' END"""
+_FLAGS_SQL = "concat_ws(',', " + ", ".join(
+    f"CASE WHEN {test} THEN '{name}' END" for name, test in _noise_sql("span", "said").items()
+) + ")"
+
+
+@query(
+    "comment_spans",
+    f"""WITH {_SPAN_SQL}, f AS (SELECT *, {_STANCE_SQL} AS stance, {_FLAGS_SQL} AS noise_flags FROM felt)
+    SELECT comment_id, piece, md5(span) AS span_md5, stance, noise_flags,
+      round(CASE WHEN noise_flags <> '' THEN least(0.95, 0.15 + 0.1 * len(tokens)) / 2 ELSE least(0.95, 0.15 + 0.1 * len(tokens)) END, 3) AS density,
+      CASE WHEN contains(noise_flags, 'spam') THEN 'spam'
+        WHEN contains(noise_flags, 'emoji_only') OR contains(noise_flags, 'reaction_only') THEN 'reaction_only'
+        WHEN stance = 'humor' THEN 'humor' WHEN stance IN ('question', 'request') THEN 'question'
+        WHEN contains(noise_flags, 'ultra_short') AND stance IN ('other', 'observation') THEN 'mixed_noise' ELSE 'opinion' END AS cluster_type
+    FROM f""",
+)
+def _(spark, sf):
+    df = U.read_spans(U.split_spans(feedback(spark, sf).select("comment_id", "text"), "text"))
+    return df.select(
+        "comment_id", "piece", F.md5("span").alias("span_md5"), "stance", joined_array("noise_flags"),
+        U.semantic_density(F.col("tokens"), F.col("noise_flags")).alias("density"),
+        U.cluster_type(F.col("stance"), F.col("noise_flags")).alias("cluster_type"),
+    )
+
+
+def _slug_sql(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+def _at_sql(number: str) -> str:
+    return f"'0:' || lpad(CAST({number} AS VARCHAR), 2, '0')"
+
+
+_CONTEXT_SQL = r"""cut AS (SELECT CAST(conv_id AS VARCHAR) AS v, text, role, list_filter(list_transform(string_split(regexp_replace(
+      regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 0) AS s
+    FROM conversations WHERE turn = 0),
+  parts AS (SELECT v, role, s, list_filter(s, lambda x, i: (i - 1) % 2 = 1) AS moments, list_filter(s, lambda x, i: (i - 1) % 3 = 0) AS steps,
+      list_filter(list_transform(s, lambda x: regexp_extract(x, '([\p{L}]+)', 1)), lambda x: length(x) > 2) AS names,
+      list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
+                  lambda x: length(x) >= 12 AND len(regexp_split_to_array(x, '\s+')) >= 3)[1:12] AS lines,
+      list_filter(list_filter(s, lambda x, i: (i - 1) % 4 = 2), lambda x: length(trim(x)) >= 3)[1:15] AS shown FROM cut)"""
+_ANCHOR_SQL = f"""WITH {_CONTEXT_SQL}, a AS (
+  SELECT v AS video_id, v || '_global_video' AS anchor_id, 'global_video' AS anchor_type, 'summary' AS source_field,
+    coalesce(nullif(s[1], ''), 'Video-wide discussion') AS label, NULL AS starts_at, NULL AS ends_at FROM parts
+  UNION ALL SELECT v, v || '_moment_0_00_' || {_slug_sql('s[2]')}, 'controversy', 'controversialMoments', s[2], '0:00', NULL FROM parts WHERE len(s) > 1
+  UNION ALL SELECT v, v || '_moment_' || {_slug_sql('t')} || '_' || {_slug_sql('d')}, 'moment', 'keyMoments', d, t, NULL FROM (
+    SELECT v, unnest(moments) AS d, {_at_sql('(generate_subscripts(moments, 1) - 1) * 10')} AS t, s FROM parts) WHERE NOT (t = '0:00' AND d = s[2])
+  UNION ALL SELECT v, v || '_timeline_' || {_slug_sql('t')} || '_' || {_slug_sql('d')}, 'timeline_segment', 'timeline', d, t, e FROM (
+    SELECT v, unnest(steps) AS d, {_at_sql('(generate_subscripts(steps, 1) - 1) * 20')} AS t, {_at_sql('generate_subscripts(steps, 1) * 20')} AS e FROM parts)
+  UNION ALL SELECT v, v || '_person_' || {_slug_sql('role')}, 'entity', 'keyEntities', role, NULL, NULL FROM parts
+  UNION ALL SELECT v, v || '_object_' || {_slug_sql('n')}, 'entity', 'keyEntities', n, NULL, NULL FROM (SELECT v, unnest(list_distinct(names)) AS n FROM parts)
+  UNION ALL SELECT v, v || '_quote_' || i || '_' || {_slug_sql('d')}, 'spoken_quote', 'transcript', d, NULL, NULL FROM (
+    SELECT v, unnest(lines) AS d, generate_subscripts(lines, 1) - 1 AS i FROM parts)
+  UNION ALL SELECT v, v || '_visual_' || i || '_' || {_slug_sql('d')}, 'visual_text', 'visualText', d, NULL, NULL FROM (
+    SELECT v, unnest(shown) AS d, generate_subscripts(shown, 1) - 1 AS i FROM parts)
+  UNION ALL SELECT v, v || '_cta_0_' || {_slug_sql('d')}, 'cta', 'callsToAction', d, NULL, NULL FROM (
+    SELECT v, 'Ask about ' || coalesce(names[1], 'it') AS d FROM parts))
+  SELECT * FROM a"""
+
+
+@query("anchors_built", _ANCHOR_SQL)
+def _(spark, sf):
+    return A.anchors_table(contexts(spark, sf)).drop("tokens", "plain", "ordinal")
