@@ -60,20 +60,6 @@ def joined_array(column: str):
     return F.array_join(F.col(column), ",").alias(column)
 
 
-@query("comments_enriched")
-def _(spark, sf):
-    df = enriched(spark, sf)
-    primary = F.get("anchor_refs", F.lit(0))
-    return N.with_provenance(
-        df.select(
-            "video_id", "comment_id", "target_type", "comment_intent", "rewrite_applied", "inherits",
-            primary["anchor_id"].alias("primary_anchor"), F.size("anchor_refs").alias("anchors"),
-            "grounding_confidence", joined_array("ambiguity_flags"), F.md5("resolved_text").alias("resolved_md5"),
-            "engagement_score",
-        )
-    )
-
-
 @query("opinion_units")
 def _(spark, sf):
     return units(spark, sf).select(
@@ -677,3 +663,106 @@ _ANCHOR_SQL = f"""WITH {_CONTEXT_SQL}, a AS (
 @query("anchors_built", _ANCHOR_SQL)
 def _(spark, sf):
     return A.anchors_table(contexts(spark, sf)).drop("tokens", "plain", "ordinal")
+
+
+# -- grounding ----------------------------------------------------------------
+
+_KINDS = list(N.TYPE_WEIGHTS)
+
+
+def _kind_sql(index: int) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {w[index]}::DOUBLE" for k, w in N.TYPE_WEIGHTS.items())
+    return f"CASE anchor_type {cases} END"
+
+
+def _spaced_sql(said: str) -> str:
+    return f"' ' || array_to_string({said}, ' ') || ' '"
+
+
+# Place of the anchor kinds in a content's list, and of an anchor within its kind.
+_PLACED_SQL = f"""anchors AS (
+  SELECT v, 0 AS g, 0 AS i, v || '_global_video' AS anchor_id, 'global_video' AS anchor_type, coalesce(nullif(s[1], ''), 'Video-wide discussion') AS label FROM parts
+  UNION ALL SELECT v, 1, 0, v || '_moment_0_00_' || {_slug_sql('s[2]')}, 'controversy', s[2] FROM parts WHERE len(s) > 1
+  UNION ALL SELECT v, 2, i, v || '_moment_' || {_slug_sql('t')} || '_' || {_slug_sql('d')}, 'moment', d FROM (
+    SELECT v, unnest(moments) AS d, generate_subscripts(moments, 1) AS i, {_at_sql('(generate_subscripts(moments, 1) - 1) * 10')} AS t, s FROM parts) WHERE NOT (t = '0:00' AND d = s[2])
+  UNION ALL SELECT v, 3, i, v || '_timeline_' || {_slug_sql('t')} || '_' || {_slug_sql('d')}, 'timeline_segment', d FROM (
+    SELECT v, unnest(steps) AS d, generate_subscripts(steps, 1) AS i, {_at_sql('(generate_subscripts(steps, 1) - 1) * 20')} AS t FROM parts)
+  UNION ALL SELECT v, 4, 0, v || '_person_' || {_slug_sql('role')}, 'entity', role FROM parts
+  UNION ALL SELECT v, 5, list_position(names, n), v || '_object_' || {_slug_sql('n')}, 'entity', n FROM (SELECT v, names, unnest(list_distinct(names)) AS n FROM parts)
+  UNION ALL SELECT v, 6, i, v || '_quote_' || (i - 1) || '_' || {_slug_sql('d')}, 'spoken_quote', d FROM (
+    SELECT v, unnest(lines) AS d, generate_subscripts(lines, 1) AS i FROM parts)
+  UNION ALL SELECT v, 7, i, v || '_visual_' || (i - 1) || '_' || {_slug_sql('d')}, 'visual_text', d FROM (
+    SELECT v, unnest(shown) AS d, generate_subscripts(shown, 1) AS i FROM parts)
+  UNION ALL SELECT v, 8, 0, v || '_cta_0_' || {_slug_sql('d')}, 'cta', d FROM (SELECT v, 'Ask about ' || coalesce(names[1], 'it') AS d FROM parts))"""
+
+_GROUND_SQL = f"""{FEEDBACK_SQL}, {_CONTEXT_SQL}, {_PLACED_SQL},
+  told AS (SELECT f.*, {_words_sql('f.text')} AS said, {_tokens_sql('f.text')} AS tokens,
+      CASE WHEN turn > 2 THEN conv_id || '-' || ((turn - 1) // 2) END AS parent, length(bin(turn + 1)) - 2 AS depth
+    FROM feedback f JOIN (SELECT conv_id, turn, conv_id || '-' || turn AS comment_id FROM conversations) USING (comment_id)),
+  meant AS (SELECT *, {_INTENT_SQL} AS intent, {_spaced_sql('said')} AS plain, {_has('text', L.VAGUE_REFERENCE)} AS vague FROM told),
+  named AS (SELECT *, {_tokens_sql('label')} AS a_tokens, {_spaced_sql(_words_sql('label'))} AS a_plain FROM anchors),
+  pairs AS (SELECT m.comment_id, n.*, m.vague, m.plain, len(m.tokens) AS nc, len(a_tokens) AS na,
+      len(list_intersect(m.tokens, a_tokens)) AS shared FROM meant m JOIN named n ON m.video_id = n.v),
+  based AS (SELECT *, least(0.98::DOUBLE, (coalesce({N.ANCHOR_SHARE}::DOUBLE * shared / nullif(na, 0), 0) + coalesce({N.COMMENT_SHARE}::DOUBLE * shared / nullif(nc, 0), 0)
+      + CASE WHEN na >= 2 AND contains(plain, a_plain) THEN {N.CONTAINED_BONUS}::DOUBLE ELSE 0::DOUBLE END) * {_kind_sql(0)}) AS base FROM pairs),
+  scored AS (SELECT *, round(greatest(base, CASE WHEN vague AND anchor_type IN ('controversy', 'moment') THEN {N.VAGUE_SCORE}::DOUBLE ELSE 0::DOUBLE END), 3) AS confidence FROM based),
+  ranked AS (SELECT comment_id, anchor_id, confidence, row_number() OVER (PARTITION BY comment_id ORDER BY -(confidence + {_kind_sql(1)}), g, i) AS r
+    FROM scored WHERE confidence >= {N.MIN_SCORE}),
+  own AS (SELECT comment_id, max(CASE WHEN r = 1 THEN anchor_id END) AS anchor_id, max(CASE WHEN r = 1 THEN confidence END) AS confidence,
+      count(*) AS refs FROM ranked WHERE r <= 3 GROUP BY comment_id),
+  grounded AS (SELECT m.*, CASE WHEN refs IS NOT NULL THEN anchor_id WHEN general THEN video_id || '_global_video' END AS anchor_id,
+      CASE WHEN refs IS NOT NULL THEN confidence WHEN general THEN {N.GENERIC_SCORE}::DOUBLE END AS confidence,
+      CASE WHEN refs IS NOT NULL THEN refs WHEN general THEN 1 ELSE 0 END AS refs
+    FROM (SELECT *, {_has('text', L.CONTENT_NOUNS)} AND intent IN ('praise', 'criticism') AS general FROM meant) m LEFT JOIN own USING (comment_id))"""
+
+
+@query("comments_grounded", f"WITH {_GROUND_SQL} SELECT comment_id, anchor_id AS primary_anchor, confidence, refs AS anchors FROM grounded")
+def _(spark, sf):
+    df = N.ground(feedback(spark, sf), A.with_anchors(contexts(spark, sf)))
+    primary = F.get("anchor_refs", F.lit(0))
+    return df.select(
+        "comment_id", primary["anchor_id"].alias("primary_anchor"), primary["confidence"].alias("confidence"),
+        F.size("anchor_refs").alias("anchors"),
+    )
+
+
+_ENRICHED_SQL = f"""{_GROUND_SQL},
+  leaning AS (SELECT comment_id, parent FROM grounded WHERE parent IS NOT NULL AND (refs = 0 OR (intent = 'agreement' AND len(tokens) <= 2))),
+  walk AS (SELECT comment_id, parent AS target, 1 AS hops FROM leaning
+    UNION ALL SELECT w.comment_id, l.parent, w.hops + 1 FROM walk w JOIN leaning l ON w.target = l.comment_id),
+  ends AS (SELECT comment_id, arg_max(target, hops) AS target, max(hops) AS hops FROM walk GROUP BY comment_id),
+  known AS (SELECT g.*, e.hops, s.comment_id IS NOT NULL AS inherits, s.text AS s_text, s.anchor_id AS s_anchor, s.confidence AS s_confidence, s.refs AS s_refs
+    FROM grounded g LEFT JOIN ends e USING (comment_id) LEFT JOIN grounded s ON e.target = s.comment_id),
+  final AS (SELECT *, CASE WHEN inherits AND s_refs > 0 THEN s_anchor ELSE anchor_id END AS p,
+      CASE WHEN inherits AND s_refs > 0 THEN s_refs ELSE refs END AS n,
+      coalesce(CASE WHEN inherits AND s_refs > 0 THEN round(s_confidence * pow({N.INHERITED_SHARE}::DOUBLE, hops), 3) ELSE confidence END, {N.UNGROUNDED}::DOUBLE) AS c,
+      inherits AND intent = 'agreement' AS agrees FROM known),
+  sured AS (SELECT *, c >= {N.REWRITE_FROM} AND p IS NOT NULL AS sure FROM final)"""
+_AMBIGUITY_SQL = f"""concat_ws(',',
+  CASE WHEN {_has('text', L.BARE_PRONOUN)} AND p IS NOT NULL AND NOT agrees AND c <= 0.4 THEN 'unclear_pronoun' END,
+  CASE WHEN {_has('text', L.VAGUE_TIME)} AND c < {N.REWRITE_FROM} THEN 'unclear_time_reference' END,
+  CASE WHEN {_has('text', L.PERSON_PRONOUN)} AND depth > 0 AND NOT inherits AND c < {N.REWRITE_FROM} THEN 'reply_target_ambiguous' END,
+  CASE WHEN p IS NULL THEN 'video_anchor_not_found' END, CASE WHEN c <= 0.4 THEN 'multi_interpretation_possible' END)"""
+
+
+@query(
+    "comments_enriched",
+    f"""WITH RECURSIVE {_ENRICHED_SQL} SELECT video_id, comment_id, intent AS comment_intent, p AS primary_anchor, n AS anchors,
+      c AS grounding_confidence, inherits, agrees OR sure AS rewrite_applied, {_AMBIGUITY_SQL} AS ambiguity_flags,
+      CASE WHEN parent IS NULL THEN 'video' WHEN inherits THEN 'parent_comment' WHEN n > 0 THEN 'video' WHEN depth > 1 THEN 'thread' ELSE 'unclear' END AS target_type,
+      CASE WHEN agrees THEN md5('I agree with the parent comment about ' || regexp_replace(s_text, '[.\\s]+$', '') || '.')
+           WHEN NOT sure THEN md5(text) END AS resolved_md5,
+      '{L.RULES_VERSION}' AS enrichment_model, 'none' AS prompt_version, '1.0.0' AS schema_version FROM sured""",
+)
+def _(spark, sf):
+    df = enriched(spark, sf)
+    primary = F.get("anchor_refs", F.lit(0))
+    sure_only = F.col("rewrite_applied") & ~(F.col("inherits") & (F.col("comment_intent") == "agreement"))
+    return N.with_provenance(
+        df.select(
+            "video_id", "comment_id", "target_type", "comment_intent", "rewrite_applied", "inherits",
+            primary["anchor_id"].alias("primary_anchor"), F.size("anchor_refs").alias("anchors"),
+            "grounding_confidence", joined_array("ambiguity_flags"),
+            F.when(~sure_only, F.md5("resolved_text")).alias("resolved_md5"),
+        )
+    )
