@@ -151,7 +151,7 @@ def build_meta_clusters(members: DataFrame, units: DataFrame, clusters: DataFram
 
     ``members`` comes from ``meta_members``, ``units`` carry ``cluster_key``.
     """
-    best = F.struct(F.col("importance"), F.xxhash64("cluster_key"), F.col("cluster_key"))
+    best = F.struct("importance", "cluster_key")
     summed = members.groupBy("meta_key").agg(
         F.count(F.lit(1)).alias("local_clusters"),
         F.count_distinct("video_id").alias("videos"),

@@ -27,7 +27,7 @@ def hub_links(nodes: DataFrame, scope: list[str], threshold: float, prefix_at: f
         *scope, "node", "weight", F.explode(TK.prefix_tokens(F.col("tokens"), prefix_at)).alias("token")
     )
     hubs = keyed.groupBy(*scope, "token").agg(
-        F.max_by("node", F.struct("weight", F.xxhash64("node"), "node")).alias("hub")
+        F.max_by("node", F.struct("weight", "node")).alias("hub")
     )
     # Only ids travel until a candidate is certain; a long text is then read twice, not once per token.
     candidates = (

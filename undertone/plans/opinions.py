@@ -60,34 +60,11 @@ def joined_array(column: str):
     return F.array_join(F.col(column), ",").alias(column)
 
 
-@query("opinion_units")
-def _(spark, sf):
-    return units(spark, sf).select(
-        "video_id", "comment_id", "unit_id", "aspect_key", "stance", "intent", "evidence_source", "cluster_type",
-        "grounding_confidence", "semantic_density", joined_array("noise_flags"), F.md5("span").alias("span_md5"),
-    )
-
-
-@query("aspect_buckets")
-def _(spark, sf):
-    return U.aspect_buckets(units(spark, sf))
-
-
-@query("local_clusters")
-def _(spark, sf):
-    return clusters_of(spark, sf).drop("cluster_key")
-
-
 @query("local_clusters_merged")
 def _(spark, sf):
     return C.build_clusters(C.merge_clusters(members(spark, sf))).drop("cluster_key")
 
 
-@query("local_insights")
-def _(spark, sf):
-    return I.local_insights(clusters_of(spark, sf)).drop("cluster_key")
-
-
 @query("cluster_representatives")
 def _(spark, sf):
     return C.representatives(members(spark, sf)).drop("cluster_key")
@@ -98,13 +75,6 @@ def _(spark, sf):
     return C.stance_profile(members(spark, sf)).groupBy("dominant_stance").agg(F.count(F.lit(1)).alias("clusters"))
 
 
-@query("content_reports")
-def _(spark, sf):
-    u = members(spark, sf)
-    df = I.content_reports(feedback(spark, sf), u, clusters_of(spark, sf))
-    return df.withColumn("themes", F.array_join("themes", " | "))
-
-
 def _themes(spark, sf):
     return members(spark, sf), clusters_of(spark, sf), themes_of(spark, sf)
 
@@ -153,21 +123,6 @@ def _(spark, sf):
     return R.consensus(clusters_of(spark, sf))
 
 
-@query("category_insights")
-def _(spark, sf):
-    return R.category_insights(units(spark, sf))
-
-
-@query("category_quotes")
-def _(spark, sf):
-    return R.category_quotes(units(spark, sf), ["praise", "feature_requests"])
-
-
-@query("sentiment_by_content")
-def _(spark, sf):
-    return I.sentiment(units(spark, sf))
-
-
 # -- parts with an exact SQL twin ---------------------------------------------
 
 def _words_sql(text: str) -> str:
@@ -541,7 +496,8 @@ def _list_sql(names: list[str]) -> str:
 
 _CUE_SQL = _list_sql(CUES)
 FEEDBACK_SQL = f"""feedback AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, conv_id || '-' || turn AS comment_id,
-  CASE WHEN length(text) % 11 = 0 THEN 'same' ELSE text || ({_CUE_SQL})[length(text) % {len(CUES)} + 1] END AS text
+  CASE WHEN length(text) % 11 = 0 THEN 'same' ELSE text || ({_CUE_SQL})[length(text) % {len(CUES)} + 1] END AS text,
+  length(text) % 31 AS likes, length(text) % 3 AS reply_count, role || '_' || (conv_id % 211) AS author_id
   FROM conversations WHERE turn > 0)"""
 
 
@@ -706,14 +662,17 @@ _GROUND_SQL = f"""{FEEDBACK_SQL}, {_CONTEXT_SQL}, {_PLACED_SQL},
   based AS (SELECT *, least(0.98::DOUBLE, (coalesce({N.ANCHOR_SHARE}::DOUBLE * shared / nullif(na, 0), 0) + coalesce({N.COMMENT_SHARE}::DOUBLE * shared / nullif(nc, 0), 0)
       + CASE WHEN na >= 2 AND contains(plain, a_plain) THEN {N.CONTAINED_BONUS}::DOUBLE ELSE 0::DOUBLE END) * {_kind_sql(0)}) AS base FROM pairs),
   scored AS (SELECT *, round(greatest(base, CASE WHEN vague AND anchor_type IN ('controversy', 'moment') THEN {N.VAGUE_SCORE}::DOUBLE ELSE 0::DOUBLE END), 3) AS confidence FROM based),
-  ranked AS (SELECT comment_id, anchor_id, confidence, row_number() OVER (PARTITION BY comment_id ORDER BY -(confidence + {_kind_sql(1)}), g, i) AS r
+  ranked AS (SELECT comment_id, anchor_id, anchor_type, label, confidence, row_number() OVER (PARTITION BY comment_id ORDER BY -(confidence + {_kind_sql(1)}), g, i) AS r
     FROM scored WHERE confidence >= {N.MIN_SCORE}),
   own AS (SELECT comment_id, max(CASE WHEN r = 1 THEN anchor_id END) AS anchor_id, max(CASE WHEN r = 1 THEN confidence END) AS confidence,
-      count(*) AS refs FROM ranked WHERE r <= 3 GROUP BY comment_id),
-  grounded AS (SELECT m.*, CASE WHEN refs IS NOT NULL THEN anchor_id WHEN general THEN video_id || '_global_video' END AS anchor_id,
+      max(CASE WHEN r = 1 THEN anchor_type END) AS kind, max(CASE WHEN r = 1 THEN label END) AS label, count(*) AS refs FROM ranked WHERE r <= 3 GROUP BY comment_id),
+  grounded AS (SELECT m.*, CASE WHEN refs IS NOT NULL THEN own.anchor_id WHEN general THEN video_id || '_global_video' END AS anchor_id,
       CASE WHEN refs IS NOT NULL THEN confidence WHEN general THEN {N.GENERIC_SCORE}::DOUBLE END AS confidence,
+      CASE WHEN refs IS NOT NULL THEN kind WHEN general THEN 'global_video' END AS kind,
+      CASE WHEN refs IS NOT NULL THEN own.label WHEN general THEN overall.label END AS label,
       CASE WHEN refs IS NOT NULL THEN refs WHEN general THEN 1 ELSE 0 END AS refs
-    FROM (SELECT *, {_has('text', L.CONTENT_NOUNS)} AND intent IN ('praise', 'criticism') AS general FROM meant) m LEFT JOIN own USING (comment_id))"""
+    FROM (SELECT *, {_has('text', L.CONTENT_NOUNS)} AND intent IN ('praise', 'criticism') AS general FROM meant) m LEFT JOIN own USING (comment_id)
+    LEFT JOIN (SELECT v, label FROM anchors WHERE g = 0) overall ON overall.v = m.video_id)"""
 
 
 @query("comments_grounded", f"WITH {_GROUND_SQL} SELECT comment_id, anchor_id AS primary_anchor, confidence, refs AS anchors FROM grounded")
@@ -731,9 +690,12 @@ _ENRICHED_SQL = f"""{_GROUND_SQL},
   walk AS (SELECT comment_id, parent AS target, 1 AS hops FROM leaning
     UNION ALL SELECT w.comment_id, l.parent, w.hops + 1 FROM walk w JOIN leaning l ON w.target = l.comment_id),
   ends AS (SELECT comment_id, arg_max(target, hops) AS target, max(hops) AS hops FROM walk GROUP BY comment_id),
-  known AS (SELECT g.*, e.hops, s.comment_id IS NOT NULL AS inherits, s.text AS s_text, s.anchor_id AS s_anchor, s.confidence AS s_confidence, s.refs AS s_refs
+  known AS (SELECT g.*, e.hops, s.comment_id IS NOT NULL AS inherits, s.text AS s_text, s.anchor_id AS s_anchor, s.confidence AS s_confidence, s.refs AS s_refs,
+      s.kind AS s_kind, s.label AS s_label
     FROM grounded g LEFT JOIN ends e USING (comment_id) LEFT JOIN grounded s ON e.target = s.comment_id),
   final AS (SELECT *, CASE WHEN inherits AND s_refs > 0 THEN s_anchor ELSE anchor_id END AS p,
+      CASE WHEN inherits AND s_refs > 0 THEN s_kind ELSE kind END AS p_kind,
+      CASE WHEN inherits AND s_refs > 0 THEN s_label ELSE label END AS p_label,
       CASE WHEN inherits AND s_refs > 0 THEN s_refs ELSE refs END AS n,
       coalesce(CASE WHEN inherits AND s_refs > 0 THEN round(s_confidence * pow({N.INHERITED_SHARE}::DOUBLE, hops), 3) ELSE confidence END, {N.UNGROUNDED}::DOUBLE) AS c,
       inherits AND intent = 'agreement' AS agrees FROM known),
@@ -766,3 +728,203 @@ def _(spark, sf):
             F.when(~sure_only, F.md5("resolved_text")).alias("resolved_md5"),
         )
     )
+
+
+# -- units --------------------------------------------------------------------
+
+_UNITS_SQL = f"""{_ENRICHED_SQL},
+  spoke AS (SELECT *, CASE WHEN agrees THEN 'I agree with the parent comment about ' || regexp_replace(s_text, '[.\\s]+$', '') || '.'
+      ELSE text END AS spoken FROM (SELECT * RENAME (said AS t_said, tokens AS t_tokens, plain AS t_plain) FROM sured)),
+  heard AS (SELECT *, {_words_sql('spoken')} AS said FROM spoke WHERE length(trim(spoken)) > 0),
+  loud AS (SELECT * EXCLUDE (said) FROM heard WHERE NOT ({_noise_sql('spoken', 'said')['reaction_only']} AND {_noise_sql('spoken', 'said')['ultra_short']})),
+  cut_up AS (SELECT *, {_PIECES_SQL.replace('regexp_replace(text,', 'regexp_replace(spoken,')} AS pp FROM loud),
+  opened AS (SELECT *, {_words_sql('pp[1]')} AS opening FROM cut_up),
+  kept AS (SELECT *, CASE WHEN len(pp) > 1 AND len(opening) <= 3 AND {_count_sql('opening', L.POSITIVE_WORDS)} > 0
+      AND NOT ends_with(pp[1], '?') THEN pp[2:] ELSE pp END AS q FROM opened),
+  spans AS (SELECT *, CASE WHEN agrees THEN [spoken] WHEN len(q) > 3 THEN list_concat(q[1:2], [array_to_string(q[3:], ' ')]) ELSE q END AS sp FROM kept),
+  each AS (SELECT * EXCLUDE (sp, q, pp, opening), unnest(sp) AS span, generate_subscripts(sp, 1) AS piece FROM spans),
+  worded AS (SELECT *, {_words_sql('span')} AS said, {_tokens_sql('span')} AS tokens FROM each),
+  felt AS (SELECT *, {_count_sql('said', L.POSITIVE_WORDS)} > 0 AND NOT {_has('span', L.NEGATIVE_PHRASES)} AS good,
+      {_count_sql('said', L.NEGATIVE_WORDS)} > 0 OR {_has('span', L.NEGATIVE_PHRASES)} AS bad FROM worded),
+  stanced AS (SELECT *, {_STANCE_SQL} AS stance, {_FLAGS_SQL} AS noise_flags FROM felt),
+  units AS (SELECT video_id, comment_id, comment_id || '_unit_' || piece AS unit_id, author_id, span, tokens, depth,
+    coalesce(p_label, 'Video-wide discussion') AS aspect_label,
+    CASE WHEN p IS NULL THEN '{U.WIDE_ASPECT}' ELSE concat_ws('.', p_kind, nullif({_slug_sql('p_label')}, '')) END AS aspect_key, stance,
+    CASE WHEN stance IN ('question', 'request') THEN 'information_request' WHEN intent = 'joke' OR stance = 'humor' THEN 'joke'
+      WHEN intent = 'agreement' THEN 'agreement' WHEN intent IN ('correction', 'disagreement') THEN 'disagreement' WHEN intent = 'advice' THEN 'advice'
+      WHEN {_has('span', L.CONFUSION)} THEN 'confusion' WHEN stance IN ('positive', 'negative', 'mixed') THEN 'feedback' ELSE 'other' END AS intent,
+    CASE WHEN inherits THEN 'parent_comment' WHEN depth > 0 THEN 'thread_context' ELSE 'video' END AS evidence_source,
+    CASE WHEN contains(noise_flags, 'spam') THEN 'spam'
+      WHEN contains(noise_flags, 'emoji_only') OR contains(noise_flags, 'reaction_only') THEN 'reaction_only'
+      WHEN stance = 'humor' THEN 'humor' WHEN stance IN ('question', 'request') THEN 'question'
+      WHEN contains(noise_flags, 'ultra_short') AND stance IN ('other', 'observation') THEN 'mixed_noise' ELSE 'opinion' END AS cluster_type,
+    c AS grounding_confidence, noise_flags,
+    round(CASE WHEN noise_flags <> '' THEN least(0.95, 0.15 + 0.1 * len(tokens)) / 2 ELSE least(0.95, 0.15 + 0.1 * len(tokens)) END, 3) AS semantic_density,
+    round(ln(1 + likes) + 1.5 * ln(1 + reply_count), 3) AS engagement_score FROM stanced)"""
+
+
+@query(
+    "opinion_units",
+    f"""WITH RECURSIVE {_UNITS_SQL} SELECT video_id, comment_id, unit_id, aspect_key, stance, intent, evidence_source, cluster_type,
+      grounding_confidence, semantic_density, noise_flags, md5(span) AS span_md5, engagement_score FROM units""",
+)
+def _(spark, sf):
+    return units(spark, sf).select(
+        "video_id", "comment_id", "unit_id", "aspect_key", "stance", "intent", "evidence_source", "cluster_type",
+        "grounding_confidence", "semantic_density", joined_array("noise_flags"), F.md5("span").alias("span_md5"),
+        "engagement_score",
+    )
+
+
+@query(
+    "aspect_buckets",
+    f"""WITH RECURSIVE {_UNITS_SQL} SELECT video_id, aspect_key, count(*) AS units, count(DISTINCT author_id) AS authors,
+      round(sum(engagement_score), 3) AS engagement FROM units GROUP BY ALL""",
+)
+def _(spark, sf):
+    return U.aspect_buckets(units(spark, sf))
+
+
+@query(
+    "sentiment_by_content",
+    f"""WITH RECURSIVE {_UNITS_SQL}, n AS (SELECT video_id, count(*) FILTER (stance = 'positive') AS positive_units,
+      count(*) FILTER (stance = 'negative') AS negative_units FROM units GROUP BY video_id)
+    SELECT *, CASE WHEN negative_units > positive_units THEN 'negative' WHEN positive_units > negative_units THEN 'positive'
+      WHEN positive_units > 0 THEN 'mixed' ELSE 'neutral' END AS sentiment FROM n""",
+)
+def _(spark, sf):
+    return I.sentiment(units(spark, sf))
+
+
+_CATEGORY_SQL = f"""{_UNITS_SQL}, categorized AS (""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS category, * FROM units WHERE {_has('span', cue)}" for name, cue in L.CATEGORIES.items()
+) + ")"
+
+
+@query(
+    "category_insights",
+    f"""WITH RECURSIVE {_CATEGORY_SQL} SELECT category, count(*) AS units, count(DISTINCT comment_id) AS comments,
+      count(DISTINCT author_id) AS authors, round(sum(engagement_score), 3) AS engagement, round(avg(grounding_confidence), 4) AS confidence
+    FROM categorized GROUP BY category""",
+)
+def _(spark, sf):
+    return R.category_insights(units(spark, sf))
+
+
+@query(
+    "category_quotes",
+    f"""WITH RECURSIVE {_CATEGORY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY engagement_score DESC, unit_id) AS rank
+      FROM categorized WHERE category IN ('praise', 'feature_requests'))
+    SELECT category, rank, unit_id, md5(span) AS quote_md5, engagement_score FROM r WHERE rank <= 3""",
+)
+def _(spark, sf):
+    df = R.category_quotes(units(spark, sf), ["praise", "feature_requests"])
+    return df.select("category", "rank", "unit_id", F.md5("quote").alias("quote_md5"), "engagement_score")
+
+
+# -- clusters -----------------------------------------------------------------
+
+def _linked_sql(nodes: str, scope: list[str], link_from: float, prefix_at: float, tag: str) -> str:
+    """Hub links and components of a CTE ``nodes`` (scope, node, tokens, weight)."""
+    listed = ", ".join(scope)
+    same = " AND ".join(f"k.{c} = h.{c}" for c in scope)
+    return f"""{tag}_keys AS (SELECT {listed}, node, weight, unnest(list_transform(list_sort(list_transform(tokens, lambda t: {{'h': md5(t), 't': t}})), lambda s: s.t)
+      [1:len(tokens) - CAST(ceil({prefix_at}::DOUBLE * len(tokens) - 1e-9) AS INT) + 1]) AS token FROM {nodes}),
+  {tag}_hubs AS (SELECT {listed}, token, node AS hub FROM (SELECT *, row_number() OVER (PARTITION BY {listed}, token ORDER BY weight DESC, node DESC) AS r
+      FROM {tag}_keys) WHERE r = 1),
+  {tag}_pairs AS (SELECT DISTINCT k.node, h.hub FROM {tag}_keys k JOIN {tag}_hubs h ON {same} AND k.token = h.token WHERE k.node <> h.hub),
+  {tag}_shared AS (SELECT p.*, len(a.tokens) AS na, len(b.tokens) AS nb, len(list_intersect(a.tokens, b.tokens)) AS n
+      FROM {tag}_pairs p JOIN {nodes} a ON p.node = a.node JOIN {nodes} b ON p.hub = b.node),
+  {tag}_links AS (SELECT node AS x, hub AS y FROM {tag}_shared WHERE (n / sqrt(na * nb) + n / (na + nb - n)) / 2 >= {link_from}::DOUBLE),
+  {tag}_both AS (SELECT x, y FROM {tag}_links UNION SELECT y, x FROM {tag}_links),
+  {tag}_reach AS (SELECT x, y FROM {tag}_both UNION SELECT r.x, b.y FROM {tag}_reach r JOIN {tag}_both b ON r.y = b.x),
+  {tag}_parts AS (SELECT x AS node, least(x, min(y)) AS component FROM {tag}_reach GROUP BY x)"""
+
+
+_WHOLE_SQL = f"list_contains({_list_sql(C.GROUPED_WHOLE)}, cluster_type)"
+_MEMBERS_SQL = f"""{_UNITS_SQL},
+  noded AS (SELECT *, md5(concat_ws(chr(1), video_id, aspect_key, cluster_type, stance, CASE WHEN {_WHOLE_SQL} THEN '*'
+      WHEN len(tokens) > 0 THEN array_to_string(list_sort(tokens), ' ') ELSE regexp_replace(lower(span), '\\s+', ' ', 'g') END)) AS node FROM units),
+  nodes AS (SELECT video_id, aspect_key, cluster_type, stance, node, max(engagement_score) AS weight, any_value(tokens) AS tokens
+      FROM noded WHERE NOT {_WHOLE_SQL} AND len(tokens) > 0 GROUP BY video_id, aspect_key, cluster_type, stance, node),
+  {_linked_sql('nodes', C.BUCKET, C.LINK_FROM, C.PREFIX_AT, 'u')},
+  members AS (SELECT noded.*, coalesce(component, node) AS cluster_key FROM noded LEFT JOIN u_parts USING (node))"""
+
+
+@query("cluster_members", f"WITH RECURSIVE {_MEMBERS_SQL} SELECT unit_id, cluster_key FROM members")
+def _(spark, sf):
+    return members(spark, sf).select("unit_id", "cluster_key")
+
+
+_CLUSTERS_SQL = f"""{_MEMBERS_SQL},
+  measured AS (SELECT cluster_key, video_id, aspect_key, cluster_type, stance, count(*) AS size, count(DISTINCT comment_id) AS comments,
+      count(DISTINCT author_id) AS unique_authors, round(sum(engagement_score), 3) AS total_engagement, avg(depth) AS reply_depth,
+      avg(grounding_confidence) AS avg_grounding, avg(semantic_density) AS avg_density, min(aspect_label) AS aspect_label
+    FROM members GROUP BY cluster_key, video_id, aspect_key, cluster_type, stance),
+  weighed AS (SELECT *, round({_IMPORTANCE_SQL}, 3) AS importance, round(size / sum(size) OVER w, 4) AS share
+    FROM measured WINDOW w AS (PARTITION BY video_id)),
+  plain AS (SELECT *, concat_ws('_', video_id, substr({_slug_sql('aspect_key')}, 1, 40), cluster_type, stance, size) AS plain_id FROM weighed),
+  clusters AS (SELECT * EXCLUDE (plain_id), CASE WHEN count(*) OVER (PARTITION BY plain_id) > 1 THEN plain_id || '_' || substr(cluster_key, 1, 8) ELSE plain_id END AS local_cluster_id,
+      {_case_sql(C.LABELS, C.LABELS['other'])} || aspect_label AS label, size || ' opinion units ' || {_case_sql(C.VERBS, C.VERBS['other'])} || ' ' || aspect_label || '.' AS summary,
+      list_contains({_list_sql(C.LOW_SIGNAL)}, cluster_type) AS low_signal, aspect_key = '{U.WIDE_ASPECT}' AS wide FROM plain)"""
+
+
+@query(
+    "local_clusters",
+    f"""WITH RECURSIVE {_CLUSTERS_SQL} SELECT local_cluster_id, video_id, aspect_key, cluster_type, stance, size, comments, unique_authors,
+      total_engagement, round(reply_depth, 4) AS reply_depth, round(avg_grounding, 4) AS avg_grounding, round(avg_density, 4) AS avg_density,
+      share, importance, label, summary, low_signal, wide FROM clusters""",
+)
+def _(spark, sf):
+    return clusters_of(spark, sf).select(
+        "local_cluster_id", "video_id", "aspect_key", "cluster_type", "stance", "size", "comments", "unique_authors", "total_engagement",
+        *[F.round(c, 4).alias(c) for c in ("reply_depth", "avg_grounding", "avg_density")],
+        "share", "importance", "label", "summary", "low_signal", "wide",
+    )
+
+
+_META_SQL = f"""{_CLUSTERS_SQL},
+  usable AS (SELECT * FROM clusters WHERE NOT low_signal AND NOT wide),
+  themes AS (SELECT stance, cluster_key AS node, {_tokens_sql('aspect_label')} AS tokens, importance AS weight FROM usable),
+  {_linked_sql('themes', ['stance'], I.META_LINK_FROM, I.META_PREFIX_AT, 'm')},
+  joined AS (SELECT usable.*, component AS meta_key, row_number() OVER (PARTITION BY component, video_id ORDER BY importance DESC, local_cluster_id) AS r
+      FROM usable JOIN m_parts ON cluster_key = node),
+  single AS (SELECT * FROM joined WHERE r = 1),
+  theme_members AS (SELECT * FROM single WHERE meta_key IN (SELECT meta_key FROM single GROUP BY meta_key HAVING count(*) > 1))"""
+
+
+@query("meta_members", f"WITH RECURSIVE {_META_SQL} SELECT meta_key, local_cluster_id, video_id FROM theme_members")
+def _(spark, sf):
+    return themes_of(spark, sf).select("meta_key", "local_cluster_id", "video_id")
+
+
+_INSIGHT_SQL = f"""{_CLUSTERS_SQL}, shown AS (SELECT * FROM clusters c WHERE NOT low_signal AND (NOT wide OR NOT EXISTS (
+      SELECT 1 FROM clusters d WHERE d.video_id = c.video_id AND NOT d.low_signal AND NOT d.wide))),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY importance DESC, local_cluster_id) AS rank FROM shown)"""
+
+
+@query(
+    "local_insights",
+    f"""WITH RECURSIVE {_INSIGHT_SQL} SELECT video_id || '_insight_' || rank AS insight_id, 'single_video' AS scope, video_id, label AS title, summary AS description,
+      {_case_sql(C.WHY_IT_MATTERS, C.WHY_OTHERWISE)} AS why_it_matters, importance AS importance_score, round(avg_grounding, 3) AS confidence, rank
+    FROM numbered WHERE rank <= 5""",
+)
+def _(spark, sf):
+    return I.local_insights(clusters_of(spark, sf)).drop("cluster_key")
+
+
+@query(
+    "content_reports",
+    f"""WITH RECURSIVE {_INSIGHT_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY importance DESC, local_cluster_id) AS n
+      FROM clusters WHERE NOT low_signal),
+    t AS (SELECT video_id, string_agg(label, ' | ' ORDER BY n) AS themes FROM top WHERE n <= 5 GROUP BY video_id),
+    p AS (SELECT video_id, count(*) FILTER (stance = 'positive') AS good_units, count(*) FILTER (stance = 'negative') AS bad_units FROM units GROUP BY video_id),
+    c AS (SELECT video_id, count(*) AS comment_count FROM feedback GROUP BY video_id),
+    s AS (SELECT video_id, summary FROM numbered WHERE rank = 1)
+    SELECT video_id, comment_count, CASE WHEN bad_units > good_units THEN 'negative' WHEN good_units > bad_units THEN 'positive'
+      WHEN good_units > 0 THEN 'mixed' ELSE 'neutral' END AS sentiment, coalesce(themes, '') AS themes, summary
+    FROM c LEFT JOIN p USING (video_id) LEFT JOIN t USING (video_id) LEFT JOIN s USING (video_id)""",
+)
+def _(spark, sf):
+    df = I.content_reports(feedback(spark, sf), members(spark, sf), clusters_of(spark, sf))
+    return df.withColumn("themes", F.array_join("themes", " | "))
