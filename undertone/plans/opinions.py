@@ -65,64 +65,10 @@ def _(spark, sf):
     return C.build_clusters(C.merge_clusters(members(spark, sf))).drop("cluster_key")
 
 
-@query("cluster_representatives")
-def _(spark, sf):
-    return C.representatives(members(spark, sf)).drop("cluster_key")
-
-
-@query("cluster_stances")
-def _(spark, sf):
-    return C.stance_profile(members(spark, sf)).groupBy("dominant_stance").agg(F.count(F.lit(1)).alias("clusters"))
-
-
 def _themes(spark, sf):
     return members(spark, sf), clusters_of(spark, sf), themes_of(spark, sf)
 
 
-@query("meta_clusters")
-def _(spark, sf):
-    u, clusters, themes = _themes(spark, sf)
-    return I.build_meta_clusters(themes, u, clusters).drop("meta_key")
-
-
-@query("meta_insights")
-def _(spark, sf):
-    u, clusters, themes = _themes(spark, sf)
-    return I.meta_insights(I.build_meta_clusters(themes, u, clusters))
-
-
-@query("meta_representatives")
-def _(spark, sf):
-    u, _, themes = _themes(spark, sf)
-    return I.meta_representatives(themes, u).drop("meta_key")
-
-
-@query("ask_index")
-def _(spark, sf):
-    return I.ask_index(clusters_of(spark, sf))
-
-
-@query("ask_negative_opinions")
-def _(spark, sf):
-    df = I.ask(clusters_of(spark, sf), stance=["negative"], cluster_type=["opinion"])
-    return df.select("local_cluster_id", "video_id", "intent", "size", "importance")
-
-
-@query("ask_auto")
-def _(spark, sf):
-    return I.ask_auto(clusters_of(spark, sf))
-
-
-@query("tension_map")
-def _(spark, sf):
-    return R.tension_map(clusters_of(spark, sf)).drop("positive_cluster", "negative_cluster")
-
-
-@query("consensus_by_aspect")
-def _(spark, sf):
-    return R.consensus(clusters_of(spark, sf))
-
-
 # -- parts with an exact SQL twin ---------------------------------------------
 
 def _words_sql(text: str) -> str:
@@ -454,30 +400,12 @@ def _(spark, sf):
 
 # -- answers ------------------------------------------------------------------
 
-@query("cluster_opinions_of_contents")
-def _(spark, sf):
-    asked = contexts(spark, sf).select("video_id")
-    df = Q.cluster_opinions(asked, members(spark, sf), clusters_of(spark, sf), 5)
-    return df.withColumn("examples", F.array_join("examples", " | "))
-
-
 @query("comments_enriched_on_request")
 def _(spark, sf):
     df = Q.enrich_contents(feedback(spark, sf), A.with_anchors(contexts(spark, sf)))
     return df.select("video_id", "comment_id", "comment_intent", "grounding_confidence")
 
 
-@query("content_analyses_deep")
-def _(spark, sf):
-    df = Q.analyze_contents(feedback(spark, sf), members(spark, sf), clusters_of(spark, sf), "deep")
-    return df.withColumn("themes", F.array_join("themes", " | "))
-
-
-@query("tension_evidence")
-def _(spark, sf):
-    return Q.tension_evidence(R.tension_map(clusters_of(spark, sf)), members(spark, sf))
-
-
 @query("fixed_count_clusters")
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
@@ -928,3 +856,192 @@ def _(spark, sf):
 def _(spark, sf):
     df = I.content_reports(feedback(spark, sf), members(spark, sf), clusters_of(spark, sf))
     return df.withColumn("themes", F.array_join("themes", " | "))
+
+
+# -- reading the clusters -----------------------------------------------------
+
+@query(
+    "ask_index",
+    f"""WITH RECURSIVE {_CLUSTERS_SQL} SELECT dimension, value, count(*) AS clusters FROM (
+      SELECT 'stance' AS dimension, stance AS value FROM clusters UNION ALL SELECT 'cluster_type', cluster_type FROM clusters
+      UNION ALL SELECT 'intent', CASE cluster_type WHEN 'question' THEN 'information_request' WHEN 'humor' THEN 'joke' WHEN 'opinion' THEN 'feedback' ELSE 'other' END FROM clusters
+      UNION ALL SELECT 'aspect_key', aspect_key FROM clusters UNION ALL SELECT 'scope', 'single_video' FROM clusters
+      UNION ALL SELECT 'scope', 'cross_video' FROM clusters) GROUP BY ALL""",
+)
+def _(spark, sf):
+    return I.ask_index(clusters_of(spark, sf))
+
+
+@query(
+    "ask_negative_opinions",
+    f"""WITH RECURSIVE {_CLUSTERS_SQL} SELECT local_cluster_id, video_id, 'feedback' AS intent, size, importance FROM clusters
+    WHERE stance = 'negative' AND cluster_type = 'opinion'""",
+)
+def _(spark, sf):
+    df = I.ask(clusters_of(spark, sf), stance=["negative"], cluster_type=["opinion"])
+    return df.select("local_cluster_id", "video_id", "intent", "size", "importance")
+
+
+@query(
+    "ask_auto",
+    f"""WITH RECURSIVE {_CLUSTERS_SQL} SELECT aspect_key, stance, count(*) AS clusters, CAST(sum(size) AS BIGINT) AS units,
+      count(DISTINCT video_id) AS videos, max(importance) AS importance FROM clusters WHERE NOT low_signal GROUP BY ALL""",
+)
+def _(spark, sf):
+    return I.ask_auto(clusters_of(spark, sf))
+
+
+_TENSION_SQL = f"""{_CLUSTERS_SQL}, sides AS (SELECT video_id, aspect_key,
+      CAST(coalesce(sum(size) FILTER (stance = 'positive'), 0) AS BIGINT) AS positive_units,
+      CAST(coalesce(sum(size) FILTER (stance = 'negative'), 0) AS BIGINT) AS negative_units FROM clusters WHERE NOT low_signal GROUP BY ALL),
+  tensions AS (SELECT *, round(least(positive_units, negative_units) / greatest(positive_units, negative_units), 4) AS balance
+      FROM sides WHERE least(positive_units, negative_units) > 0)"""
+
+
+@query("tension_map", f"WITH RECURSIVE {_TENSION_SQL} SELECT * FROM tensions")
+def _(spark, sf):
+    return R.tension_map(clusters_of(spark, sf)).drop("positive_cluster", "negative_cluster")
+
+
+_TOP_SQL = """ranked_members AS (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY engagement_score DESC, comment_id, unit_id) AS rank FROM members)"""
+
+
+@query(
+    "tension_evidence",
+    f"""WITH RECURSIVE {_TENSION_SQL}, {_TOP_SQL}, strongest AS (SELECT video_id, aspect_key, stance AS side, cluster_key,
+      row_number() OVER (PARTITION BY video_id, aspect_key, stance ORDER BY importance DESC, cluster_key DESC) AS n
+      FROM clusters WHERE NOT low_signal AND stance IN ('positive', 'negative'))
+    SELECT s.video_id, s.aspect_key, side, rank, comment_id, md5(span) AS quote_md5 FROM strongest s JOIN tensions t
+      ON s.video_id = t.video_id AND s.aspect_key = t.aspect_key JOIN ranked_members m USING (cluster_key) WHERE n = 1 AND rank <= 2""",
+)
+def _(spark, sf):
+    df = Q.tension_evidence(R.tension_map(clusters_of(spark, sf)), members(spark, sf))
+    return df.withColumn("quote_md5", F.md5("quote")).drop("quote")
+
+
+@query(
+    "consensus_by_aspect",
+    f"""WITH RECURSIVE {_CLUSTERS_SQL}, a AS (SELECT aspect_key, CAST(sum(size) AS BIGINT) AS units,
+      CAST(coalesce(sum(size) FILTER (stance = 'positive'), 0) AS BIGINT) AS positive,
+      CAST(coalesce(sum(size) FILTER (stance = 'negative'), 0) AS BIGINT) AS negative, count(DISTINCT video_id) AS videos
+      FROM clusters WHERE NOT low_signal GROUP BY aspect_key)
+    SELECT *, CASE WHEN positive + negative = 0 THEN 0 ELSE round(greatest(positive, negative) / (positive + negative), 4) END AS agreement,
+      CASE WHEN positive + negative = 0 THEN 'open' WHEN greatest(positive, negative) / (positive + negative) >= 0.75 THEN 'consensus'
+      ELSE 'controversy' END AS verdict FROM a""",
+)
+def _(spark, sf):
+    return R.consensus(clusters_of(spark, sf))
+
+
+@query(
+    "cluster_stances",
+    f"""WITH RECURSIVE {_MEMBERS_SQL}, n AS (SELECT cluster_key, stance, count(*) AS n FROM members GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY n DESC, stance DESC) AS b FROM n)
+    SELECT stance AS dominant_stance, count(*) AS clusters FROM r WHERE b = 1 GROUP BY stance""",
+)
+def _(spark, sf):
+    return C.stance_profile(members(spark, sf)).groupBy("dominant_stance").agg(F.count(F.lit(1)).alias("clusters"))
+
+
+@query(
+    "cluster_representatives",
+    f"""WITH RECURSIVE {_MEMBERS_SQL}, sizes AS (SELECT cluster_key, count(*) AS size FROM members GROUP BY ALL),
+    spread AS (SELECT cluster_key, unit_id, unnest(tokens) AS token FROM members),
+    used AS (SELECT cluster_key, token, count(*) AS n FROM spread GROUP BY ALL),
+    central AS (SELECT cluster_key, unit_id, round(avg(n / size), 6) AS centrality FROM spread JOIN used USING (cluster_key, token)
+      JOIN sizes USING (cluster_key) GROUP BY ALL),
+    m AS (SELECT members.*, coalesce(centrality, 0) AS centrality FROM members LEFT JOIN central USING (cluster_key, unit_id)),
+    picks AS (
+      SELECT *, 0 AS place, 'prototype' AS role, row_number() OVER (PARTITION BY cluster_key ORDER BY centrality DESC, engagement_score DESC, unit_id) AS n FROM m
+      UNION ALL SELECT *, 1, 'top_engagement', row_number() OVER (PARTITION BY cluster_key ORDER BY engagement_score DESC, grounding_confidence DESC, unit_id) FROM m
+      UNION ALL SELECT *, 2, 'dissent', row_number() OVER (PARTITION BY cluster_key ORDER BY centrality, engagement_score DESC, unit_id) FROM m WHERE stance = 'mixed'
+      UNION ALL SELECT *, 3, 'reply_chain', row_number() OVER (PARTITION BY cluster_key ORDER BY depth DESC, engagement_score DESC, unit_id) FROM m WHERE depth > 0),
+    once AS (SELECT *, row_number() OVER (PARTITION BY cluster_key, comment_id ORDER BY place) AS seen FROM picks WHERE n = 1)
+    SELECT video_id, place, role, comment_id, unit_id, engagement_score FROM once WHERE seen = 1""",
+)
+def _(spark, sf):
+    return C.representatives(members(spark, sf)).drop("cluster_key")
+
+
+def _analysis_sql(themes: int) -> str:
+    return f"""WITH RECURSIVE {_INSIGHT_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY importance DESC, local_cluster_id) AS n
+      FROM clusters WHERE NOT low_signal),
+    t AS (SELECT video_id, string_agg(label, ' | ' ORDER BY n) AS themes FROM top WHERE n <= {themes} GROUP BY video_id),
+    c AS (SELECT video_id, count(*) AS comment_count FROM feedback GROUP BY video_id),
+    s AS (SELECT video_id, summary FROM numbered WHERE rank = 1)
+    SELECT video_id, comment_count, coalesce(themes, '') AS themes, summary FROM c LEFT JOIN t USING (video_id) LEFT JOIN s USING (video_id)"""
+
+
+@query("content_analyses_deep", _analysis_sql(Q.DEPTH_THEMES["deep"]))
+def _(spark, sf):
+    df = Q.analyze_contents(feedback(spark, sf), members(spark, sf), clusters_of(spark, sf), "deep")
+    return df.withColumn("themes", F.array_join("themes", " | ")).drop("sentiment")
+
+
+@query(
+    "cluster_opinions_of_contents",
+    f"""WITH RECURSIVE {_CLUSTERS_SQL}, {_TOP_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY importance DESC, local_cluster_id) AS rank
+      FROM clusters WHERE NOT low_signal),
+    e AS (SELECT cluster_key, md5(string_agg(span, ' | ' ORDER BY rank)) AS examples_md5 FROM ranked_members WHERE rank <= 3 GROUP BY cluster_key),
+    t AS (SELECT video_id, count(DISTINCT comment_id) AS total_comments FROM members GROUP BY video_id),
+    v AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS video_id FROM conversations WHERE turn = 0)
+    SELECT v.video_id, coalesce(total_comments, 0) AS total_comments, rank, local_cluster_id, label, stance, size, importance, examples_md5,
+      CASE WHEN total_comments IS NULL THEN 'No comments found for clustering' END AS message
+    FROM v LEFT JOIN t ON v.video_id = t.video_id LEFT JOIN (SELECT * FROM r WHERE rank <= 5) r ON v.video_id = r.video_id LEFT JOIN e USING (cluster_key)""",
+)
+def _(spark, sf):
+    asked = contexts(spark, sf).select("video_id")
+    df = Q.cluster_opinions(asked, members(spark, sf), clusters_of(spark, sf), 5)
+    return df.withColumn("examples_md5", F.md5(F.array_join("examples", " | "))).drop("examples")
+
+
+# -- themes across contents ---------------------------------------------------
+
+_META_NORM_SQL = " + ".join(
+    f"{weight} * " + _norm_sql(column).replace("OVER w", "OVER ()") for column, weight in I.META_WEIGHTS.items()
+)
+_METAS_SQL = f"""{_META_SQL},
+  sums AS (SELECT meta_key, count(*) AS local_clusters, count(DISTINCT video_id) AS videos, sum(total_engagement) AS total_engagement,
+      round(avg(avg_grounding), 3) AS confidence, avg(reply_depth) AS reply_depth FROM theme_members GROUP BY meta_key),
+  lead AS (SELECT meta_key, aspect_key, aspect_label, stance FROM (SELECT *, row_number() OVER (PARTITION BY meta_key ORDER BY importance DESC, cluster_key DESC) AS b
+      FROM theme_members) WHERE b = 1),
+  people AS (SELECT meta_key, count(DISTINCT comment_id) AS comments, count(DISTINCT author_id) AS unique_authors,
+      avg(CASE WHEN members.stance = 'negative' THEN 1.0 ELSE 0.0 END) AS negative_share FROM members JOIN theme_members USING (cluster_key) GROUP BY meta_key),
+  rated AS (SELECT *, round(videos / (SELECT count(DISTINCT video_id) FROM clusters), 3) AS recurrence,
+      round(negative_share * (1.0 - negative_share) * 4 * 0.5 + least(reply_depth, 1.0) * 0.5, 3) AS controversy
+    FROM sums JOIN people USING (meta_key) JOIN lead USING (meta_key)),
+  metas AS (SELECT *, 'meta_' || substr(md5(meta_key), 1, 12) AS meta_cluster_id, round({_META_NORM_SQL}, 3) AS importance,
+      {_case_sql(I.RECURRING, I.RECURRING_OTHERWISE)} || aspect_label AS canonical_theme FROM rated)"""
+
+
+@query(
+    "meta_clusters",
+    f"""WITH RECURSIVE {_METAS_SQL} SELECT meta_cluster_id, canonical_theme, aspect_key AS canonical_aspect_key, stance AS canonical_stance,
+      local_clusters, videos, comments, unique_authors, round(total_engagement, 3) AS total_engagement, recurrence, controversy, confidence, importance,
+      canonical_theme || ' appears across ' || videos || ' videos and is supported by ' || local_clusters || ' related local clusters.' AS summary FROM metas""",
+)
+def _(spark, sf):
+    return I.build_meta_clusters(themes_of(spark, sf), members(spark, sf), clusters_of(spark, sf)).drop("meta_key")
+
+
+@query(
+    "meta_insights",
+    f"""WITH RECURSIVE {_METAS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY importance DESC, meta_cluster_id) AS rank FROM metas)
+    SELECT 'cross_video_insight_' || rank AS insight_id, 'cross_video' AS scope, meta_cluster_id, canonical_theme AS title,
+      {_case_sql(I.META_WHY, I.META_WHY_OTHERWISE)} AS why_it_matters, importance AS importance_score, confidence, rank FROM r WHERE rank <= 10""",
+)
+def _(spark, sf):
+    metas = I.build_meta_clusters(themes_of(spark, sf), members(spark, sf), clusters_of(spark, sf))
+    return I.meta_insights(metas).drop("description")
+
+
+@query(
+    "meta_representatives",
+    f"""WITH RECURSIVE {_META_SQL}, {_TOP_SQL}, s AS (SELECT meta_key, cluster_key, row_number() OVER (PARTITION BY meta_key ORDER BY importance DESC, local_cluster_id) AS c
+      FROM theme_members),
+    p AS (SELECT meta_key, comment_id, unit_id, video_id, row_number() OVER (PARTITION BY meta_key ORDER BY c, rank) AS position
+      FROM ranked_members JOIN s USING (cluster_key) WHERE c <= 2 AND rank <= 3)
+    SELECT position, comment_id, unit_id, video_id FROM p WHERE position <= 3""",
+)
+def _(spark, sf):
+    return I.meta_representatives(themes_of(spark, sf), members(spark, sf)).drop("meta_key")
