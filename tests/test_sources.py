@@ -2,13 +2,17 @@
 
 import json
 
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
-from undertone.operators import search, threads
+from undertone.operators import govern, search, threads
+from undertone.schemas import PLATFORMS, platform_dimension
 from undertone.sources import captures as K
 from undertone.sources import comments as M
 from undertone.sources import posts as P
+from undertone.sources import sinks
 from undertone.sources.responses import page_text
 
 AT = "2026-01-01 00:00:00"
@@ -171,3 +175,43 @@ def test_guards():
             search.check_limit(bad)
     assert search.check_limit(1) == 1 and search.check_limit(1000) == 1000
     assert search.per_platform_limit(30) == 5 and search.per_platform_limit(None) == 10
+
+
+def test_result_table_by_platform(spark):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/out"
+    df = P.normalize_posts(captures(spark, "moltbook", "posts", MOLTBOOK_SEARCH), "moltbook", "search")
+    sinks.write_result(df, path)
+    back = spark.read.parquet(path)
+    assert back.filter("platform = 'moltbook'").count() == 2
+
+
+def test_envelope_keeps_order_and_count(spark):
+    df = spark.createDataFrame([(str(i), i % 4) for i in range(12)], "id STRING, score INT")
+    row = sinks.result_envelope(df, 5, "posts", [F.desc("score"), F.col("id")], platform="reddit").first()
+    assert row["count"] == 5 and [p.id for p in row.posts] == ["11", "3", "7", "10", "2"]
+    empty = sinks.result_envelope(df.limit(0), 5, "posts", [F.desc("score")], platform="reddit").first()
+    assert empty["count"] == 0 and empty.posts == []
+
+
+def test_contract(spark):
+    good = P.normalize_posts(captures(spark, "moltbook", "posts", MOLTBOOK_SEARCH), "moltbook", "search")
+    assert govern.post_violations(good).count() == 0
+    bad = good.withColumn("engagement", F.col("engagement").withField("likes", F.lit(-1).cast("bigint")))
+    assert {r.rule for r in govern.post_violations(bad).collect()} == {"engagement.likes"}
+    missing = {r.platform for r in govern.missing_platforms(good, platform_dimension(spark)).collect()}
+    assert missing == set(PLATFORMS) - {"moltbook"}
+
+
+def test_unknown_platform_is_kept_for_inspection(spark):
+    assert P.unsupported(captures(spark, "friendster", "posts", {})).count() == 1
+
+
+def test_failed_source_does_not_stop_the_others(spark):
+    good = spark.range(3)
+
+    def broken():
+        raise OSError("gone")
+
+    union, found, errors = search.union_available({"a": lambda: good, "b": broken})
+    assert union.count() == 3 and found == {"a": True, "b": False} and errors == {"b": "gone"}
+    assert search.union_available({"b": broken}, "stop")[:2] == (None, {})

@@ -60,15 +60,6 @@ def joined_array(column: str):
     return F.array_join(F.col(column), ",").alias(column)
 
 
-@query("local_clusters_merged")
-def _(spark, sf):
-    return C.build_clusters(C.merge_clusters(members(spark, sf))).drop("cluster_key")
-
-
-def _themes(spark, sf):
-    return members(spark, sf), clusters_of(spark, sf), themes_of(spark, sf)
-
-
 # -- parts with an exact SQL twin ---------------------------------------------
 
 def _words_sql(text: str) -> str:
@@ -400,12 +391,6 @@ def _(spark, sf):
 
 # -- answers ------------------------------------------------------------------
 
-@query("comments_enriched_on_request")
-def _(spark, sf):
-    df = Q.enrich_contents(feedback(spark, sf), A.with_anchors(contexts(spark, sf)))
-    return df.select("video_id", "comment_id", "comment_intent", "grounding_confidence")
-
-
 @query("fixed_count_clusters")
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
@@ -1045,3 +1030,31 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return I.meta_representatives(themes_of(spark, sf), members(spark, sf)).drop("meta_key")
+
+
+@query(
+    "comments_enriched_on_request",
+    f"""WITH RECURSIVE {_ENRICHED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id
+      ORDER BY round(ln(1 + likes) + 1.5 * ln(1 + reply_count), 6) DESC, comment_id) AS n FROM sured)
+    SELECT video_id, comment_id, intent AS comment_intent, c AS grounding_confidence FROM r WHERE n <= {Q.ENRICHED_COMMENTS}""",
+)
+def _(spark, sf):
+    df = Q.enrich_contents(feedback(spark, sf), A.with_anchors(contexts(spark, sf)))
+    return df.select("video_id", "comment_id", "comment_intent", "grounding_confidence")
+
+
+_BUCKET_COLUMNS = ", ".join(C.BUCKET)
+
+
+@query(
+    "local_clusters_merged",
+    f"""WITH RECURSIVE {_MEMBERS_SQL}, grown AS (SELECT cluster_key, {_BUCKET_COLUMNS}, count(*) AS size, sum(engagement_score) AS weight FROM members GROUP BY ALL),
+    said AS (SELECT cluster_key, token, count(*) AS n FROM (SELECT cluster_key, unnest(tokens) AS token FROM members) GROUP BY ALL),
+    common AS (SELECT cluster_key, list_sort(list(token)) AS tokens FROM said JOIN grown USING (cluster_key) WHERE n * 2 >= size GROUP BY cluster_key),
+    again AS (SELECT {_BUCKET_COLUMNS}, cluster_key AS node, weight, tokens FROM grown JOIN common USING (cluster_key)),
+    {_linked_sql('again', C.BUCKET, C.LINK_FROM, C.PREFIX_AT, 'g')}
+    SELECT {_BUCKET_COLUMNS}, size FROM (SELECT coalesce(component, cluster_key) AS k, {', '.join('members.' + c for c in C.BUCKET)}, count(*) AS size
+      FROM members LEFT JOIN g_parts ON members.cluster_key = g_parts.node GROUP BY ALL)""",
+)
+def _(spark, sf):
+    return C.build_clusters(C.merge_clusters(members(spark, sf))).select(*C.BUCKET, "size")
