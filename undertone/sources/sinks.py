@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 def write_result(df: DataFrame, path: str, format: str = "parquet", mode: str = "append") -> None:
     """The full result as files, one folder per platform.
 
-    Rows are spread by platform and a hash of the id, so that a platform with
-    most of the rows is written by many tasks.
+    The rebalance hint groups rows by platform and lets AQE split a platform
+    with most of the rows into files of the advisory partition size.
     """
-    spread = df.repartition("platform", F.pmod(F.xxhash64("id"), F.lit(64)))
-    spread.write.mode(mode).partitionBy("platform").format(format).save(path)
+    df.hint("rebalance", "platform").write.mode(mode).partitionBy("platform").format(format).save(path)
 
 
 def result_envelope(top: DataFrame, limit: int, items: str, order: list[Column], **head: str) -> DataFrame:
