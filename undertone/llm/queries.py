@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undertone.llm.bpe import bpe_round_trip
 from undertone.llm.minhash import near_duplicates
+from undertone.llm.mixing import with_targets
+from undertone.llm.quality import fit_quality, held_out, score_quality
 from undertone.session import pin_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +38,55 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
         F.col("key").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+@query("op7_mixing", """
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+), ranked AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place
+    FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, [5, 2, 1][((place - 1) % 3 + 1)::INT] AS weight FROM ranked
+), levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM weighed
+    WINDOW before AS (ORDER BY source_size::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), final AS (
+    SELECT arg_min(level, (source_size::DOUBLE / weight, place)) AS level FROM levels WHERE level * weight <= 3 * source_size
+), targets AS (
+    SELECT source, source_size,
+        CASE WHEN l.level * weight > 3 * source_size THEN 3.0::DOUBLE * source_size ELSE f.level * weight END AS target
+    FROM levels l, final f
+), rates AS (
+    SELECT doc_id, size, source_size, target,
+        CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
+        ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+    FROM sized JOIN targets USING (source)
+)
+SELECT doc_id, size, source_size, target,
+    size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM rates
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_targets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken"),
+    )
+
+
+@query("op1_bpe_round_trip")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"),
+    )
