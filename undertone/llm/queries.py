@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from undertone.llm.bpe import bpe_round_trip
 from undertone.llm.minhash import near_duplicates
 from undertone.llm.mixing import with_targets
 from undertone.llm.quality import fit_quality, held_out, score_quality
-from undertone.session import pin_utc
+from undertone.llm.token_store import checksums, write_tokens
+from undertone.session import pin_utc, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +92,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"),
     )
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), folder)
+    return checksums(spark, folder)
