@@ -12,6 +12,7 @@ from undertone.llm.bpe import bpe_round_trip
 from undertone.llm.minhash import near_duplicates
 from undertone.llm.mixing import with_targets
 from undertone.llm.quality import fit_quality, held_out, score_quality
+from undertone.llm.rlz import remove_repeats
 from undertone.llm.token_store import checksums, write_tokens
 from undertone.session import pin_utc, shared_folder
 
@@ -99,3 +100,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), folder)
     return checksums(spark, folder)
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
