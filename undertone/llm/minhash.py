@@ -8,8 +8,9 @@ below ``miss`` is dropped, and every survivor is confirmed on the full sets.
 Groups of copies are not paired up. Each bucket first compares all members with
 one leader only; what that joins needs no more comparing. Only buckets that
 still hold several components compare members across them, in blocks of
-``BLOCK`` rows. Every link between different components is tested, so the
-components are those of all links found by the bands.
+``BLOCK`` rows, and a block gives only links that join what was not joined.
+Every pair of different components is tested, so the components are those of
+all links found by the bands.
 """
 
 from __future__ import annotations
@@ -137,22 +138,22 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), HASHES)
 
 
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether ``den`` * intersection >= ``num`` * union of two sorted sets."""
+    if den * min(len(a), len(b)) < num * max(len(a), len(b)):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return den * both >= num * (len(a) + len(b) - both)
+
+
 def _similar(batches, num: int, den: int):
     """Keep the pairs whose full sets reach the threshold."""
     for batch in batches:
-        left, right = (batch.column(c).to_pylist() for c in ("left_set", "right_set"))
-        keep = []
-        for x, y in zip(left, right):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if den * min(len(a), len(b)) < num * max(len(a), len(b)):
-                keep.append(False)
-                continue
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            keep.append(den * both >= num * (len(a) + len(b) - both))
-        mask = pa.array(keep, pa.bool_())
+        pairs = zip(batch.column("left_set").to_pylist(), batch.column("right_set").to_pylist())
+        mask = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in pairs], pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"]
         )
@@ -187,38 +188,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _across(num: int, den: int, miss: float):
-    """Within one block pair of a bucket: surviving pairs of different components, once per pair.
+    """Within one block pair of a bucket: links that join different components, a spanning set of them.
 
     A pair that an earlier band brings together belongs to that band; pairs with the leader were
-    compared before.
+    compared before. Pairs within what is joined already need no comparing.
     """
 
     def run(key, table):
-        node = table.column("node").to_numpy()
-        label = table.column("label").to_numpy()
-        part = table.column("part").to_numpy()
-        leader = table.column("leader").to_numpy()
+        node, label, part, leader = (table.column(c).to_numpy() for c in ("node", "label", "part", "leader"))
+        label = label.copy()
         band = int(table.column("band")[0].as_py())
         low, high = key[2].as_py(), key[3].as_py()
         sig = _signatures(table.column("sig").combine_chunks())
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         rows, cols = np.flatnonzero(part == low), np.flatnonzero(part == high)
         a, b = [], []
         for i in rows:
             others = cols[(label[cols] != label[i]) & (leader[cols] != node[i]) & (node[cols] != leader[i])]
             if low == high:
                 others = others[node[others] > node[i]]
+            if band and len(others):
+                same = (sig[i] == sig[others])[:, : band * ROWS].reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
+                others = others[~same]
             if not len(others):
                 continue
-            mine = np.broadcast_to(sig[i], (len(others), HASHES))
-            if band:
-                same = (mine == sig[others])[:, : band * ROWS].reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
-                others = others[~same]
-                mine = mine[: len(others)]
-            alive = others[survivors(mine, sig[others], num, den, miss)]
-            a.append(np.minimum(node[i], node[alive]))
-            b.append(np.maximum(node[i], node[alive]))
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
-        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64())})
+            others = others[survivors(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], num, den, miss)]
+            for j in others[np.argsort(-(sig[i] == sig[others]).sum(axis=1), kind="stable")]:
+                if label[j] != label[i] and linked(sets[i], sets[j], num, den):
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -246,15 +246,20 @@ def near_duplicates(
             f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(substring(sig, b * {2 * ROWS} + 1, {2 * ROWS}), b))"
         )).alias("band", "bucket"),
     )
-    buckets = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1")
-    met = settle(bands.join(buckets, "bucket"))
+    counts = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    crowded = settle(bands.join(counts, "bucket"))
+    # Who shares most buckets stands in the middle of its group and leads.
+    weights = crowded.groupBy("node").agg(F.sum("members").alias("weight"))
+    weighed = settle(crowded.join(weights, "node"))
+    leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
+    met = settle(weighed.drop("weight").join(leaders, "bucket"))
     needed = met.select("node").distinct().join(nodes.select("node", "row"), "node")
     wanted = (
         docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
         .join(needed, "row").dropDuplicates(["row"]).select("node", "text")
     )
     sets = settle(map_arrow(wanted, lambda batches: _sets_of(batches, k), "node long, shingles binary"))
-    pairs = met.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = met.filter("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     first = settle(_verified(_pruned(pairs, nodes, num, den, miss), sets, num, den))
     labels = components(first)
     labelled = settle(
@@ -263,17 +268,17 @@ def near_duplicates(
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("bucket")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     open_rows = (
-        labelled.join(mixed, "bucket").join(nodes.select("node", "sig"), "node")
+        labelled.join(mixed, "bucket").join(nodes.select("node", "sig"), "node").join(sets, "node")
         .withColumn("blocks", blocks)
         .withColumn("part", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
     )
     more = group_arrow(
-        open_rows.select("bucket", "band", "low", "high", "node", "label", "leader", "part", "sig"),
+        open_rows.select("bucket", "band", "low", "high", "node", "label", "leader", "part", "sig", "shingles"),
         ["bucket", "band", "low", "high"], _across(num, den, miss), "a long, b long",
     )
-    second = settle(_verified(more.distinct(), sets, num, den))
+    second = settle(more)
     if second.isEmpty():
         final = labels
     else:

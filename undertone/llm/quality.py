@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undertone.llm import text as X
-from undertone.llm.tasks import group_arrow, map_arrow
+from undertone.llm.tasks import map_arrow, sum_vectors
 from undertone.session import settle
 
 FEATURES = 256
@@ -140,29 +140,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _sums(rows: DataFrame, parts, schema: str) -> list:
-    """Add up matrices over partitions, row by row: ``parts`` yields (fold, row number, vector) per partition."""
-
-    def run(batches):
-        found = list(parts(batches))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([f for f, _, _ in found], pa.int32()), pa.array([i for _, i, _ in found], pa.int32()),
-             X.binaries([v.tobytes() for _, _, v in found])],
-            ["fold", "i", "vector"],
-        )
-
-    def add(key, table):
-        total = np.sort(_matrix(table.column("vector").combine_chunks()), axis=0).sum(axis=0)  # the order of arrival doesn't matter
-        return pa.table({"fold": pa.array([key[0].as_py()], pa.int32()), "i": pa.array([key[1].as_py()], pa.int32()),
-                         "vector": X.binaries([total.tobytes()])})
-
-    return group_arrow(map_arrow(rows, run, schema), ["fold", "i"], add, schema).collect()
-
-
 def fit(labelled: DataFrame) -> Model:
     """A model from ``labelled``: columns key, statistics, y (0 or 1)."""
     n = len(STATISTICS)
-    schema = "fold int, i int, vector binary"
     rows = settle(labelled.select(F.pmod(F.floor(F.crc32(F.col("key").cast("string")) / 8), F.lit(FOLDS)).cast("int").alias("fold"), "statistics", "y"))
 
     def moments(batches):
@@ -171,10 +151,10 @@ def fit(labelled: DataFrame) -> Model:
             x, y = _matrix(batch.column("statistics")), batch.column("y").to_numpy(zero_copy_only=False)
             if len(x):
                 total += np.concatenate([x.sum(axis=0), (x**2).sum(axis=0), [len(x), y.sum()]])
-        yield 0, 0, total
+        yield 0, total
 
-    found = _sums(rows, moments, schema)
-    total = np.frombuffer(found[0]["vector"]) if found else np.zeros(2 * n + 2)
+    found = sum_vectors(rows, moments)
+    total = found[0][1] if found else np.zeros(2 * n + 2)
     count, ones = total[-2], total[-1]
     if count == 0 or ones in (0, count):
         level = 0.5 if count == 0 else ones / count
@@ -197,11 +177,11 @@ def fit(labelled: DataFrame) -> Model:
         for f in range(FOLDS):
             if sums[f].any():
                 for i in range(FEATURES + 1):
-                    yield f, i, sums[f, i]
+                    yield f * (FEATURES + 1) + i, sums[f, i]
 
     gram = np.zeros((FOLDS, FEATURES + 1, FEATURES + 2))
-    for r in _sums(rows, equations, schema):
-        gram[r["fold"], r["i"]] = np.frombuffer(r["vector"])
+    for i, row in sum_vectors(rows, equations):
+        gram[i // (FEATURES + 1), i % (FEATURES + 1)] = row
     whole = gram.sum(axis=0)
 
     def solve(system: np.ndarray) -> np.ndarray:
@@ -224,9 +204,9 @@ def fit(labelled: DataFrame) -> Model:
                 place = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
                 for label in (0, 1):
                     counts[label] += np.bincount(place[y[fold == f] == label], minlength=BINS)
-        yield 0, 0, counts.ravel()
+        yield 0, counts.ravel()
 
-    counts = np.frombuffer(_sums(rows, histogram, schema)[0]["vector"]).reshape(2, BINS)
+    counts = sum_vectors(rows, histogram)[0][1].reshape(2, BINS)
     model.at, model.chance = isotonic(counts[0], counts[1])
     return model
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertone.llm.bpe import bpe_round_trip
+from undertone.llm.hmm import score_texts
 from undertone.llm.minhash import near_duplicates
 from undertone.llm.mixing import with_targets
 from undertone.llm.quality import fit_quality, held_out, score_quality
@@ -106,3 +107,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")

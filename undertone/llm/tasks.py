@@ -9,8 +9,11 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
 _SHIPPED: set[str] = set()
@@ -45,3 +48,41 @@ def group_arrow(df: DataFrame, keys: list[str], f: Callable, schema: str) -> Dat
     ship(df.sparkSession)
     f.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}  # Spark reads these
     return df.groupBy(*keys).applyInArrow(f, schema)
+
+
+#: Vectors that one task adds up at a time.
+FAN_IN = 32
+
+
+def sum_vectors(rows: DataFrame, parts: Callable) -> list[tuple[int, np.ndarray]]:
+    """Sums over all partitions of what ``parts`` yields for each: (number, vector of doubles).
+
+    A tree of groups of ``FAN_IN`` partitions adds them up, so no task holds more than that many
+    vectors of one number. The sums don't depend on the order of arrival. The numbers and the
+    vectors' lengths must be bounded, for the result comes to the driver.
+    """
+
+    def run(batches):
+        found = list(parts(batches))
+        place = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in found], pa.int32()), pa.array([place] * len(found), pa.int32()),
+             pa.array([v.tobytes() for _, v in found], pa.binary())],
+            ["i", "part", "vector"],
+        )
+
+    def add(key, table):
+        each = np.stack([np.frombuffer(v, np.float64) for v in table.column("vector").to_pylist()])
+        return pa.table({
+            "i": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()),
+            "vector": pa.array([np.sort(each, axis=0).sum(axis=0).tobytes()], pa.binary()),
+        })
+
+    schema = "i int, part int, vector binary"
+    left = rows.rdd.getNumPartitions()
+    sums = map_arrow(rows, run, schema)
+    while True:
+        left = -(-left // FAN_IN)
+        sums = group_arrow(sums.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")), ["i", "part"], add, schema)
+        if left <= 1:
+            return [(r["i"], np.frombuffer(r["vector"], np.float64)) for r in sums.collect()]
