@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from undertone.llm.bpe import bpe_round_trip
 from undertone.llm.hmm import score_texts
+from undertone.llm.lines import remove_repeated_lines
 from undertone.llm.minhash import near_duplicates
 from undertone.llm.mixing import with_targets
 from undertone.llm.quality import fit_quality, held_out, score_quality
@@ -112,3 +113,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_scoring")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("lines_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
