@@ -13,9 +13,11 @@ from undertone.llm.hmm import score_texts
 from undertone.llm.lines import remove_repeated_lines
 from undertone.llm.minhash import near_duplicates
 from undertone.llm.mixing import with_targets
+from undertone.llm.multi_index import near_vectors
 from undertone.llm.quality import fit_quality, held_out, score_quality
 from undertone.llm.rlz import remove_repeats
 from undertone.llm.token_store import checksums, write_tokens
+from undertone.llm.vafile import top_products
 from undertone.session import pin_utc, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +121,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("lines_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_embedding_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+    return found.select(
+        F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+        F.col("key").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+@query("op3_exact_topk", """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v::DOUBLE[], d.v::DOUBLE[])::BIGINT AS score
+    FROM whole q JOIN whole d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_products(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
