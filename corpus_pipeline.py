@@ -1,26 +1,72 @@
-"""From raw documents to token ids: quality, lines, near duplicates, mixture, tokens."""
+"""From raw documents to token ids: quality, lines, near duplicates, mixture, tokens.
+
+Every stage works on all rows of the one before. Rows with null columns, empty
+texts and repeated rows pass through as the operators define it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undertone.llm.bpe import bpe_encode
+from undertone.llm.lines import remove_repeated_lines
 from undertone.llm.minhash import near_duplicates
+from undertone.llm.mixing import mix
+from undertone.llm.quality import fit_quality, score_quality
+from undertone.session import pin_utc, settle
+
+LEAST_SCORE = 0.7
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below ``LEAST_SCORE`` go."""
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return score_quality(packed, model).filter(F.col("score") >= LEAST_SCORE).select("doc.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat go, but for their first place; documents of which no word is left go too.
+
+    ``n_chars`` follows the text. A document that had no words before stays.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
+    cut = remove_repeated_lines(packed).filter(
+        (F.col("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    )
+    changed = F.col("lines_removed") > 0
+    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("doc")["n_chars"])}
+    return cut.select(*(new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays, once."""
+    stays = near_duplicates(docs).filter(F.col("key").eqNullSafe(F.col("component"))).select("row").distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
+    return packed.join(stays, "row").dropDuplicates(["row"]).select("doc.*")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture of sources takes it."""
+    return mix(docs)
 
 
-def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the least id."""
-    found = near_duplicates(docs).filter(F.col("key").eqNullSafe(F.col("component"))).select("row").distinct()
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    return rows.join(found, "row", "left_semi").drop("row").dropDuplicates(["doc_id", "text"])
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each taken document, in place of its text."""
+    encoded = bpe_encode(docs.select("doc_id", "lang", "source", "text"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("minhash", minhash)]
+STAGES = [("quality", quality), ("lines", lines), ("minhash", near), ("mixing", mixture), ("bpe", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages on ``documents``; what one stage returns is written and read again by the next."""
+    docs = pin_utc(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = settle(docs)
     return docs

@@ -236,7 +236,7 @@ def encoder(path: str) -> Encoder:
 def encoded_runs(column: pa.Array, enc: Encoder):
     """(first row, ids, offsets) for runs of the texts of a column."""
     raw, offsets = X.buffer_of(column)
-    for i, j in X.chunks(offsets, 4 * X.CHUNK):
+    for i, j in X.chunks(offsets, 2 * X.CHUNK):
         data = raw[offsets[i] : offsets[j]]
         ids, bounds = enc.encode(data, offsets[i : j + 1] - offsets[i])
         yield i, ids, bounds

@@ -320,14 +320,15 @@ def remove_repeated_lines(
 ) -> DataFrame:
     """``docs`` without repeated lines in ``text``, and with ``lines_removed``.
 
-    Null and empty texts come back as they are. All rows and other columns stay; the names
-    ``line_row`` and ``numbers`` must be free.
+    Null and empty texts come back as they are. All rows and other columns stay, whatever their
+    names; only a column ``lines_removed`` is replaced.
     """
-    gone = repeated_lines(docs, edits, least, text, key).withColumnRenamed("row", "line_row")
-    joined = docs.withColumn("line_row", F.xxhash64(F.col(key), F.col(text))).join(gone, "line_row", "left")
-    removed = joined.withColumn("lines_removed", F.coalesce(F.size("numbers"), F.lit(0)))
-    names = [*(c for c in docs.columns), "lines_removed"]
-    packed = removed.select(F.struct(*(c for c in names if c != text)).alias("rest"), F.col(text).cast("string").alias("text"), "numbers")
-    schema = packed.select("rest", "numbers", "text").schema
-    cut = map_arrow(packed.select("rest", "numbers", "text"), _without, schema)
-    return cut.select(F.col("text").alias(text), "rest.*").select(*names)
+    gone = repeated_lines(docs, edits, least, text, key)
+    names = [c for c in docs.columns if c != "lines_removed"]
+    packed = docs.select(
+        F.struct(*(c for c in names if c != text)).alias("rest"), F.col(text).cast("string").alias("text"),
+        F.xxhash64(F.col(key), F.col(text)).alias("row"),
+    )
+    joined = packed.join(gone, "row", "left").select("rest", "numbers", F.coalesce(F.size("numbers"), F.lit(0)).alias("removed"), "text")
+    cut = map_arrow(joined, _without, joined.schema)
+    return cut.select(F.col("text").alias(text), "rest.*", F.col("removed").alias("lines_removed")).select(*names, "lines_removed")

@@ -71,24 +71,27 @@ def with_targets(
     ``mix_times`` is how often the mix takes the document, at most ``most``. A null text has size 0;
     documents of a source without words are taken 0 times; a null source is a source of its own;
     rows with the same key (also null) share one draw. Columns of ``docs`` stay as they are,
-    whatever their names, except that the four names above must be free.
+    whatever their names; only the four above are replaced.
     """
-    sized = docs.withColumn("mix_size", words(text))
-    targets = settle(source_targets(sized.select(F.col(source).alias("source"), F.col("mix_size").alias("size")), weights, most))
-    targets = targets.select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
+    sized = docs.select(
+        F.struct(*docs.columns).alias("doc"), words(text).alias("mix_size"), F.col(source).alias("place"), draw(key, seed).alias("draw")
     )
+    targets = settle(source_targets(sized.select(F.col("place").alias("source"), F.col("mix_size").alias("size")), weights, most))
+    targets = targets.select("source", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(float(most)))).otherwise(0.0)
-    times = F.floor(rate) + F.when(draw(key, seed) < rate - F.floor(rate), 1).otherwise(0)
+    times = F.floor(rate) + F.when(F.col("draw") < rate - F.floor(rate), 1).otherwise(0)
+    made = ["mix_size", "mix_source_size", "mix_target", "mix_times"]
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in made]
     return (
-        sized.join(targets, F.col(source).eqNullSafe(F.col("mix_source")))
-        .drop("mix_source").withColumn("mix_times", times.cast("int"))
+        sized.join(targets, F.col("place").eqNullSafe(F.col("source")))
+        .withColumn("mix_times", times.cast("int")).select(*kept, *made)
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, **names: str) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = with_targets(docs, weights, most, **names).filter("mix_times > 0")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_times"))).select(*docs.columns)
+    plain = docs.select(F.struct(*docs.columns).alias("doc"), *docs.columns)
+    taken = with_targets(plain, weights, most, **names).filter("mix_times > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), "mix_times"))).select("doc.*")
