@@ -55,7 +55,8 @@ def test_weights_and_selection(spark):
 def test_sanitize(spark):
     assert value(spark, E.sanitize(F.lit("\u0001 a\u0007b \n"))) == "ab"
     assert value(spark, E.sanitize(F.lit(None).cast("string"))) == ""
-    assert len(value(spark, E.sanitize(F.lit("x" * 3000)))) == 2000
+    assert len(value(spark, E.sanitize(F.lit("x" * 3000)))) == 3000
+    assert len(value(spark, E.sanitize(F.lit("x" * 3000), 2000))) == 2000
 
 
 def test_timestamps(spark):

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from undertone.functions import tokens as TK
-from undertone.operators.similarity import components, hub_links
+from undertone.operators.similarity import components, similar_links
 from undertone.operators.threads import follow, thread_structure
 
 
@@ -42,53 +42,57 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "left STRING, right STRING")).count() == 0
 
 
-def _prefix(tokens, t):
-    ordered = sorted(tokens, key=lambda w: hashlib.md5(w.encode()).hexdigest())
-    return ordered[: len(tokens) - math.ceil(t * len(tokens) - 1e-9) + 1]
-
-
 def _similar(a, b):
     shared = len(set(a) & set(b))
     return (shared / math.sqrt(len(a) * len(b)) + shared / (len(a) + len(b) - shared)) / 2
 
 
-def test_hub_links_match_brute_force(spark):
+def _texts(rng, n):
+    """Texts of Zipf-distributed words, some of them near copies of others."""
+    weights = [1 / (i + 1) for i in range(400)]
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(n):
+        if texts and rng.random() < 0.4:
+            said = list(rng.choice(texts))
+            said[rng.randrange(len(said))] = rng.choice(words)
+        else:
+            said = rng.choices(words, weights, k=rng.randint(1, 9))
+        texts.append(sorted(set(said)))
+    return texts
+
+
+def test_links_join_all_similar_texts(spark):
     rng = random.Random(3)
-    words = [f"w{i}" for i in range(25)]
-    rows = [("s", f"t{i:02d}", rng.sample(words, rng.randint(2, 7)), float(i)) for i in range(60)]
+    rows = [(f"s{i % 2}", f"t{i:04d}", said, rng.random()) for i, said in enumerate(_texts(rng, 2400))]
     df = spark.createDataFrame(rows, "scope STRING, node STRING, tokens ARRAY<STRING>, weight DOUBLE")
-    got = {(r.left, r.right) for r in hub_links(df, ["scope"], 0.45, 0.3).collect()}
-    groups = {}
-    for _, node, tokens, weight in rows:
-        for word in _prefix(tokens, 0.3):
-            groups.setdefault(word, []).append((weight, node, tokens))
-    want = set()
-    for listed in groups.values():
-        hub = max(listed)
-        want |= {(n, hub[1]) for _, n, t in listed if n != hub[1] and _similar(t, hub[2]) >= 0.45}
-    assert got == want and want
-
-
-def test_prefix_never_misses_a_similar_pair():
-    rng = random.Random(11)
-    words = [f"w{i}" for i in range(12)]
-    sets = [rng.sample(words, rng.randint(1, 8)) for _ in range(80)]
-    for a in sets:
-        for b in sets:
-            shared = len(set(a) & set(b))
-            if shared / len(set(a) | set(b)) >= 0.3:
-                assert set(_prefix(a, 0.3)) & set(_prefix(b, 0.3))
+    edges = [
+        (a[1], b[1]) for i, a in enumerate(rows) for b in rows[i + 1 :]
+        if a[0] == b[0] and not set(a[2]).isdisjoint(b[2]) and _similar(a[2], b[2]) >= 0.45
+    ]
+    links = similar_links(df, ["scope"], 0.45, 0.3)
+    found = {r.node: r.component for r in components(links).collect()}
+    assert len(edges) > 5000
+    assert found == brute_components({n for e in edges for n in e}, edges)
+    assert {(r.left, r.right) for r in links.collect()} <= {e for a, b in edges for e in ((a, b), (b, a))}
+
+
+def test_a_louder_text_does_not_part_two_similar_ones(spark):
+    rows = [("s", "a", ["one", "two", "three", "four"], 1.0), ("s", "b", ["one", "two", "three", "five"], 1.0)]
+    rows += [("s", w, [w], 9.0) for w in ("one", "two", "three", "four", "five")]
+    df = spark.createDataFrame(rows, "scope STRING, node STRING, tokens ARRAY<STRING>, weight DOUBLE")
+    found = {r.node: r.component for r in components(similar_links(df, ["scope"], 0.45, 0.3)).collect()}
+    assert found["a"] == found["b"]
 
 
 def test_hot_group_costs_one_comparison_per_text(spark):
-    """A token shared by all texts gives at most one link per text, not all pairs."""
+    """A group of near copies gives a few links per text, not all pairs."""
     df = spark.range(500).select(
         F.lit("s").alias("scope"), F.col("id").cast("string").alias("node"),
         F.array(F.lit("same"), F.lit("words"), (F.col("id") % 3).cast("string")).alias("tokens"),
         F.col("id").cast("double").alias("weight"),
     )
-    links = hub_links(df, ["scope"], 0.45, 0.3)
-    assert links.count() <= 500 * 3
+    assert similar_links(df, ["scope"], 0.45, 0.3).count() <= 500 * 3
 
 
 def test_hash_vector(spark):
@@ -109,6 +113,22 @@ def test_follow_a_long_chain(spark):
     assert all(r.target == "n0" and r.hops == int(r.node[1:]) for r in rows)
 
 
+def test_follow_a_chain_of_thousands(spark):
+    links = [("s", f"n{i}", f"n{i - 1}") for i in range(1, 5000)]
+    rows = follow(spark.createDataFrame(links, "scope STRING, node STRING, target STRING")).collect()
+    assert len(rows) == 4999 and all(r.target == "n0" and r.hops == int(r.node[1:]) and not r.cut for r in rows)
+
+
+def test_cycles_end_at_their_least_comment(spark):
+    parents = {"a": "c", "b": "a", "c": "b", "d": "b", "e": "d", "self": "self", "x": None, "y": "x"}
+    df = spark.createDataFrame([("v", k, p) for k, p in parents.items()], "content_id STRING, comment_id STRING, parent_comment_id STRING")
+    rows = {r.comment_id: (r.thread_root_id, r.depth, r.cycle_cut) for r in thread_structure(df).collect()}
+    assert rows == {
+        "a": ("a", 0, True), "b": ("a", 1, False), "c": ("a", 2, False), "d": ("a", 2, False), "e": ("a", 3, False),
+        "self": ("self", 0, True), "x": ("x", 0, False), "y": ("x", 1, False),
+    }
+
+
 def test_orphans_become_roots(spark):
     df = spark.createDataFrame(
         [("c", "a", None), ("c", "b", "a"), ("c", "x", "gone"), ("c", "y", "x")],

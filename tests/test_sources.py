@@ -215,3 +215,15 @@ def test_failed_source_does_not_stop_the_others(spark):
     union, found, errors = search.union_available({"a": lambda: good, "b": broken})
     assert union.count() == 3 and found == {"a": True, "b": False} and errors == {"b": "gone"}
     assert search.union_available({"b": broken}, "stop")[:2] == (None, {})
+
+
+def test_captures_with_a_long_common_head_all_stay(spark):
+    head = '{"envelope": "' + "x" * 300 + '", "items": '
+    rows = [(f"c{i}", "tiktok", f"https://t.com/api/post/item_list/?cursor={i}", f"{head}[{i % 3}]}}", i) for i in range(6)]
+    df = spark.createDataFrame(rows, "capture_id STRING, platform STRING, url STRING, body STRING, t INT").withColumn(
+        "captured_at", F.timestamp_seconds("t")
+    )
+    kept = K.dedup_captures(df)
+    assert {r.capture_id for r in kept.collect()} == {"c0", "c1", "c2"}
+    exchanges = [x for x in kept._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hash" in x]
+    assert exchanges

@@ -93,7 +93,7 @@ def test_capture_stream_drops_repeats_and_appends_once(spark, sf):
     run()
     run()  # nothing new: nothing appended
     posts = spark.read.parquet(f"{base}/out/silver_posts/*")
-    batch = P.normalize_all_posts(K.dedup_captures(K.filter_captures(df), ["platform"]), platforms)
+    batch = P.normalize_all_posts(K.dedup_captures(K.filter_captures(df)), platforms)
     want = sorted((r.platform, r.id) for r in batch.select("platform", "id").collect())
     assert sorted((r.platform, r.id) for r in posts.select("platform", "id").collect()) == want
 

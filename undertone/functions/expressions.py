@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 HASHTAG_PATTERN = "(#[\\wÀ-ɏḀ-ỿ]+)"
 PLAIN_HASHTAG_PATTERN = "(#\\w+)"
 CONTROL_CHARACTERS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
-SANITIZED_LENGTH = 2000
 EPOCH_MILLIS_FLOOR = 1e12
 TIKTOK_HOST = "(?i)(^|\\.)tiktok\\.com$"
 TIKTOK_VIDEO_PATH = "/video/(\\d+)"
@@ -69,10 +68,11 @@ def strip_tag(name: Column) -> Column:
 
 # -- text -------------------------------------------------------------------
 
-def sanitize(text: Column) -> Column:
-    """Drop control characters, trim, keep at most 2000 characters."""
+def sanitize(text: Column, length: int | None = None) -> Column:
+    """Drop control characters and trim; keep at most ``length`` characters if given."""
     cleaned = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL_CHARACTERS, "")
-    return F.substring(F.regexp_replace(cleaned, "^\\s+|\\s+$", ""), 1, SANITIZED_LENGTH)
+    trimmed = F.regexp_replace(cleaned, "^\\s+|\\s+$", "")
+    return trimmed if length is None else F.substring(trimmed, 1, length)
 
 
 def slug(text: Column) -> Column:

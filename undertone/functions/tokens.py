@@ -71,34 +71,20 @@ def hash_bucket(token: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
 def hash_vector(tokens: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
     """Unit-length term-count vector of hashed tokens; zero without tokens.
 
-    One-element arrays name intermediate values: what is given to a higher-order
-    function is evaluated once, what stands in its lambda once per element.
+    Each token is hashed once; a bucket's count is how many of the hashes name it. One-element arrays
+    name intermediate values: what is given to a higher-order function is evaluated once, what stands
+    in its lambda once per element.
     """
-    zero = F.array_repeat(F.lit(0.0), dimensions)
+    every = F.sequence(F.lit(0), F.lit(dimensions - 1))
 
-    def add(counts: Column, token: Column) -> Column:
-        hit = lambda b: F.transform(counts, lambda v, i: v + F.when(i == b, 1.0).otherwise(0.0))
-        return F.get(F.transform(F.array(hash_bucket(token, dimensions)), hit), F.lit(0))
+    def counted(named: Column) -> Column:
+        # Taking a number out of the hashes leaves them shorter by its count.
+        return F.transform(every, lambda d: (F.size(named) - F.size(F.array_remove(named, d))).cast("double"))
 
     def scaled(counts: Column) -> Column:
         norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, v: acc + v * v))
         divide = lambda n: F.transform(counts, lambda v: F.coalesce(F.try_divide(v, n), F.lit(0.0)).cast("float"))
         return F.get(F.transform(F.array(norm), divide), F.lit(0))
 
-    return F.get(F.transform(F.array(F.aggregate(tokens, zero, add)), scaled), F.lit(0))
-
-
-def prefix_tokens(tokens: Column, threshold: float) -> Column:
-    """The tokens of a set that must contain one shared with any similar set.
-
-    Prefix filter: with all sets in one fixed order, two sets whose Jaccard
-    similarity reaches the threshold share a token among the first
-    ``n - ceil(threshold * n) + 1``. The order is by md5, so it needs no
-    frequency table and no hot word is favoured.
-    """
-    ordered = F.transform(
-        F.array_sort(F.transform(tokens, lambda t: F.struct(F.md5(t).alias("h"), t.alias("t")))), lambda s: s["t"]
-    )
-    size = F.size(tokens)
-    keep = size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)).cast("int") + 1
-    return F.slice(ordered, F.lit(1), F.greatest(keep, F.lit(0)))
+    hashes = F.transform(tokens, lambda t: hash_bucket(t, dimensions).cast("int"))
+    return F.get(F.transform(F.transform(F.array(hashes), counted), scaled), F.lit(0))

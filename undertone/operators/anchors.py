@@ -27,10 +27,7 @@ ANCHOR_TYPE = (
 )
 ANCHOR_FIELDS = ["anchor_id", "anchor_type", "source_field", "label", "starts_at", "ends_at"]
 
-# How many anchors of a kind are kept, and the default label.
-TRANSCRIPT_LINES = 12
-VISUAL_TEXTS = 15
-CALLS = 8
+# Fixed value: the default label.
 WIDE_LABEL = "Video-wide discussion"
 
 
@@ -108,9 +105,9 @@ def anchor_array() -> Column:
         F.transform(_array("people", "ARRAY<STRING>"), entity("person")),
         F.transform(_array("objects", "ARRAY<STRING>"), entity("object")),
         F.transform(_array("locations", "ARRAY<STRING>"), entity("location")),
-        F.transform(F.slice(spoken, 1, TRANSCRIPT_LINES), numbered("quote", "spoken_quote", "transcript")),
-        F.transform(F.slice(shown, 1, VISUAL_TEXTS), numbered("visual", "visual_text", "visualText")),
-        F.transform(F.slice(calls, 1, CALLS), numbered("cta", "cta", "callsToAction")),
+        F.transform(spoken, numbered("quote", "spoken_quote", "transcript")),
+        F.transform(shown, numbered("visual", "visual_text", "visualText")),
+        F.transform(calls, numbered("cta", "cta", "callsToAction")),
     ]
     return F.concat(*[p.cast(ANCHOR_TYPE) for p in parts])
 

@@ -15,7 +15,6 @@ from undertone.operators import insights as I
 
 # Limits of the requests, and what an empty request answers.
 CLUSTERS_DEFAULT, CLUSTERS_LEAST, CLUSTERS_MOST = 5, 2, 15
-ENRICHED_COMMENTS = 200
 DEPTH_THEMES = {"surface": 1, "standard": 5, "deep": 10, "comprehensive": 20}
 NO_CLUSTERS = "No comments found for clustering"
 EXAMPLES = 3
@@ -68,11 +67,13 @@ def fixed_count_clusters(vectors: DataFrame, count: int = CLUSTERS_DEFAULT, seed
     return means.fit(prepared).transform(prepared).select("item", F.col("prediction").alias("cluster"))
 
 
-def enrich_contents(comments: DataFrame, contexts: DataFrame, limit: int = ENRICHED_COMMENTS) -> DataFrame:
-    """The ``limit`` most engaging comments per content, enriched.
+def enrich_contents(comments: DataFrame, contexts: DataFrame, limit: int | None = None) -> DataFrame:
+    """The comments of each content, or its ``limit`` most engaging ones, enriched.
 
     Their parents come along for the inheritance and are left out again.
     """
+    if limit is None:
+        return N.enrich(comments, contexts)
     score = comment_engagement(F.col("likes"), F.col("reply_count"), F.col("shares"), F.col("views"))
     window = W.partitionBy("video_id").orderBy(F.desc("asked_score"), "comment_id")
     asked = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from undertone.functions.expressions import slug
 from undertone.operators.ranking import weighted_importance
-from undertone.operators.similarity import components, hub_links
+from undertone.operators.similarity import components, similar_links
 from undertone.operators.units import WIDE_ASPECT
 from undertone.session import settle
 
@@ -84,7 +84,7 @@ def assign_clusters(units: DataFrame, link_from: float = LINK_FROM, prefix_at: f
         .groupBy(*BUCKET, "node")
         .agg(F.max("engagement_score").alias("weight"), F.any_value("tokens").alias("tokens"))
     )
-    linked = components(hub_links(nodes, BUCKET, link_from, prefix_at))
+    linked = components(similar_links(nodes, BUCKET, link_from, prefix_at))
     return settle(
         keyed.join(linked, "node", "left")
         .withColumn("cluster_key", F.coalesce("component", "node"))
@@ -138,7 +138,7 @@ def build_clusters(members: DataFrame) -> DataFrame:
         df.join(shared, "plain_id")
         .withColumn(
             "local_cluster_id",
-            F.when(F.col("same_id") > 1, F.concat_ws("_", "plain_id", F.substring("cluster_key", 1, 8))).otherwise(
+            F.when(F.col("same_id") > 1, F.concat_ws("_", "plain_id", "cluster_key")).otherwise(
                 F.col("plain_id")
             ),
         )
@@ -178,7 +178,7 @@ def merge_clusters(members: DataFrame, link_from: float = LINK_FROM, prefix_at:
         .agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     )
     nodes = sizes.join(common, "cluster_key").withColumnRenamed("cluster_key", "node")
-    merged = components(hub_links(nodes, BUCKET, link_from, prefix_at))
+    merged = components(similar_links(nodes, BUCKET, link_from, prefix_at))
     return (
         members.join(merged.withColumnRenamed("node", "cluster_key"), "cluster_key", "left")
         .withColumn("cluster_key", F.coalesce("component", "cluster_key"))

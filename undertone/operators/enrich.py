@@ -28,7 +28,6 @@ MIN_SCORE = 0.2
 UNGROUNDED = 0.2
 REWRITE_FROM = 0.7
 INHERITED_SHARE = 0.55
-SECONDARY_REFS = 2
 # type -> (score factor, bonus for being specific)
 TYPE_WEIGHTS = {
     "controversy": (1.0, 0.10),
@@ -101,7 +100,7 @@ def _confidence(a: Column) -> Column:
 
 
 def ground(comments: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Own anchor references of each comment, best first.
+    """All own anchor references of each comment, best first.
 
     ``contexts`` is (video_id, anchors). The comment side of the join may be as
     skewed as it likes: the context side has one row per content, so AQE can
@@ -171,7 +170,7 @@ def ground(comments: DataFrame, contexts: DataFrame) -> DataFrame:
         )
     ).cast(REF_TYPE)
     own = F.transform(
-        F.slice("scored", 1, SECONDARY_REFS + 1),
+        "scored",
         lambda s, i: F.struct(
             s["anchor_id"].alias("anchor_id"),
             s["anchor_type"].alias("anchor_type"),
@@ -198,7 +197,8 @@ def inherit(grounded: DataFrame) -> DataFrame:
         F.col("video_id").alias("scope"), F.col("comment_id").alias("node"),
         F.col("parent_comment_id").alias("target"),
     )
-    reached = follow(links).select(
+    # Replies that only lean on each other stand by themselves where their cycle is cut.
+    reached = follow(links).filter("not cut").select(
         F.col("scope").alias("video_id"), F.col("node").alias("comment_id"),
         F.col("target").alias("source_id"), "hops",
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from undertone.functions import tokens as TK
 from undertone.operators import clusters as C
 from undertone.operators.ranking import weighted_importance
-from undertone.operators.similarity import components, hub_links
+from undertone.operators.similarity import components, similar_links
 from undertone.session import settle
 
 # Importance weights and texts of themes across contents.
@@ -31,7 +31,6 @@ META_WHY = {
 }
 META_WHY_OTHERWISE = "A theme that returns across multiple videos matters more than one mention."
 BROAD_TYPES = ("global_video", "video")
-INSIGHTS_PER_VIDEO = 5
 META_LINK_FROM = 0.45
 META_PREFIX_AT = 0.3
 
@@ -42,8 +41,8 @@ def broad(aspect_key):
 
 # -- single content -----------------------------------------------------------
 
-def local_insights(clusters: DataFrame, per_video: int = INSIGHTS_PER_VIDEO) -> DataFrame:
-    """The strongest clusters of each content as insights.
+def local_insights(clusters: DataFrame, per_video: int | None = None) -> DataFrame:
+    """The clusters of each content as insights, strongest first; the first ``per_video`` if given.
 
     Noise is skipped; the content-wide bucket is skipped as soon as the content
     has a specific theme.
@@ -55,7 +54,7 @@ def local_insights(clusters: DataFrame, per_video: int = INSIGHTS_PER_VIDEO) ->
     window = W.partitionBy("video_id").orderBy(F.desc("importance"), "local_cluster_id")
     return (
         shown.withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= per_video)
+        .filter(F.lit(True) if per_video is None else F.col("rank") <= per_video)
         .select(
             F.concat_ws("_", "video_id", F.lit("insight"), F.col("rank").cast("string")).alias("insight_id"),
             F.lit("single_video").alias("scope"),
@@ -87,15 +86,17 @@ def sentiment(units: DataFrame, key: str = "video_id") -> DataFrame:
     )
 
 
-def content_reports(comments: DataFrame, units: DataFrame, clusters: DataFrame, themes: int = 5) -> DataFrame:
-    """Per content: comment count, sentiment, strongest themes, one-line summary.
+def content_reports(comments: DataFrame, units: DataFrame, clusters: DataFrame, themes: int | None = None) -> DataFrame:
+    """Per content: comment count, sentiment, all themes or the strongest ``themes``, one-line summary.
 
     Contents without comments or units are the caller's left join away; here
     every content with a comment gets a row.
     """
     counted = comments.groupBy("video_id").agg(F.count(F.lit(1)).alias("comment_count"))
     window = W.partitionBy("video_id").orderBy(F.desc("importance"), "local_cluster_id")
-    top = C.visible(clusters).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= themes)
+    top = C.visible(clusters).withColumn("rank", F.row_number().over(window))
+    if themes is not None:
+        top = top.filter(F.col("rank") <= themes)
     listed = top.groupBy("video_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "label"))), lambda t: t["label"]).alias("themes"),
         F.count(F.lit(1)).alias("theme_count"),
@@ -131,7 +132,7 @@ def meta_members(clusters: DataFrame, link_from: float = META_LINK_FROM,
         TK.content_tokens(F.col("aspect_label")).alias("tokens"),
         F.col("importance").alias("weight"),
     )
-    linked = components(hub_links(nodes, ["stance"], link_from, prefix_at))
+    linked = components(similar_links(nodes, ["stance"], link_from, prefix_at))
     grouped = usable.join(
         linked.select(F.col("node").alias("cluster_key"), F.col("component").alias("meta_key")), "cluster_key"
     )
@@ -178,7 +179,7 @@ def build_meta_clusters(members: DataFrame, units: DataFrame, clusters: DataFram
         C.by_stance(F.col("canonical.stance"), RECURRING, RECURRING_OTHERWISE), F.col("canonical.aspect_label")
     )
     return df.select(
-        F.concat(F.lit("meta_"), F.substring(F.md5("meta_key"), 1, 12)).alias("meta_cluster_id"),
+        F.concat(F.lit("meta_"), F.col("meta_key")).alias("meta_cluster_id"),
         "meta_key",
         theme.alias("canonical_theme"),
         F.col("canonical.aspect_key").alias("canonical_aspect_key"),
@@ -212,10 +213,13 @@ def meta_representatives(members: DataFrame, units: DataFrame, clusters: int = 2
     )
 
 
-def meta_insights(metas: DataFrame, limit: int = 10) -> DataFrame:
-    """The strongest themes across contents, numbered."""
-    top = metas.orderBy(F.desc("importance"), "meta_cluster_id").limit(limit)
-    number = F.row_number().over(W.orderBy(F.desc("importance"), "meta_cluster_id"))  # at most `limit` rows
+def meta_insights(metas: DataFrame, limit: int | None = None) -> DataFrame:
+    """The themes across contents, numbered from the strongest; the first ``limit`` if given.
+
+    Numbering is over all themes; of many millions ask for a ``limit``, which is taken before.
+    """
+    top = metas if limit is None else metas.orderBy(F.desc("importance"), "meta_cluster_id").limit(limit)
+    number = F.row_number().over(W.orderBy(F.desc("importance"), "meta_cluster_id"))
     return top.withColumn("rank", number).select(
         F.concat(F.lit("cross_video_insight_"), F.col("rank").cast("string")).alias("insight_id"),
         F.lit("cross_video").alias("scope"),

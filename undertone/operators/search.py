@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undertone.functions import expressions as E
-from undertone.schemas import PLATFORMS, POST_ROW_CAP, per_platform
+from undertone.schemas import PLATFORMS, per_platform
 
 DEFAULT_LIMIT = 30
 DEFAULT_PER_PLATFORM = 10
@@ -105,15 +105,15 @@ def per_platform_limit(limit: int | None, platforms: int = len(PLATFORMS)) -> in
     return math.ceil(limit / platforms) if limit else DEFAULT_PER_PLATFORM
 
 
-def top_per_platform(posts: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    """At most ``k`` rows per platform.
+def top_per_platform(posts: DataFrame, k: int, order: list[Column], caps: dict[str, int] | None = None) -> DataFrame:
+    """At most ``k`` rows per platform; fewer where ``caps`` says so, as for the page size of a remote API.
 
     Seven platforms would mean seven busy tasks, but a bounded rank is planned
     with a group limit before the shuffle: every task sends k rows a platform.
     """
-    cap = F.least(F.lit(k), per_platform(POST_ROW_CAP, MAX_LIMIT))
     ranked = posts.withColumn("source_rank", F.row_number().over(W.partitionBy("platform").orderBy(*order)))
-    return ranked.filter(F.col("source_rank") <= k).filter(F.col("source_rank") <= cap)
+    kept = ranked.filter(F.col("source_rank") <= k)
+    return kept.filter(F.col("source_rank") <= per_platform(caps, k)) if caps else kept
 
 
 def combined_search(

@@ -1,10 +1,10 @@
 """Linking similar texts, and connected components.
 
-No pair is ever enumerated. Texts that can be similar share a prefix token
-(see ``prefix_tokens``); each token group names one hub, its weightiest text,
-and every member is compared with the hub alone. A group with a third of all
-texts therefore costs one comparison per text, and the hub itself is found by
-an aggregate that is reduced before its shuffle.
+Texts that can be similar share a prefix token, tokens being ordered from rare
+to common (see ``prefixes``). A token group first compares all members with one
+hub, its weightiest text. Only groups that still hold several components then
+compare members across them, so a group of near copies costs one comparison per
+text. Every similar pair ends up in one component.
 """
 
 from __future__ import annotations
@@ -16,40 +16,67 @@ from undertone.functions import tokens as TK
 from undertone.session import cut_lineage
 
 
-def hub_links(nodes: DataFrame, scope: list[str], threshold: float, prefix_at: float) -> DataFrame:
-    """Links (scope..., left, right) between members and hubs that are similar.
+def prefixes(nodes: DataFrame, scope: list[str], prefix_at: float) -> DataFrame:
+    """(scope..., node, weight, size, token): the tokens of each node that a similar node must share one of.
 
-    ``nodes`` holds the scope columns, ``node``, ``tokens`` and ``weight``.
-    ``threshold`` is the least similarity of a link; ``prefix_at`` the least
-    Jaccard similarity the blocking keeps whole.
+    With all sets in one order, two sets whose Jaccard similarity reaches ``prefix_at`` share a token
+    among the first n - ceil(prefix_at * n) + 1. Rare tokens come first, so groups stay small.
     """
-    keyed = nodes.select(
-        *scope, "node", "weight", F.explode(TK.prefix_tokens(F.col("tokens"), prefix_at)).alias("token")
+    said = nodes.select(*scope, "node", "weight", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    rarity = said.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    ordered = said.join(rarity, "token").groupBy(*scope, "node", "weight", "size").agg(
+        F.sort_array(F.collect_list(F.struct("texts", "token"))).alias("ordered")
     )
-    hubs = keyed.groupBy(*scope, "token").agg(
-        F.max_by("node", F.struct("weight", "node")).alias("hub")
+    keep = F.col("size") - F.ceil(F.lit(prefix_at) * F.col("size") - F.lit(1e-9)).cast("int") + 1
+    return ordered.select(
+        *scope, "node", "weight", "size", F.explode(F.slice("ordered", F.lit(1), F.greatest(keep, F.lit(0)))["token"]).alias("token")
     )
-    # Only ids travel until a candidate is certain; a long text is then read twice, not once per token.
-    candidates = (
-        keyed.join(hubs, [*scope, "token"]).filter("node != hub").select(*scope, "node", "hub").distinct()
+
+
+def similar_links(nodes: DataFrame, scope: list[str], threshold: float, prefix_at: float) -> DataFrame:
+    """Links (left, right) between similar nodes; their components are those of all similar pairs of a scope.
+
+    ``nodes`` holds the scope columns, ``node``, ``tokens`` (distinct) and ``weight``. ``threshold`` is
+    the least similarity of a link; ``prefix_at`` a Jaccard similarity that every such link reaches.
+    """
+    keyed = cut_lineage(prefixes(nodes, scope, prefix_at))
+    group = [*scope, "token"]
+    hubs = keyed.groupBy(*group).agg(F.max_by("node", F.struct("weight", "node")).alias("right"))
+    near_hub = _similar(
+        keyed.join(hubs, group).filter("node != right").select(F.col("node").alias("left"), "right").distinct(), nodes, threshold
     )
-    said = nodes.select("node", "tokens")
-    hub_said = nodes.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
-    near = TK.similarity(F.col("shared"), F.size("tokens"), F.size("hub_tokens")) >= threshold
+    first = cut_lineage(near_hub)
+    labelled = cut_lineage(
+        keyed.join(components(first), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "weight")
+    )
+    mixed = labelled.groupBy(*group).agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select(*group)
+    open_rows = labelled.join(mixed, group, "left_semi")
+    other = open_rows.select(*group, F.col("node").alias("right"), F.col("label").alias("right_label"), F.col("size").alias("right_size"))
+    pairs = (
+        open_rows.withColumnRenamed("node", "left").join(other, group)
+        .filter("left < right AND label != right_label")
+        .filter(F.least("size", "right_size") >= F.greatest("size", "right_size") * prefix_at - 1e-9)
+        .select("left", "right").distinct()
+    )
+    return first.unionByName(_similar(pairs, nodes, threshold))
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose token sets are similar enough."""
+    near = TK.similarity(F.col("shared"), F.size("left_tokens"), F.size("right_tokens")) >= threshold
     return (
-        candidates.join(said, "node")
-        .join(hub_said, "hub")
-        .withColumn("shared", TK.overlap(F.col("tokens"), F.col("hub_tokens")))
-        .filter(near)
-        .select(*scope, F.col("node").alias("left"), F.col("hub").alias("right"))
+        pairs.join(nodes.select(F.col("node").alias("left"), F.col("tokens").alias("left_tokens")), "left")
+        .join(nodes.select(F.col("node").alias("right"), F.col("tokens").alias("right_tokens")), "right")
+        .withColumn("shared", TK.overlap(F.col("left_tokens"), F.col("right_tokens")))
+        .filter(near).select("left", "right")
     )
 
 
-def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every linked node; the component is its least node.
 
     Each round takes the least label among the neighbours and then the label
-    of that label, so long chains shrink fast. Every round is checkpointed.
+    of that label, so long chains shrink fast; it goes on until nothing changes. Every round is checkpointed.
     """
     both = cut_lineage(
         links.select("left", "right")
@@ -60,7 +87,7 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         both.groupBy(F.col("left").alias("node")).agg(F.min("right").alias("least"))
         .select("node", F.least("node", "least").alias("component"))
     )
-    for _ in range(max_rounds):
+    while True:
         offered = (
             both.join(labels, F.col("right") == F.col("node"))
             .groupBy("left").agg(F.min("component").alias("offer"))
@@ -74,8 +101,6 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
                 "node", "before", F.least("component", F.coalesce("further", "component")).alias("component")
             )
         )
-        settled = stepped.filter("before != component").isEmpty()
         labels = stepped.select("node", "component")
-        if settled:
-            break
-    return labels
+        if stepped.filter("before != component").isEmpty():
+            return labels

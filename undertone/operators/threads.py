@@ -8,48 +8,64 @@ from pyspark.sql import functions as F
 
 from undertone.functions import expressions as E
 from undertone.operators.ranking import min_max
+from undertone.operators.similarity import components
 from undertone.session import cut_lineage
 
-# Caps of the analysis requests, and the deepest level flattened.
-FETCHED = 500
-ANALYSED = 150
-ENRICHED = 200
+# Fixed value: the deepest level that a flat list of one thread shows.
 FLATTEN_DEPTH = 3
 
 
-def follow(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Where a walk along ``links(scope, node, target)`` ends, and after how many hops.
+def follow(links: DataFrame) -> DataFrame:
+    """Where a walk along ``links(scope, node, target)`` ends, after how many hops, and whether it was ``cut``.
 
-    Pointer doubling: in each round a node jumps to where its target points, so
-    a chain of n links takes log2(n) rounds. Nodes without a link end a walk.
+    Pointer doubling: in each round a node jumps to where its target points, so a chain of n links
+    takes log2(n) rounds. Nodes without a link end a walk. A cycle is cut at its least node, which
+    then ends the walks on it: it comes back with itself as target, 0 hops and ``cut``.
     """
-    steps = cut_lineage(links.select("scope", "node", "target", F.lit(1).cast("bigint").alias("hops")))
-    for _ in range(max_rounds):
-        onward = steps.select(
-            "scope",
-            F.col("node").alias("target"),
-            F.col("target").alias("next_target"),
-            F.col("hops").alias("next_hops"),
-        )
-        steps = cut_lineage(
-            steps.join(onward, ["scope", "target"], "left").select(
-                "scope",
-                "node",
-                F.coalesce("next_target", "target").alias("target"),
-                (F.col("hops") + F.coalesce("next_hops", F.lit(0))).alias("hops"),
-                F.col("next_target").isNotNull().alias("moved"),
-            )
-        )
-        if steps.filter("moved").isEmpty():
-            break
+    links = cut_lineage(links.select("scope", "node", "target"))
+    # In the last round every node has made as many hops as there are links: who still moves is on a
+    # cycle or leads to one.
+    steps, left = links.withColumn("hops", F.lit(1).cast("bigint")), 2 * links.count()
+    moving = left > 0
+    while moving and left:
+        left //= 2
+        steps = _doubled(steps)
+        moving = not steps.filter("moved").isEmpty()
+        if moving and not left:
+            on_cycles = steps.filter("moved").select("scope", F.col("target").alias("node")).distinct()
+            kept = _least_of_cycles(links.join(on_cycles, ["scope", "node"], "left_semi"))
+            cut = kept.select("scope", "node", F.col("node").alias("target"), F.lit(0).cast("bigint").alias("hops"), F.lit(True).alias("cut"))
+            return follow(links.join(kept, ["scope", "node"], "left_anti")).unionByName(cut)
         steps = steps.drop("moved")
-    return steps.select("scope", "node", "target", "hops")
+    return steps.select("scope", "node", "target", "hops", F.lit(False).alias("cut"))
+
+
+def _doubled(steps: DataFrame) -> DataFrame:
+    """Each node jumps on to where its target points; ``moved`` tells who could."""
+    onward = steps.select(
+        "scope", F.col("node").alias("target"), F.col("target").alias("next_target"), F.col("hops").alias("next_hops")
+    )
+    return cut_lineage(
+        steps.join(onward, ["scope", "target"], "left").select(
+            "scope", "node", F.coalesce("next_target", "target").alias("target"),
+            (F.col("hops") + F.coalesce("next_hops", F.lit(0))).alias("hops"),
+            F.col("next_target").isNotNull().alias("moved"),
+        )
+    )
+
+
+def _least_of_cycles(cycles: DataFrame) -> DataFrame:
+    """(scope, node): the least node of each cycle; every node of ``cycles`` is on one."""
+    found = components(cycles.select(F.struct("scope", "node").alias("left"), F.struct("scope", F.col("target").alias("node")).alias("right")))
+    alone = cycles.filter("node = target").select("scope", "node")
+    return found.select("component.scope", "component.node").unionByName(alone).distinct()
 
 
 def thread_structure(comments: DataFrame) -> DataFrame:
     """Root and depth of every comment from ``parent_comment_id`` alone.
 
-    A parent that is not in the table ends the walk: its reply is a root.
+    A parent that is not in the table ends the walk: its reply is a root. Where replies form a cycle,
+    the least comment of it is taken as root and has ``cycle_cut``.
     """
     known = comments.select(
         F.col("content_id").alias("scope"), F.col("comment_id").alias("target")
@@ -68,13 +84,15 @@ def thread_structure(comments: DataFrame) -> DataFrame:
         F.col("node").alias("comment_id"),
         F.col("target").alias("found_root"),
         "hops",
+        "cut",
     )
     return (
         comments.drop("thread_root_id", "depth")
         .join(ends, ["content_id", "comment_id"], "left")
         .withColumn("thread_root_id", F.coalesce("found_root", "comment_id"))
         .withColumn("depth", F.coalesce(F.col("hops").cast("int"), F.lit(0)))
-        .drop("found_root", "hops")
+        .withColumn("cycle_cut", F.coalesce("cut", F.lit(False)))
+        .drop("found_root", "hops", "cut")
     )
 
 
@@ -118,17 +136,17 @@ def preorder_per_content(comments: DataFrame, limit: int, max_depth: int = FLATT
     )
 
 
-def top_comments(comments: DataFrame, limit: int = ANALYSED) -> DataFrame:
-    """Most engaging comments per content, all of them when there are fewer."""
+def top_comments(comments: DataFrame, limit: int | None = None) -> DataFrame:
+    """Comments per content by engagement; the first ``limit`` if given."""
     score = E.comment_engagement(
         F.col("likes"), F.col("reply_count"), F.col("shares"), F.col("views")
     )
     window = W.partitionBy("content_id").orderBy(F.desc("engagement_score"), "comment_id")
-    return (
+    ranked = (
         comments.withColumn("engagement_score", F.round(score, 6))
         .withColumn("position", F.row_number().over(window))
-        .filter(F.col("position") <= limit)
     )
+    return ranked if limit is None else ranked.filter(F.col("position") <= limit)
 
 
 def engagement_weights(comments: DataFrame, score: str = "engagement_score") -> DataFrame:

@@ -12,7 +12,6 @@ from undertone.operators.anchors import WIDE_LABEL
 from undertone.operators.enrich import noise_flags
 
 # Units per comment, and the aspect of comments without an anchor.
-MAX_UNITS = 3
 WIDE_ASPECT = "video.video_wide_discussion"
 # Cut after sentence ends and before words of contrast.
 BOUNDARY = "(?<=[.!?])\\s+|\\n+|\\s+(?=(?i:but|however|although|though)\\b)"
@@ -71,11 +70,11 @@ def cluster_type(stance_of: Column, flags: Column) -> Column:
     )
 
 
-def split_spans(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``spans``: one to three pieces of a text column.
+def split_spans(df: DataFrame, text: str, most: int | None = None) -> DataFrame:
+    """Adds ``spans``: the pieces of a text column.
 
-    A short word of courtesy ahead of a real statement is dropped. Whatever
-    follows the second piece stays together as the third, so no text is lost.
+    A short word of courtesy ahead of a real statement is dropped. If the caller
+    asks for at most ``most`` pieces, the last one holds all that is left.
     """
     cut = F.filter(F.transform(F.split(F.col(text), BOUNDARY), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
     df = df.withColumn("pieces", cut).withColumn("opening", TK.words(F.get("pieces", F.lit(0))))
@@ -87,11 +86,11 @@ def split_spans(df: DataFrame, text: str) -> DataFrame:
     )
     rest = F.slice("pieces", F.lit(2), F.greatest(F.size("pieces") - 1, F.lit(1)))
     df = df.withColumn("pieces", F.when(courtesy, rest).otherwise(F.col("pieces")))
-    tail = F.array_join(
-        F.slice("pieces", F.lit(MAX_UNITS), F.greatest(F.size("pieces") - MAX_UNITS + 1, F.lit(1))), " "
-    )
-    joined = F.concat(F.slice("pieces", 1, MAX_UNITS - 1), F.array(tail))
-    spans = F.when(F.size("pieces") > MAX_UNITS, joined).otherwise(F.col("pieces"))
+    spans = F.col("pieces")
+    if most is not None:
+        tail = F.array_join(F.slice("pieces", F.lit(most), F.greatest(F.size("pieces") - most + 1, F.lit(1))), " ")
+        joined = F.concat(F.slice("pieces", 1, most - 1), F.array(tail))
+        spans = F.when(F.size("pieces") > most, joined).otherwise(spans)
     return df.withColumn("spans", spans).drop("pieces", "opening")
 
 

@@ -24,7 +24,7 @@ from undertone.sources import sinks
 
 
 def bronze(spark, sf) -> DataFrame:
-    return K.dedup_captures(K.filter_captures(post_captures(spark, sf)), ["platform"])
+    return K.dedup_captures(K.filter_captures(post_captures(spark, sf)))
 
 
 # -- captures -----------------------------------------------------------------

@@ -106,13 +106,13 @@ def _(spark, sf):
     f"""WITH t AS (SELECT conv_id, turn, unnest({_tokens_sql('text')}) AS tok FROM conversations),
     b AS (SELECT conv_id, turn, CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % 64 AS d, count(*) AS n FROM t GROUP BY ALL),
     v AS (SELECT conv_id, turn, count(*) AS buckets, sqrt(sum(n * n)) AS norm, max(n) AS top FROM b GROUP BY ALL)
-    SELECT conv_id, turn, buckets, round(top / norm, 4) AS largest FROM v""",
+    SELECT c.conv_id, c.turn, coalesce(buckets, 0) AS buckets, coalesce(round(top / norm, 4), 0) AS largest
+    FROM conversations c LEFT JOIN v ON c.conv_id = v.conv_id AND c.turn = v.turn""",
 )
 def _(spark, sf):
     vector = TK.hash_vector(TK.content_tokens(F.col("text")))
     return (
         table(spark, sf, "conversations").select("conv_id", "turn", vector.alias("v"))
-        .filter(F.exists("v", lambda x: x > 0))
         .select(
             "conv_id", "turn", F.size(F.filter("v", lambda x: x > 0)).alias("buckets"),
             F.round(F.array_max("v").cast("double"), 4).alias("largest"),
@@ -222,7 +222,7 @@ def _(spark, sf):
     "cluster_insights",
     f"""WITH {_BUILT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY importance DESC, local_cluster_id) AS n FROM c)
     SELECT video_id || '_insight_' || n AS insight_id, importance AS importance_score, round(avg_grounding, 3) AS confidence,
-      {_case_sql(C.WHY_IT_MATTERS, C.WHY_OTHERWISE)} AS why_it_matters FROM r WHERE n <= 5""",
+      {_case_sql(C.WHY_IT_MATTERS, C.WHY_OTHERWISE)} AS why_it_matters FROM r""",
 )
 def _(spark, sf):
     return I.local_insights(C.build_clusters(_sample_members(spark, sf))).select(
@@ -461,7 +461,7 @@ _SPAN_SQL = f"""{FEEDBACK_SQL}, cut AS (SELECT comment_id, {_PIECES_SQL} AS p FR
   opened AS (SELECT *, {_words_sql('p[1]')} AS opening FROM cut),
   kept AS (SELECT comment_id, CASE WHEN len(p) > 1 AND len(opening) <= 3 AND {_count_sql('opening', L.POSITIVE_WORDS)} > 0
       AND NOT ends_with(p[1], '?') THEN p[2:] ELSE p END AS p FROM opened),
-  spans AS (SELECT comment_id, CASE WHEN len(p) > 3 THEN list_concat(p[1:2], [array_to_string(p[3:], ' ')]) ELSE p END AS s FROM kept),
+  spans AS (SELECT comment_id, p AS s FROM kept),
   each AS (SELECT comment_id, unnest(s) AS span, generate_subscripts(s, 1) - 1 AS piece FROM spans),
   worded AS (SELECT *, {_words_sql('span')} AS said, {_tokens_sql('span')} AS tokens FROM each),
   felt AS (SELECT *, {_count_sql('said', L.POSITIVE_WORDS)} > 0 AND NOT {_has('span', L.NEGATIVE_PHRASES)} AS good,
@@ -508,8 +508,8 @@ _CONTEXT_SQL = r"""cut AS (SELECT CAST(conv_id AS VARCHAR) AS v, text, role, lis
   parts AS (SELECT v, role, s, list_filter(s, lambda x, i: (i - 1) % 2 = 1) AS moments, list_filter(s, lambda x, i: (i - 1) % 3 = 0) AS steps,
       list_filter(list_transform(s, lambda x: regexp_extract(x, '([\p{L}]+)', 1)), lambda x: length(x) > 2) AS names,
       list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
-                  lambda x: length(x) >= 12 AND len(regexp_split_to_array(x, '\s+')) >= 3)[1:12] AS lines,
-      list_filter(list_filter(s, lambda x, i: (i - 1) % 4 = 2), lambda x: length(trim(x)) >= 3)[1:15] AS shown FROM cut)"""
+                  lambda x: length(x) >= 12 AND len(regexp_split_to_array(x, '\s+')) >= 3) AS lines,
+      list_filter(list_filter(s, lambda x, i: (i - 1) % 4 = 2), lambda x: length(trim(x)) >= 3) AS shown FROM cut)"""
 _ANCHOR_SQL = f"""WITH {_CONTEXT_SQL}, a AS (
   SELECT v AS video_id, v || '_global_video' AS anchor_id, 'global_video' AS anchor_type, 'summary' AS source_field,
     coalesce(nullif(s[1], ''), 'Video-wide discussion') AS label, NULL AS starts_at, NULL AS ends_at FROM parts
@@ -578,7 +578,7 @@ _GROUND_SQL = f"""{FEEDBACK_SQL}, {_CONTEXT_SQL}, {_PLACED_SQL},
   ranked AS (SELECT comment_id, anchor_id, anchor_type, label, confidence, row_number() OVER (PARTITION BY comment_id ORDER BY -(confidence + {_kind_sql(1)}), g, i) AS r
     FROM scored WHERE confidence >= {N.MIN_SCORE}),
   own AS (SELECT comment_id, max(CASE WHEN r = 1 THEN anchor_id END) AS anchor_id, max(CASE WHEN r = 1 THEN confidence END) AS confidence,
-      max(CASE WHEN r = 1 THEN anchor_type END) AS kind, max(CASE WHEN r = 1 THEN label END) AS label, count(*) AS refs FROM ranked WHERE r <= 3 GROUP BY comment_id),
+      max(CASE WHEN r = 1 THEN anchor_type END) AS kind, max(CASE WHEN r = 1 THEN label END) AS label, count(*) AS refs FROM ranked GROUP BY comment_id),
   grounded AS (SELECT m.*, CASE WHEN refs IS NOT NULL THEN own.anchor_id WHEN general THEN video_id || '_global_video' END AS anchor_id,
       CASE WHEN refs IS NOT NULL THEN confidence WHEN general THEN {N.GENERIC_SCORE}::DOUBLE END AS confidence,
       CASE WHEN refs IS NOT NULL THEN kind WHEN general THEN 'global_video' END AS kind,
@@ -654,7 +654,7 @@ _UNITS_SQL = f"""{_ENRICHED_SQL},
   opened AS (SELECT *, {_words_sql('pp[1]')} AS opening FROM cut_up),
   kept AS (SELECT *, CASE WHEN len(pp) > 1 AND len(opening) <= 3 AND {_count_sql('opening', L.POSITIVE_WORDS)} > 0
       AND NOT ends_with(pp[1], '?') THEN pp[2:] ELSE pp END AS q FROM opened),
-  spans AS (SELECT *, CASE WHEN agrees THEN [spoken] WHEN len(q) > 3 THEN list_concat(q[1:2], [array_to_string(q[3:], ' ')]) ELSE q END AS sp FROM kept),
+  spans AS (SELECT *, CASE WHEN agrees THEN [spoken] ELSE q END AS sp FROM kept),
   each AS (SELECT * EXCLUDE (sp, q, pp, opening), unnest(sp) AS span, generate_subscripts(sp, 1) AS piece FROM spans),
   worded AS (SELECT *, {_words_sql('span')} AS said, {_tokens_sql('span')} AS tokens FROM each),
   felt AS (SELECT *, {_count_sql('said', L.POSITIVE_WORDS)} > 0 AND NOT {_has('span', L.NEGATIVE_PHRASES)} AS good,
@@ -737,18 +737,12 @@ def _(spark, sf):
 
 # -- clusters -----------------------------------------------------------------
 
-def _linked_sql(nodes: str, scope: list[str], link_from: float, prefix_at: float, tag: str) -> str:
-    """Hub links and components of a CTE ``nodes`` (scope, node, tokens, weight)."""
-    listed = ", ".join(scope)
-    same = " AND ".join(f"k.{c} = h.{c}" for c in scope)
-    return f"""{tag}_keys AS (SELECT {listed}, node, weight, unnest(list_transform(list_sort(list_transform(tokens, lambda t: {{'h': md5(t), 't': t}})), lambda s: s.t)
-      [1:len(tokens) - CAST(ceil({prefix_at}::DOUBLE * len(tokens) - 1e-9) AS INT) + 1]) AS token FROM {nodes}),
-  {tag}_hubs AS (SELECT {listed}, token, node AS hub FROM (SELECT *, row_number() OVER (PARTITION BY {listed}, token ORDER BY weight DESC, node DESC) AS r
-      FROM {tag}_keys) WHERE r = 1),
-  {tag}_pairs AS (SELECT DISTINCT k.node, h.hub FROM {tag}_keys k JOIN {tag}_hubs h ON {same} AND k.token = h.token WHERE k.node <> h.hub),
-  {tag}_shared AS (SELECT p.*, len(a.tokens) AS na, len(b.tokens) AS nb, len(list_intersect(a.tokens, b.tokens)) AS n
-      FROM {tag}_pairs p JOIN {nodes} a ON p.node = a.node JOIN {nodes} b ON p.hub = b.node),
-  {tag}_links AS (SELECT node AS x, hub AS y FROM {tag}_shared WHERE (n / sqrt(na * nb) + n / (na + nb - n)) / 2 >= {link_from}::DOUBLE),
+def _linked_sql(nodes: str, scope: list[str], link_from: float, tag: str) -> str:
+    """Components of all similar pairs of a scope of a CTE ``nodes`` (scope, node, tokens)."""
+    same = " AND ".join(f"a.{c} = b.{c}" for c in scope)
+    return f"""{tag}_shared AS (SELECT a.node AS x, b.node AS y, len(a.tokens) AS na, len(b.tokens) AS nb, len(list_intersect(a.tokens, b.tokens)) AS n
+      FROM {nodes} a JOIN {nodes} b ON {same} AND a.node < b.node WHERE len(a.tokens) > 0 AND len(b.tokens) > 0),
+  {tag}_links AS (SELECT x, y FROM {tag}_shared WHERE (n / sqrt(na * nb) + n / (na + nb - n)) / 2 >= {link_from}::DOUBLE),
   {tag}_both AS (SELECT x, y FROM {tag}_links UNION SELECT y, x FROM {tag}_links),
   {tag}_reach AS (SELECT x, y FROM {tag}_both UNION SELECT r.x, b.y FROM {tag}_reach r JOIN {tag}_both b ON r.y = b.x),
   {tag}_parts AS (SELECT x AS node, least(x, min(y)) AS component FROM {tag}_reach GROUP BY x)"""
@@ -760,7 +754,7 @@ _MEMBERS_SQL = f"""{_UNITS_SQL},
       WHEN len(tokens) > 0 THEN array_to_string(list_sort(tokens), ' ') ELSE regexp_replace(lower(span), '\\s+', ' ', 'g') END)) AS node FROM units),
   nodes AS (SELECT video_id, aspect_key, cluster_type, stance, node, max(engagement_score) AS weight, any_value(tokens) AS tokens
       FROM noded WHERE NOT {_WHOLE_SQL} AND len(tokens) > 0 GROUP BY video_id, aspect_key, cluster_type, stance, node),
-  {_linked_sql('nodes', C.BUCKET, C.LINK_FROM, C.PREFIX_AT, 'u')},
+  {_linked_sql('nodes', C.BUCKET, C.LINK_FROM, 'u')},
   members AS (SELECT noded.*, coalesce(component, node) AS cluster_key FROM noded LEFT JOIN u_parts USING (node))"""
 
 
@@ -777,7 +771,7 @@ _CLUSTERS_SQL = f"""{_MEMBERS_SQL},
   weighed AS (SELECT *, round({_IMPORTANCE_SQL}, 3) AS importance, round(size / sum(size) OVER w, 4) AS share
     FROM measured WINDOW w AS (PARTITION BY video_id)),
   plain AS (SELECT *, concat_ws('_', video_id, substr({_slug_sql('aspect_key')}, 1, 40), cluster_type, stance, size) AS plain_id FROM weighed),
-  clusters AS (SELECT * EXCLUDE (plain_id), CASE WHEN count(*) OVER (PARTITION BY plain_id) > 1 THEN plain_id || '_' || substr(cluster_key, 1, 8) ELSE plain_id END AS local_cluster_id,
+  clusters AS (SELECT * EXCLUDE (plain_id), CASE WHEN count(*) OVER (PARTITION BY plain_id) > 1 THEN plain_id || '_' || cluster_key ELSE plain_id END AS local_cluster_id,
       {_case_sql(C.LABELS, C.LABELS['other'])} || aspect_label AS label, size || ' opinion units ' || {_case_sql(C.VERBS, C.VERBS['other'])} || ' ' || aspect_label || '.' AS summary,
       list_contains({_list_sql(C.LOW_SIGNAL)}, cluster_type) AS low_signal, aspect_key = '{U.WIDE_ASPECT}' AS wide FROM plain)"""
 
@@ -785,13 +779,14 @@ _CLUSTERS_SQL = f"""{_MEMBERS_SQL},
 @query(
     "local_clusters",
     f"""WITH RECURSIVE {_CLUSTERS_SQL} SELECT local_cluster_id, video_id, aspect_key, cluster_type, stance, size, comments, unique_authors,
-      total_engagement, round(reply_depth, 4) AS reply_depth, round(avg_grounding, 4) AS avg_grounding, round(avg_density, 4) AS avg_density,
+      total_engagement, round(reply_depth + 1e-9, 4) AS reply_depth, round(avg_grounding + 1e-9, 4) AS avg_grounding, round(avg_density + 1e-9, 4) AS avg_density,
       share, importance, label, summary, low_signal, wide FROM clusters""",
 )
 def _(spark, sf):
     return clusters_of(spark, sf).select(
         "local_cluster_id", "video_id", "aspect_key", "cluster_type", "stance", "size", "comments", "unique_authors", "total_engagement",
-        *[F.round(c, 4).alias(c) for c in ("reply_depth", "avg_grounding", "avg_density")],
+        # A mean right between two roundings depends on the order of its sum: lift it off the middle.
+        *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("reply_depth", "avg_grounding", "avg_density")],
         "share", "importance", "label", "summary", "low_signal", "wide",
     )
 
@@ -799,7 +794,7 @@ def _(spark, sf):
 _META_SQL = f"""{_CLUSTERS_SQL},
   usable AS (SELECT * FROM clusters WHERE NOT low_signal AND NOT wide),
   themes AS (SELECT stance, cluster_key AS node, {_tokens_sql('aspect_label')} AS tokens, importance AS weight FROM usable),
-  {_linked_sql('themes', ['stance'], I.META_LINK_FROM, I.META_PREFIX_AT, 'm')},
+  {_linked_sql('themes', ['stance'], I.META_LINK_FROM, 'm')},
   joined AS (SELECT usable.*, component AS meta_key, row_number() OVER (PARTITION BY component, video_id ORDER BY importance DESC, local_cluster_id) AS r
       FROM usable JOIN m_parts ON cluster_key = node),
   single AS (SELECT * FROM joined WHERE r = 1),
@@ -820,7 +815,7 @@ _INSIGHT_SQL = f"""{_CLUSTERS_SQL}, shown AS (SELECT * FROM clusters c WHERE NOT
     "local_insights",
     f"""WITH RECURSIVE {_INSIGHT_SQL} SELECT video_id || '_insight_' || rank AS insight_id, 'single_video' AS scope, video_id, label AS title, summary AS description,
       {_case_sql(C.WHY_IT_MATTERS, C.WHY_OTHERWISE)} AS why_it_matters, importance AS importance_score, round(avg_grounding, 3) AS confidence, rank
-    FROM numbered WHERE rank <= 5""",
+    FROM numbered""",
 )
 def _(spark, sf):
     return I.local_insights(clusters_of(spark, sf)).drop("cluster_key")
@@ -830,7 +825,7 @@ def _(spark, sf):
     "content_reports",
     f"""WITH RECURSIVE {_INSIGHT_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY importance DESC, local_cluster_id) AS n
       FROM clusters WHERE NOT low_signal),
-    t AS (SELECT video_id, string_agg(label, ' | ' ORDER BY n) AS themes FROM top WHERE n <= 5 GROUP BY video_id),
+    t AS (SELECT video_id, string_agg(label, ' | ' ORDER BY n) AS themes FROM top GROUP BY video_id),
     p AS (SELECT video_id, count(*) FILTER (stance = 'positive') AS good_units, count(*) FILTER (stance = 'negative') AS bad_units FROM units GROUP BY video_id),
     c AS (SELECT video_id, count(*) AS comment_count FROM feedback GROUP BY video_id),
     s AS (SELECT video_id, summary FROM numbered WHERE rank = 1)
@@ -995,7 +990,7 @@ _METAS_SQL = f"""{_META_SQL},
   rated AS (SELECT *, round(videos / (SELECT count(DISTINCT video_id) FROM clusters), 3) AS recurrence,
       round(negative_share * (1.0 - negative_share) * 4 * 0.5 + least(reply_depth, 1.0) * 0.5, 3) AS controversy
     FROM sums JOIN people USING (meta_key) JOIN lead USING (meta_key)),
-  metas AS (SELECT *, 'meta_' || substr(md5(meta_key), 1, 12) AS meta_cluster_id, round({_META_NORM_SQL}, 3) AS importance,
+  metas AS (SELECT *, 'meta_' || meta_key AS meta_cluster_id, round({_META_NORM_SQL}, 3) AS importance,
       {_case_sql(I.RECURRING, I.RECURRING_OTHERWISE)} || aspect_label AS canonical_theme FROM rated)"""
 
 
@@ -1013,7 +1008,7 @@ def _(spark, sf):
     "meta_insights",
     f"""WITH RECURSIVE {_METAS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY importance DESC, meta_cluster_id) AS rank FROM metas)
     SELECT 'cross_video_insight_' || rank AS insight_id, 'cross_video' AS scope, meta_cluster_id, canonical_theme AS title,
-      {_case_sql(I.META_WHY, I.META_WHY_OTHERWISE)} AS why_it_matters, importance AS importance_score, confidence, rank FROM r WHERE rank <= 10""",
+      {_case_sql(I.META_WHY, I.META_WHY_OTHERWISE)} AS why_it_matters, importance AS importance_score, confidence, rank FROM r""",
 )
 def _(spark, sf):
     metas = I.build_meta_clusters(themes_of(spark, sf), members(spark, sf), clusters_of(spark, sf))
@@ -1036,10 +1031,10 @@ def _(spark, sf):
     "comments_enriched_on_request",
     f"""WITH RECURSIVE {_ENRICHED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id
       ORDER BY round(ln(1 + likes) + 1.5 * ln(1 + reply_count), 6) DESC, comment_id) AS n FROM sured)
-    SELECT video_id, comment_id, intent AS comment_intent, c AS grounding_confidence FROM r WHERE n <= {Q.ENRICHED_COMMENTS}""",
+    SELECT video_id, comment_id, intent AS comment_intent, c AS grounding_confidence FROM r WHERE n <= 200""",
 )
 def _(spark, sf):
-    df = Q.enrich_contents(feedback(spark, sf), A.with_anchors(contexts(spark, sf)))
+    df = Q.enrich_contents(feedback(spark, sf), A.with_anchors(contexts(spark, sf)), 200)
     return df.select("video_id", "comment_id", "comment_intent", "grounding_confidence")
 
 
@@ -1052,7 +1047,7 @@ _BUCKET_COLUMNS = ", ".join(C.BUCKET)
     said AS (SELECT cluster_key, token, count(*) AS n FROM (SELECT cluster_key, unnest(tokens) AS token FROM members) GROUP BY ALL),
     common AS (SELECT cluster_key, list_sort(list(token)) AS tokens FROM said JOIN grown USING (cluster_key) WHERE n * 2 >= size GROUP BY cluster_key),
     again AS (SELECT {_BUCKET_COLUMNS}, cluster_key AS node, weight, tokens FROM grown JOIN common USING (cluster_key)),
-    {_linked_sql('again', C.BUCKET, C.LINK_FROM, C.PREFIX_AT, 'g')}
+    {_linked_sql('again', C.BUCKET, C.LINK_FROM, 'g')}
     SELECT {_BUCKET_COLUMNS}, size FROM (SELECT coalesce(component, cluster_key) AS k, {', '.join('members.' + c for c in C.BUCKET)}, count(*) AS size
       FROM members LEFT JOIN g_parts ON members.cluster_key = g_parts.node GROUP BY ALL)""",
 )

@@ -20,7 +20,7 @@ from undertone.plans.views import (
     posts,
     table,
 )
-from undertone.schemas import REQUESTS_PER_MINUTE, platform_dimension
+from undertone.schemas import PLATFORMS, REQUESTS_PER_MINUTE, platform_dimension
 from undertone.sources import posts as P
 from undertone.sources import sinks
 
@@ -156,7 +156,7 @@ def _(spark, sf):
     f"""WITH {POSTS_SQL}, ranked AS (
       SELECT platform, id, row_number() OVER (PARTITION BY platform ORDER BY ts DESC, platform, id) AS source_rank
       FROM posts)
-    SELECT * FROM ranked WHERE source_rank <= CASE platform WHEN 'youtube' THEN 50 ELSE 60 END""",
+    SELECT * FROM ranked WHERE source_rank <= 60""",
 )
 def _(spark, sf):
     df = search.top_per_platform(posts(spark, sf), 60, search.source_order("date"))
@@ -170,14 +170,12 @@ def _(spark, sf):
 
 @query(
     "union_of_sources",
-    f"""WITH {POSTS_SQL} SELECT platform, id, likes FROM posts WHERE platform = 'reddit'
-    UNION ALL SELECT platform, id, NULL FROM posts WHERE platform = 'moltbook'""",
+    f"""WITH {POSTS_SQL} SELECT platform, id, CASE WHEN platform <> 'moltbook' THEN likes END AS likes FROM posts""",
 )
 def _(spark, sf):
     df = posts(spark, sf).select("platform", "id", F.col("engagement.likes").alias("likes"))
-    return search.union_sources(
-        [df.filter("platform = 'reddit'"), df.filter("platform = 'moltbook'").drop("likes")]
-    )
+    plain = [df.filter(F.col("platform") == name) for name in PLATFORMS if name != "moltbook"]
+    return search.union_sources([*plain, df.filter("platform = 'moltbook'").drop("likes")])
 
 
 @query(
@@ -226,8 +224,8 @@ def _(spark, sf):
 
 @query(
     "sanitized_texts",
-    r"""SELECT doc_id, md5(substr(regexp_replace(regexp_replace(text,
-      '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 2000)) AS clean FROM documents""",
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text,
+      '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g')) AS clean FROM documents""",
 )
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(E.sanitize(F.col("text"))).alias("clean"))

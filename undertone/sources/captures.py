@@ -15,7 +15,6 @@ CAPTURE_SCHEMA = (
     "capture_id STRING, platform STRING, kind STRING, content_id STRING, url STRING, "
     "status INT, content_type STRING, body STRING, captured_at TIMESTAMP"
 )
-BODY_KEY_LENGTH = 200
 
 # URL patterns of the intercepted platforms, in matching order.
 URL_PATTERNS = {
@@ -63,15 +62,6 @@ def quarantined(captures: DataFrame) -> DataFrame:
     return captures.filter(~F.coalesce(whole, F.lit(False)))
 
 
-def pattern_dimension(spark: SparkSession) -> DataFrame:
-    rows = [
-        (platform, ordinal, pattern)
-        for platform, patterns in URL_PATTERNS.items()
-        for ordinal, pattern in enumerate(patterns)
-    ]
-    return spark.createDataFrame(rows, "platform STRING, ordinal INT, pattern STRING")
-
-
 def matched_pattern(url: Column, patterns: list[str]) -> Column:
     """First pattern, in declared order, that the URL contains."""
     return F.coalesce(*[F.when(F.contains(url, F.lit(p)), F.lit(p)) for p in patterns])
@@ -100,24 +90,26 @@ def filter_captures(
     )
 
 
-def capture_key(url: Column, body: Column) -> Column:
-    return F.concat_ws("::", F.try_parse_url(url, F.lit("PATH")), F.substring(body, 1, BODY_KEY_LENGTH))
+def capture_key(platform: Column, url: Column, body: Column) -> Column:
+    """Captures of one platform and URL path with the same whole body are one."""
+    return F.concat_ws("::", platform, F.try_parse_url(url, F.lit("PATH")), F.sha2(body, 256))
 
 
-def dedup_captures(captures: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """First capture per URL path and body start.
+def dedup_captures(captures: DataFrame) -> DataFrame:
+    """First capture per ``capture_key``; ``capture_id`` is unique.
 
-    The rank is limited to one, so each task drops its own copies before the
-    shuffle: a body repeated in a third of all rows costs one row per task.
+    Bodies are hashed where they are read and never shuffled for ranking: only keys, times and ids
+    travel, each task drops its own copies first, and the repeats found are taken out by id.
     """
-    key = capture_key(F.col("url"), F.col("body"))
-    window = W.partitionBy(*(scope or []), "capture_key").orderBy("captured_at", "capture_id")
-    return (
-        captures.withColumn("capture_key", key)
-        .withColumn("seen", F.row_number().over(window))
-        .filter(F.col("seen") == 1)
-        .drop("seen", "capture_key")
+    keyed = captures.withColumn("capture_key", capture_key(F.col("platform"), F.col("url"), F.col("body")))
+    first = keyed.groupBy("capture_key").agg(
+        F.min(F.struct("captured_at", "capture_id"))["capture_id"].alias("first_id"), F.count(F.lit(1)).alias("copies")
+    ).filter("copies > 1")
+    repeats = (
+        keyed.select("capture_key", "capture_id").join(first, "capture_key")
+        .filter("capture_id != first_id").select("capture_id")
     )
+    return captures.join(repeats, "capture_id", "left_anti").select(*captures.columns)
 
 
 def captures_for(captures: DataFrame, pattern: str | None = None, bodies_only: bool = False) -> DataFrame:

@@ -19,10 +19,10 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 
 def dedup_stream(captures: DataFrame, window: str = REPEAT_WINDOW) -> DataFrame:
-    """First capture per URL path and body start within the watermark."""
+    """First capture per platform, URL path and whole body within the watermark."""
     return (
         captures.withWatermark("captured_at", window)
-        .withColumn("capture_key", capture_key(F.col("url"), F.col("body")))
+        .withColumn("capture_key", capture_key(F.col("platform"), F.col("url"), F.col("body")))
         .dropDuplicatesWithinWatermark(["capture_key"])
         .drop("capture_key")
     )
