@@ -1,9 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Sizes are words. Targets come from one row per source; each document is then
-taken floor(rate) times, and once more where a hash of its id falls below the
-fraction. Only sums per source are shuffled, so a source with a third of all
-rows costs no more than others. The table of targets is broadcast when it has
+taken floor(rate) times, and once more where a hash of seed and id falls below
+the fraction. Of ``SEEDS`` seeds each source uses the one whose sum of taken
+words comes nearest its target, so that a few long documents don't carry a
+small source away. Only sums per source are shuffled, so a source with a third
+of all rows costs no more than others. The table of targets is broadcast when it has
 at most ``BROADCAST_SOURCES`` rows and joined by shuffle otherwise.
 """
 
@@ -19,6 +21,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BROADCAST_SOURCES = 50_000
 SEED = "mix"
+SEEDS = 16
 
 
 def words(text: str) -> Column:
@@ -26,9 +29,10 @@ def words(text: str) -> Column:
     return F.coalesce(F.expr(f"regexp_count(`{text}`, r'{WORD}')"), F.lit(0)).cast("long")
 
 
-def draw(key: str, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the hash of seed and key; the same in every run."""
-    digest = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+def draw(key: Column, number: Column | int, seed: str = SEED) -> Column:
+    """A number in [0, 1) from the hash of seed, seed number and key (as text); the same in every run."""
+    number = F.lit(number) if isinstance(number, int) else number
+    digest = F.md5(F.concat(F.lit(seed + "|"), number.cast("string"), F.lit("|"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
@@ -62,6 +66,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     )
 
 
+def _rate(most: int) -> Column:
+    rate = F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))
+    return F.when(F.col("source_size") > 0, rate).otherwise(0.0)
+
+
+def _times(number: Column | int, seed: str) -> Column:
+    """floor(rate), and one more where the draw falls below the fraction."""
+    more = F.when(draw(F.col("key"), number, seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return F.floor("rate") + more
+
+
+def seeded_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """(source, source_size, target, rate, number): targets, and the number of the seed each source uses.
+
+    ``sizes`` has the columns ``source``, ``key`` and ``size``. Equally near seeds: the smaller number.
+    """
+    targets = _bounded(settle(source_targets(sizes, weights, most).withColumn("rate", _rate(most))))
+    taken = (
+        sizes.withColumnRenamed("source", "place").join(targets, F.col("place").eqNullSafe(F.col("source")))
+        .groupBy("source", "source_size", "target", "rate")
+        .agg(*(F.sum(F.col("size") * _times(n, seed)).alias(f"taken{n}") for n in range(SEEDS)))
+    )
+    distances = F.array(*(F.struct(F.abs(F.col(f"taken{n}") - F.col("target")).alias("distance"), F.lit(n).alias("number")) for n in range(SEEDS)))
+    return taken.select("source", "source_size", "target", "rate", F.array_min(distances)["number"].alias("number"))
+
+
+def _bounded(targets: DataFrame) -> DataFrame:
+    """A table of one row per source, to be broadcast if it is short enough."""
+    return F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
+
+
 def with_targets(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     text: str = "text", source: str = "source", key: str = "doc_id", seed: str = SEED,
@@ -74,20 +109,14 @@ def with_targets(
     whatever their names; only the four above are replaced.
     """
     sized = docs.select(
-        F.struct(*docs.columns).alias("doc"), words(text).alias("mix_size"), F.col(source).alias("place"), draw(key, seed).alias("draw")
+        F.struct(*docs.columns).alias("doc"), words(text).alias("size"), F.col(source).alias("place"), F.col(key).cast("string").alias("key")
     )
-    targets = settle(source_targets(sized.select(F.col("place").alias("source"), F.col("mix_size").alias("size")), weights, most))
-    targets = targets.select("source", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(float(most)))).otherwise(0.0)
-    times = F.floor(rate) + F.when(F.col("draw") < rate - F.floor(rate), 1).otherwise(0)
-    made = ["mix_size", "mix_source_size", "mix_target", "mix_times"]
+    sizes = settle(sized.select(F.col("place").alias("source"), "key", "size"))
+    targets = _bounded(settle(seeded_targets(sizes, weights, most, seed)))
+    made = {"mix_size": F.col("size"), "mix_source_size": F.col("source_size"), "mix_target": F.col("target"),
+            "mix_times": _times(F.col("number"), seed).cast("int")}
     kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in made]
-    return (
-        sized.join(targets, F.col("place").eqNullSafe(F.col("source")))
-        .withColumn("mix_times", times.cast("int")).select(*kept, *made)
-    )
+    return sized.join(targets, F.col("place").eqNullSafe(F.col("source"))).select(*kept, *(c.alias(n) for n, c in made.items()))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, **names: str) -> DataFrame:

@@ -67,14 +67,20 @@ WITH sized AS (
         CASE WHEN l.level * weight > 3 * source_size THEN 3.0::DOUBLE * source_size ELSE f.level * weight END AS target
     FROM levels l, final f
 ), rates AS (
-    SELECT doc_id, size, source_size, target,
-        CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-        ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
-    FROM sized JOIN targets USING (source)
+    SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM targets
+), draws AS (
+    SELECT doc_id, size, r.source, source_size, target, number,
+        size * (floor(rate)::BIGINT + CASE WHEN
+            ('0x' || substr(md5('mix|' || number || '|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE
+            < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+    FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source, range(16) n(number)
+), chosen AS (
+    SELECT source, arg_min(number, (distance, number)) AS number FROM (
+        SELECT source, number, abs(sum(taken) - target) AS distance FROM draws GROUP BY source, number, target
+    ) GROUP BY source
 )
-SELECT doc_id, size, source_size, target,
-    size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
-FROM rates
+SELECT doc_id, size, source_size, target, taken
+FROM draws d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.number = c.number
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_targets(table(spark, sf_dir, "documents"))
