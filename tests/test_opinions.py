@@ -108,7 +108,9 @@ def test_long_text_keeps_every_word(spark):
     text = "One is here. Two is there! Three is near. Four is far. Five is last."
     df = U.split_spans(spark.createDataFrame([(text,)], "t STRING"), "t")
     spans = df.first().spans
-    assert len(spans) == 3 and " ".join(spans) == text
+    assert len(spans) == 5 and " ".join(spans) == text
+    few = U.split_spans(spark.createDataFrame([(text,)], "t STRING"), "t", 3).first().spans
+    assert len(few) == 3 and " ".join(few) == text
 
 
 def test_contrast_splits(spark):
