@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,9 +10,11 @@ from undertone.functions.expressions import comment_engagement
 from undertone.operators import clusters as C
 from undertone.operators import enrich as N
 from undertone.operators import insights as I
+from undertone.session import settle
 
 # Limits of the requests, and what an empty request answers.
 CLUSTERS_DEFAULT, CLUSTERS_LEAST, CLUSTERS_MOST = 5, 2, 15
+CLUSTER_ROUNDS = 4
 DEPTH_THEMES = {"surface": 1, "standard": 5, "deep": 10, "comprehensive": 20}
 NO_CLUSTERS = "No comments found for clustering"
 EXAMPLES = 3
@@ -56,15 +56,45 @@ def cluster_opinions(contents: DataFrame, members: DataFrame, clusters: DataFram
     )
 
 
-def fixed_count_clusters(vectors: DataFrame, count: int = CLUSTERS_DEFAULT, seed: int = 42,
+def fixed_count_clusters(vectors: DataFrame, count: int = CLUSTERS_DEFAULT, rounds: int = CLUSTER_ROUNDS,
                          weight: str | None = None) -> DataFrame:
-    """``vectors(item, vector)`` in exactly ``count`` groups, engagement as weight if given."""
+    """(item, cluster): ``vectors(item, vector)`` in at most ``count`` groups by cosine.
+
+    The first ``count`` items are the first centres. In each of ``rounds`` rounds every item goes to the
+    most similar centre, the lower one on ties, and a centre becomes the mean of its unit vectors,
+    weighted if asked; a centre that nothing is near to stays. Zero vectors and vectors of other length
+    than the first item's are left out. The driver sees the centres only.
+    """
     check_cluster_count(count)
-    prepared = vectors.withColumn("features", array_to_vector("vector"))
-    means = KMeans(k=count, seed=seed, distanceMeasure="cosine")
-    if weight is not None:
-        means = means.setWeightCol(weight)
-    return means.fit(prepared).transform(prepared).select("item", F.col("prediction").alias("cluster"))
+    numbered = vectors.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
+    usable = numbered.filter("norm > 0").select(
+        "item", F.transform("vector", lambda x: x.cast("double") / F.col("norm")).alias("unit"),
+        (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("weight"),
+    )
+    centres = [list(r["unit"]) for r in usable.orderBy("item").limit(count).collect()]
+    if not centres:
+        return usable.select("item", F.lit(0).alias("cluster"))
+    size = len(centres[0])
+    usable = settle(usable.filter(F.size("unit") == size))
+    for _ in range(rounds):
+        placed = usable.withColumn("cluster", _nearest(centres))
+        means = placed.groupBy("cluster").agg(
+            *(F.sum(F.get("unit", F.lit(d)) * F.col("weight")).alias(f"d{d}") for d in range(size)), F.sum("weight").alias("total")
+        ).filter("total > 0")
+        for r in means.collect():
+            centres[r["cluster"]] = [r[f"d{d}"] / r["total"] for d in range(size)]
+    return usable.select("item", _nearest(centres).alias("cluster"))
+
+
+def _nearest(centres: list[list[float]]) -> Column:
+    """The number of the centre most similar to ``unit``."""
+    similarities = []
+    for c in centres:
+        norm = sum(x * x for x in c) ** 0.5
+        direction = F.array(*(F.lit(x / norm if norm else 0.0) for x in c))
+        similarities.append(F.aggregate(F.zip_with("unit", direction, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+    both = F.array(*(F.struct(s.alias("s"), F.lit(-n).alias("n")) for n, s in enumerate(similarities)))
+    return -F.array_max(both)["n"]
 
 
 def enrich_contents(comments: DataFrame, contexts: DataFrame, limit: int | None = None) -> DataFrame:

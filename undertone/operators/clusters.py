@@ -103,6 +103,18 @@ def stance_profile(members: DataFrame) -> DataFrame:
     )
 
 
+def stance_shares(members: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(video_id, aspect_key, dominant_stance, stance_shares): how the units of an aspect are divided by stance."""
+    scope = scope or ["video_id", "aspect_key"]
+    counted = members.groupBy(*scope, "stance").agg(F.count(F.lit(1)).alias("n"))
+    listed = counted.groupBy(*scope).agg(
+        F.sum("n").alias("units"), F.max_by("stance", F.struct("n", F.col("stance"))).alias("dominant_stance"),
+        F.sort_array(F.collect_list(F.struct("stance", "n"))).alias("listed"),
+    )
+    shares = F.transform("listed", lambda e: F.struct(e["stance"].alias("stance"), F.round(e["n"] / F.col("units"), 4).alias("share")))
+    return listed.select(*scope, "dominant_stance", F.map_from_entries(shares).alias("stance_shares"))
+
+
 def cluster_measures(members: DataFrame) -> DataFrame:
     """Sizes, sums and means per cluster, with its share of the content's units."""
     measured = members.groupBy("cluster_key", *BUCKET).agg(

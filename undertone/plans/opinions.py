@@ -391,12 +391,44 @@ def _(spark, sf):
 
 # -- answers ------------------------------------------------------------------
 
-@query("fixed_count_clusters")
+def _rounds_sql(count: int, rounds: int) -> str:
+    """The rounds of fixed-count clustering, one after the other."""
+    parts = [
+        "e AS (SELECT vec_id AS item, embedding::DOUBLE[] AS v FROM embeddings)",
+        "u AS (SELECT item, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS unit FROM e)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY item) - 1 AS c, unit AS m FROM u QUALIFY c < {count})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"a{r} AS (SELECT item, any_value(unit) AS unit, arg_max(c, (list_cosine_similarity(unit, m), -c)) AS c FROM u, c{r} GROUP BY item)"
+        )
+        parts.append(
+            f"m{r} AS (SELECT c, list(x ORDER BY pos) AS m FROM (SELECT c, pos, avg(x) AS x FROM "
+            f"(SELECT c, unnest(unit) AS x, generate_subscripts(unit, 1) AS pos FROM a{r}) GROUP BY c, pos) GROUP BY c)"
+        )
+        parts.append(f"c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN m{r} USING (c))")
+    return f"WITH {', '.join(parts)} SELECT item, CAST(c AS INT) AS cluster FROM a{rounds}"
+
+
+@query("fixed_count_clusters", _rounds_sql(10, Q.CLUSTER_ROUNDS))
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
     return Q.fixed_count_clusters(vectors, 10)
 
 
+@query(
+    "aspect_stance_shares",
+    f"""WITH {_MEASURE_SQL}, n AS (SELECT video_id, aspect_key, stance, count(*) AS n FROM k GROUP BY ALL),
+    s AS (SELECT *, round(n / sum(n) OVER (PARTITION BY video_id, aspect_key), 4) AS share FROM n)
+    SELECT video_id, aspect_key, arg_max(stance, (n, stance)) AS dominant_stance, string_agg(stance || ':' || share, ',' ORDER BY stance) AS shares
+    FROM s GROUP BY ALL""",
+)
+def _(spark, sf):
+    df = C.stance_shares(_sample_members(spark, sf))
+    entries = F.transform(F.map_entries("stance_shares"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return df.select("video_id", "aspect_key", "dominant_stance", F.array_join(entries, ",").alias("shares"))
+
+
 # -- text rules with an exact SQL twin ----------------------------------------
 
 def _quote(text: str) -> str:
