@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from undertone.operators import health as H
 from undertone.operators.timeline import run_since, sessions
-from undertone.plans.payloads import post_captures
+from undertone.plans.payloads import comment_captures, post_captures
 from undertone.plans.views import probes, requests
 from undertone.sources import captures as K
+from undertone.sources import comments as M
 from undertone.sources import posts as P
 from undertone.streaming import captures as SC
 from undertone.streaming import health as SH
@@ -82,7 +83,7 @@ def test_sessions_do_not_depend_on_the_slices(spark, sf):
 
 def test_capture_stream_drops_repeats_and_appends_once(spark, sf):
     base = folder()
-    df = post_captures(spark, sf)
+    df = post_captures(spark, sf).unionByName(comment_captures(spark, sf))
     df.withColumn("captured_at", F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).coalesce(3).write.json(f"{base}/in")
     platforms = ["tiktok", "reddit", "moltbook"]
 
@@ -96,6 +97,10 @@ def test_capture_stream_drops_repeats_and_appends_once(spark, sf):
     batch = P.normalize_all_posts(K.dedup_captures(K.filter_captures(df)), platforms)
     want = sorted((r.platform, r.id) for r in batch.select("platform", "id").collect())
     assert sorted((r.platform, r.id) for r in posts.select("platform", "id").collect()) == want
+    keys = SC.SILVER_KEYS["silver_comments"]
+    comments = spark.read.parquet(f"{base}/out/silver_comments/*").select(*keys).collect()
+    said = M.normalize_all_comments(K.dedup_captures(K.filter_captures(df))).filter(F.col("platform").isin(*platforms))
+    assert sorted(map(tuple, comments)) == sorted(map(tuple, said.select(*keys).collect())) and comments
 
 
 def test_request_sessions_on_a_stream(spark, sf):

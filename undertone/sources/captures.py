@@ -96,7 +96,7 @@ def capture_key(platform: Column, url: Column, body: Column) -> Column:
 
 
 def dedup_captures(captures: DataFrame) -> DataFrame:
-    """First capture per ``capture_key``; ``capture_id`` is unique.
+    """First capture per ``capture_key``; within one, ``capture_id`` is unique.
 
     Bodies are hashed where they are read and never shuffled for ranking: only keys, times and ids
     travel, each task drops its own copies first, and the repeats found are taken out by id.
@@ -107,9 +107,9 @@ def dedup_captures(captures: DataFrame) -> DataFrame:
     ).filter("copies > 1")
     repeats = (
         keyed.select("capture_key", "capture_id").join(first, "capture_key")
-        .filter("capture_id != first_id").select("capture_id")
+        .filter("capture_id != first_id").select("capture_key", "capture_id")
     )
-    return captures.join(repeats, "capture_id", "left_anti").select(*captures.columns)
+    return keyed.join(repeats, ["capture_key", "capture_id"], "left_anti").select(*captures.columns)
 
 
 def captures_for(captures: DataFrame, pattern: str | None = None, bodies_only: bool = False) -> DataFrame:

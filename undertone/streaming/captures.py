@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertone.sources.captures import CAPTURE_SCHEMA, capture_key, filter_captures, merge_new, with_envelope
+from undertone.sources.comments import normalize_all_comments
 from undertone.sources.posts import normalize_all_posts
 
 REPEAT_WINDOW = "1 hour"
@@ -38,33 +39,42 @@ def request_sessions(requests: DataFrame, gap: str = "60 seconds", watermark: st
     )
 
 
+# What makes a silver row the same one in a later batch.
+SILVER_KEYS = {"silver_posts": ["platform", "id"], "silver_comments": ["platform", "content_id", "comment_id"]}
+
+
 class SilverWriter:
-    """``foreachBatch`` target: new captures to bronze, their posts to silver.
+    """``foreachBatch`` target: new captures to bronze, their posts and comments to silver.
 
-    Posts of a batch go to a folder of that batch, so a replayed batch replaces
-    its own output and nothing else.
+    Rows of a batch go to a folder of that batch, so a replayed batch replaces
+    its own output and nothing else. A post or comment that an earlier batch
+    has written is not written again; only keys of earlier batches are read.
     """
 
     def __init__(self, spark: SparkSession, folder: str, platforms: list[str], trace_id: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.platforms, self.trace_id = platforms, trace_id
 
-    def _known(self, batch_id: int) -> DataFrame | None:
+    def _earlier(self, name: str, keys: list[str], like: DataFrame, batch_id: int) -> DataFrame:
         """Keys of the earlier batches; the batch folder is a partition, so later ones are pruned."""
         if batch_id == 0:
-            return None
-        return self.spark.read.parquet(f"{self.folder}/bronze").filter(F.col("batch") < batch_id).select("idempotency_key")
+            return like.select(*keys).limit(0)
+        rows = self.spark.read.schema(f"{like.select(*keys).schema.simpleString()[7:-1]}, batch bigint".replace(":", " "))
+        return rows.parquet(f"{self.folder}/{name}").filter(F.col("batch") < batch_id).select(*keys)
 
     def __call__(self, captures: DataFrame, batch_id: int) -> None:
         enveloped = with_envelope(captures, self.trace_id, "capture_stream")
-        known = self._known(batch_id)
-        if known is None:
-            known = enveloped.select("idempotency_key").limit(0)
+        known = self._earlier("bronze", ["idempotency_key"], enveloped, batch_id)
         bronze = f"{self.folder}/bronze/batch={batch_id}"
         merge_new(enveloped, known).write.mode("overwrite").parquet(bronze)
-        fresh = self.spark.read.parquet(bronze)
-        posts = normalize_all_posts(filter_captures(fresh), self.platforms)
-        posts.write.mode("overwrite").parquet(f"{self.folder}/silver_posts/batch={batch_id}")
+        fresh = filter_captures(self.spark.read.parquet(bronze))
+        rows = {
+            "silver_posts": normalize_all_posts(fresh, self.platforms),
+            "silver_comments": normalize_all_comments(fresh).filter(F.col("platform").isin(*self.platforms)),
+        }
+        for name, keys in SILVER_KEYS.items():
+            earlier = self._earlier(name, keys, rows[name], batch_id)
+            rows[name].join(earlier, keys, "left_anti").write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
 
 
 def start_ingest(captures: DataFrame, folder: str, spark: SparkSession, platforms: list[str], trace_id: str):
