@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from undertone.llm import text as X
 from undertone.llm.graph import components
-from undertone.llm.tasks import group_arrow, map_arrow
+from undertone.llm.tasks import map_arrow
 from undertone.session import settle
 
 EDITS = 2
@@ -32,14 +32,22 @@ LEADERS = 4
 PAIRS = 1 << 16
 
 
+_POINT = np.random.default_rng(7907).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_INK = np.ones(256, bool)
+_INK[[9, 10, 11, 12, 13, 32]] = False
+
+
 class Lines:
     """The lines of a run of documents as spans of code points."""
 
     def __init__(self, raw, offsets, i, j):
         data = raw[offsets[i] : offsets[j]]
-        place = np.flatnonzero((data & 0xC0) != 0x80)
-        self.points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        bounds = np.searchsorted(place, offsets[i : j + 1] - offsets[i])
+        bounds = offsets[i : j + 1] - offsets[i]
+        if len(data) and data.max() > 127:
+            bounds = np.append(0, np.cumsum((data & 0xC0) != 0x80))[bounds]
+            self.points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        else:
+            self.points = data.astype(np.uint32)
         breaks = np.flatnonzero(self.points == 10)
         # Every document has one line more than it has line breaks.
         self.first = np.searchsorted(breaks, bounds) + np.arange(len(bounds))
@@ -54,8 +62,11 @@ class Lines:
         self.starts[opening], self.starts[~opening] = bounds[:-1], breaks + 1
         self.ends[closing], self.ends[~closing] = bounds[1:], breaks
         self.number = np.arange(n) - self.first[self.document]
-        self.sums = X.prefix_sums(X.mix(self.points.astype(np.uint64) + np.uint64(0x51ED2701)))
-        ink = np.append(0, np.cumsum(~np.isin(self.points, (9, 10, 11, 12, 13, 32))))
+        values = _POINT[self.points & 0xFFFF]
+        if len(self.points) and self.points.max() > 0xFFFF:
+            values = values + (self.points >> np.uint32(16)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.sums = X.prefix_sums(values)
+        ink = np.append(0, np.cumsum(_INK[np.minimum(self.points, 255)]))
         self.blank = ink[self.ends] == ink[self.starts]
 
     def hashes(self) -> np.ndarray:
@@ -166,31 +177,44 @@ def _within(left, right, n_left, n_right, chosen, edits) -> np.ndarray:
     return result
 
 
-def _occurrences(batches):
+def _parts(batches, edits: int, least: int):
+    """Two kinds of rows: places (row, key, number, line), and segments (segment, line) of lines of at least ``least``."""
     for batch in batches:
         raw, offsets = X.buffer_of(batch.column("text"))
         rows = batch.column("row").to_numpy(zero_copy_only=False)
         for i, j in X.chunks(offsets):
             lines = Lines(raw, offsets, i, j)
+            hashes = lines.hashes()
             full = np.flatnonzero(~lines.blank)
+            n = len(full)
+            nothing = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[i + lines.document[full]]), batch.column("key").take(pa.array(i + lines.document[full])),
-                 pa.array(lines.number[full].astype(np.int32)), X.signed(lines.hashes()[full])],
-                ["row", "key", "number", "line"],
+                 pa.array(lines.number[full].astype(np.int32)), nothing, X.signed(hashes[full])],
+                ["row", "key", "number", "segment", "line"],
             )
+            for chosen, keys in index_keys(lines, _long(lines, hashes, least), edits):
+                nothing = pa.nulls(len(keys), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [nothing, nothing, pa.nulls(len(keys), pa.int32()), X.signed(keys), X.signed(hashes[chosen])],
+                    ["row", "key", "number", "segment", "line"],
+                )
+
+
+def _long(lines: Lines, hashes: np.ndarray, least: int) -> np.ndarray:
+    """One place of each different line that is long enough to be compared."""
+    one = np.flatnonzero((lines.ends - lines.starts >= least) & ~lines.blank)
+    return one[np.unique(hashes[one], return_index=True)[1]]
 
 
-def _keys(batches, edits: int, least: int, probes: bool):
+def _probes(batches, edits: int, least: int):
     for batch in batches:
         raw, offsets = X.buffer_of(batch.column("text"))
         for i, j in X.chunks(offsets):
             lines = Lines(raw, offsets, i, j)
-            hashes, one = np.unique(lines.hashes(), return_index=True)
-            long = one[(lines.ends - lines.starts)[one] >= least]
-            long = long[~lines.blank[long]]
-            all_hashes = lines.hashes()
-            for chosen, keys in probe_keys(lines, long, edits, least) if probes else index_keys(lines, long, edits):
-                yield pa.RecordBatch.from_arrays([X.signed(keys), X.signed(all_hashes[chosen])], ["segment", "line"])
+            hashes = lines.hashes()
+            for chosen, keys in probe_keys(lines, _long(lines, hashes, least), edits, least):
+                yield pa.RecordBatch.from_arrays([X.signed(keys), X.signed(hashes[chosen])], ["segment", "line"])
 
 
 def _texts(batches):
@@ -210,45 +234,77 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.string())], ["line", "text"])
 
 
-def _links(edits: int):
-    """Within a block of a group: links between lines, a spanning set of what they join."""
-
-    def run(key, table):
-        line = table.column("line").to_numpy()
-        side = table.column("probe").to_numpy(zero_copy_only=False)
-        points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in table.column("text").to_pylist()]
-        label = np.unique(line, return_inverse=True)[1]
-        a, b = [], []
-
-        def test(x: np.ndarray, y: np.ndarray) -> None:
-            hit = within([points[p] for p in x], [points[p] for p in y], edits)
-            for p, q in zip(x[hit], y[hit]):
-                if label[p] != label[q]:
-                    a.append(min(line[p], line[q]))
-                    b.append(max(line[p], line[q]))
-                    label[label == label[q]] = label[p]
-
-        indexed, probing = np.flatnonzero(~side), np.flatnonzero(side)
-        for lead in indexed[:LEADERS]:
-            others = probing[label[probing] != label[lead]]
-            test(np.full(len(others), lead), others)
-        step = max(1, PAIRS // max(1, len(probing)))
-        for at in range(0, len(indexed), step):
-            mine = indexed[at : at + step]
-            x, y = np.repeat(mine, len(probing)), np.tile(probing, len(mine))
-            apart = label[x] != label[y]
-            if apart.any():
-                test(x[apart], y[apart])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def _near_links(rows: DataFrame, lines: DataFrame, edits: int, least: int) -> DataFrame:
+def _links(batches, edits: int):
+    """Within each block of each group: links between lines, a spanning set of what they join.
+
+    Rows come sorted by block, so all rows of a block are neighbours; the blocks of a batch are
+    worked on together, the last one once its rows are complete.
+    """
+    waiting = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        waiting = table if waiting is None else pa.concat_tables([waiting, table])
+        block = [waiting.column(c).to_numpy() for c in ("segment", "left", "right")]
+        change = np.flatnonzero(np.any([b[1:] != b[:-1] for b in block], axis=0)) + 1
+        if len(change) and waiting.num_rows >= 2048:
+            yield _joined(waiting.slice(0, change[-1]), edits)
+            waiting = waiting.slice(change[-1])
+    if waiting is not None and waiting.num_rows:
+        yield _joined(waiting, edits)
+
+
+def _joined(table: pa.Table, edits: int) -> pa.RecordBatch:
+    """The links of complete blocks: a few leaders first, then what is still apart."""
+    block = [table.column(c).to_numpy() for c in ("segment", "left", "right")]
+    line = table.column("line").to_numpy()
+    side = table.column("probe").to_numpy()
+    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in table.column("text").to_pylist()]
+    bounds = np.append(np.append(0, np.flatnonzero(np.any([b[1:] != b[:-1] for b in block], axis=0)) + 1), len(line))
+    groups = []
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        probing = np.flatnonzero(side[s:e]) + s
+        indexed = np.flatnonzero(~side[s:e]) + s
+        if len(probing) and len(indexed):
+            groups.append((s, e, indexed, probing))
+    label = line.copy()
+    a, b = [], []
+    place_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+    def test(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        x = np.concatenate([p for p, _ in pairs]) if pairs else np.zeros(0, np.int64)
+        y = np.concatenate([q for _, q in pairs]) if pairs else np.zeros(0, np.int64)
+        hit = within([points[p] for p in x], [points[q] for q in y], edits)
+        for p, q in zip(x[hit].tolist(), y[hit].tolist()):
+            if label[p] != label[q]:
+                a.append(min(line[p], line[q]))
+                b.append(max(line[p], line[q]))
+                s, e = bounds[place_of[p]], bounds[place_of[p] + 1]
+                mine = label[s:e]
+                mine[mine == label[q]] = label[p]
+
+    for n in range(LEADERS):
+        pairs = []
+        for _, _, indexed, probing in groups:
+            if n < len(indexed):
+                others = probing[label[probing] != label[indexed[n]]]
+                pairs.append((np.full(len(others), indexed[n]), others))
+        test(pairs)
+    pairs, size = [], 0
+    for _, _, indexed, probing in groups:
+        for p in indexed[LEADERS:]:
+            others = probing[label[probing] != label[p]]
+            pairs.append((np.full(len(others), p), others))
+            size += len(others)
+            if size >= PAIRS:
+                test(pairs)
+                pairs, size = [], 0
+    test(pairs)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _near_links(rows: DataFrame, lines: DataFrame, index: DataFrame, edits: int, least: int) -> DataFrame:
     """Links (a, b) between different lines within ``edits`` edits that join all such lines."""
-    texts = rows.select("text")
-    index = map_arrow(texts, lambda b: _keys(b, edits, least, False), "segment long, line long")
-    probe = map_arrow(texts, lambda b: _keys(b, edits, least, True), "segment long, line long")
+    probe = map_arrow(rows.select("text"), lambda b: _probes(b, edits, least), "segment long, line long")
     held = index.groupBy("segment").agg(F.min("line").alias("low"), F.max("line").alias("high"))
     probing = settle(
         probe.join(held, "segment").filter("low != line or high != line").select("segment", "line").distinct()
@@ -269,7 +325,10 @@ def _near_links(rows: DataFrame, lines: DataFrame, edits: int, least: int) -> Da
         .withColumn("other", F.explode(F.expr("sequence(0, if(probe, indexed, probed) - 1)")))
         .select("segment", F.expr("if(probe, other, mine)").alias("left"), F.expr("if(probe, mine, other)").alias("right"), "line", "probe")
     )
-    return group_arrow(blocks.join(said, "line"), ["segment", "left", "right"], _links(edits), "a long, b long")
+    keys = ["segment", "left", "right"]
+    return map_arrow(
+        blocks.join(said, "line").repartition(*keys).sortWithinPartitions(*keys), lambda b: _links(b, edits), "a long, b long"
+    )
 
 
 def _without(batches):
@@ -298,11 +357,13 @@ def repeated_lines(
     rows = docs.select(
         F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")
     )
-    occurrences = settle(map_arrow(rows, _occurrences, "row long, key long, number int, line long"))
+    parts = settle(map_arrow(rows, lambda b: _parts(b, edits, least), "row long, key long, number int, segment long, line long"))
+    occurrences = parts.filter("segment is null").select("row", "key", "number", "line")
+    index = parts.filter("segment is not null").select("segment", "line")
     lines = settle(occurrences.groupBy("line").agg(
         F.min(F.struct("key", "row", "number")).alias("first"), F.count("*").alias("n")
     ))
-    classes = components(settle(_near_links(rows, lines, edits, least)))
+    classes = components(settle(_near_links(rows, lines, index, edits, least)))
     labelled = settle(lines.join(classes.withColumnRenamed("node", "line"), "line", "left").filter(
         "n > 1 or component is not null"
     ).select("line", "first", F.coalesce("component", "line").alias("component")))
