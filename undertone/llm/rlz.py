@@ -140,6 +140,13 @@ def _stretches(batches, window: int, gram: int):
             )
 
 
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all rows back to back, and first place and number of each row."""
+    values = column.to_pylist()
+    count = np.fromiter(map(len, values), np.int64, len(values)) // 8
+    return np.frombuffer(b"".join(values), np.int64), np.cumsum(count) - count, count
+
+
 def _factors(batches):
     """Compare each place with its reference.
 
@@ -147,36 +154,37 @@ def _factors(batches):
     place agrees with the reference's window o words before the anchor; kind 2: a window left over.
     """
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("anchor", "row", "low", "reach", "hashes", "lead_reach", "lead_hashes")]
-        kind, row, low, size, anchor, mask, left = [], [], [], [], [], [], []
-
-        def put(k, r, at, n, a, m, h):
-            for values, value in zip((kind, row, low, size, anchor, mask, left), (k, r, at, n, a, m, h)):
-                values.append(value)
-
-        for a, r, start, reach, packed, lead_reach, lead_packed in zip(*columns):
-            mine, lead = np.frombuffer(packed, np.int64), np.frombuffer(lead_packed, np.int64)
-            # Window t stands reach - t words before the anchor, here and in the reference.
-            shift = lead_reach - reach
-            begin, end = max(0, -shift), min(len(mine), len(lead) - shift)
-            agree = np.zeros(len(mine), bool)
-            if begin < end:
-                agree[begin:end] = mine[begin:end] == lead[begin + shift : end + shift]
-            found = np.flatnonzero(agree)
-            if len(found):
-                for run in np.split(found, np.flatnonzero(np.diff(found) > 1) + 1):
-                    put(0, r, start + int(run[0]), len(run), None, None, None)
-                bits = 0
-                for t in found.tolist():
-                    bits |= 1 << (reach - t)
-                put(1, None, None, None, a, bits, None)
-            for t in np.flatnonzero(~agree).tolist():
-                put(2, r, start + t, 1, None, None, int(mine[t]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind, pa.int32()), pa.array(row, pa.int64()), pa.array(low, pa.int32()), pa.array(size, pa.int32()),
-             pa.array(anchor, pa.int64()), pa.array(mask, pa.int64()), pa.array(left, pa.int64())],
-            ["kind", "row", "low", "size", "anchor", "mask", "left"],
+        anchor, row, start, reach, lead_reach = (
+            batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "row", "low", "reach", "lead_reach")
+        )
+        mine, begin, count = _packed(batch.column("hashes"))
+        lead, lead_begin, lead_count = _packed(batch.column("lead_hashes"))
+        place = np.repeat(np.arange(len(row)), count)
+        t = np.arange(len(mine)) - begin[place]
+        # Window t stands reach - t words before the anchor, here and in the reference.
+        other = t + (lead_reach - reach)[place]
+        inside = (other >= 0) & (other < lead_count[place])
+        agree = np.zeros(len(mine), bool)
+        agree[inside] = mine[inside] == lead[(lead_begin[place] + other)[inside]]
+        edge = np.append(True, place[1:] != place[:-1]) if len(place) else np.zeros(0, bool)
+        first = np.flatnonzero(agree & (edge | ~np.append(False, agree[:-1])[: len(agree)]))
+        last = np.flatnonzero(agree & (np.append(edge[1:], True)[: len(agree)] | ~np.append(agree[1:], False)[: len(agree)]))
+        masks = np.zeros(len(row), np.int64)
+        np.bitwise_or.at(masks, place[agree], np.left_shift(np.int64(1), (reach[place] - t)[agree].astype(np.int64)))
+        held = np.flatnonzero(masks)
+        left = np.flatnonzero(~agree)
+        n = (len(first), len(held), len(left))
+        nothing = [np.zeros(x, np.int64) for x in n]
+        columns = (
+            ("kind", np.repeat([0, 1, 2], n), np.int32),
+            ("row", np.concatenate([row[place[first]], nothing[1], row[place[left]]]), np.int64),
+            ("low", np.concatenate([start[place[first]] + t[first], nothing[1], start[place[left]] + t[left]]), np.int32),
+            ("size", np.concatenate([last - first + 1, nothing[1], nothing[2] + 1]), np.int32),
+            ("anchor", np.concatenate([nothing[0], anchor[held], nothing[2]]), np.int64),
+            ("mask", np.concatenate([nothing[0], masks[held], nothing[2]]), np.int64),
+            ("left", np.concatenate([nothing[0], nothing[1], mine[left]]), np.int64),
         )
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(kind)) for _, v, kind in columns], [name for name, _, _ in columns])
 
 
 def _cut(batches, window: int):
