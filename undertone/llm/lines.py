@@ -29,7 +29,7 @@ EDITS = 2
 LEAST = 30
 BLOCK = 512
 LEADERS = 4
-PAIRS = 1 << 16
+PAIRS = 1 << 15
 
 
 _POINT = np.random.default_rng(7907).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,7 +129,7 @@ def within(left: list[np.ndarray], right: list[np.ndarray], edits: int) -> np.nd
     at = 0
     while at < len(near):
         chosen = near[at : at + PAIRS]
-        while len(chosen) > 1 and len(chosen) * int(n_right[chosen[-1]]) > 8 << 20:
+        while len(chosen) > 1 and len(chosen) * int(n_right[chosen[-1]]) > 2 << 20:
             chosen = chosen[: len(chosen) // 2]
         at += len(chosen)
         result[chosen] = _within(left, right, n_left, n_right, chosen, edits)
