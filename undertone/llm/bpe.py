@@ -28,7 +28,7 @@ from undertone.llm.pretokens import pieces
 from undertone.llm.tasks import map_arrow
 
 VOCABULARY = "byte_bpe_50k.json"
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 800_000
 NONE = np.iinfo(np.int32).max
 
 

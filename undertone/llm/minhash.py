@@ -152,8 +152,11 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def _similar(batches, num: int, den: int):
     """Keep the pairs whose full sets reach the threshold."""
     for batch in batches:
-        pairs = zip(batch.column("left_set").to_pylist(), batch.column("right_set").to_pylist())
-        mask = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in pairs], pa.bool_())
+        # The sets are read where they lie, without a copy.
+        pairs = zip(batch.column("left_set"), batch.column("right_set"))
+        mask = pa.array(
+            [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in pairs], pa.bool_()
+        )
         yield pa.RecordBatch.from_arrays(
             [batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"]
         )
