@@ -136,6 +136,34 @@ def test_depths_and_what_lies_deeper(spark):
     assert all_rows.count() == 13 and all_rows.filter("has_deeper").count() == 0
 
 
+def reddit_chain(depth):
+    data = {"id": f"r{depth}", "body": "t", "replies": ""}
+    for i in reversed(range(depth)):
+        children = [{"kind": "more", "data": {"id": "m"}}, {"kind": "t1", "data": data}]
+        data = {"id": f"r{i}", "body": "t", "replies": {"data": {"children": children}}}
+    return [{}, {"data": {"children": [{"kind": "t1", "data": data}]}}]
+
+
+def test_every_level_of_long_chains_is_read(spark):
+    forked = nested(14)
+    forked["reply_comment"].insert(0, {"cid": "early", "text": "t", "reply_comment": [{"cid": "early-r", "text": "t"}]})
+    df = captures(spark, "tiktok", "comments", {"comments": [forked, nested(0) | {"cid": "flat"}]}).unionByName(
+        captures(spark, "reddit", "comments", reddit_chain(34)).withColumn("capture_id", F.lit("q"))
+    )
+    alone = M.normalize_threads(df, "tiktok", None)
+    both = M.normalize_all_comments(df)
+    assert both.filter("has_deeper").count() == 0 and both.columns == M.normalize_threads(df, "tiktok").columns
+    rows = {r.comment_id: r for r in both.filter("platform = 'tiktok'").collect()}
+    assert set(rows) == {f"c{i}" for i in range(15)} | {"early", "early-r", "flat"} and alone.count() == 18
+    for i in range(15):
+        row = rows[f"c{i}"]
+        assert row.depth == i and row.path == [0] + [1] * min(i, 1) + [0] * (i - 1) and row.thread_root_id == "c0"
+        assert row.parent_comment_id == (f"c{i - 1}" if i else None) and row.reply_count == (0 if i == 14 else 2 if i == 0 else 1)
+    chain = {r.comment_id: r for r in both.filter("platform = 'reddit'").collect()}
+    assert set(chain) == {f"r{i}" for i in range(35)}
+    assert all(chain[f"r{i}"].parent_comment_id == f"r{i - 1}" and chain[f"r{i}"].depth == i for i in range(1, 35))
+
+
 def test_reddit_replies_may_be_blank(spark):
     body = [{}, {"data": {"children": [
         {"kind": "t1", "data": {"id": "a", "body": "x", "replies": ""}},

@@ -224,7 +224,7 @@ def flat_comments(df: DataFrame) -> DataFrame:
 
 def _threads(platform: str):
     def run(spark, sf):
-        return flat_comments(M.normalize_threads(K.filter_captures(comment_captures(spark, sf)), platform))
+        return flat_comments(M.normalize_threads(K.filter_captures(comment_captures(spark, sf)), platform, None))
 
     return run
 
@@ -256,7 +256,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     c = K.filter_captures(comment_captures(spark, sf))
-    both = M.normalize_threads(c, "moltbook").unionByName(M.normalize_threads(c, "twitter"))
+    both = M.normalize_threads(c, "moltbook", None).unionByName(M.normalize_threads(c, "twitter"))
     return both.filter("depth = 0").select("comment_id", "upvotes", "downvotes", "shares", "views")
 
 
@@ -268,7 +268,7 @@ def _(spark, sf):
     WHERE conv_id % 7 = 2 AND ((rule = 'text' AND s = 'rr') OR (rule = 'depth' AND depth + 9 > 10))""",
 )
 def _(spark, sf):
-    df = M.normalize_threads(K.filter_captures(comment_captures(spark, sf)), "reddit").withColumns(
+    df = M.normalize_threads(K.filter_captures(comment_captures(spark, sf)), "reddit", None).withColumns(
         {"depth": F.col("depth") + 9, "text": F.when(F.col("text") != "again", F.col("text"))}
     )
     return govern.comment_violations(df)
@@ -283,7 +283,7 @@ def _(spark, sf):
     FROM conversations, (SELECT unnest(['', 'r', 'rr']) AS s) WHERE conv_id % 7 = 5""",
 )
 def _(spark, sf):
-    df = M.normalize_threads(K.filter_captures(comment_captures(spark, sf)), "moltbook")
+    df = M.normalize_threads(K.filter_captures(comment_captures(spark, sf)), "moltbook", None)
     return sinks.comment_payload(df).drop("text")
 
 

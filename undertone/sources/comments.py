@@ -3,7 +3,8 @@
 Spark has no recursive struct, so a thread is kept flat: every comment row
 knows its parent, its thread root, its depth and its path of positions. A
 thread is unrolled inside the row that holds it, level by level, so the job
-reads each capture once and needs no self join.
+reads each capture once and needs no self join. Replies below the levels of a
+round are unrolled by the next round, until none is left.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undertone.schemas import USER_TYPE
+from undertone.session import cut_lineage
 from undertone.sources.json_fields import first_array, member, text_or, unwrap
 from undertone.sources.posts import Reader, Rules, _struct
 
-# The contract allows ten levels of replies.
+# The contract allows ten levels of replies; also the levels unrolled in one round.
 MAX_DEPTH = 10
 
 # JSON paths per comment shape, in order of preference.
@@ -222,14 +224,13 @@ def first_tops(tops: DataFrame) -> DataFrame:
     return tops.withColumn("seen", F.row_number().over(window)).filter("seen = 1").drop("seen")
 
 
-def unroll(tops: DataFrame, shape_name: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Comments of all levels, one row each.
+def _placed(tops: DataFrame) -> DataFrame:
+    """Top-level comments with their place in the thread."""
+    return tops.withColumns({"path": F.array("position"), "parent_id": F.lit(None).cast("string")})
 
-    Every level is an array of nodes built from the array of the level above;
-    a node holds the JSON of its replies, so each document is opened once.
-    ``has_deeper`` marks comments of the last level that still hold replies, so
-    that nothing is lost silently.
-    """
+
+def _levels(placed: DataFrame, shape_name: str, max_depth: int) -> DataFrame:
+    """The comments of ``placed`` and ``max_depth`` levels below, with the JSON of the replies that lie deeper."""
     shape = THREADS[shape_name]
 
     def kids(raw: str) -> str:
@@ -243,23 +244,35 @@ def unroll(tops: DataFrame, shape_name: str, max_depth: int = MAX_DEPTH) -> Data
         )
 
     levels = 0 if shape.replies is _no_replies else max_depth
-    top = f"array({node('raw', 'array(position)', 'CAST(NULL AS STRING)')})"
-    df = tops.withColumn("level_0", F.expr(top))
+    df = placed.withColumn("level_0", F.expr(f"array({node('raw', 'path', 'parent_id')})"))
     child = node("r", "concat(p.path, array(i))", "p.id")
     for level in range(1, levels + 1):
         below = f"flatten(transform(level_{level - 1}, p -> transform(p.kids, (r, i) -> {child})))"
         df = df.withColumn(f"level_{level}", F.expr(below))
     everything = "concat(" + ", ".join(f"level_{n}" for n in range(levels + 1)) + ")"
     return df.selectExpr(
-        "capture_id", "captured_at", "content_id", "root_id", f"explode({everything}) AS node"
+        "capture_id", "captured_at", "content_id", "root_id", f"size(path) + {levels} AS last", f"explode({everything}) AS node"
     ).selectExpr(
         "capture_id", "captured_at", "content_id", "root_id", "node.raw", "node.path", "node.parent_id",
         "size(node.kids) AS reply_count", "size(node.path) - 1 AS depth",
-        f"size(node.path) - 1 = {levels} AND size(node.kids) > 0 AS has_deeper",
+        "size(node.path) = last AND size(node.kids) > 0 AS has_deeper",
+        "CASE WHEN size(node.path) = last THEN node.kids END AS deeper", "node.id AS node_id",
     )
 
 
-def _normalized(tops: DataFrame, shape_name: str, max_depth: int) -> DataFrame:
+def unroll(tops: DataFrame, shape_name: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Comments down to ``max_depth``, one row each.
+
+    Every level is an array of nodes built from the array of the level above;
+    a node holds the JSON of its replies, so each document is opened once.
+    ``has_deeper`` marks comments of the last level that still hold replies, so
+    that nothing is lost silently.
+    """
+    return _levels(_placed(tops), shape_name, max_depth).drop("deeper", "node_id")
+
+
+def _normalized(rows: DataFrame, shape_name: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with their comment parsed as ``doc``, null where it is no object, and the columns of the adjacency table."""
     shape = THREADS[shape_name]
     r = Reader(COMMENT_PATHS[shape_name])
     author = _struct(
@@ -294,25 +307,70 @@ def _normalized(tops: DataFrame, shape_name: str, max_depth: int) -> DataFrame:
         "reply_count": "CAST(reply_count AS BIGINT)",
         "has_deeper": "has_deeper",
     }
-    rows = unroll(tops, shape_name, max_depth)
-    parsed = rows.withColumn("doc", F.from_json("raw", r.fields.schema())).filter("doc IS NOT NULL")
-    return parsed.selectExpr(*[f"{value} AS `{name}`" for name, value in columns.items()])
+    return rows.withColumn("doc", F.from_json("raw", r.fields.schema())), columns
 
 
-def normalize_threads(captures: DataFrame, platform: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Comment captures of one platform as the adjacency table.
+def _down_to(tops: DataFrame, shape_name: str, max_depth: int) -> DataFrame:
+    parsed, columns = _normalized(unroll(tops, shape_name, max_depth), shape_name)
+    return parsed.filter("doc IS NOT NULL").selectExpr(*[f"{value} AS `{name}`" for name, value in columns.items()])
 
-    A platform with two payload shapes drops repeats over both.
+
+def _whole(tops: dict[str, DataFrame]) -> DataFrame:
+    """Comments of all levels, by shape.
+
+    A round unrolls ``MAX_DEPTH`` levels of all shapes and is written; the
+    replies below its last level start the next round.
     """
+    placed = {name: _placed(rows) for name, rows in tops.items()}
+    keep = ["capture_id", "captured_at", "root_id", "node_id", "deeper"]
+    rounds = []
+    while placed:
+        parts = []
+        for name, start in placed.items():
+            parsed, columns = _normalized(_levels(start, name, MAX_DEPTH), name)
+            values = [f"{value} AS `{column}`" for column, value in columns.items()]
+            parts.append(parsed.selectExpr(*values, *keep, f"'{name}' AS shape", "doc IS NOT NULL AS parsed"))
+        rows = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
+        names = list(columns)
+        rounds.append(rows)
+        below = rows.filter("has_deeper")
+        shapes = [row.shape for row in below.select("shape").distinct().collect()]
+        placed = {
+            name: below.filter(F.col("shape") == name).selectExpr(
+                "capture_id", "captured_at", "content_id", "root_id", "node_id AS parent_id", "path AS above",
+                "posexplode(deeper) AS (position, raw)",
+            ).withColumn("path", F.expr("concat(above, array(position))"))
+            for name in shapes
+        }
+    everything = reduce(lambda a, b: a.unionByName(b), rounds).filter("parsed")
+    return everything.withColumn("has_deeper", F.lit(False)).select(*names)
+
+
+def _tops(captures: DataFrame, platform: str) -> dict[str, DataFrame]:
+    """Top-level comments by shape; a platform with two payload shapes drops repeats over both."""
     names = [name for name, shape in THREADS.items() if shape.platform == platform]
     tops = reduce(lambda a, b: a.unionByName(b), [top_level(captures, n) for n in names])
     if THREADS[names[0]].drop_without_id and platform != "twitter":
         tops = first_tops(tops)
-    parts = [_normalized(tops.filter(F.col("shape") == n) if len(names) > 1 else tops, n, max_depth) for n in names]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return {n: tops.filter(F.col("shape") == n) if len(names) > 1 else tops for n in names}
+
+
+def _threads(tops: dict[str, DataFrame], max_depth: int | None) -> DataFrame:
+    # A shape without replies has no level below the first.
+    nested = {n: rows for n, rows in tops.items() if max_depth is None and THREADS[n].replies is not _no_replies}
+    parts = [_down_to(rows, n, max_depth or 0) for n, rows in tops.items() if n not in nested]
+    return reduce(lambda a, b: a.unionByName(b), parts + ([_whole(nested)] if nested else []))
+
+
+def normalize_threads(captures: DataFrame, platform: str, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+    """Comment captures of one platform as the adjacency table.
+
+    Without a ``max_depth`` (None) all levels; else ``has_deeper`` marks what lies below.
+    """
+    return _threads(_tops(captures, platform), max_depth)
 
 
-def normalize_all_comments(captures: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def normalize_all_comments(captures: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All platforms; all levels unless a ``max_depth`` is given."""
     platforms = dict.fromkeys(shape.platform for shape in THREADS.values())
-    parts = [normalize_threads(captures, platform, max_depth) for platform in platforms]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return _threads({n: rows for p in platforms for n, rows in _tops(captures, p).items()}, max_depth)
