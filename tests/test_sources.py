@@ -7,6 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from undertone.operators import govern, search, threads
 from undertone.schemas import PLATFORMS, platform_dimension
 from undertone.sources import captures as K
@@ -230,6 +231,17 @@ def test_contract(spark):
     assert missing == set(PLATFORMS) - {"moltbook"}
 
 
+def test_whole_queries_see_all_platforms_and_depths(spark, sf):
+    run = lambda name: entry.queries()[name](spark, sf)
+    assert {r.platform for r in run("capture_envelopes_all").select("platform").distinct().collect()} == set(PLATFORMS)
+    levels = {(r.platform, r.depth) for r in run("comments_normalized_all").collect()}
+    seen = run("comment_votes_and_reach_all").select("platform", "depth").distinct().collect()
+    assert {(r.platform, r.depth) for r in seen} == levels and len(levels) == 18
+    assert run("comment_payloads_all").count() == run("comments_normalized_all").agg(F.sum("comments")).first()[0]
+    broken = run("comment_contract_violations_all").select("platform").distinct().collect()
+    assert {r.platform for r in broken} == set(PLATFORMS) - {"twitter", "youtube"}  # these two end above depth 2
+
+
 def test_unknown_platform_is_kept_for_inspection(spark):
     assert P.unsupported(captures(spark, "friendster", "posts", {})).count() == 1
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from undertone.operators import govern
 from undertone.plans.payloads import (
     KEPT_SQL,
+    POST_ENDPOINTS,
     comment_captures,
     comments_sql,
     model_responses,
@@ -72,6 +73,24 @@ def _(spark, sf):
     )
 
 
+_ENDPOINT_SQL = "CASE platform " + " ".join(f"WHEN '{p}' THEN '{url}'" for p, url in POST_ENDPOINTS.items()) + " END"
+
+
+@query(
+    "capture_envelopes_all",
+    f"""WITH {_KEPT}, b AS (SELECT doc_id, platform, {_ENDPOINT_SQL} || doc_id AS url, text AS body FROM kept)
+    SELECT doc_id, platform, url AS source_url, sha256(body) AS raw_hash,
+      sha256(platform || '|' || url || '|' || sha256(body)) AS idempotency_key FROM b""",
+)
+def _(spark, sf):
+    """Envelopes of all platforms, of plain-text bodies as in ``capture_envelopes``."""
+    texts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("plain"))
+    b = bronze(spark, sf).withColumn("doc_id", F.split_part("capture_id", F.lit("-"), F.lit(1)).cast("bigint"))
+    return K.with_envelope(b.join(texts, "doc_id"), "trace-1", "search_content", body="plain").select(
+        "doc_id", "platform", "source_url", "raw_hash", "idempotency_key"
+    )
+
+
 @query(
     "captures_not_ingested",
     f"WITH {_KEPT} SELECT doc_id || '-0' AS capture_id FROM kept WHERE n_chars % 2 = 1",
@@ -287,6 +306,51 @@ def _(spark, sf):
     return sinks.comment_payload(df).drop("text")
 
 
+# All platforms and depths: what ``comments_normalized_all`` reads, for votes, contract and payloads.
+_ALL_COMMENTS = """c AS (SELECT *, conv_id % 7 AS p FROM conversations,
+      (SELECT unnest(['', 'r', 'rr']) AS s, unnest([0, 1, 2]) AS depth) WHERE depth < CASE conv_id % 7 WHEN 1 THEN 1 WHEN 4 THEN 2 ELSE 3 END)"""
+
+
+def _all_comments(spark, sf):
+    return M.normalize_all_comments(K.filter_captures(comment_captures(spark, sf)))
+
+
+@query(
+    "comment_votes_and_reach_all",
+    f"""WITH {_ALL_COMMENTS} SELECT {platform_sql('conv_id')} AS platform, conv_id || '-' || turn || s AS comment_id, depth,
+      CASE p WHEN 5 THEN CASE s WHEN '' THEN length(text) % 31 WHEN 'r' THEN length(text) % 7 ELSE 0 END + 1 END AS upvotes,
+      CASE p WHEN 5 THEN 1 END AS downvotes, CASE p WHEN 1 THEN length(text) % 5 END AS shares,
+      CASE p WHEN 1 THEN length(text) * 3 END AS views FROM c""",
+)
+def _(spark, sf):
+    return _all_comments(spark, sf).select("platform", "comment_id", "depth", "upvotes", "downvotes", "shares", "views")
+
+
+@query(
+    "comment_contract_violations_all",
+    f"""WITH {_ALL_COMMENTS} SELECT {platform_sql('conv_id')} AS platform, CAST(conv_id AS VARCHAR) AS content_id,
+      conv_id || '-' || turn || s AS comment_id, rule FROM c, (SELECT unnest(['text', 'depth']) AS rule)
+    WHERE (rule = 'text' AND s = 'rr') OR (rule = 'depth' AND depth + 9 > 10)""",
+)
+def _(spark, sf):
+    df = _all_comments(spark, sf).withColumns(
+        {"depth": F.col("depth") + 9, "text": F.when(F.col("text") != "again", F.col("text"))}
+    )
+    return govern.comment_violations(df)
+
+
+@query(
+    "comment_payloads_all",
+    f"""WITH {_ALL_COMMENTS} SELECT CAST(conv_id AS VARCHAR) AS content_id, conv_id || '-' || turn || s AS comment_id,
+      CASE s WHEN '' THEN role WHEN 'r' THEN 'r1_' || role ELSE 'r2' END AS author,
+      greatest(CASE p WHEN 5 THEN 1 ELSE 0 END,
+               CASE s WHEN '' THEN length(text) % 31 WHEN 'r' THEN length(text) % 7 ELSE 0 END) AS likes,
+      CASE WHEN depth + 1 < CASE p WHEN 1 THEN 1 WHEN 4 THEN 2 ELSE 3 END THEN 1 ELSE 0 END AS replies FROM c""",
+)
+def _(spark, sf):
+    return sinks.comment_payload(_all_comments(spark, sf)).drop("text")
+
+
 # -- model answers and pages --------------------------------------------------
 
 @query(
