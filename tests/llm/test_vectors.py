@@ -103,6 +103,13 @@ def test_search(spark, size, high):
     assert sorted(map(tuple, found.collect())) == best(rows, set(range(0, 600, 50)), 5)
 
 
+def test_queries_that_share_a_key_all_get_answers(spark):
+    vectors = table(spark, [(1, [1, 0], 1), (2, [0, 1], 1), (3, [-1, -1], 1)])
+    queries = table(spark, [(7, [1, 0], 1), (7, [0, 1], 1), (7, [0, 1], 1), (2, [0, 1], 1)])
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"] // 65536) for r in top_products(vectors, queries, k=1).collect())
+    assert found == [(2, 1, 1, 0), (7, 1, 1, 1), (7, 1, 2, 1), (7, 1, 2, 1)]
+
+
 def test_search_awkward(spark):
     rows = [(0, [1, 0], 1), (50, [1, 0], 1), (1, [1, 0], 1), (2, None, 1), (3, [1, None], 1), (4, [float("inf"), 1], 1), (None, [1, 0], 1), (5, [1, 2, 3], 1), (100, [1, 2, 4], 1), (150, [], 1)]
     vectors = table(spark, rows)

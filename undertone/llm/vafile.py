@@ -100,11 +100,16 @@ def bounds(queries: np.ndarray, codes: np.ndarray, low: int, width: int) -> tupl
     return lower, upper
 
 
+def _numbers(part: int, query_ids: np.ndarray) -> np.ndarray:
+    """A number for each query row of a block, unique in the table; ids may repeat."""
+    return part * QUERIES + np.arange(len(query_ids), dtype=np.int64)
+
+
 def _scan(batches, k: int, low: int, width: int):
     """For each query and block the k best lower bounds and the best upper bound."""
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("block", "ids", "codes", "query_ids", "queries")]
-        for block, ids, codes, query_ids, queries in zip(*columns):
+        columns = [batch.column(c).to_pylist() for c in ("block", "ids", "codes", "part", "query_ids", "queries")]
+        for block, ids, codes, part, query_ids, queries in zip(*columns):
             ids, query_ids = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8")
             q = np.frombuffer(queries, "<i8").reshape(len(query_ids), -1)
             c = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
@@ -114,8 +119,8 @@ def _scan(batches, k: int, low: int, width: int):
             best = -np.partition(-lower, min(k, len(ids)) - 1, axis=1)[:, :k]
             high = upper.max(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids), pa.array(np.full(len(query_ids), block)), pa.array(list(best), pa.list_(pa.float64())), pa.array(high)],
-                ["query_id", "block", "lows", "high"],
+                [pa.array(_numbers(part, query_ids)), pa.array(np.full(len(query_ids), block)), pa.array(list(best), pa.list_(pa.float64())), pa.array(high)],
+                ["query", "block", "lows", "high"],
             )
 
 
@@ -144,9 +149,9 @@ def _opened(batches, k: int, low: int, width: int):
                     places = np.concatenate([places, step])
                     order = np.lexsort((ids[places], -scores))[:k]
                     scores, places = scores[order], places[order]
-                out += [(w["query_id"], int(ids[p]), int(s)) for p, s in zip(places, scores)]
+                out += [(w["query"], w["query_id"], int(ids[p]), int(s)) for p, s in zip(places, scores)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[c] for x in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"]
+                [pa.array([x[c] for x in out], pa.int64()) for c in range(4)], ["query", "query_id", "vec_id", "score"]
             )
 
 
@@ -157,8 +162,8 @@ def top_products(
 
     A query's own row (equal key) is no candidate. Ties go to the smaller key. Rows take no part
     whose key is null or whose vector is null, empty or holds null or non-finite numbers; vectors of
-    another length than the query's don't either. Repeated rows stand for themselves. Products
-    beyond 64 bits wrap around.
+    another length than the query's don't either. Repeated rows stand for themselves; each row of
+    ``queries`` has ranks of its own, also where keys repeat. Products beyond 64 bits wrap around.
     """
 
     def plain(df: DataFrame) -> DataFrame:
@@ -176,41 +181,42 @@ def top_products(
     asked = settle(map_arrow(plain(queries), _packed(QUERIES, "part"), f"part long, {layout}"))
     groups = max(1, -(-ends["n"] // 4))
     by_group = asked.select(
-        "length", F.col("ids").alias("query_ids"), F.col("exact").alias("queries"),
+        "length", "part", F.col("ids").alias("query_ids"), F.col("exact").alias("queries"),
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
     )
     scanned = settle(map_arrow(
         file.select("block", "length", "ids", "codes", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"))
-        .join(by_group, ["length", "group"]).select("block", "ids", "codes", "query_ids", "queries"),
-        lambda b: _scan(b, k, low, width), "query_id long, block long, lows array<double>, high double",
+        .join(by_group, ["length", "group"]).select("block", "ids", "codes", "part", "query_ids", "queries"),
+        lambda b: _scan(b, k, low, width), "query long, block long, lows array<double>, high double",
     ))
-    best = Window.partitionBy("query_id").orderBy(F.desc("bound"))
+    best = Window.partitionBy("query").orderBy(F.desc("bound"))
     bars = (
-        scanned.select("query_id", F.explode("lows").alias("bound")).withColumn("place", F.row_number().over(best))
-        .filter(F.col("place") <= k).groupBy("query_id")
+        scanned.select("query", F.explode("lows").alias("bound")).withColumn("place", F.row_number().over(best))
+        .filter(F.col("place") <= k).groupBy("query")
         .agg(F.when(F.count("*") == k, F.min("bound")).otherwise(F.lit(float("-inf"))).alias("bar"))
     )
-    open_blocks = scanned.join(bars, "query_id").filter("high >= bar").select("query_id", "block", "bar")
-    alone = settle(map_arrow(asked, _unpacked, "query_id long, vector binary").dropDuplicates(["query_id"]))
+    open_blocks = scanned.join(bars, "query").filter("high >= bar").select("query", "block", "bar")
+    alone = settle(map_arrow(asked, _unpacked, "query long, query_id long, vector binary"))
     many = open_blocks.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     waiting = (
-        open_blocks.join(alone, "query_id").join(many, "block")
-        .groupBy("block", F.expr("pmod(xxhash64(query_id), parts)").alias("part"))
-        .agg(F.collect_list(F.struct("query_id", "bar", "vector")).alias("waiting"))
+        open_blocks.join(alone, "query").join(many, "block")
+        .groupBy("block", F.expr("pmod(xxhash64(query), parts)").alias("part"))
+        .agg(F.collect_list(F.struct("query", "query_id", "bar", "vector")).alias("waiting"))
     )
     found = map_arrow(
         file.join(waiting, "block").select("ids", "codes", "exact", "waiting"), lambda b: _opened(b, k, low, width),
-        "query_id long, vec_id long, score long",
+        "query long, query_id long, vec_id long, score long",
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _unpacked(batches):
     for batch in batches:
-        ids, rows = [], []
-        for packed, exact in zip(batch.column("ids").to_pylist(), batch.column("exact").to_pylist()):
+        numbers, ids, rows = [], [], []
+        for part, packed, exact in zip(*(batch.column(c).to_pylist() for c in ("part", "ids", "exact"))):
             mine = np.frombuffer(packed, "<i8")
+            numbers += _numbers(part, mine).tolist()
             ids += mine.tolist()
             rows += [v.tobytes() for v in np.frombuffer(exact, "<i8").reshape(len(mine), -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["query_id", "vector"])
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["query", "query_id", "vector"])
