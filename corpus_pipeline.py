@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from undertone.llm.bpe import bpe_encode
 from undertone.llm.lines import remove_repeated_lines
-from undertone.llm.minhash import near_duplicates
+from undertone.llm.minhash import near_classes
 from undertone.llm.mixing import mix
 from undertone.llm.quality import fit_quality, score_quality
 from undertone.session import pin_utc, settle
@@ -20,8 +20,10 @@ LEAST_SCORE = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below ``LEAST_SCORE`` go."""
+    """Documents whose score is below ``LEAST_SCORE`` go; without labelled documents nothing is known and all stay."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.rows:
+        return docs
     packed = docs.select(F.struct(*docs.columns).alias("doc"), "text")
     return score_quality(packed, model).filter(F.col("score") >= LEAST_SCORE).select("doc.*")
 
@@ -41,8 +43,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays, once."""
-    stays = near_duplicates(docs).filter(F.col("key").eqNullSafe(F.col("component"))).select("row").distinct()
+    """Of each class of near duplicates one document stays, once: that of the least id (null last), then row.
+
+    Documents without shingles are no one's near duplicates; each different one stays.
+    """
+    found = near_classes(docs)
+    place = F.struct(F.col("key").isNull().alias("unknown"), "key", "row")
+    first = found.filter("class is not null").groupBy("class").agg(F.min(place)["row"].alias("row")).select("row")
+    stays = first.unionByName(found.filter("class is null").select("row").distinct())
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
     return packed.join(stays, "row").dropDuplicates(["row"]).select("doc.*")
 

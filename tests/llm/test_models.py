@@ -206,3 +206,19 @@ def test_pipeline_awkward(spark, awkward, sf):
         found = stage(spark, docs, sf)
         assert stage(spark, docs.limit(0), sf).count() == 0
         docs = spark.createDataFrame(found.collect(), found.schema)
+
+
+def test_pipeline_near_keeps_one_row_of_each_class(spark, documents, sf):
+    """Classes whose documents share an id, have none, or have the least id of another class."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    docs = documents([
+        (5, one, "a"), (5, one + " more", "a"), (5, one, "a"), (5, two, "a"), (6, two + " more", "a"),
+        (None, three, "a"), (None, three + " more", "b"), (None, three + " still more", "b"), (9, "", "a"), (None, None, "a"),
+    ])
+    rows = corpus_pipeline.near(spark, docs, sf).collect()
+    assert sorted((r["text"] or "-")[0:2] for r in rows) == ["-", "-", "a0", "b0", "c0"]
+
+
+def test_pipeline_quality_without_labels(spark, documents, awkward, tmp_path):
+    spark.createDataFrame([(10**9, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality(spark, awkward, str(tmp_path)).count() == awkward.count()

@@ -232,7 +232,19 @@ def near_duplicates(
 ) -> DataFrame:
     """(row, key, n_shingles, component) for each document, ``component`` the least key of its class.
 
-    Documents are linked when ``den`` * intersection >= ``num`` * union of their shingle sets.
+    See ``near_classes``.
+    """
+    return near_classes(docs, k, num, den, miss, text, key).drop("class")
+
+
+def near_classes(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, miss: float = 1e-4,
+    text: str = "text", key: str = "doc_id",
+) -> DataFrame:
+    """(row, key, n_shingles, component, class) for each document, ``component`` the least key of its class.
+
+    ``class`` tells classes apart whose least keys are equal or null; it is null for documents that link with nothing
+    by definition. Documents are linked when ``den`` * intersection >= ``num`` * union of their shingle sets.
     Empty or null texts link with nothing and are their own component (their key). A null key
     sorts above every other; a class of null keys only has a null component. Repeated rows come
     back repeated. Other columns of ``docs`` are ignored.
@@ -288,11 +300,12 @@ def near_duplicates(
         final = components(first.unionByName(second))
     groups = nodes.join(final, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
     least = groups.groupBy("group").agg(F.min("first").alias("component"))
-    classes = groups.join(least, "group").select("node", "component")
-    return (
-        signed.filter("node is not null").join(classes, "node").select("row", "key", "n_shingles", "component")
-        .unionByName(signed.filter("node is null").select("row", "key", "n_shingles", F.col("key").alias("component")))
+    classes = groups.join(least, "group").select("node", "component", F.col("group").alias("class"))
+    alone = signed.filter("node is null").select(
+        "row", "key", "n_shingles", F.col("key").alias("component"), F.lit(None).cast("long").alias("class")
     )
+    linked_rows = signed.filter("node is not null").join(classes, "node")
+    return linked_rows.select("row", "key", "n_shingles", "component", "class").unionByName(alone)
 
 
 def _sets_of(batches, k: int):

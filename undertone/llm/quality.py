@@ -95,13 +95,14 @@ def _statistics_of(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Means and deviations of the statistics, the ridge weights, and the calibration curve."""
+    """Means and deviations of the statistics, the ridge weights, the calibration curve, and the number of labelled rows."""
 
     mean: np.ndarray
     deviation: np.ndarray
     weights: np.ndarray
     at: np.ndarray
     chance: np.ndarray
+    rows: int = 0
 
     def raw(self, x: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return fourier(x, self.mean, self.deviation) @ (self.weights if weights is None else weights)
@@ -158,7 +159,7 @@ def fit(labelled: DataFrame) -> Model:
     count, ones = total[-2], total[-1]
     if count == 0 or ones in (0, count):
         level = 0.5 if count == 0 else ones / count
-        return Model(np.zeros(n), np.ones(n), np.zeros(FEATURES + 1), np.array([0.0, 1.0]), np.array([level, level]))
+        return Model(np.zeros(n), np.ones(n), np.zeros(FEATURES + 1), np.array([0.0, 1.0]), np.array([level, level]), int(count))
     mean = total[:n] / count
     deviation = np.sqrt(np.maximum(total[n : 2 * n] / count - mean**2, 0))
     deviation[deviation < 1e-9] = 1.0
@@ -189,7 +190,7 @@ def fit(labelled: DataFrame) -> Model:
         return np.linalg.solve(system[:, :-1] + ridge, system[:, -1])
 
     left_out = [solve(whole - gram[f]) for f in range(FOLDS)]
-    model = Model(mean, deviation, solve(whole), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    model = Model(mean, deviation, solve(whole), np.array([0.0, 1.0]), np.array([0.0, 1.0]), int(count))
 
     def histogram(batches):
         counts = np.zeros((2, BINS))
