@@ -157,6 +157,8 @@ class Encoder:
         self.number = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.bytes = np.zeros(0, np.uint8)
+        self.cut = np.zeros(1, np.int64)
 
     def _learn(self, data, starts, ends, hashes) -> None:
         lengths = ends - starts
@@ -165,6 +167,8 @@ class Encoder:
         at = len(self.first) - 1
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.bytes = np.concatenate([self.bytes, flat])
+        self.cut = np.concatenate([self.cut, self.cut[-1] + np.cumsum(lengths)])
         known = np.concatenate([self.known, hashes])
         number = np.concatenate([self.number, np.arange(at, at + len(hashes))])
         order = np.argsort(known)
@@ -179,7 +183,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
         ends = np.append(starts[1:], len(data))
-        hashes = X.span_hashes(X.byte_sums(data), starts, ends)
+        hashes = X.byte_hashes(data, starts, ends)
         distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > KEPT_PIECES:
             self._forget()
@@ -187,12 +191,20 @@ class Encoder:
         if len(new):
             self._learn(data, starts[one[new]], ends[one[new]], distinct[new])
         entry = self.number[np.searchsorted(self.known, distinct)]
-        begin, count = self.first[entry], np.diff(self.first)[entry]
-        counts = count[which]
-        ids = self.ids[X.ranges(begin[which], counts)]
+        if self._same(data, ends - starts, entry[which]):
+            begin, count = self.first[entry], np.diff(self.first)[entry]
+            counts = count[which]
+            ids = self.ids[X.ranges(begin[which], counts)]
+        else:
+            ids, counts = self.encode_new(data, starts)  # two pieces share a hash
         sums = np.append(0, np.cumsum(counts))
         return ids, sums[first]
 
+    def _same(self, data: np.ndarray, lengths: np.ndarray, entry: np.ndarray) -> bool:
+        """Whether the pieces, back to back in ``data``, are byte for byte those of their entries."""
+        begin = self.cut[entry]
+        return np.array_equal(self.cut[entry + 1] - begin, lengths) and np.array_equal(self.bytes[X.ranges(begin, lengths)], data)
+
     def _missing(self, distinct: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.arange(len(distinct))

@@ -43,8 +43,11 @@ class Lines:
     def __init__(self, raw, offsets, i, j):
         data = raw[offsets[i] : offsets[j]]
         bounds = offsets[i : j + 1] - offsets[i]
+        self.data, self.byte = data, None
         if len(data) and data.max() > 127:
-            bounds = np.append(0, np.cumsum((data & 0xC0) != 0x80))[bounds]
+            begins = (data & 0xC0) != 0x80
+            self.byte = np.append(np.flatnonzero(begins), len(data))
+            bounds = np.append(0, np.cumsum(begins))[bounds]
             self.points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         else:
             self.points = data.astype(np.uint32)
@@ -70,7 +73,10 @@ class Lines:
         self.blank = ink[self.ends] == ink[self.starts]
 
     def hashes(self) -> np.ndarray:
-        return X.span_hashes(self.sums, self.starts, self.ends)
+        """Hashes of the whole lines; ``sums`` gives keys of segments, which only find candidates."""
+        if self.byte is None:
+            return X.byte_hashes(self.data, self.starts, self.ends)
+        return X.byte_hashes(self.data, self.byte[self.starts], self.byte[self.ends])
 
     def text(self, line: int) -> str:
         return self.points[self.starts[line] : self.ends[line]].tobytes().decode("utf-32-le")
@@ -94,7 +100,7 @@ def index_keys(lines: Lines, chosen: np.ndarray, edits: int) -> list[tuple[np.nd
     for s in range(edits + 1):
         at, size = segment(length, s, edits + 1)
         begin = lines.starts[chosen] + at
-        found.append((chosen, _key(X.span_hashes(lines.sums, begin, begin + size), length, s)))
+        found.append((chosen, _key(X.span_keys(lines.sums, begin, begin + size), length, s)))
     return found
 
 
@@ -112,7 +118,7 @@ def probe_keys(lines: Lines, chosen: np.ndarray, edits: int, least: int) -> list
                 begin = at + shift
                 fits = (begin >= 0) & (begin + size <= length) & (other >= least)
                 b = lines.starts[chosen][fits] + begin[fits]
-                found.append((chosen[fits], _key(X.span_hashes(lines.sums, b, b + size[fits]), other[fits], s)))
+                found.append((chosen[fits], _key(X.span_keys(lines.sums, b, b + size[fits]), other[fits], s)))
     return found
 
 

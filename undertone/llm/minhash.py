@@ -46,14 +46,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple
     """
     for i, j in X.chunks(offsets):
         words = X.Words(raw, offsets, i, j, lower=True)
-        sums = X.prefix_sums(words.hashes())
+        hashes = words.hashes()
+        grams = X.window_hashes(hashes, k)
         sets = []
-        for a, b in zip(words.first[:-1], words.first[1:]):
-            if a == b:
-                sets.append(np.zeros(0, np.uint64))
-                continue
-            starts = np.arange(a, max(a + 1, b - k + 1))
-            sets.append(np.unique(X.span_hashes(sums, starts, np.minimum(starts + k, b))))
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            sets.append(np.unique(grams[a : b - k + 1] if b - a >= k else X.window_hashes(hashes[a:b], max(1, b - a))))
         yield i, sets
 
 
@@ -68,7 +65,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def set_key(hashes: np.ndarray) -> np.uint64:
-    """One 64-bit value for a set; equal sets agree, others collide with chance 2^-64."""
+    """One 64-bit value for a set; equal sets agree, others by chance only."""
     with np.errstate(over="ignore"):
         return X.mix(np.array([X.mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum() + np.uint64(len(hashes))], np.uint64))[0]
 

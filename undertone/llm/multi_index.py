@@ -121,7 +121,7 @@ def _units(batches):
             data = np.frombuffer(b"".join(unit[i] + str(labels[i]).encode() for i in kept), np.uint8)
             sizes = np.array([len(unit[i]) + len(str(labels[i]).encode()) for i in kept])
             ends = np.cumsum(sizes)
-            for i, h in zip(kept, X.span_hashes(X.byte_sums(data), ends - sizes, ends).view(np.int64)):
+            for i, h in zip(kept, X.byte_hashes(data, ends - sizes, ends).view(np.int64)):
                 node[i] = int(h)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("label"), pa.array(length, pa.int32()), pa.array(node, pa.int64()), pa.array(unit, pa.binary())],
@@ -246,15 +246,11 @@ def near_vectors(
 
 
 def _fitted(nodes: DataFrame, least: float, recall: float) -> dict[int, Grid]:
-    """A grid for each vector length, from a sample of at most ``SAMPLE`` nodes of that length, by hash."""
+    """A grid for each vector length, from the ``SAMPLE`` nodes of that length whose hashes are least."""
     grids = {}
     for r in nodes.groupBy("length").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).collect():
-        mine = nodes.filter(F.col("length") == r["length"])
-        every = max(1, r["n"] // SAMPLE)
-        sample = mine.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("node", "unit").limit(SAMPLE).toPandas()
-        if not len(sample):
-            sample = mine.select("node", "unit").limit(SAMPLE).toPandas()
-        sample = sample.sort_values("node")
+        mine = nodes.filter(F.col("length") == r["length"]).select("node", "unit")
+        sample = mine.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toPandas().sort_values("node")
         words = int(np.clip(math.ceil(math.sqrt(r["n"] / max(1, r["labels"]) / CELL)), *WORDS))
         grids[r["length"]] = fit_grid(matrix(sample["unit"].tolist()), words, least, recall)
     return grids

@@ -52,10 +52,7 @@ class Anchors:
     def __init__(self, raw, offsets, i, j, window: int, gram: int):
         self.words = words = X.Words(raw, offsets, i, j)
         self.window, self.gram = window, gram
-        n = len(words.starts)
-        self.sums = X.prefix_sums(words.hashes())
-        starts = np.arange(max(0, n - gram + 1))
-        grams = X.span_hashes(self.sums, starts, starts + gram)
+        grams = X.window_hashes(words.hashes(), gram)
         place = _least(grams, window - gram + 1)
         count = np.maximum(np.diff(words.first) - window + 1, 0)
         starts = X.ranges(words.first[:-1], count)
@@ -71,7 +68,7 @@ class Anchors:
         self.hash = grams[self.place] if len(at) else np.zeros(0, np.uint64)
 
     def window_hashes(self, starts: np.ndarray) -> np.ndarray:
-        return X.span_hashes(self.sums, starts, starts + self.window)
+        return X.window_hashes(self.words.hashes(), self.window)[starts]
 
 
 def _digest(parts: list[bytes]) -> str:
@@ -270,8 +267,10 @@ def remove_repeats(
 
     A word goes if a window over it has the same words as a window that starts anywhere else in
     the corpus, same document included. Null texts have no words. A row that occurs several times
-    repeats all its windows. Other columns are ignored.
+    repeats all its windows. Other columns are ignored. ``gram`` is held between ``window`` - 62
+    (the offsets of an anchor fill a 64-bit mask) and ``window``; the result doesn't depend on it.
     """
+    gram = min(max(gram, window - 62), window)
     rows = _keyed(docs, text, key)
     summary = settle(map_arrow(rows, _summaries, "row long, key long, n_words long, whole_sha256 string"))
     again = summary.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row", F.lit(True).alias("again"))

@@ -1,9 +1,14 @@
 """Vectorised text access inside tasks.
 
-A column of texts is taken as one byte buffer. Words are spans of it, and the
-64-bit hash of any span comes from prefix sums, so no Python string is made
-per word. Work goes in chunks of whole documents, which bounds memory by
-``CHUNK`` bytes or the longest single text. A null text counts as empty.
+A column of texts is taken as one byte buffer. Words are spans of it, hashed
+eight bytes at a time for all spans together, so no Python string is made per
+word; runs of words are hashed as trees of pairs. Each step is a bijection of
+what it takes in, so no pattern of letters or words makes hashes agree. Work
+goes in chunks of whole documents, which bounds memory by ``CHUNK`` bytes or
+the longest single text. A null text counts as empty.
+
+Sums of powers (``prefix_sums``) give a key for any of many overlapping spans.
+Regular patterns can make such keys agree: they only bring candidates together.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 20
 
@@ -20,11 +26,14 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RANDOM = np.random.default_rng(20240607)
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SALT = np.uint64(0x27D4EB2F165667C5)
+_ODD = np.uint64(0xA0761D6478BD642F)
+#: Spans of more bytes are hashed one by one.
+LONG = 128
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -34,6 +43,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: each step mixes in eight more bytes, one to one."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + _SALT)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    alive = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[alive], size[alive]
+    while len(alive):
+        h[alive] = mix((h[alive] ^ (lanes[at] & _KEEP[np.minimum(left, 8)])) * _ODD)
+        more = left > 8
+        alive, at, left = alive[more], at[more] + 8, left[more] - 8
+    view = memoryview(data)
+    for s in np.flatnonzero(size > LONG):
+        h[s] = xxhash.xxh3_64_intdigest(view[starts[s] : ends[s]])
+    return h
+
+
+def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` hashes, from their first place on: a tree of pairs."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    level, have, out, done = values, 1, None, 0
+    while True:
+        if k & have:
+            out = level[:n] if out is None else mix(out * _ODD ^ level[done : done + n])
+            done += have
+        if done == k:
+            return out
+        level = mix(level[:-have] * _ODD ^ level[have:])
+        have *= 2
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, CHUNK + 2)
@@ -45,7 +88,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums S with S[j] - S[i] a positioned hash of values[i:j]; see ``span_hashes``."""
+    """Sums S with S[j] - S[i] a positioned key of values[i:j]; see ``span_keys``."""
     up, _ = _powers(len(values))
     out = np.empty(len(values) + 1, np.uint64)
     out[0] = 0
@@ -53,8 +96,8 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans; equal content has equal hashes wherever it stands."""
+def span_keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Equal spans have equal keys wherever they stand; equal keys don't prove equal spans."""
     _, down = _powers(len(sums))
     h = (sums[ends] - sums[starts]) * down[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -108,23 +151,18 @@ class Words:
         after[:-1] = ink[1:]
         self.ends = np.flatnonzero(ink & (~after | cut[1:])) + 1
         self.first = np.searchsorted(self.starts, self.bounds)
-        self._sums = None
+        self._hashes = None
 
     def hashes(self) -> np.ndarray:
-        if self._sums is None:
-            self._sums = prefix_sums(_BYTE[self.data])
-        return span_hashes(self._sums, self.starts, self.ends)
+        if self._hashes is None:
+            self._hashes = byte_hashes(self.data, self.starts, self.ends)
+        return self._hashes
 
     def documents(self) -> np.ndarray:
         """For each word the number of its document within the run."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums over bytes, for ``span_hashes`` of any substring."""
-    return prefix_sums(_BYTE[data])
-
-
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers starts[0], starts[0]+1, ... of all runs, one run after the other."""
     total = int(counts.sum())
