@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undertone.llm.bitplanes import cluster_vectors, with_inertia
 from undertone.llm.bpe import bpe_round_trip
 from undertone.llm.hmm import score_texts
+from undertone.llm.infill import fill_in_middle, restored
 from undertone.llm.lines import remove_repeated_lines
 from undertone.llm.minhash import near_duplicates
 from undertone.llm.mixing import with_targets
@@ -17,6 +19,7 @@ from undertone.llm.multi_index import near_vectors
 from undertone.llm.quality import fit_quality, held_out, score_quality
 from undertone.llm.rlz import remove_repeats
 from undertone.llm.token_store import checksums, write_tokens
+from undertone.llm.trees import quality_rules
 from undertone.llm.vafile import top_products
 from undertone.session import pin_utc, shared_folder
 
@@ -154,3 +157,83 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_products(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query("op11_fill_in_middle", """
+WITH hashed AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), cut AS (
+    SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units, len(units) AS n,
+        ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+            WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM hashed
+), parts AS (
+    SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+        array_to_string(units[greatest(a, b) + 1:], '') AS suffix
+    FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"), F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("fim_form"), F.col("fim_text")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_quality_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_rules(docs, table(spark, sf_dir, "labels"), hold_out=held_out(F.col("key"), 4, 2))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds as one table after another; every sum is an exact integer."""
+    steps = ["""
+kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""", f"""
+centroids0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, ''))) - 1 AS cluster, v AS c FROM kept
+    QUALIFY cluster < {k}
+)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+assigned{n} AS MATERIALIZED (
+    SELECT row, vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+        SELECT row, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+        FROM kept, centroids{n}
+    ) GROUP BY row, vec_id, v
+)""")
+        if n < rounds:
+            steps.append(f"""
+means{n} AS MATERIALIZED (
+    SELECT cluster, list((s - ((s % n + n) % n)) // n ORDER BY i)::DOUBLE[] AS c FROM (
+        SELECT cluster, i, sum(x::BIGINT)::BIGINT AS s, count(*) AS n
+        FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS i FROM assigned{n}) GROUP BY cluster, i
+    ) GROUP BY cluster
+), centroids{n + 1} AS MATERIALIZED (
+    SELECT o.cluster, coalesce(m.c, o.c) AS c FROM centroids{n} o LEFT JOIN means{n} m USING (cluster)
+)""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, a.cluster::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+    sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM assigned{rounds} a JOIN centroids{rounds} USING (cluster)
+"""
+
+
+@query("op13_centroid_clustering", _clustering_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*cluster_vectors(table(spark, sf_dir, "embeddings"), k=40)).withColumnRenamed("key", "vec_id")
