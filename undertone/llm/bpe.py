@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from undertone.llm import text as X
 from undertone.llm.pretokens import pieces
-from undertone.llm.tasks import map_arrow
+from undertone.llm.tasks import KEPT, map_arrow
 
 VOCABULARY = "byte_bpe_50k.json"
 KEPT_PIECES = 800_000
@@ -235,14 +235,11 @@ class Encoder:
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array(offsets)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if ("bpe", path) not in KEPT:
+        KEPT["bpe", path] = Encoder(path)
+    return KEPT["bpe", path]
 
 
 def encoded_runs(column: pa.Array, enc: Encoder):
@@ -276,7 +273,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str
             columns = [lists if name == out else batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_arrow(docs.withColumn(text, F.col(text).cast("string")), run, schema)
+    return map_arrow(docs.withColumn(text, F.col(text).cast("string")), run, schema, keeps="bpe")
 
 
 def bpe_decode(tokens: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -292,7 +289,7 @@ def bpe_decode(tokens: DataFrame, ids: str = "ids", out: str = "decoded", path:
             columns = [pa.array(texts, pa.string()) if name == out else batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_arrow(tokens, run, schema)
+    return map_arrow(tokens, run, schema, keeps="bpe")
 
 
 def bpe_round_trip(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -325,4 +322,4 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", path: str | None = None)
                 [made[name] if name in made else batch.column(name) for name in names], names
             )
 
-    return map_arrow(docs.withColumn(text, F.col(text).cast("string")), run, schema)
+    return map_arrow(docs.withColumn(text, F.col(text).cast("string")), run, schema, keeps="bpe")

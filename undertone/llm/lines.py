@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ LEAST = 30
 BLOCK = 512
 LEADERS = 4
 PAIRS = 1 << 15
+TOGETHER = 4096
 
 
 _POINT = np.random.default_rng(7907).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -252,9 +254,17 @@ def _links(batches, edits: int):
         waiting = table if waiting is None else pa.concat_tables([waiting, table])
         block = [waiting.column(c).to_numpy() for c in ("segment", "left", "right")]
         change = np.flatnonzero(np.any([b[1:] != b[:-1] for b in block], axis=0)) + 1
-        if len(change) and waiting.num_rows >= 2048:
-            yield _joined(waiting.slice(0, change[-1]), edits)
-            waiting = waiting.slice(change[-1])
+        # Blocks are taken together while they have few rows and characters; the last may go on in the next batch.
+        size = np.append(0, np.cumsum(pc.binary_length(waiting.column("text")).to_numpy()))
+        begin, end = 0, 0
+        for cut in change.tolist():
+            if end > begin and (cut - begin > TOGETHER or size[cut] - size[begin] > X.CHUNK):
+                yield _joined(waiting.slice(begin, end - begin), edits)
+                begin = end
+            end = cut
+        if end > begin:
+            yield _joined(waiting.slice(begin, end - begin), edits)
+        waiting = waiting.slice(end)
     if waiting is not None and waiting.num_rows:
         yield _joined(waiting, edits)
 

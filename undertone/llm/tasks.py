@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -37,10 +38,43 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(application)
 
 
-def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the tasks."""
+#: What a worker keeps from task to task, under the name of its owner first.
+KEPT: dict[tuple[str, str], object] = {}
+#: Bytes of a batch of rows that goes to Python.
+BATCH_BYTES = 16 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches by bytes, not by rows alone: rows of long texts or large sets come in smaller batches."""
+    now = spark.conf.get(BATCH_CONF, str(BATCH_BYTES + 1)).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def release(keeps: str | None = None) -> None:
+    """Drop what other owners left in this worker, and give free memory back to the system."""
+    for name in [n for n in KEPT if n[0] != keeps]:
+        del KEPT[name]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, f: Callable, schema: str, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the tasks; only the ``KEPT`` of ``keeps`` outlive a task."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    bound_batches(df.sparkSession)
+
+    def run(batches):
+        release(keeps)
+        try:
+            yield from f(batches)
+        finally:
+            release(keeps)
+
+    return df.mapInArrow(run, schema)
 
 
 def group_arrow(df: DataFrame, keys: list[str], f: Callable, schema: str) -> DataFrame:

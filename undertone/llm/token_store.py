@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from undertone.llm import text as X
 from undertone.llm.bpe import VOCABULARY, Encoder, encoded_runs
-from undertone.llm.tasks import map_arrow
+from undertone.llm.tasks import KEPT, map_arrow
 from undertone.session import settle
 
 END = 2
@@ -31,12 +31,11 @@ ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 PAGE_ROWS = 2000
 LAYOUT = "shard int, doc_id long, before long, n_tokens long, ids array<int>"
-_LIBRARY: dict[str, Encoder] = {}
 
 
 def library_encoder(path: str) -> Encoder:
     """An encoder whose new pieces the tokenizers library encodes, one thread per task."""
-    if path not in _LIBRARY:
+    if ("library", path) not in KEPT:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,8 +49,8 @@ def library_encoder(path: str) -> Encoder:
             counts = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
 
-        _LIBRARY[path] = Encoder(path, encode_new)
-    return _LIBRARY[path]
+        KEPT["library", path] = Encoder(path, encode_new)
+    return KEPT["library", path]
 
 
 def tokenized(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, end: int = END) -> DataFrame:
@@ -82,7 +81,7 @@ def tokenized(docs: DataFrame, text: str = "text", key: str = "doc_id", path: st
                 )
                 before += int(offsets[-1])
 
-    return map_arrow(ordered, run, LAYOUT)
+    return map_arrow(ordered, run, LAYOUT, keeps="library")
 
 
 def write_tokens(docs: DataFrame, folder: str, **options) -> None:
