@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from undertone.llm import text as X
 from undertone.llm.rank_index import ERROR, RankIndex, residual_type
@@ -33,7 +33,10 @@ SEED = 7
 MARKS = ("<P>", "<S>", "<M>")
 MADE = ("fim_units", "fim_form", "fim_prefix_chars", "fim_middle_chars", "fim_text")
 _DRAWS = ("h1", "h2", "h3", "h4")
-INDEX = "struct<units int, ranks array<int>, offsets array<bigint>, slopes array<double>, residuals binary>"
+INDEX = StructType([
+    StructField("units", IntegerType()), StructField("ranks", ArrayType(IntegerType())), StructField("offsets", ArrayType(LongType())),
+    StructField("slopes", ArrayType(DoubleType())), StructField("residuals", BinaryType()),
+])
 
 
 def _packed(docs: DataFrame, names: list[str], text: str, *more: Column) -> DataFrame:

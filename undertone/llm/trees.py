@@ -98,13 +98,15 @@ def same_lines(words: X.Words, raw: np.ndarray) -> np.ndarray:
     breaks = np.flatnonzero(raw == 10)
     starts = np.unique(np.concatenate([words.bounds[:-1], breaks + 1]))
     starts = starts[starts < len(raw)]
+    documents = len(words.bounds) - 1
+    if not len(starts):
+        return np.zeros(documents, np.int64)
     ends = np.append(starts[1:], len(raw))
     ends = ends - (raw[ends - 1] == 10)
     inked = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends = starts[inked], ends[inked]
     document = np.searchsorted(words.bounds, starts, side="right") - 1
     order, times = _per_document(document, X.byte_hashes(raw, starts, ends))
-    documents = len(words.bounds) - 1
     distinct = np.bincount(document[order], 1 / times, minlength=documents) if len(order) else np.zeros(documents)
     return np.bincount(document, minlength=documents) - np.rint(distinct).astype(np.int64)
 
