@@ -129,12 +129,13 @@ def nested(depth):
 
 def test_depths_and_what_lies_deeper(spark):
     body = {"comments": [nested(12)]}
-    rows = {r.comment_id: r for r in M.normalize_threads(captures(spark, "tiktok", "comments", body), "tiktok").collect()}
+    rows = {r.comment_id: r for r in M.normalize_threads(captures(spark, "tiktok", "comments", body), "tiktok", 10).collect()}
     assert set(rows) == {f"c{i}" for i in range(11)}
     assert rows["c10"].has_deeper and not rows["c9"].has_deeper
     assert rows["c10"].path == [0] * 11 and rows["c10"].thread_root_id == "c0"
     all_rows = M.normalize_threads(captures(spark, "tiktok", "comments", body), "tiktok", 12)
     assert all_rows.count() == 13 and all_rows.filter("has_deeper").count() == 0
+    assert M.normalize_threads(captures(spark, "tiktok", "comments", {"comments": [nested(30)]}), "tiktok").count() == 31
 
 
 def reddit_chain(depth):
@@ -267,3 +268,27 @@ def test_captures_with_a_long_common_head_all_stay(spark):
     assert {r.capture_id for r in kept.collect()} == {"c0", "c1", "c2"}
     exchanges = [x for x in kept._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hash" in x]
     assert exchanges
+
+
+def test_the_same_capture_read_twice_stays_once(spark):
+    rows = [("c0", "a", 5), ("c0", "a", 5), (None, "b", 6), (None, "b", 6), ("c3", "b", 7), ("c4", "c", None), ("c4", "c", 9), ("c5", "d", 1), ("c6", "d", 1)]
+    df = spark.createDataFrame([(i, "tiktok", "https://t.com/x", b, t) for i, b, t in rows], "capture_id STRING, platform STRING, url STRING, body STRING, t INT")
+    df = df.withColumn("captured_at", F.timestamp_seconds("t")).drop("t")
+    kept = K.dedup_captures(df.repartition(4))
+    assert kept.columns == df.columns
+    found = sorted((r.body, r.capture_id or "", r.captured_at is None) for r in kept.collect())
+    assert found == [("a", "c0", False), ("b", "", False), ("c", "c4", True), ("d", "c5", False)]
+
+
+def test_reddit_authors_given_as_objects(spark):
+    gold = {"id": "t2_1", "name": "ann", "display_name": "Ann", "is_gold": True, "icon_img": "i.png", "public_description": "hi"}
+    children = [{"data": {"id": str(i), "selftext": "x", "author": a, "permalink": "/r"}} for i, a in enumerate([gold, {"name": "bob"}, "carl", {}, None])]
+    posts = P.normalize_posts(captures(spark, "reddit", "posts", {"data": {"children": children}}), "reddit")
+    found = {r.id: tuple(r.author) for r in posts.collect()}
+    assert found["0"] == ("t2_1", "ann", "Ann", 0, True, "i.png", "hi")
+    assert found["1"] == ("bob", "bob", "bob", 0, False, "", "")
+    assert found["2"] == ("carl", "carl", "carl", None, None, None, None)
+    assert found["3"] == ("", "", "", 0, False, "", "") and found["4"] == ("", "", "", None, None, None, None)
+    listing = [{}, {"data": {"children": [{"kind": "t1", "data": {"id": "c", "body": "t", "author": gold, "replies": ""}}]}}]
+    comment = one(M.normalize_threads(captures(spark, "reddit", "comments", listing), "reddit"))
+    assert tuple(comment.author) == ("t2_1", "ann", "Ann", 0, True, "i.png", "hi")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undertone.functions.expressions import slug
+from undertone.operators.linkage import agglomerate
 from undertone.operators.ranking import weighted_importance
 from undertone.operators.similarity import components, similar_links
 from undertone.operators.units import WIDE_ASPECT
@@ -92,6 +93,54 @@ def assign_clusters(units: DataFrame, link_from: float = LINK_FROM, prefix_at: f
     )
 
 
+def assign_clusters_by_mean(units: DataFrame, least: float = LINK_FROM, prefix_at: float = PREFIX_AT) -> DataFrame:
+    """Units with their ``cluster_key`` by average linkage: no unit is further than ``least`` from its cluster's mean.
+
+    Buckets, nodes and noise as in ``assign_clusters``, which lets chains of similar texts grow into
+    one cluster. Here linked nodes only are candidates; clusters join while all members stay near.
+    Clusters that end up near each other without a link are found by their common vocabulary and
+    joined in the same way, until nothing joins any more.
+    """
+    whole = F.col("cluster_type").isin(GROUPED_WHOLE)
+    said = F.when(whole, F.lit("*")).when(
+        F.size("tokens") > 0, F.concat_ws(" ", F.array_sort("tokens"))
+    ).otherwise(F.col("normalized_text"))
+    keyed = settle(units.withColumn("node", F.md5(F.concat_ws("\u0001", *BUCKET, said))))
+    nodes = settle(
+        keyed.filter(~whole & (F.size("tokens") > 0)).groupBy(*BUCKET, "node").agg(
+            F.max("engagement_score").alias("weight"), F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("units")
+        )
+    )
+    labels = agglomerate(nodes, similar_links(nodes, BUCKET, least, prefix_at), least)
+    before = None
+    while True:
+        placed = settle(nodes.join(labels, "node", "left").withColumn("start", F.coalesce("cluster", "node")).drop("cluster"))
+        count = placed.agg(F.count_distinct("start")).first()[0]
+        if count == before:
+            break
+        before = count
+        common = common_words(placed.select("start", "tokens", "units", "weight", *BUCKET))
+        labels = agglomerate(placed, similar_links(common, BUCKET, least, prefix_at), least)
+        moved = labels.select("node", F.col("cluster").alias("to"))
+        labels = settle(placed.join(moved, "node", "left").select("node", F.coalesce("to", "start").alias("cluster")))
+    return settle(
+        keyed.join(labels, "node", "left").withColumn("cluster_key", F.coalesce("cluster", "node")).drop("node", "cluster")
+    )
+
+
+def common_words(placed: DataFrame) -> DataFrame:
+    """(scope, node, weight, tokens): each cluster (``start``) as the words that at least half of its units say.
+
+    A cluster has never more such words than twice the mean number of words of its units.
+    """
+    sizes = placed.groupBy("start", *BUCKET).agg(F.sum("units").alias("size"), F.max("weight").alias("weight"))
+    said = placed.select("start", "units", F.explode("tokens").alias("token")).groupBy("start", "token").agg(F.sum("units").alias("n"))
+    common = said.join(sizes.select("start", "size"), "start").filter(F.col("n") * 2 >= F.col("size")).groupBy("start").agg(
+        F.sort_array(F.collect_list("token")).alias("tokens")
+    )
+    return sizes.join(common, "start").select(*BUCKET, F.col("start").alias("node"), "weight", "tokens")
+
+
 def stance_profile(members: DataFrame) -> DataFrame:
     """(cluster_key, dominant_stance, stance_distribution); at most eight entries."""
     counted = members.groupBy("cluster_key", "stance").agg(F.count(F.lit(1)).alias("n"))

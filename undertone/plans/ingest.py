@@ -402,3 +402,40 @@ def _page_sql() -> str:
 @query("page_texts", _page_sql())
 def _(spark, sf):
     return R.extract_page_text(table(spark, sf, "pages")).select("page_id", F.md5("text").alias("text_md5"))
+
+
+@query("captures_read_twice", f"WITH {_KEPT} SELECT platform, doc_id || '-0' AS capture_id FROM kept")
+def _(spark, sf):
+    """The same files read twice: every capture, repeated or not, stays once."""
+    once = K.filter_captures(post_captures(spark, sf))
+    return K.dedup_captures(once.unionByName(once)).select("platform", "capture_id")
+
+
+@query(
+    "reddit_author_objects",
+    """SELECT doc_id::VARCHAR AS id, CASE doc_id % 4 WHEN 0 THEN 't2_' || doc_id WHEN 1 THEN coalesce(source, '') WHEN 2 THEN coalesce(source, '') ELSE '' END AS author_id,
+      CASE WHEN doc_id % 4 = 3 THEN '' ELSE coalesce(source, '') END AS username,
+      CASE doc_id % 4 WHEN 0 THEN coalesce(lang, source, '') WHEN 3 THEN '' ELSE coalesce(source, '') END AS display_name,
+      CASE doc_id % 4 WHEN 0 THEN doc_id % 8 = 0 WHEN 1 THEN false END AS verified, CASE WHEN doc_id % 4 IN (0, 1) THEN 0 END::BIGINT AS follower_count,
+      CASE doc_id % 4 WHEN 0 THEN lang || '.png' WHEN 1 THEN '' END AS profile_image_url FROM documents""",
+)
+def _(spark, sf):
+    """Authors as full objects, as objects with a name only, as plain names, and missing."""
+    doc, full = F.col("doc_id"), F.struct(
+        F.concat(F.lit("t2_"), "doc_id").alias("id"), F.col("source").alias("name"), F.col("lang").alias("display_name"),
+        (F.col("doc_id") % 8 == 0).alias("is_gold"), F.concat("lang", F.lit(".png")).alias("icon_img"),
+    )
+    author = (
+        F.when(doc % 4 == 0, F.to_json(full)).when(doc % 4 == 1, F.to_json(F.struct(F.col("source").alias("name"))))
+        .when(doc % 4 == 2, F.to_json(F.struct(F.col("source").alias("x"))).substr(F.lit(6), F.length("source") + 2))
+    )
+    item = F.concat(F.lit('{"id":"'), doc.cast("string"), F.lit('","author":'), F.coalesce(author, F.lit("null")), F.lit("}"))
+    docs = table(spark, sf, "documents").select(
+        doc.cast("string").alias("capture_id"), F.lit("reddit").alias("platform"), F.lit("posts").alias("kind"),
+        F.lit(POST_ENDPOINTS["reddit"]).alias("url"), F.concat(F.lit('{"data":{"children":[{"data":'), item, F.lit("}]}}")).alias("body"), F.timestamp_seconds(doc).alias("captured_at"),
+    )
+    posts = P.normalize_posts(docs, "reddit")
+    return posts.select(
+        "id", F.col("author.id").alias("author_id"), "author.username", "author.display_name", "author.verified",
+        "author.follower_count", "author.profile_image_url",
+    )

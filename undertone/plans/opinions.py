@@ -16,7 +16,9 @@ from undertone.operators import evaluate as V
 from undertone.operators import insights as I
 from undertone.operators import research as R
 from undertone.operators import units as U
+from undertone.operators.linkage import agglomerate
 from undertone.operators.ranking import min_max
+from undertone.operators.similarity import similar_links
 from undertone.plans.registry import query
 from undertone.plans.views import CUES, contexts, feedback, table
 from undertone.session import settle
@@ -1085,3 +1087,21 @@ _BUCKET_COLUMNS = ", ".join(C.BUCKET)
 )
 def _(spark, sf):
     return C.build_clusters(C.merge_clusters(members(spark, sf))).select(*C.BUCKET, "size")
+
+
+@query("cluster_members_average")
+def _(spark, sf):
+    """Clusters of each content by average linkage; SQL can't express the rounds, ``tests/test_linkage.py`` repeats them."""
+    return C.assign_clusters_by_mean(units(spark, sf)).select("unit_id", "cluster_key")
+
+
+@query("phrases_average_linkage")
+def _(spark, sf):
+    """Similar phrases across all contents, by type and stance, as clusters around their means."""
+    scope, least = ["cluster_type", "stance"], 0.3
+    said = units(spark, sf).filter(F.size("tokens") > 0).withColumn("node", F.md5(F.concat_ws(" ", *scope, F.array_sort("tokens"))))
+    nodes = settle(said.groupBy(*scope, "node").agg(
+        F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("units"), F.max("engagement_score").alias("weight")
+    ))
+    labels = agglomerate(nodes, similar_links(nodes, scope, least, 0.2), least)
+    return nodes.join(labels, "node", "left").select("node", "units", F.coalesce("cluster", "node").alias("cluster_key"))

@@ -96,20 +96,24 @@ def capture_key(platform: Column, url: Column, body: Column) -> Column:
 
 
 def dedup_captures(captures: DataFrame) -> DataFrame:
-    """First capture per ``capture_key``; within one, ``capture_id`` is unique.
+    """One capture per ``capture_key``: the first by time (unknown first) and id (null first).
 
-    Bodies are hashed where they are read and never shuffled for ranking: only keys, times and ids
-    travel, each task drops its own copies first, and the repeats found are taken out by id.
+    Bodies are hashed where they are read and are not ranked: keys, times and ids alone are counted.
+    Repeats go by comparing a row's time and id with the first of its key. Only where the first itself
+    occurs again (the same capture read twice, or null ids) do whole rows meet, each task having
+    dropped its own copies before; of those the least row by all columns stays.
     """
     keyed = captures.withColumn("capture_key", capture_key(F.col("platform"), F.col("url"), F.col("body")))
-    first = keyed.groupBy("capture_key").agg(
-        F.min(F.struct("captured_at", "capture_id"))["capture_id"].alias("first_id"), F.count(F.lit(1)).alias("copies")
-    ).filter("copies > 1")
-    repeats = (
-        keyed.select("capture_key", "capture_id").join(first, "capture_key")
-        .filter("capture_id != first_id").select("capture_key", "capture_id")
+    each = keyed.groupBy("capture_key", "captured_at", "capture_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = each.groupBy("capture_key").agg(
+        F.min(F.struct("captured_at", "capture_id", "n")).alias("first"), F.sum("n").alias("copies")
+    ).filter("copies > 1").select("capture_key", "first")
+    is_first = F.col("first").isNull() | (
+        F.col("first.captured_at").eqNullSafe(F.col("captured_at")) & F.col("first.capture_id").eqNullSafe(F.col("capture_id"))
     )
-    return keyed.join(repeats, ["capture_key", "capture_id"], "left_anti").select(*captures.columns)
+    kept = keyed.join(repeated, "capture_key", "left").filter(is_first)
+    again = kept.filter("first.n > 1").groupBy("capture_key").agg(F.min(F.struct(*captures.columns)).alias("row"))
+    return kept.filter("first is null or first.n = 1").select(*captures.columns).unionByName(again.select("row.*"))
 
 
 def captures_for(captures: DataFrame, pattern: str | None = None, bodies_only: bool = False) -> DataFrame:

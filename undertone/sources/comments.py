@@ -50,9 +50,13 @@ COMMENT_PATHS: dict[str, Rules] = {
     },
     "reddit": {
         "id": ["id"],
-        "author_id": ["author_display_name", "author"],
-        "username": ["author_display_name", "author"],
-        "display_name": ["author_display_name", "author"],
+        "author_id": ["author_display_name", "author.id", "author.name", "author~"],
+        "username": ["author_display_name", "author.name", "author.display_name", "author~"],
+        "display_name": ["author_display_name", "author.display_name", "author.name", "author~"],
+        "verified": ["author.is_gold"],
+        "profile_image_url": ["author.icon_img"],
+        "bio": ["author.public_description"],
+        "author_object": ["author"],
         "text": ["body"],
         "seconds": ["created_utc"],
         "likes": ["score", "ups"],
@@ -280,10 +284,10 @@ def _normalized(rows: DataFrame, shape_name: str) -> tuple[DataFrame, dict[str,
         id=r.text("author_id"),
         username=r.text("username", shape.username_default),
         display_name=r.text("display_name"),
-        follower_count="CAST(NULL AS BIGINT)",
-        verified=r.flag("verified"),
-        profile_image_url=r.text("profile_image_url", None),
-        bio="CAST(NULL AS STRING)",
+        follower_count=r.of_object("CAST(NULL AS BIGINT)", "0L"),
+        verified=r.of_object(r.flag("verified"), "FALSE"),
+        profile_image_url=r.of_object(r.text("profile_image_url", None), "''"),
+        bio=r.of_object(r.text("bio", None), "''"),
     )
     votes = 0 if shape.votes else None
     reach = 0 if shape.reach else None
@@ -362,10 +366,10 @@ def _threads(tops: dict[str, DataFrame], max_depth: int | None) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts + ([_whole(nested)] if nested else []))
 
 
-def normalize_threads(captures: DataFrame, platform: str, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+def normalize_threads(captures: DataFrame, platform: str, max_depth: int | None = None) -> DataFrame:
     """Comment captures of one platform as the adjacency table.
 
-    Without a ``max_depth`` (None) all levels; else ``has_deeper`` marks what lies below.
+    All levels unless a ``max_depth`` is given; then ``has_deeper`` marks what lies below.
     """
     return _threads(_tops(captures, platform), max_depth)
 

@@ -18,6 +18,14 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+#: A path with this ending gives nothing where an object stands.
+NO_OBJECT = "~"
+
+
+def is_object(value: str) -> str:
+    return f"startswith({value}, '{{')"
+
+
 def _segments(path: str) -> list[str]:
     return path.split(".")
 
@@ -26,9 +34,10 @@ class JsonFields:
     """The set of paths wanted from one document shape."""
 
     def __init__(self, paths: list[str]):
-        self._leaves = set(paths)
+        plain = [p.removesuffix(NO_OBJECT) for p in paths]
+        self._leaves = set(plain)
         self._tree: dict = {}
-        for path in paths:
+        for path in plain:
             node = self._tree
             for segment in _segments(path):
                 node = node.setdefault(segment, {})
@@ -59,6 +68,9 @@ class JsonFields:
 
     def get(self, document: str, path: str) -> str:
         """The value at ``path`` of a parsed document."""
+        if path.endswith(NO_OBJECT):
+            value = self.get(document, path.removesuffix(NO_OBJECT))
+            return f"CASE WHEN NOT {is_object(value)} THEN {value} END"
         value, walked = document, ""
         segments = _segments(path)
         for position, segment in enumerate(segments):

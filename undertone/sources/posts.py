@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from undertone.functions.expressions import HASHTAG_PATTERN, PLAIN_HASHTAG_PATTERN
 from undertone.schemas import ENGAGEMENT_TYPE, USER_TYPE
-from undertone.sources.json_fields import JsonFields, count_or, first_array, member, text_or, unwrap
+from undertone.sources.json_fields import JsonFields, count_or, first_array, is_object, member, text_or, unwrap
 
 Rules = dict[str, list[str]]
 
@@ -95,9 +95,13 @@ POST_PATHS: dict[str, Rules] = {
     },
     "reddit": {
         "id": ["id"],
-        "author_id": ["author_display_name", "author"],
-        "username": ["author_display_name", "author"],
-        "display_name": ["author_display_name", "author"],
+        "author_id": ["author_display_name", "author.id", "author.name", "author~"],
+        "username": ["author_display_name", "author.name", "author.display_name", "author~"],
+        "display_name": ["author_display_name", "author.display_name", "author.name", "author~"],
+        "verified": ["author.is_gold"],
+        "profile_image_url": ["author.icon_img"],
+        "bio": ["author.public_description"],
+        "author_object": ["author"],
         "content": ["selftext", "title"],
         "media_url": ["url_overridden_by_dest", "url"],
         "likes": ["score", "ups"],
@@ -241,6 +245,12 @@ class Reader:
         listed = ", ".join(values)
         return f"CASE WHEN coalesce({listed}) IS NULL THEN {otherwise} ELSE array_contains(array({listed}), 'true') END"
 
+    def of_object(self, value: str, default: str) -> str:
+        """``value``, or ``default`` where it is missing in an author that is given as an object."""
+        if "author_object" not in self.rules:
+            return value
+        return f"coalesce({value}, CASE WHEN {is_object(self.values('author_object')[0])} THEN {default} END)"
+
     def timestamp(self, retrieved_at: str = "captured_at") -> str:
         def epoch(value: str, factor: str) -> str:
             return f"timestamp_millis(CAST(nullif(try_cast({value} AS DOUBLE), 0D) {factor} AS BIGINT))"
@@ -470,10 +480,10 @@ def _user(r: Reader, zero: tuple[str, ...]) -> str:
         id=r.text("author_id"),
         username=r.text("username"),
         display_name=r.text("display_name"),
-        follower_count=r.count("follower_count", 0 if "follower_count" in zero else None),
-        verified=r.flag("verified", False if "verified" in zero else None),
-        profile_image_url=r.text("profile_image_url", "" if "profile_image_url" in zero else None),
-        bio=r.text("bio", "" if "bio" in zero else None),
+        follower_count=r.of_object(r.count("follower_count", 0 if "follower_count" in zero else None), "0L"),
+        verified=r.of_object(r.flag("verified", False if "verified" in zero else None), "FALSE"),
+        profile_image_url=r.of_object(r.text("profile_image_url", "" if "profile_image_url" in zero else None), "''"),
+        bio=r.of_object(r.text("bio", "" if "bio" in zero else None), "''"),
     )
 
 
