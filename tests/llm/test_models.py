@@ -75,6 +75,15 @@ def test_mix_comes_near_its_targets(spark, documents):
         assert abs(total[source] - target) < 0.06 * target
 
 
+def test_mix_without_ids_comes_near_its_targets(spark, documents):
+    """Null ids, and one id for a third of all rows: texts still draw apart."""
+    draw = np.random.default_rng(9)
+    rows = [(None if i % 3 else 7, f"d{i} " + " ".join(["w"] * int(draw.integers(5, 40))), f"s{i % 5}" if i % 3 else "s0") for i in range(6000)]
+    taken = with_targets(documents(rows)).selectExpr("source", "mix_target", "mix_size * mix_times as t").groupBy("source").agg({"mix_target": "max", "t": "sum"})
+    for r in taken.collect():
+        assert abs(r["sum(t)"] - r["max(mix_target)"]) < 0.06 * r["max(mix_target)"]
+
+
 def test_quality_query(spark, sf):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     found = QUERIES["op8_quality_classifier"](spark, sf).collect()

@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Sizes are words. Targets come from one row per source; each document is then
-taken floor(rate) times, and once more where a hash of seed and id falls below
+taken floor(rate) times, and once more where a hash of seed, id and text falls below
 the fraction. Of ``SEEDS`` seeds each source uses the one whose sum of taken
 words comes nearest its target, so that a few long documents don't carry a
 small source away. Only sums per source are shuffled, so a source with a third
@@ -29,6 +29,13 @@ def words(text: str) -> Column:
     return F.coalesce(F.expr(f"regexp_count(`{text}`, r'{WORD}')"), F.lit(0)).cast("long")
 
 
+def name(key: str, text: str) -> Column:
+    """What a document draws by: its key and a digest of its text, so that null or shared keys don't draw alike."""
+    return F.concat(
+        F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    )
+
+
 def draw(key: Column, number: Column | int, seed: str = SEED) -> Column:
     """A number in [0, 1) from the hash of seed, seed number and key (as text); the same in every run."""
     number = F.lit(number) if isinstance(number, int) else number
@@ -105,11 +112,11 @@ def with_targets(
 
     ``mix_times`` is how often the mix takes the document, at most ``most``. A null text has size 0;
     documents of a source without words are taken 0 times; a null source is a source of its own;
-    rows with the same key (also null) share one draw. Columns of ``docs`` stay as they are,
+    rows that agree in key (also null) and text share one draw. Columns of ``docs`` stay as they are,
     whatever their names; only the four above are replaced.
     """
     sized = docs.select(
-        F.struct(*docs.columns).alias("doc"), words(text).alias("size"), F.col(source).alias("place"), F.col(key).cast("string").alias("key")
+        F.struct(*docs.columns).alias("doc"), words(text).alias("size"), F.col(source).alias("place"), name(key, text).alias("key")
     )
     sizes = settle(sized.select(F.col("place").alias("source"), "key", "size"))
     targets = _bounded(settle(seeded_targets(sizes, weights, most, seed)))

@@ -52,7 +52,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_mixing", """
 WITH sized AS (
-    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+        coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS name FROM documents
 ), ranked AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place
     FROM sized GROUP BY source
@@ -74,7 +75,7 @@ WITH sized AS (
 ), draws AS (
     SELECT doc_id, size, r.source, source_size, target, number,
         size * (floor(rate)::BIGINT + CASE WHEN
-            ('0x' || substr(md5('mix|' || number || '|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE
+            ('0x' || substr(md5('mix|' || number || '|' || name), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE
             < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
     FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source, range(16) n(number)
 ), chosen AS (
