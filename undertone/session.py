@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SETTLED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def build_session(
@@ -76,4 +78,15 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _SETTLED[written] = path
+    return written
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``settle`` wrote, once everything made of it is written itself."""
+    path = _SETTLED.pop(table, None)
+    if path is not None:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
