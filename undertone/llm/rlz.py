@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from undertone.llm import text as X
 from undertone.llm.tasks import map_arrow
-from undertone.session import settle
+from undertone.session import discard, settle
 
 WINDOW = 35
 GRAM = 16
@@ -231,6 +231,7 @@ def _spans(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFram
         ).alias("hits")
     )
     hit = settle(rows.join(hits, "row").dropDuplicates(["row"]).select("row", "text", "hits"))
+    discard(anchors)
     stretches = settle(map_arrow(
         hit, lambda b: _stretches(b, window, gram),
         "anchor long, row long, low int, reach int, leads boolean, hashes binary",
