@@ -109,3 +109,44 @@ def silhouette(vectors: DataFrame) -> float:
         F.col("cluster").cast("int").alias("prediction"), array_to_vector("vector").alias("features")
     )
     return ClusteringEvaluator(distanceMeasure="cosine").evaluate(prepared)
+
+
+def token_silhouette(members: DataFrame, scope: list[str], cluster: str = "cluster_key") -> DataFrame:
+    """(scope..., units, silhouette): mean cosine silhouette of word sets, clusters of a scope against each other.
+
+    ``members`` holds the scope, ``cluster`` and ``tokens`` (distinct; null or empty sets are at distance 1 from
+    all). A cluster is the sum of its unit vectors, one row per word; a unit meets the clusters it shares a word with,
+    all others of its scope are at distance 1. Equal sets of a cluster are compared once. A unit alone in its
+    cluster, or in the only cluster of its scope, counts 0.
+    """
+    sets = (
+        members.select(*scope, cluster, F.array_sort(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"))
+        .groupBy(*scope, cluster, "tokens").agg(F.count(F.lit(1)).alias("copies"))
+    )
+    sizes = sets.groupBy(*scope, cluster).agg(F.sum("copies").alias("size"))
+    alone = sizes.groupBy(*scope).agg(F.count(F.lit(1)).alias("clusters"))
+    said = sets.select(*scope, F.col(cluster).alias("own"), "tokens", "copies", F.explode("tokens").alias("token"))
+    share = F.lit(1.0) / F.sqrt(F.size("tokens").cast("double"))
+    sums = said.groupBy(*scope, F.col("own").alias(cluster), "token").agg(F.sum(share * F.col("copies")).alias("mass"))
+    met = (
+        said.select(*scope, "own", "tokens", "token", share.alias("share")).join(sums, [*scope, "token"])
+        .groupBy(*scope, "own", "tokens", cluster).agg(F.sum(F.col("share") * F.col("mass")).alias("dot"))
+        .join(sizes, [*scope, cluster])
+        .groupBy(*scope, "own", "tokens").agg(
+            F.max(F.when(F.col("own") == F.col(cluster), F.col("dot"))).alias("inside"),
+            F.max(F.when(F.col("own") != F.col(cluster), F.col("dot") / F.col("size"))).alias("nearest"),
+        )
+        .withColumnRenamed("own", cluster)
+    )
+    itself = F.when(F.size("tokens") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    others = F.col("size") - 1
+    # Rounded, so that distances of nothing are 0 and not what sums of roots leave.
+    a = F.round((others - (F.coalesce("inside", F.lit(0.0)) - itself)) / others, 9)
+    b = F.round(F.lit(1.0) - F.coalesce("nearest", F.lit(0.0)), 9)
+    value = F.when((F.col("size") < 2) | (F.col("clusters") < 2), F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
+    )
+    return (
+        sets.join(met, [*scope, cluster, "tokens"], "left").join(sizes, [*scope, cluster]).join(alone, scope)
+        .groupBy(*scope).agg(F.sum("copies").alias("units"), (F.sum(value * F.col("copies")) / F.sum("copies")).alias("silhouette"))
+    )

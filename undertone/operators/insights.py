@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from undertone.functions import tokens as TK
 from undertone.operators import clusters as C
+from undertone.operators.numbering import numbered
 from undertone.operators.ranking import weighted_importance
 from undertone.operators.similarity import components, similar_links
 from undertone.session import settle
@@ -214,13 +215,10 @@ def meta_representatives(members: DataFrame, units: DataFrame, clusters: int = 2
 
 
 def meta_insights(metas: DataFrame, limit: int | None = None) -> DataFrame:
-    """The themes across contents, numbered from the strongest; the first ``limit`` if given.
-
-    Numbering is over all themes; of many millions ask for a ``limit``, which is taken before.
-    """
-    top = metas if limit is None else metas.orderBy(F.desc("importance"), "meta_cluster_id").limit(limit)
-    number = F.row_number().over(W.orderBy(F.desc("importance"), "meta_cluster_id"))
-    return top.withColumn("rank", number).select(
+    """The themes across contents, numbered from the strongest; the first ``limit`` if given, taken before."""
+    order = [F.desc("importance"), F.asc("meta_cluster_id")]
+    top = metas if limit is None else metas.orderBy(*order).limit(limit)
+    return numbered(top, order).select(
         F.concat(F.lit("cross_video_insight_"), F.col("rank").cast("string")).alias("insight_id"),
         F.lit("cross_video").alias("scope"),
         "meta_cluster_id",

@@ -15,6 +15,7 @@ from undertone.operators import enrich as N
 from undertone.operators import evaluate as V
 from undertone.operators import insights as I
 from undertone.operators import research as R
+from undertone.operators import themes as T
 from undertone.operators import units as U
 from undertone.operators.linkage import agglomerate
 from undertone.operators.ranking import min_max
@@ -1105,3 +1106,36 @@ def _(spark, sf):
     ))
     labels = agglomerate(nodes, similar_links(nodes, scope, least, 0.2), least)
     return nodes.join(labels, "node", "left").select("node", "units", F.coalesce("cluster", "node").alias("cluster_key"))
+
+
+def signature_themes(spark, sf) -> DataFrame:
+    return _once("signature_themes", spark, sf, lambda: T.theme_members(clusters_of(spark, sf)))
+
+
+@query("theme_members_by_signature")
+def _(spark, sf):
+    """Every specific cluster and its theme; random projections find the pairs, ``tests/test_themes.py`` compares with all pairs."""
+    return signature_themes(spark, sf).select("meta_key", "layer", "near", "local_cluster_id", "video_id")
+
+
+@query("theme_insights_by_signature")
+def _(spark, sf):
+    """Themes that recur, numbered from the strongest."""
+    recurring = T.recurring_members(signature_themes(spark, sf))
+    return I.meta_insights(I.build_meta_clusters(recurring, members(spark, sf), clusters_of(spark, sf)))
+
+
+@query(
+    "opinion_silhouette",
+    f"""WITH RECURSIVE {_MEMBERS_SQL}, distinct_units AS (SELECT video_id, unit_id, cluster_key, tokens FROM members),
+    p AS (SELECT a.video_id, a.unit_id, a.cluster_key AS own, b.cluster_key AS other, count(*) AS n,
+        sum(1 - CASE WHEN len(a.tokens) * len(b.tokens) = 0 THEN 0 ELSE len(list_intersect(a.tokens, b.tokens)) / sqrt(len(a.tokens) * len(b.tokens)) END) AS s
+      FROM distinct_units a JOIN distinct_units b ON a.video_id = b.video_id AND a.unit_id <> b.unit_id GROUP BY ALL),
+    x AS (SELECT unit_id, round(max(CASE WHEN own = other THEN s / n END), 9) AS a, round(min(CASE WHEN own <> other THEN s / n END), 9) AS b FROM p GROUP BY unit_id)
+    SELECT video_id, count(*) AS units,
+      round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) + 1e-9, 4) AS silhouette
+    FROM distinct_units LEFT JOIN x USING (unit_id) GROUP BY video_id""",
+)
+def _(spark, sf):
+    df = V.token_silhouette(members(spark, sf), ["video_id"])
+    return df.withColumn("silhouette", F.round(F.col("silhouette") + 1e-9, 4))
