@@ -43,27 +43,28 @@ def status_of(failures: Column) -> Column:
     )
 
 
-def reduced(probes: DataFrame) -> DataFrame:
-    """Per platform: last success, failures after it, last check.
+def reduced(probes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per platform (or other ``keys``): last success, failures after it, last check.
 
-    Two aggregates instead of an ordered scan: the last success per platform,
+    Two aggregates instead of an ordered scan: the last success per key,
     then the failures after it. Both combine before the shuffle.
     """
+    keys = keys or ["platform"]
     df = judged(probes).withColumn("at", moment())
-    last = df.groupBy("platform").agg(
+    last = df.groupBy(*keys).agg(
         F.max(F.when(F.col("ok"), F.col("at"))).alias("ok_at"),
         F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_healthy"),
         F.max("ts").alias("last_checked"),
         F.max_by("response_ms", "at").alias("response_ms"),
     )
     failed = (
-        df.join(last.select("platform", "ok_at"), "platform")
+        df.join(last.select(*keys, "ok_at"), keys)
         .filter(F.col("ok_at").isNull() | (F.col("at") > F.col("ok_at")))
-        .groupBy("platform")
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("failures"), F.max(F.col("timed_out").cast("int")).alias("timeouts"))
     )
-    return last.join(failed, "platform", "left").select(
-        "platform", "last_healthy", "last_checked", "response_ms",
+    return last.join(failed, keys, "left").select(
+        *keys, "last_healthy", "last_checked", "response_ms",
         F.coalesce("failures", F.lit(0).cast("bigint")).alias("failures"),
         (F.coalesce("timeouts", F.lit(0)) > 0).alias("timeout_seen"),
     )
@@ -150,8 +151,12 @@ def request_rates(requests: DataFrame, gap_seconds: float = RATE_WINDOW_SECONDS)
     A burst ends when nothing is sent for longer than the gap. A sender that
     keeps going has to wait after every ``cap`` requests.
     """
+    return rated(sessions(requests, ["platform"], "ts", "request_id", gap_seconds))
+
+
+def rated(bursts: DataFrame) -> DataFrame:
+    """Bursts with the cap of their platform, whether they pass it, and how often the sender waits."""
     cap = per_platform(REQUESTS_PER_MINUTE, DEFAULT_REQUESTS_PER_MINUTE)
-    bursts = sessions(requests, ["platform"], "ts", "request_id", gap_seconds)
     return bursts.withColumn("cap", cap).select(
         "platform", "session_start", "session_end", "requests", "cap",
         (F.col("requests") > F.col("cap")).alias("over_cap"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from undertone.functions import expressions as E
@@ -18,6 +20,8 @@ from undertone.plans.views import (
     requests,
 )
 from undertone.schemas import REQUESTS_PER_MINUTE, platform_dimension
+from undertone.session import shared_folder
+from undertone.streaming import slices
 
 # -- comment trees ------------------------------------------------------------
 
@@ -257,15 +261,47 @@ def _(spark, sf):
 _CAP_SQL = "CASE platform " + " ".join(f"WHEN '{p}' THEN {n}" for p, n in REQUESTS_PER_MINUTE.items()) + " END"
 
 
-@query(
-    "request_rate_audit",
-    f"""WITH r AS (SELECT {platform_sql('user_id')} AS platform, event_id, ts FROM events),
+_RATE_SQL = f"""WITH r AS (SELECT {platform_sql('user_id')} AS platform, event_id, ts FROM events),
     g AS (SELECT *, lag(ts) OVER (PARTITION BY platform ORDER BY ts, event_id) AS previous FROM r),
     s AS (SELECT *, sum(CASE WHEN previous IS NULL OR epoch_us(ts) - epoch_us(previous) > {REQUEST_GAP_SECONDS * 1_000_000} THEN 1 ELSE 0 END)
           OVER (PARTITION BY platform ORDER BY ts, event_id) AS n FROM g),
     b AS (SELECT platform, n, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) AS session_end, count(*) AS requests FROM s GROUP BY ALL)
     SELECT platform, session_start, session_end, requests, {_CAP_SQL} AS cap, requests > {_CAP_SQL} AS over_cap,
-      (requests - 1) // {_CAP_SQL} AS waits FROM b""",
+      (requests - 1) // {_CAP_SQL} AS waits FROM b"""
+
+
+@query(
+    "request_rate_audit",
+    _RATE_SQL,
 )
 def _(spark, sf):
     return H.request_rates(requests(spark, sf), REQUEST_GAP_SECONDS)
+
+
+# -- streams ------------------------------------------------------------------
+
+# The test events are minutes apart, so slices are days.
+SLICE = 4 * 86_400
+
+
+def _streamed(spark, df, tie: str):
+    """(stream, folder): ``df`` written in an order of chance and read as a stream in about four batches."""
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(files, F.xxhash64(tie)).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{folder}/in")
+    return stream, f"{folder}/state"
+
+
+@query("health_stream", f"WITH {_CURRENT_SQL} SELECT * FROM current")
+def _(spark, sf):
+    """``health_current`` from a stream whose probes come in any order."""
+    stream, folder = _streamed(spark, probes(spark, sf), "probe_id")
+    return _flat_states(slices.stream_health(stream, folder, spark, SLICE))
+
+
+@query("request_rate_stream", _RATE_SQL)
+def _(spark, sf):
+    """``request_rate_audit`` from a stream whose requests come in any order."""
+    stream, folder = _streamed(spark, requests(spark, sf), "request_id")
+    return slices.stream_request_rates(stream, folder, spark, REQUEST_GAP_SECONDS, SLICE)
