@@ -23,6 +23,7 @@ from undertone.plans.views import (
 from undertone.schemas import PLATFORMS, REQUESTS_PER_MINUTE, platform_dimension
 from undertone.sources import posts as P
 from undertone.sources import sinks
+from undertone.sources.runs import run_sources
 
 SEARCH = "that with the"
 PHRASE = "of the"
@@ -194,6 +195,24 @@ def _(spark, sf):
     return union.groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "sources_that_ran",
+    f"""WITH {POSTS_SQL}, bad AS (SELECT platform FROM posts GROUP BY platform HAVING max(length(content)) >= (SELECT max(length(content)) FROM posts))
+    SELECT platform AS source, count(*) AS n, NULL AS message FROM posts WHERE platform NOT IN (SELECT platform FROM bad) GROUP BY platform
+    UNION ALL SELECT platform, NULL, 'text too long' FROM bad""",
+)
+def _(spark, sf):
+    """Every platform run by itself; one that meets the longest text fails there, in its task."""
+    df = posts(spark, sf)
+    longest = df.select(F.max(F.length("content"))).scalar()
+    too_long = F.raise_error(F.lit("text too long")).cast("string")
+    checked = df.withColumn("content", F.when(F.length("content") >= longest, too_long).otherwise(F.col("content")))
+    found, errors = run_sources(spark, {p: (lambda p=p: checked.filter(F.col("platform") == p)) for p in REQUESTS_PER_MINUTE})
+    counted = found.groupBy(F.col("platform").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("message"))
+    said = F.regexp_extract("message", "text too long", 0)
+    return counted.unionByName(errors.select("source", F.lit(None).cast("bigint").alias("n"), said.alias("message")))
+
+
 @query(
     "capture_or_model_rows",
     """WITH r AS (SELECT doc_id AS request_id FROM documents),
