@@ -6,11 +6,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm import brute
 from undertone.llm import hmm, quality
+from undertone.llm import text as X
 from undertone.llm.mixing import mix, source_targets, with_targets
 from undertone.llm.queries import ORACLES, QUERIES
 
@@ -182,6 +184,87 @@ def test_training_raises_the_likelihood():
         chain = hmm.Chain(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
 
 
+@pytest.mark.parametrize("longest", [1, 7, 64])
+def test_cuts_change_no_counts(longest):
+    """Sums over pieces with values carried over the cuts are those of the whole sequences."""
+    draw = np.random.default_rng(5)
+    sequences = [draw.integers(0, 9, n) for n in (1, 7, 8, 64, 65, 500, 14, 3)]
+    chain = hmm.Chain.begun(draw.dirichlet(np.ones(9)))
+    chain.start = draw.dirichlet(np.ones(hmm.STATES))
+    whole = hmm._expected(chain, sequences, np.ones(len(sequences), bool))
+    pieces = hmm.cut(chain, sequences, longest)
+    assert max(map(len, pieces[0])) <= longest and sum(map(len, pieces[0])) == sum(map(len, sequences))
+    for found, expected in zip(hmm._expected(chain, *pieces), whole, strict=True):
+        np.testing.assert_allclose(found, expected, rtol=1e-9)
+
+
+def model_scores(texts, own, rounds):
+    """The whole model by plain loops over uncut texts: classes, Baum-Welch with logarithms, shares of words."""
+    spoken = {i: brute.words(brute.lower(t)) for i, t in texts}
+    training = [i for i in spoken if not held(i, 7)]
+    counts = Counter(w for i in training for w in spoken[i])
+    kinds = sorted({w for words in spoken.values() for w in words})
+    raw, offsets = X.buffer_of(pa.array(kinds))
+    each = X.Words(raw, offsets, 0, len(kinds), lower=True)
+    hashes, surface = dict(zip(kinds, each.hashes().tolist())), dict(zip(kinds, hmm.surfaces(each).tolist()))
+    tokens = sum(counts.values()) + len(training)
+    owned = sorted((w for w in counts if counts[w] * own > tokens), key=hashes.get)
+    place = {w: n for n, w in enumerate(owned)}
+    end = len(owned) + hmm.SURFACES
+    kind_of = {w: place.get(w, len(owned) + surface[w]) for w in kinds}
+    mass, shared = np.ones(end + 1), np.ones(end + 1)
+    mass[end] += len(training)
+    for w, n in counts.items():
+        mass[kind_of[w]] += n
+        shared[kind_of[w]] += n + 1
+    prior = mass / mass.sum()
+    chain = hmm.Chain.begun(prior)
+    classes = {i: [kind_of[w] for w in words] + [end] for i, words in spoken.items()}
+
+    def ahead(c):
+        values = [np.log(chain.start) + np.log(chain.emit[c[0]])]
+        for x in c[1:]:
+            values.append(np.logaddexp.reduce(values[-1][:, None] + np.log(chain.move), axis=0) + np.log(chain.emit[x]))
+        return values
+
+    for _ in range(rounds):
+        start, move, emit = np.ones(hmm.STATES), np.ones((hmm.STATES, hmm.STATES)), hmm.SMOOTH * np.repeat(prior[:, None], hmm.STATES, axis=1)
+        for i in training:
+            c = classes[i]
+            alpha, beta = ahead(c), [np.zeros(hmm.STATES)]
+            for x in c[:0:-1]:
+                beta.insert(0, np.logaddexp.reduce(np.log(chain.move) + (np.log(chain.emit[x]) + beta[0])[None, :], axis=1))
+            whole = np.logaddexp.reduce(alpha[-1])
+            for t, x in enumerate(c):
+                emit[x] += np.exp(alpha[t] + beta[t] - whole)
+                if t:
+                    move += np.exp(alpha[t - 1][:, None] + np.log(chain.move) + (np.log(chain.emit[x]) + beta[t])[None, :] - whole)
+            start += np.exp(alpha[0] + beta[0] - whole)
+        chain = hmm.Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    scores = {}
+    for i, words in spoken.items():
+        within = sum(math.log10((counts[w] + 1) / shared[kind_of[w]]) for w in words if w not in place)
+        scores[i] = np.logaddexp.reduce(ahead(classes[i])[-1]) / math.log(10) + within
+    return scores
+
+
+@pytest.mark.parametrize("frequent", [hmm.FREQUENT, 300])
+def test_model_scores(spark, sf, monkeypatch, frequent):
+    """``score`` as a whole, with long texts and with shares of words that come by the join."""
+    monkeypatch.setattr(hmm, "FREQUENT", frequent)
+    monkeypatch.setattr(hmm, "OWN", min(hmm.OWN, frequent))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(50)
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    longest = " ".join(t or "" for _, t in texts[:12])  # several times the length of a piece
+    texts += [(10**9 + n, longest) for n in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    expected = model_scores(texts, hmm.OWN, 2)
+    found = {r["key"]: r["score"] for r in hmm.score_texts(docs, rounds=2).collect()}
+    assert found.keys() == expected.keys()
+    for i, score in expected.items():
+        assert math.isclose(found[i], score, rel_tol=1e-9)
+
+
 def test_pipeline_stages(spark, sf):
     """Each stage against brute force on what the one before returned."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -31,7 +31,7 @@ OWN = 8192
 SURFACES = 2048
 FREQUENT = 1_000_000
 ROUNDS = 6
-SEGMENT = 256
+SEGMENT = 1024
 TOGETHER = 200_000
 SMOOTH = 50.0
 LOG10 = np.log(10.0)
@@ -237,22 +237,73 @@ def forward(chain: Chain, grid: np.ndarray, alive: np.ndarray, start: np.ndarray
     return logs, values, scales
 
 
-def _expected(chain: Chain, sequences: list[np.ndarray], firsts: np.ndarray):
-    """Baum-Welch counts (start, moves, emissions) of the sequences, and their log likelihood."""
+def _transfers(chain: Chain, pieces: list[np.ndarray]) -> np.ndarray:
+    """One matrix per piece, up to a factor: forward values at its end for a beginning in each state."""
+    found = np.empty((len(pieces), STATES, STATES))
+    for chosen, grid, alive in _grid(pieces):
+        now = np.eye(STATES) * chain.emit[grid[0]][:, None, :]
+        for t in range(1, len(grid)):
+            n = alive[t]
+            step = (now[:n].reshape(-1, STATES) @ chain.move).reshape(n, STATES, STATES) * chain.emit[grid[t, :n]][:, None, :]
+            now[:n] = step / step.sum(axis=(1, 2), keepdims=True)
+        found[chosen] = now
+    return found
+
+
+def cut(chain: Chain, sequences: list[np.ndarray], longest: int = SEGMENT):
+    """(pieces, firsts, befores, exits): the sequences in pieces, and what is known at each cut.
+
+    ``befores`` are the scaled forward values of the token before a piece, ``exits`` the backward
+    values after its last token, up to a factor. Both come from the whole sequence, so counts
+    over the pieces are those of the sequences uncut, with memory for a few pieces only.
+    """
+    pieces, firsts = [], []
+    for s in sequences:
+        for at in range(0, len(s), longest):
+            pieces.append(s[at : at + longest])
+            firsts.append(at == 0)
+    firsts = np.array(firsts, bool)
+    befores, exits = np.zeros((len(pieces), STATES)), np.ones((len(pieces), STATES))
+    whole = firsts & np.append(firsts[1:], True)
+    inside = np.flatnonzero(~whole)
+    if len(inside):
+        transfers = _transfers(chain, [pieces[i] for i in inside.tolist()])
+        for i, transfer in zip(inside.tolist(), transfers):
+            value = (chain.start if firsts[i] else befores[i] @ chain.move) @ transfer
+            if i + 1 < len(pieces) and not firsts[i + 1]:
+                befores[i + 1] = value / value.sum()
+        for i, transfer in zip(inside[::-1].tolist(), transfers[::-1]):
+            if not firsts[i]:
+                value = chain.move @ (transfer @ exits[i])
+                exits[i - 1] = value / value.sum()
+    return pieces, firsts, befores, exits
+
+
+def _expected(chain: Chain, pieces: list[np.ndarray], firsts: np.ndarray, befores: np.ndarray | None = None, exits: np.ndarray | None = None):
+    """Baum-Welch counts (start, moves, emissions) of the pieces that ``cut`` gives, and their log likelihood.
+
+    Without ``befores`` and ``exits`` each piece is a whole sequence.
+    """
     start, moves, emissions, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(chain.emit), 0.0
-    steady = np.full(STATES, 1 / STATES)
-    for chosen, grid, alive in _grid(sequences):
+    for chosen, grid, alive in _grid(pieces):
         begins = firsts[chosen]
-        initial = np.where(begins[:, None], chain.start, steady)
+        initial = np.where(begins[:, None], chain.start, chain.start if befores is None else befores[chosen] @ chain.move)
         logs, values, scales = forward(chain, grid, alive, initial, keep=True)
         total += logs.sum()
         back = np.ones((grid.shape[1], STATES))
+        if exits is not None:
+            last = np.array([len(pieces[i]) for i in chosen]) - 1
+            ends = values[last, np.arange(len(chosen))]
+            back = exits[chosen] / (ends * exits[chosen]).sum(axis=1, keepdims=True)
         for t in range(grid.shape[0] - 1, 0, -1):
             n = alive[t]
             weighed = chain.emit[grid[t, :n]] * back[:n] / scales[t, :n, None]
             moves += values[t - 1, :n].T @ weighed
             values[t, :n] *= back[:n]
             back[:n] = weighed @ chain.move.T
+        if befores is not None:
+            weighed = chain.emit[grid[0]] * back / scales[0][:, None]
+            moves += befores[chosen][~begins].T @ weighed[~begins]
         values[0] *= back
         start += values[0][begins].sum(axis=0)
         live = np.arange(grid.shape[1])[None, :] < alive[:, None]
@@ -267,7 +318,7 @@ def _sequences(batch, end: int) -> list[np.ndarray]:
 
 
 def train(encoded: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> Chain:
-    """Baum-Welch over all rows of ``encoded``. Texts are trained on in segments of ``SEGMENT`` tokens."""
+    """Baum-Welch over all rows of ``encoded``, each text as one sequence, however long."""
     chain, end = Chain.begun(prior), len(prior) - 1
     for _ in range(rounds):
         sent = encoded.sparkSession.sparkContext.broadcast(chain)
@@ -275,13 +326,9 @@ def train(encoded: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> Chain:
         def parts(batches, sent=sent):
             sums = None
             for batch in batches:
-                segments, firsts = [], []
-                for s in _sequences(batch, end):
-                    for at in range(0, len(s), SEGMENT):
-                        segments.append(s[at : at + SEGMENT])
-                        firsts.append(at == 0)
-                if segments:
-                    found = _expected(sent.value, segments, np.array(firsts))
+                sequences = _sequences(batch, end)
+                if sequences:
+                    found = _expected(sent.value, *cut(sent.value, sequences))
                     sums = found if sums is None else tuple(a + b for a, b in zip(sums, found))
             if sums is not None:
                 yield 0, np.concatenate([sums[0], sums[1].ravel()])
