@@ -81,6 +81,35 @@ def opinion_leaders(posts: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def _by_topic(posts: DataFrame) -> DataFrame:
+    """One row per post and hashtag; a tag that a post repeats counts once."""
+    return posts.select(
+        F.explode(F.array_distinct("hashtags")).alias("topic"), "platform", F.col("author.id").alias("author_id"),
+        F.col("author.username").alias("username"), engagement_of().alias("e"),
+    )
+
+
+def topic_diversity(posts: DataFrame) -> DataFrame:
+    """Per topic: posts, platforms, authors, engagement, the platform with most posts and its share of them.
+
+    Authors are summed up per platform first, so a topic of a third of all posts is spread over its authors.
+    """
+    by_author = _by_topic(posts).groupBy("topic", "platform", "author_id").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("e"))
+    by_platform = by_author.groupBy("topic", "platform").agg(F.sum("n").alias("n"), F.count("author_id").alias("authors"), F.sum("e").alias("e"))
+    return by_platform.groupBy("topic").agg(
+        F.sum("n").alias("posts"), F.count(F.lit(1)).alias("platforms"), F.sum("authors").alias("authors"), F.sum("e").alias("engagement"),
+        F.max_by("platform", F.struct("n", "platform")).alias("main_platform"),
+        F.round(F.max("n") / F.sum("n"), 4).alias("main_share"),
+    )
+
+
+def topic_leaders(posts: DataFrame, k: int = 3) -> DataFrame:
+    """The k authors of each topic with the most engagement; ties by platform, then name."""
+    summed = _by_topic(posts).groupBy("topic", "platform", "username").agg(F.count(F.lit(1)).alias("posts"), F.sum("e").alias("engagement"))
+    order = W.partitionBy("topic").orderBy(F.desc("engagement"), "platform", "username")
+    return summed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def research_sources(posts: DataFrame, query: str, depth: str = "standard",
                      platforms: list[str] | None = None) -> DataFrame:
     """The posts a research question draws on, within the budget of its depth."""

@@ -441,6 +441,31 @@ def _(spark, sf):
     return research.opinion_leaders(posts(spark, sf))
 
 
+_TOPICS_SQL = """tagged AS (SELECT unnest(list_distinct(hashtags)) AS topic, platform, author_id, username, likes + comments AS e FROM posts)"""
+
+
+@query(
+    "topic_diversity",
+    f"""WITH {POSTS_SQL}, {_TOPICS_SQL}, p AS (SELECT topic, platform, count(*) AS n FROM tagged GROUP BY ALL),
+    main AS (SELECT topic, platform AS main_platform, n / sum(n) OVER (PARTITION BY topic) AS share,
+      row_number() OVER (PARTITION BY topic ORDER BY n DESC, platform DESC) AS r FROM p),
+    t AS (SELECT topic, count(*) AS posts, count(DISTINCT platform) AS platforms, count(DISTINCT (platform, author_id)) AS authors,
+      CAST(sum(e) AS BIGINT) AS engagement FROM tagged GROUP BY topic)
+    SELECT t.*, main_platform, round(share, 4) AS main_share FROM t JOIN main USING (topic) WHERE r = 1""",
+)
+def _(spark, sf):
+    return research.topic_diversity(posts(spark, sf))
+
+
+@query(
+    "topic_leaders",
+    f"""WITH {POSTS_SQL}, {_TOPICS_SQL}, s AS (SELECT topic, platform, username, count(*) AS posts, CAST(sum(e) AS BIGINT) AS engagement FROM tagged GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY topic ORDER BY engagement DESC, platform, username) AS rank FROM s QUALIFY rank <= 3""",
+)
+def _(spark, sf):
+    return research.topic_leaders(posts(spark, sf))
+
+
 @query(
     "research_themes",
     f"""WITH {POSTS_SQL}, scored AS (SELECT *, {relevance_sql('content', PHRASE)} AS relevance FROM posts
