@@ -1,12 +1,15 @@
 """Linking and components against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from undertone.functions import tokens as TK
+from undertone.operators import clusters as C
 from undertone.operators.similarity import components, similar_links
 from undertone.operators.threads import follow, thread_structure
 
@@ -136,3 +139,45 @@ def test_orphans_become_roots(spark):
     )
     rows = {r.comment_id: (r.thread_root_id, r.depth) for r in thread_structure(df).collect()}
     assert rows == {"a": ("a", 0), "b": ("a", 1), "x": ("x", 0), "y": ("x", 1)}
+
+
+def test_split_and_merge_against_all_pairs(spark):
+    """Parts by anchor and intent, joined by the cosine of their word counts, as plain loops find them."""
+    draw = random.Random(11)
+    rows = []
+    for i in range(160):
+        words = [f"w{int(draw.expovariate(0.25))}" for _ in range(draw.randint(0, 5))]
+        anchors = [] if i % 9 == 0 else [f"a{i % 2}"]
+        rows.append((f"u{i:03}", f"k{draw.randint(0, 40):02}", f"v{i % 2}", "x", "opinion", "positive", anchors, draw.choice(["feedback", "advice"]),
+                     sorted(set(words)), float(i % 7)))
+    rows.append(rows[5])  # the same unit twice
+    schema = ("unit_id string, cluster_key string, video_id string, aspect_key string, cluster_type string, stance string, "
+              "anchor_ids array<string>, intent string, tokens array<string>, engagement_score double")
+    members = spark.createDataFrame([(u, f"{k}{v}", v, *rest) for u, k, v, *rest in rows], schema)
+    for least in (0.3, C.MERGE_FROM, 0.8):
+        parts = C.split_clusters(members)
+        found = {r["unit_id"]: r["cluster_key"] for r in C.merge_by_vocabulary(parts, least).collect()}
+        counts, scope = {}, {}
+        for u, k, v, _, _, _, anchors, intent, tokens, _ in rows:
+            part = (k, v, anchors[0] if anchors else "", intent)
+            scope[u] = part
+            counts.setdefault(part, Counter()).update(tokens)
+        parent = {p: p for p in counts}
+
+        def root(p):
+            while parent[p] != p:
+                p = parent[p]
+            return p
+
+        for a, b in itertools.combinations(counts, 2):
+            norms = sum(n * n for n in counts[a].values()) * sum(n * n for n in counts[b].values())
+            product = sum(n * counts[b][w] for w, n in counts[a].items())
+            if a[1:] == b[1:] and norms and product / math.sqrt(norms) >= least:
+                parent[root(a)] = root(b)
+        groups, expected = {}, {}
+        for u, key in found.items():
+            groups.setdefault(key, set()).add(u)
+        for u, part in scope.items():
+            expected.setdefault(root(part), set()).add(u)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    assert C.merge_by_vocabulary(C.split_clusters(members.limit(0))).count() == 0

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from undertone.functions.expressions import slug
 from undertone.operators.linkage import agglomerate
 from undertone.operators.ranking import weighted_importance
-from undertone.operators.similarity import components, similar_links
+from undertone.operators.similarity import components, joined_links, near_by_weights, similar_links, weighted_prefixes
 from undertone.operators.units import WIDE_ASPECT
 from undertone.session import settle
 
 # Thresholds of this project.
 LINK_FROM = 0.45
 PREFIX_AT = 0.3
+MERGE_FROM = 0.5
 
 # Importance weights, id length, output texts.
 IMPORTANCE_WEIGHTS = {
@@ -43,6 +44,7 @@ WHY_OTHERWISE = "This theme shows what the audience chose to talk about."
 LOW_SIGNAL = ["spam", "reaction_only", "mixed_noise"]
 GROUPED_WHOLE = ["spam", "reaction_only", "humor", "mixed_noise"]
 BUCKET = ["video_id", "aspect_key", "cluster_type", "stance"]
+SIDES = ["primary_anchor", "intent"]
 
 
 def by_stance(stance: Column, texts: dict[str, str], otherwise: str) -> Column:
@@ -247,6 +249,34 @@ def merge_clusters(members: DataFrame, link_from: float = LINK_FROM, prefix_at:
     )
 
 
+def split_clusters(members: DataFrame) -> DataFrame:
+    """Members with ``primary_anchor``; clusters whose units disagree in anchor or intent fall apart by both.
+
+    Type, stance and aspect agree in a cluster from the start. Units without an anchor are a side of
+    their own. The new key is made of the row alone, so nothing is shuffled.
+    """
+    sided = members.withColumn("primary_anchor", F.coalesce(F.get("anchor_ids", F.lit(0)), F.lit("")))
+    return sided.withColumn("cluster_key", F.md5(F.concat_ws("\u0001", "cluster_key", *SIDES)))
+
+
+def merge_by_vocabulary(members: DataFrame, least: float = MERGE_FROM) -> DataFrame:
+    """Join clusters of one bucket, anchor and intent whose words, weighed by the units that say them, are near.
+
+    ``members`` comes from ``split_clusters``. The counts of words of two clusters must have a cosine of
+    at least ``least``; what is linked is one cluster. A cluster without words stays as it is.
+    """
+    scope = [*BUCKET, *SIDES]
+    sizes = members.groupBy("cluster_key").agg(F.sum("engagement_score").alias("weight"))
+    words = members.select("cluster_key", *scope, F.explode("tokens").alias("token"))
+    counted = words.groupBy("cluster_key", *scope, "token").agg(F.count(F.lit(1)).alias("n"))
+    said = settle(counted.join(sizes, "cluster_key").withColumnRenamed("cluster_key", "node"))
+    links = joined_links(weighted_prefixes(said, scope, least), scope, lambda pairs: near_by_weights(pairs, said, least))
+    merged = components(links).withColumnRenamed("node", "cluster_key")
+    return (
+        members.join(merged, "cluster_key", "left").withColumn("cluster_key", F.coalesce("component", "cluster_key")).drop("component")
+    )
+
+
 def centrality(members: DataFrame) -> DataFrame:
     """Mean share of the cluster's units that use the words of a unit."""
     sizes = members.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("size"))

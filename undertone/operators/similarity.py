@@ -9,7 +9,10 @@ text. Every similar pair ends up in one component.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undertone.functions import tokens as TK
@@ -39,12 +42,20 @@ def similar_links(nodes: DataFrame, scope: list[str], threshold: float, prefix_a
     ``nodes`` holds the scope columns, ``node``, ``tokens`` (distinct) and ``weight``. ``threshold`` is
     the least similarity of a link; ``prefix_at`` a Jaccard similarity that every such link reaches.
     """
-    keyed = cut_lineage(prefixes(nodes, scope, prefix_at))
+    sizes = F.least("size", "right_size") >= F.greatest("size", "right_size") * prefix_at - 1e-9
+    return joined_links(prefixes(nodes, scope, prefix_at), scope, lambda pairs: _similar(pairs, nodes, threshold), sizes)
+
+
+def joined_links(prefixed: DataFrame, scope: list[str], near: Callable[[DataFrame], DataFrame], fits: Column | None = None) -> DataFrame:
+    """Links (left, right) whose components are those of all near pairs that share a prefix token of a scope.
+
+    ``prefixed`` is (scope..., node, weight, size, token); ``near`` keeps the near ones of (left, right)
+    and ``fits`` is what the sizes of a near pair (``size``, ``right_size``) always hold.
+    """
+    keyed = cut_lineage(prefixed)
     group = [*scope, "token"]
     hubs = keyed.groupBy(*group).agg(F.max_by("node", F.struct("weight", "node")).alias("right"))
-    near_hub = _similar(
-        keyed.join(hubs, group).filter("node != right").select(F.col("node").alias("left"), "right").distinct(), nodes, threshold
-    )
+    near_hub = near(keyed.join(hubs, group).filter("node != right").select(F.col("node").alias("left"), "right").distinct())
     first = cut_lineage(near_hub)
     labelled = cut_lineage(
         keyed.join(components(first), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "weight")
@@ -52,13 +63,41 @@ def similar_links(nodes: DataFrame, scope: list[str], threshold: float, prefix_a
     mixed = labelled.groupBy(*group).agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select(*group)
     open_rows = labelled.join(mixed, group, "left_semi")
     other = open_rows.select(*group, F.col("node").alias("right"), F.col("label").alias("right_label"), F.col("size").alias("right_size"))
-    pairs = (
-        open_rows.withColumnRenamed("node", "left").join(other, group)
-        .filter("left < right AND label != right_label")
-        .filter(F.least("size", "right_size") >= F.greatest("size", "right_size") * prefix_at - 1e-9)
-        .select("left", "right").distinct()
+    pairs = open_rows.withColumnRenamed("node", "left").join(other, group).filter("left < right AND label != right_label")
+    pairs = pairs if fits is None else pairs.filter(fits)
+    return first.unionByName(near(pairs.select("left", "right").distinct()))
+
+
+def weighted_prefixes(said: DataFrame, scope: list[str], least: float) -> DataFrame:
+    """Prefix tokens of weighted words: (scope..., node, weight, size, token).
+
+    ``said`` is (scope..., node, weight, token, n). Words go from rare to common; the rest is left out as
+    soon as it is too short a vector for a cosine of ``least``, so near nodes share a word of both prefixes.
+    """
+    rarity = said.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    order = W.partitionBy("node").orderBy("texts", "token")
+    square = F.col("n").cast("double") * F.col("n")
+    rest = said.join(rarity, "token").withColumns({
+        "rest": F.sum(square).over(order.rowsBetween(0, W.unboundedFollowing)), "whole": F.sum(square).over(W.partitionBy("node")),
+        "size": F.count(F.lit(1)).over(W.partitionBy("node")).cast("int"),
+    })
+    return rest.filter(F.col("rest") >= F.col("whole") * (least * least - 1e-9)).select(*scope, "node", "weight", "size", "token")
+
+
+def near_by_weights(pairs: DataFrame, said: DataFrame, least: float) -> DataFrame:
+    """The pairs whose weighted words have a cosine of at least ``least``."""
+    norms = said.groupBy("node").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("square"))
+    left = said.select(F.col("node").alias("left"), "token", F.col("n").cast("double").alias("left_n"))
+    right = said.select(F.col("node").alias("right"), "token", F.col("n").alias("right_n"))
+    products = pairs.join(left, "left").join(right, ["right", "token"]).groupBy("left", "right").agg(
+        F.sum(F.col("left_n") * F.col("right_n")).alias("product")
+    )
+    return (
+        products.join(norms.select(F.col("node").alias("left"), F.col("square").alias("left_square")), "left")
+        .join(norms.select(F.col("node").alias("right"), F.col("square").alias("right_square")), "right")
+        .filter(F.col("product") / F.sqrt(F.col("left_square") * F.col("right_square")) >= least)
+        .select("left", "right")
     )
-    return first.unionByName(_similar(pairs, nodes, threshold))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:

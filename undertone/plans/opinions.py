@@ -1090,6 +1090,34 @@ def _(spark, sf):
     return C.build_clusters(C.merge_clusters(members(spark, sf))).select(*C.BUCKET, "size")
 
 
+_SIDED_SQL = f"""{_MEMBERS_SQL}, anchored AS (SELECT comment_id || '_unit_' || piece AS unit_id, coalesce(p, '') AS primary_anchor FROM stanced),
+  sided AS (SELECT members.* REPLACE (md5(concat_ws(chr(1), cluster_key, primary_anchor, intent)) AS cluster_key), members.cluster_key AS before_key, primary_anchor
+    FROM members JOIN anchored USING (unit_id))"""
+_SCOPE = [*C.BUCKET, *C.SIDES]
+_VOCABULARY_SQL = f"""{_SIDED_SQL},
+  v_words AS (SELECT cluster_key AS node, {', '.join(_SCOPE)}, token, count(*) AS n FROM (SELECT *, unnest(tokens) AS token FROM sided) GROUP BY ALL),
+  v_norms AS (SELECT node, sum(CAST(n AS DOUBLE) * n) AS square FROM v_words GROUP BY node),
+  v_products AS (SELECT a.node AS x, b.node AS y, sum(CAST(a.n AS DOUBLE) * b.n) AS product FROM v_words a JOIN v_words b
+    ON a.token = b.token AND a.node < b.node AND {' AND '.join(f'a.{c} = b.{c}' for c in _SCOPE)} GROUP BY ALL),
+  v_links AS (SELECT x, y FROM v_products JOIN v_norms l ON x = l.node JOIN v_norms r ON y = r.node
+    WHERE product / sqrt(l.square * r.square) >= {C.MERGE_FROM}::DOUBLE),
+  v_both AS (SELECT x, y FROM v_links UNION SELECT y, x FROM v_links),
+  v_reach AS (SELECT x, y FROM v_both UNION SELECT r.x, b.y FROM v_reach r JOIN v_both b ON r.y = b.x),
+  v_parts AS (SELECT x AS node, least(x, min(y)) AS component FROM v_reach GROUP BY x)"""
+
+
+@query(
+    "clusters_split_and_merged",
+    f"""WITH RECURSIVE {_VOCABULARY_SQL}, t AS (SELECT sided.*, coalesce(component, cluster_key) AS k FROM sided LEFT JOIN v_parts ON cluster_key = v_parts.node)
+    SELECT unit_id, before_key, cluster_key AS part_key, k AS cluster_key, primary_anchor, intent FROM t""",
+)
+def _(spark, sf):
+    """Every unit with its cluster before, after the split and after the merge."""
+    before = members(spark, sf).withColumn("before_key", F.col("cluster_key"))
+    parts = C.split_clusters(before).withColumn("part_key", F.col("cluster_key"))
+    return C.merge_by_vocabulary(parts).select("unit_id", "before_key", "part_key", "cluster_key", *C.SIDES)
+
+
 @query("cluster_members_average")
 def _(spark, sf):
     """Clusters of each content by average linkage; SQL can't express the rounds, ``tests/test_linkage.py`` repeats them."""
