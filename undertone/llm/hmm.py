@@ -31,7 +31,7 @@ OWN = 8192
 SURFACES = 2048
 FREQUENT = 1_000_000
 ROUNDS = 6
-SEGMENT = 1024
+SEGMENT = 512
 TOGETHER = 200_000
 SMOOTH = 50.0
 LOG10 = np.log(10.0)
@@ -237,16 +237,20 @@ def forward(chain: Chain, grid: np.ndarray, alive: np.ndarray, start: np.ndarray
     return logs, values, scales
 
 
-def _transfers(chain: Chain, pieces: list[np.ndarray]) -> np.ndarray:
-    """One matrix per piece, up to a factor: forward values at its end for a beginning in each state."""
-    found = np.empty((len(pieces), STATES, STATES))
+def _carried(move: np.ndarray, emit: np.ndarray, pieces: list[np.ndarray], begun: np.ndarray) -> np.ndarray:
+    """The rows of ``begun`` carried through each piece: (piece, row, state), up to a factor for each piece."""
+    found = np.empty((len(pieces), *begun.shape))
+    rows = len(begun)
     for chosen, grid, alive in _grid(pieces):
-        now = np.eye(STATES) * chain.emit[grid[0]][:, None, :]
+        now = begun * emit[grid[0]][:, None, :]
         for t in range(1, len(grid)):
             n = alive[t]
-            step = (now[:n].reshape(-1, STATES) @ chain.move).reshape(n, STATES, STATES) * chain.emit[grid[t, :n]][:, None, :]
-            now[:n] = step / step.sum(axis=(1, 2), keepdims=True)
-        found[chosen] = now
+            step = (now[:n].reshape(-1, STATES) @ move).reshape(n, rows, STATES)
+            step *= emit[grid[t, :n]][:, None, :]
+            if t % 8 == 0:  # eight chances multiply to far more than the least double
+                step /= step.sum(axis=(1, 2), keepdims=True)
+            now[:n] = step
+        found[chosen] = now / now.sum(axis=(1, 2), keepdims=True)
     return found
 
 
@@ -256,6 +260,7 @@ def cut(chain: Chain, sequences: list[np.ndarray], longest: int = SEGMENT):
     ``befores`` are the scaled forward values of the token before a piece, ``exits`` the backward
     values after its last token, up to a factor. Both come from the whole sequence, so counts
     over the pieces are those of the sequences uncut, with memory for a few pieces only.
+    First pieces carry one vector forward, last ones one backward, those between a matrix.
     """
     pieces, firsts = [], []
     for s in sequences:
@@ -263,19 +268,22 @@ def cut(chain: Chain, sequences: list[np.ndarray], longest: int = SEGMENT):
             pieces.append(s[at : at + longest])
             firsts.append(at == 0)
     firsts = np.array(firsts, bool)
+    lasts = np.append(firsts[1:], True)
     befores, exits = np.zeros((len(pieces), STATES)), np.ones((len(pieces), STATES))
-    whole = firsts & np.append(firsts[1:], True)
-    inside = np.flatnonzero(~whole)
-    if len(inside):
-        transfers = _transfers(chain, [pieces[i] for i in inside.tolist()])
-        for i, transfer in zip(inside.tolist(), transfers):
-            value = (chain.start if firsts[i] else befores[i] @ chain.move) @ transfer
-            if i + 1 < len(pieces) and not firsts[i + 1]:
-                befores[i + 1] = value / value.sum()
-        for i, transfer in zip(inside[::-1].tolist(), transfers[::-1]):
-            if not firsts[i]:
-                value = chain.move @ (transfer @ exits[i])
-                exits[i - 1] = value / value.sum()
+    opening, closing, between = (np.flatnonzero(x).tolist() for x in (firsts & ~lasts, lasts & ~firsts, ~firsts & ~lasts))
+    ahead = _carried(chain.move, chain.emit, [pieces[i] for i in opening], chain.start[None])
+    behind = _carried(chain.move.T, chain.emit, [pieces[i][::-1] for i in closing], np.ones((1, STATES)))
+    through = _carried(chain.move, chain.emit, [pieces[i] for i in between], np.eye(STATES))
+    for i, value in zip(opening, ahead):
+        befores[i + 1] = value[0]
+    for i, value in zip(closing, behind):
+        exits[i - 1] = chain.move @ value[0]
+    for i, matrix in zip(between, through):
+        value = befores[i] @ chain.move @ matrix
+        befores[i + 1] = value / value.sum()
+    for i, matrix in zip(between[::-1], through[::-1]):
+        value = chain.move @ (matrix @ exits[i])
+        exits[i - 1] = value / value.sum()
     return pieces, firsts, befores, exits
 
 
