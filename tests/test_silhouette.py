@@ -46,3 +46,17 @@ def test_null_words_and_nothing(spark):
     df = spark.createDataFrame([("v", "u", "a", None), ("v", "w", "a", None), ("v", "x", "b", ["k"])], "video_id string, unit_id string, cluster_key string, tokens array<string>")
     assert [tuple(r) for r in token_silhouette(df, ["video_id"]).collect()] == [("v", 3, 0.0)]
     assert token_silhouette(df.filter("false"), ["video_id"]).count() == 0
+
+
+def test_blocks_of_one_content(spark):
+    """A content of many blocks, beside small ones that share groups, comes out as from one; no pair leaves its group."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    units = {"big": [(f"c{draw.randrange(30)}", sorted(set(draw.choices(words, k=draw.randint(0, 6))))) for _ in range(150)]}
+    units |= {f"s{k}": [(draw.choice("ab"), sorted(set(draw.choices(words, k=3)))) for _ in range(6)] for k in range(5)}
+    rows = [(v, f"{v}{i}", c, t) for v, group in units.items() for i, (c, t) in enumerate(group)]
+    df = spark.createDataFrame(rows, "video_id string, unit_id string, cluster_key string, tokens array<string>")
+    expected = plain(units)
+    for block in (40, 100_000):
+        found = {r["video_id"]: r["silhouette"] for r in token_silhouette(df, ["video_id"], block=block).collect()}
+        assert found == pytest.approx(expected, abs=1e-6)
