@@ -210,3 +210,19 @@ def test_chain_of_agreement_reaches_the_claim(spark, contexts):
             assert r.resolved_text == "I agree with the parent comment about that part is unsafe."
     confidences = [r.grounding_confidence for r in sorted(rows, key=lambda r: r.comment_id)]
     assert confidences == sorted(confidences, reverse=True)
+
+
+def test_equal_labels_are_compared_once(spark, monkeypatch):
+    """Clusters whose labels have the same words are one node; all of them stay in the theme."""
+    rows = [(f"k{i}", f"v{i}_k{i}", f"v{i}", "negative", ["battery life", "Life, battery"][i % 2], 0.1 * i, False, False) for i in range(6)]
+    rows += [("p", "v0_p", "v0", "positive", "battery life", 0.5, False, False), ("n", "v1_n", "v1", None, "battery life", 0.5, False, False),
+             ("o", "v2_o", "v2", None, "battery life", 0.5, False, False), ("e", "v3_e", "v3", "negative", None, 0.5, False, False)]
+    clusters = spark.createDataFrame(
+        rows, "cluster_key string, local_cluster_id string, video_id string, stance string, aspect_label string, importance double, low_signal boolean, wide boolean"
+    )
+    seen = []
+    linked = I.similar_links
+    monkeypatch.setattr(I, "similar_links", lambda nodes, *a: seen.append(nodes.count()) or linked(nodes, *a))
+    themes = {(r.meta_key, r.cluster_key) for r in I.meta_members(clusters).collect()}
+    assert themes == {("k0", f"k{i}") for i in range(6)}
+    assert seen == [2]

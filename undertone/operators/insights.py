@@ -127,16 +127,21 @@ def meta_members(clusters: DataFrame, link_from: float = META_LINK_FROM,
     content-wide buckets and the noise stay out.
     """
     usable = C.visible(clusters).filter(~F.col("wide"))
-    nodes = usable.select(
+    named = settle(usable.filter(F.col("stance").isNotNull()).select(
         "stance",
-        F.col("cluster_key").alias("node"),
-        TK.content_tokens(F.col("aspect_label")).alias("tokens"),
+        "cluster_key",
+        F.array_sort(TK.content_tokens(F.col("aspect_label"))).alias("tokens"),
         F.col("importance").alias("weight"),
-    )
-    linked = components(similar_links(nodes, ["stance"], link_from, prefix_at))
-    grouped = usable.join(
-        linked.select(F.col("node").alias("cluster_key"), F.col("component").alias("meta_key")), "cluster_key"
-    )
+    ).filter(F.size("tokens") > 0))
+    # Labels of equal words are one node, however many clusters carry them.
+    labels = settle(named.groupBy("stance", "tokens").agg(
+        F.min("cluster_key").alias("node"), F.max("weight").alias("weight"),
+        (F.min("cluster_key") != F.max("cluster_key")).alias("shared"),
+    ))
+    linked = labels.join(components(similar_links(labels, ["stance"], link_from, prefix_at)), "node", "left").select(
+        "stance", "tokens", F.coalesce("component", F.when(F.col("shared"), F.col("node"))).alias("meta_key")
+    ).filter("meta_key is not null")
+    grouped = usable.join(named.join(linked, ["stance", "tokens"]).select("cluster_key", "meta_key").distinct(), "cluster_key")
     window = W.partitionBy("meta_key", "video_id").orderBy(F.desc("importance"), "local_cluster_id")
     single = grouped.withColumn("seen", F.row_number().over(window)).filter("seen = 1").drop("seen")
     recurring = single.groupBy("meta_key").agg(F.count(F.lit(1)).alias("videos")).filter("videos > 1")
