@@ -217,3 +217,26 @@ def test_links_between_different_components_are_all_found(spark, seed):
     near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if _similar(sets[a], sets[b]) >= 0.75]
     expected = {n: c for n, c in brute_components({n for e in near for n in e}, near).items()}
     assert {r.node: r.component for r in components(similar_links(df, ["scope"], 0.75, 0.6)).collect()} == expected
+
+
+def test_links_are_made_of_numbers(spark, monkeypatch):
+    """What the groups of common words deal out are numbers; long names of nodes and spellings of words stay behind."""
+    seen, joined = [], similarity.joined_links
+    monkeypatch.setattr(similarity, "joined_links", lambda prefixed, *a: seen.append(dict(prefixed.dtypes)) or joined(prefixed, *a))
+    rng = random.Random(9)
+    rows = [(f"u{i}", f"v{i % 3}" if i % 10 else None, [f"w{rng.randrange(12)}", f"x{rng.randrange(4)}"], float(i % 5)) for i in range(120)]
+    units = spark.createDataFrame(rows, "unit_id string, video_id string, tokens array<string>, engagement_score double").selectExpr(
+        "*", "'a' AS aspect_key", "'opinion' AS cluster_type", "'mixed' AS stance", "'n' AS normalized_text", "array('a1') AS anchor_ids", "'advice' AS intent"
+    )
+    members = C.assign_clusters(units)
+    assert C.merge_by_vocabulary(C.split_clusters(members)).count() == 120
+    C.assign_clusters_by_mean(units.limit(4))
+    assert len(seen) >= 3
+    assert all(s["node"] == "bigint" and s["token"] == "bigint" for s in seen)
+    # A cluster is named after the least name of its nodes, as if the names themselves had been compared.
+    names = {r.unit_id: (r.video_id, tuple(sorted(r.tokens))) for r in units.collect()}
+    md5 = {u: hashlib.md5("\x01".join([*([v] if v else []), "a", "opinion", "mixed", " ".join(t)]).encode()).hexdigest() for u, (v, t) in names.items()}
+    sets = {md5[u]: (v, t) for u, (v, t) in names.items()}
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a][0] and sets[a][0] == sets[b][0] and _similar(sets[a][1], sets[b][1]) >= C.LINK_FROM]
+    expected = brute_components(sets, near)
+    assert {r.unit_id: r.cluster_key for r in members.collect()} == {u: expected[m] for u, m in md5.items()}

@@ -24,23 +24,38 @@ def bucket_of(scope: list[str]) -> Column:
     return F.xxhash64(F.lit(0), *scope).alias("bucket")
 
 
+def in_order(rows: DataFrame, *order: str, name: str) -> DataFrame:
+    """``rows`` as a table with a number ``name`` that ascends with ``order``, so that eight bytes stand for a long name."""
+    return settle(rows.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+
+
+def rare_first(said: DataFrame) -> DataFrame:
+    """(token, word): words are numbers, the rarest first; ties by spelling. ``said`` has one row per node and token."""
+    return in_order(said.groupBy("token").agg(F.count(F.lit(1)).alias("texts")), "texts", "token", name="word").select("token", "word")
+
+
+def worded(nodes: DataFrame, scope: list[str]) -> DataFrame:
+    """(bucket, node, weight, size, words): the tokens of each node as numbers, rare ones first."""
+    said = nodes.select(*scope, "node", F.explode("tokens").alias("token"))
+    inside = said.na.drop(subset=scope).select("node", "token")
+    words = inside.join(rare_first(said), "token").groupBy("node").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    return nodes.na.drop(subset=scope).select(bucket_of(scope), "node", "weight", F.size("tokens").alias("size")).join(words, "node")
+
+
 def prefixes(nodes: DataFrame, scope: list[str], prefix_at: float) -> DataFrame:
     """(bucket, node, weight, size, place, token): the tokens of each node that a similar node must share one of.
 
     With all sets in one order, two sets whose Jaccard similarity reaches ``prefix_at`` share a token
     among the first n - ceil(prefix_at * n) + 1. Rare tokens come first, so groups stay small. ``place`` counts
-    the tokens of the node before this one.
+    the tokens of the node before this one. Tokens are numbers (see ``worded``).
     """
-    said = nodes.select(*scope, "node", "weight", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    rarity = said.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
-    bucketed = said.na.drop(subset=scope).select(bucket_of(scope), "node", "weight", "size", "token")
-    ordered = bucketed.join(rarity, "token").groupBy("bucket", "node", "weight", "size").agg(
-        F.sort_array(F.collect_list(F.struct("texts", "token"))).alias("ordered")
-    )
+    return _first_words(worded(nodes, scope), prefix_at)
+
+
+def _first_words(rows: DataFrame, prefix_at: float) -> DataFrame:
     keep = F.col("size") - F.ceil(F.lit(prefix_at) * F.col("size") - F.lit(1e-9)).cast("int") + 1
-    return ordered.select(
-        "bucket", "node", "weight", "size",
-        F.posexplode(F.slice("ordered", F.lit(1), F.greatest(keep, F.lit(0)))["token"]).alias("place", "token"),
+    return rows.select(
+        "bucket", "node", "weight", "size", F.posexplode(F.slice("words", F.lit(1), F.greatest(keep, F.lit(0)))).alias("place", "token")
     )
 
 
@@ -50,19 +65,33 @@ def similar_links(nodes: DataFrame, scope: list[str], threshold: float, prefix_a
     ``nodes`` holds the scope columns, ``node``, ``tokens`` (distinct) and ``weight``. ``threshold`` is
     the least similarity of a link; ``prefix_at`` a Jaccard similarity that every such link reaches.
     """
-    tokens = nodes.select("node", "tokens")
+    rows = settle(worded(nodes, scope))
+    words = rows.select("node", "words")
+    size, right_size = F.col("size"), F.col("right_size")
+    sizes = F.least(size, right_size) >= F.greatest(size, right_size) * prefix_at - 1e-9
+    before = F.least("place", "right_place")
+    rest = F.least(size - F.col("place"), right_size - F.col("right_place"))
+
+    def enough(shared: Column, slack: float = 0.0) -> Column:
+        return TK.similarity(shared, size, right_size) >= threshold - slack
+
+    def near_hub(pairs: DataFrame) -> DataFrame:
+        # Two sets that meet at a word share at most the fewer words before it and the fewer from it on.
+        can = pairs.filter(sizes).filter(enough(before + rest, 1e-9)).select("left", "right", "size", "right_size").distinct()
+        return (
+            can.join(words.withColumnsRenamed({"node": "left", "words": "left_words"}), "left")
+            .join(words.withColumnsRenamed({"node": "right", "words": "right_words"}), "right")
+            .filter(enough(TK.overlap(F.col("left_words"), F.col("right_words")))).select("left", "right")
+        )
 
-    def apart(rows: DataFrame) -> DataFrame:
+    def apart(labelled: DataFrame) -> DataFrame:
         """The similar pairs of rows in one group under different labels; only these leave the task that compares them."""
-        sizes = F.least("size", "right_size") >= F.greatest("size", "right_size") * prefix_at - 1e-9
         # The first token two sets share, in the order of all, leaves no more than the rest of the shorter side to share.
-        most = F.least(F.col("size") - F.col("place"), F.col("right_size") - F.col("right_place"))
-        can = TK.similarity(most, F.col("size"), F.col("right_size")) >= threshold - 1e-9
-        return _met(rows.join(tokens, "node"), ["size", "place", "tokens"]).filter(sizes).filter(can).filter(
-            TK.similarity(TK.overlap(F.col("tokens"), F.col("right_tokens")), F.size("tokens"), F.size("right_tokens")) >= threshold
+        return _met(labelled.join(words, "node"), ["size", "place", "words"]).filter(sizes).filter(enough(rest, 1e-9)).filter(
+            enough(TK.overlap(F.col("words"), F.col("right_words")))
         ).select("left", "right").distinct()
 
-    return joined_links(prefixes(nodes, scope, prefix_at), lambda pairs: _similar(pairs, tokens, threshold), apart)
+    return joined_links(_first_words(rows, prefix_at), near_hub, apart)
 
 
 def _met(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,52 +103,56 @@ def _met(rows: DataFrame, columns: list[str]) -> DataFrame:
 def joined_links(prefixed: DataFrame, near: Callable[[DataFrame], DataFrame], apart: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (left, right) whose components are those of all near pairs that share a prefix token of a scope.
 
-    ``prefixed`` is (bucket, node, weight, size, token, ...); ``near`` keeps the near ones of (left, right).
+    ``prefixed`` is (bucket, node, weight, token, ...); ``near`` keeps the near ones of (left, right, ...), the
+    other columns of the left node as they are, those of the right one as right_... ; a pair may come more than once.
     ``apart`` gets the rows of groups that still hold several components, with their ``label``, and returns the
     near pairs of different labels. Tokens that one node of a bucket says alone are dropped at once.
     """
     keyed = settle(prefixed)
     group = ["bucket", "token"]
-    hubs = keyed.groupBy(*group).agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = settle(keyed.drop("weight").join(hubs.drop("n"), group))
-    near_hub = near(shared.filter("node != hub").select(F.col("node").alias("left"), F.col("hub").alias("right")).distinct())
-    first = settle(near_hub)
+    more = [c for c in keyed.columns if c not in (*group, "node", "weight")]
+    hubs = keyed.groupBy(*group).agg(F.max(F.struct("weight", "node", *more)).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = settle(keyed.drop("weight").join(
+        hubs.select(*group, F.col("hub.node").alias("hub"), *(F.col(f"hub.{c}").alias(f"right_{c}") for c in more)), group
+    ))
+    met = shared.filter("node != hub").select(F.col("node").alias("left"), F.col("hub").alias("right"), *more, *(f"right_{c}" for c in more))
+    first = settle(near(met).select("left", "right"))
     labelled = settle(
-        shared.drop("hub").join(components(first), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        shared.select(*group, "node", *more).join(components(first), "node", "left")
+        .withColumn("label", F.coalesce("component", "node")).drop("component")
     )
     mixed = labelled.groupBy(*group).agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select(*group)
     return first.unionByName(apart(labelled.join(mixed, group, "left_semi")))
 
 
 def weighted_prefixes(said: DataFrame, scope: list[str], least: float) -> DataFrame:
-    """Prefix tokens of weighted words: (bucket, node, weight, size, left_over, token).
+    """Prefix tokens of weighted words: (bucket, node, weight, left_over, token).
 
     ``said`` is (scope..., node, weight, token, n). Words go from rare to common; the rest is left out as
     soon as it is too short a vector for a cosine of ``least``, so near nodes share a word of both prefixes.
-    ``left_over`` is how much of the node's length its words from this one on make up.
+    ``left_over`` is how much of the node's length its words from this one on make up. Tokens are numbers.
     """
-    rarity = said.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
     bucketed = said.na.drop(subset=scope).select(bucket_of(scope), "node", "weight", "token", "n")
-    order = W.partitionBy("node").orderBy("texts", "token")
+    rows = bucketed.join(rare_first(said.select("token")), "token").drop("token").withColumnRenamed("word", "token")
+    order = W.partitionBy("node").orderBy("token")
     square = F.col("n").cast("double") * F.col("n")
-    rest = bucketed.join(rarity, "token").withColumns({
+    rest = rows.withColumns({
         "rest": F.sum(square).over(order.rowsBetween(0, W.unboundedFollowing)), "whole": F.sum(square).over(W.partitionBy("node")),
-        "size": F.count(F.lit(1)).over(W.partitionBy("node")).cast("int"),
     })
     return rest.filter(F.col("rest") >= F.col("whole") * (least * least - 1e-9)).select(
-        "bucket", "node", "weight", "size", F.sqrt(F.col("rest") / F.col("whole")).alias("left_over"), "token"
+        "bucket", "node", "weight", F.sqrt(F.col("rest") / F.col("whole")).alias("left_over"), "token"
     )
 
 
 def weighted_links(said: DataFrame, scope: list[str], least: float) -> DataFrame:
     """Links (left, right) between nodes of weighted words with a cosine of at least ``least``; components as in ``similar_links``."""
     def near(pairs: DataFrame) -> DataFrame:
-        return near_by_weights(pairs, said, least)
+        return near_by_weights(pairs.select("left", "right").distinct(), said, least)
 
     def apart(rows: DataFrame) -> DataFrame:
         # From the first word two nodes share, the product is at most that of what is left of both.
         can = F.col("left_over") * F.col("right_left_over") >= least - 1e-9
-        return near(_met(rows, ["left_over"]).filter(can).select("left", "right").distinct())
+        return near(_met(rows, ["left_over"]).filter(can))
 
     return joined_links(weighted_prefixes(said, scope, least), near, apart)
 
@@ -140,17 +173,6 @@ def near_by_weights(pairs: DataFrame, said: DataFrame, least: float) -> DataFram
     )
 
 
-def _similar(pairs: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose token sets are similar enough."""
-    near = TK.similarity(F.col("shared"), F.size("left_tokens"), F.size("right_tokens")) >= threshold
-    return (
-        pairs.join(tokens.select(F.col("node").alias("left"), F.col("tokens").alias("left_tokens")), "left")
-        .join(tokens.select(F.col("node").alias("right"), F.col("tokens").alias("right_tokens")), "right")
-        .withColumn("shared", TK.overlap(F.col("left_tokens"), F.col("right_tokens")))
-        .filter(near).select("left", "right")
-    )
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every linked node; the component is its least node.
 
