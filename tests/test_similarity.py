@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from undertone.functions import tokens as TK
 from undertone.operators import clusters as C
 from undertone.operators import similarity
-from undertone.operators.similarity import components, similar_links
+from undertone.operators.similarity import components, least_jaccard, least_share, similar_links, similar_pairs
 from undertone.operators.threads import follow, thread_structure
 
 
@@ -240,3 +240,50 @@ def test_links_are_made_of_numbers(spark, monkeypatch):
     near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a][0] and sets[a][0] == sets[b][0] and _similar(sets[a][1], sets[b][1]) >= C.LINK_FROM]
     expected = brute_components(sets, near)
     assert {r.unit_id: r.cluster_key for r in members.collect()} == {u: expected[m] for u, m in md5.items()}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.45, 0.8])
+def test_bounds_of_similar_sets(threshold):
+    """No pair of sizes and no overlap that is similar lies below the bounds."""
+    for a, b in itertools.combinations_with_replacement(range(1, 60), 2):
+        for shared in range(1, a + 1):
+            if (shared / math.sqrt(a * b) + shared / (a + b - shared)) / 2 >= threshold:
+                assert shared / (a + b - shared) >= least_jaccard(threshold) - 1e-9 and shared / a >= least_share(threshold) - 1e-9
+
+
+def test_a_short_text_inside_a_long_one_is_linked(spark):
+    """Two of eleven words: similarity 0.304, Jaccard similarity 0.18, below the 0.2 given."""
+    rows = [("long", [f"w{i}" for i in range(11)], 1.0), ("short", ["w3", "w8"], 1.0)]
+    df = spark.createDataFrame(rows, "node STRING, tokens ARRAY<STRING>, weight DOUBLE")
+    for found in (similar_links(df, [], 0.3, 0.2).distinct(), similar_pairs(df, [], 0.3)):
+        assert [set(r) for r in found.collect()] == [{"long", "short"}]
+
+
+@pytest.mark.parametrize("threshold, block", [(0.3, 7), (0.3, 2000), (0.45, 2000)])
+def test_all_similar_pairs_are_found(spark, monkeypatch, threshold, block):
+    """Every pair of a scope, also those that links of others connect; groups cut in blocks or not."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rng = random.Random(5)
+    texts = {f"n{i:03d}": (rng.choice(["a", "b", None]), t) for i, t in enumerate(_texts(rng, 250))}
+    rows = [(n, s, list(t), 1.0) for n, (s, t) in texts.items()] + [("none", "a", [], 1.0)]
+    df = spark.createDataFrame(rows, "node STRING, s STRING, tokens ARRAY<STRING>, weight DOUBLE")
+    found = [tuple(r) for r in similar_pairs(df, ["s"], threshold).collect()]
+    expected = {
+        (x, y) for x, y in itertools.combinations(sorted(texts), 2)
+        if texts[x][0] is not None and texts[x][0] == texts[y][0] and _similar(texts[x][1], texts[y][1]) >= threshold
+    }
+    assert len(found) == len(set(found)) and set(found) == expected
+    links = {tuple(sorted(r)) for r in similar_links(df, ["s"], threshold, 0.2).collect()}
+    assert links < expected
+
+
+def test_components_of_many_rounds_keep_their_plans_small(spark, monkeypatch):
+    """What a round knows of its columns is not handed on, so it doesn't grow with the rounds."""
+    plans = []
+    kept = similarity.settle
+    monkeypatch.setattr(similarity, "settle", lambda df: plans.append(df) or kept(df))
+    chain = [f"n{(i * 37) % 101:03d}" for i in range(101)]
+    links = spark.createDataFrame(list(zip(chain, chain[1:])), "left STRING, right STRING")
+    assert {r.component for r in components(links).collect()} == {"n000"}
+    rounds = [p._jdf.queryExecution().analyzed().toString().count("Relation") for p in plans[2:]]
+    assert len(rounds) > 4 and set(rounds) == {4}
