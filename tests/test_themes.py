@@ -169,3 +169,31 @@ def test_numbering(spark, scope):
 def test_numbering_of_nothing(spark):
     df = spark.createDataFrame([], "id long")
     assert numbered(df, [F.asc("id")]).columns == ["id", "rank"] and numbered(df, [F.asc("id")]).count() == 0
+
+
+def test_pairs_are_searched_without_a_row_per_node_and_table(spark, monkeypatch):
+    """What is written has a row per node; twins meet once, not in every table."""
+    written, kept = [], T.settle
+    monkeypatch.setattr(T, "settle", lambda df: written.append(kept(df)) or written[-1])
+    nodes = variants(6, 60) | {f"t{i:02d}": ["alone", "template"] for i in range(20)}
+    df = spark.createDataFrame([("s", n, t) for n, t in nodes.items()], "stance string, node string, tokens array<string>")
+    vectors = T.hashed(df, ["stance"])
+    found = {(r["left"], r["right"]) for r in T.near_pairs(vectors, ["stance"]).collect()}
+    assert [w.count() for w in written] == [len(nodes)]
+    assert {(a, b) for a in nodes for b in nodes if a < b and a[0] == b[0] == "t"} <= found
+
+
+def test_founders_keep_no_tables_of_past_rounds(spark, monkeypatch):
+    from pathlib import Path
+
+    from undertone import session
+
+    written, kept = [], T.settle
+    monkeypatch.setattr(T, "settle", lambda df: written.append(kept(df)) or written[-1])
+    chain = [f"z{i:02d}" for i in range(16)]
+    nodes = spark.createDataFrame([(c, 2.0 - i / 100) for i, c in enumerate(chain)], "node string, strength double")
+    links = spark.createDataFrame([(a, b, 0.85) for a, b in zip(chain, chain[1:])], "left string, right string, near double")
+    founded = T.founders(nodes, links)
+    assert sum(r["node"] == r["founder"] for r in founded.collect()) == 8
+    left = [w for w in written if w in session._SETTLED and Path(session._SETTLED[w]).exists()]
+    assert len(written) > 25 and len(left) <= 5

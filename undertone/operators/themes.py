@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from undertone.functions import tokens as TK
 from undertone.operators import clusters as C
 from undertone.operators.numbering import numbered
-from undertone.session import cut_lineage, settle
+from undertone.operators.similarity import in_order
+from undertone.session import discard, settle
 
 DIMENSIONS = 256
 LEAST = 0.8
@@ -88,20 +89,37 @@ def bucketed(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
 
 
 def near_pairs(vectors: DataFrame, scope: list[str], least: float = LEAST, recall: float = RECALL) -> DataFrame:
-    """(left, right, near) with left < right: pairs of a scope whose cosine is ``least`` or more, each once."""
+    """(left, right, near) with left < right: pairs of a scope whose cosine is ``least`` or more, each once.
+
+    Nodes that share all their buckets, as those of one hashed place do, are one group: groups meet in the tables,
+    once however many nodes they hold, and only then are their nodes paired. Vectors travel without their zeros.
+    """
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, vectors.count())))))
-    placed = settle(
-        bucketed(vectors, bits, tables_for(bits, least, recall)).select(*scope, "node", F.posexplode("buckets").alias("table", "bucket"))
-    )
-    key = [*scope, "table", "bucket"]
-    met = placed.join(placed.select(*key, F.col("node").alias("right")), key).filter("node < right")
-    pairs = met.select(F.col("node").alias("left"), "right").distinct()
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return (
-        pairs.join(vectors.select(F.col("node").alias("left"), F.col("vector").alias("x")), "left")
-        .join(vectors.select(F.col("node").alias("right"), F.col("vector").alias("y")), "right")
-        .select("left", "right", F.round(dot, DIGITS).alias("near")).filter(F.col("near") >= least)
+    placed = bucketed(vectors, bits, tables_for(bits, least, recall)).withColumn("twins", F.xxhash64(F.lit(0), *scope, "buckets"))
+    said = F.filter(F.transform("vector", lambda v, i: F.struct(i.alias("place"), v.alias("value"))), lambda e: e["value"] != 0)
+    placed = settle(placed.select(*scope, "node", "twins", "buckets", said.alias("said")))
+    tables = placed.na.drop(subset=scope).groupBy("twins").agg(F.any_value(F.struct(*scope, "buckets")).alias("one")).select(
+        "twins", *(F.col(f"one.{c}").alias(c) for c in scope), F.posexplode("one.buckets").alias("table", "bucket")
+    ).select("twins", F.xxhash64(F.lit(0), *scope, "table", "bucket").alias("key"))
+    groups = tables.join(tables.select("key", F.col("twins").alias("right_twins")), "key").filter("twins <= right_twins")
+    met = groups.select("twins", "right_twins").distinct()
+
+    def side(name: str) -> DataFrame:
+        twins = "twins" if name == "left" else "right_twins"
+        return placed.select(F.col("twins").alias(twins), F.col("node").alias(name), F.col("said").alias(f"{name}_said"), *(F.col(c).alias(f"{name}_{c}") for c in scope))
+
+    pairs = met.join(side("left"), "twins").join(side("right"), "right_twins").filter(
+        (F.col("left") < F.col("right")) | (F.col("twins") != F.col("right_twins"))
     )
+    for c in scope:
+        pairs = pairs.filter(F.col(f"left_{c}") == F.col(f"right_{c}"))
+    other = F.map_from_entries("right_said")
+    dot = F.get(F.transform(F.array(other), lambda m: F.aggregate(
+        "left_said", F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(m, e["place"]), F.lit(0.0))
+    )), F.lit(0))
+    return pairs.select(
+        F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), F.round(dot, DIGITS).alias("near")
+    ).filter(F.col("near") >= least)
 
 
 def founders(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -121,21 +139,26 @@ def founders(nodes: DataFrame, links: DataFrame) -> DataFrame:
         F.when(first, F.col("left_place")).otherwise(F.col("right_place")).alias("place"),
     ))
     waits = dealt.select("weak").distinct()
-    found = cut_lineage(nodes.select("node").join(waits.withColumnRenamed("weak", "node"), "node", "left_anti"))
+    found = settle(nodes.select("node").join(waits.withColumnRenamed("weak", "node"), "node", "left_anti"))
     open_links = dealt.select("strong", "weak")
     fresh = found
+    passing = []
     while True:
         # Nodes linked with a new founder can't found any more; nobody waits for them.
-        taken = cut_lineage(open_links.join(fresh, F.col("strong") == F.col("node"), "left_semi").select(F.col("weak").alias("gone")).distinct())
+        taken = settle(open_links.join(fresh, F.col("strong") == F.col("node"), "left_semi").select(F.col("weak").alias("gone")).distinct())
         if taken.isEmpty():
             break
-        rest = open_links.join(taken, F.col("weak") == F.col("gone"), "left_anti")
-        waiting = cut_lineage(rest)
-        still = waiting.join(taken, F.col("strong") == F.col("gone"), "left_anti")
-        free = waiting.select(F.col("weak").alias("node")).distinct().join(still.select(F.col("weak").alias("node")).distinct(), "node", "left_anti")
-        fresh = cut_lineage(free)
-        open_links = cut_lineage(still)
-        found = cut_lineage(found.unionByName(fresh))
+        waiting = settle(open_links.join(taken, F.col("weak") == F.col("gone"), "left_anti"))
+        still = settle(waiting.join(taken, F.col("strong") == F.col("gone"), "left_anti"))
+        fresh = settle(
+            waiting.select(F.col("weak").alias("node")).distinct().join(still.select(F.col("weak").alias("node")).distinct(), "node", "left_anti")
+        )
+        before, found = found, settle(found.unionByName(fresh))
+        # Tables that no later round reads.
+        for table in (*passing, before, taken, waiting):
+            discard(table)
+        passing = [fresh, still]
+        open_links = still
     nearest = dealt.join(found, F.col("strong") == F.col("node"), "left_semi").groupBy(F.col("weak").alias("node")).agg(
         F.min(F.struct((-F.col("near")).alias("far"), "place", "strong")).alias("best")
     )
@@ -150,16 +173,18 @@ def theme_members(clusters: DataFrame, least: float = LEAST, recall: float = REC
     alone holds does not recur yet; ``recurring_members`` leaves it out.
     """
     usable = C.visible(clusters).filter(~F.col("wide")).withColumn("tokens", signature(F.col("label"), F.col("summary")))
-    named = settle(usable.withColumn("node", F.sha2(F.concat_ws(" ", F.coalesce("stance", F.lit("")), F.array_join("tokens", " ")), 256)))
-    nodes = settle(named.groupBy(F.coalesce("stance", F.lit("")).alias("stance"), "node").agg(
+    named = settle(usable.withColumn("name", F.sha2(F.concat_ws(" ", F.coalesce("stance", F.lit("")), F.array_join("tokens", " ")), 256)))
+    nodes = in_order(named.groupBy(F.coalesce("stance", F.lit("")).alias("stance"), "name").agg(
         F.any_value("tokens").alias("tokens"), F.max("importance").alias("strength")
-    ))
+    ), "name", name="node")
     vectors = settle(hashed(nodes, ["stance"]))
-    founded = founders(nodes.select("node", "strength"), near_pairs(vectors, ["stance"], least, recall))
-    placed = named.join(founded, "node")
+    founded = founders(nodes.select("node", "strength"), near_pairs(vectors, ["stance"], least, recall)).join(nodes.select("node", "name"), "node").join(
+        nodes.select(F.col("node").alias("founder"), F.col("name").alias("founder_name")), "founder"
+    )
+    placed = named.join(founded.select("name", F.col("founder_name").alias("founder"), "near"), "name")
     order = [F.desc("near"), F.desc("importance"), F.asc("cluster_key")]
     layers = numbered(placed, order, ["founder", "video_id"], "layer")
-    return settle(layers.withColumn("meta_key", F.concat_ws("_", "founder", F.col("layer").cast("string"))).drop("node", "founder", "tokens"))
+    return settle(layers.withColumn("meta_key", F.concat_ws("_", "founder", F.col("layer").cast("string"))).drop("name", "founder", "tokens"))
 
 
 def recurring_members(members: DataFrame) -> DataFrame:
